@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeflow.config import REFERENCE_NAMES
 from tapeflow.sources.bars import ticks_to_bars
+from tapeflow.sources.calendar import static_calendar
 from tapeflow.sources.snapshots import assemble_books
 
 
@@ -147,3 +148,35 @@ def reference_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.avg("v") + 1.0e6)
     )
     return orders.groupBy("name", "d").agg(scale.alias("value"))
+
+
+def nation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty-day bars per nation, wide enough to hold several book snapshots."""
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    lines = table(spark, sf_dir, "lineitem").join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+    ticks = lines.select(
+        F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("symbol"),
+        F.col("l_shipdate").alias("ts"),
+        _line_id().alias("seq"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.col("l_quantity").alias("size"),
+    )
+    return ticks_to_bars(ticks, "60 days")
+
+
+def macro_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planned events, with outcomes on days that have urgent orders."""
+    orders = table(spark, sf_dir, "orders")
+    span = orders.agg(
+        F.to_date(F.min("o_orderdate")).alias("first_day"),
+        F.to_date(F.max("o_orderdate")).alias("last_day"),
+    )
+    urgent = (
+        orders.where(F.col("o_orderpriority") == "1-URGENT")
+        .groupBy(F.to_date("o_orderdate").alias("date"))
+        .agg(
+            (F.min("o_totalprice") / 1e4).alias("forecast"),
+            (F.max("o_totalprice") / 1e4).alias("actual"),
+        )
+    )
+    return static_calendar(span).join(urgent, "date", "left")

@@ -44,8 +44,3 @@ def safe_corr(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     xs, ys = F.when(both, x), F.when(both, y)
     return div(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys))
-
-
-def r6(c: Column) -> Column:
-    """Round to six digits and drop the sign of zero, for comparable outputs."""
-    return F.round(c, 6) + F.lit(0.0)

@@ -23,6 +23,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tapeflow.functions.times import epoch_seconds
+
 RN = "rn"
 SLICE = "_slice"
 _OWN = "_own"
@@ -33,8 +35,7 @@ Step = Callable[[DataFrame, WindowSpec], DataFrame]
 
 def time_bucket(ts: Column, days: float) -> Column:
     """Bucket number of a timestamp; ``days`` sets how many rows one task orders."""
-    seconds = F.unix_timestamp(ts.cast("timestamp"))
-    return F.floor(seconds / F.lit(days * 86400.0)).cast("long")
+    return F.floor(epoch_seconds(ts) / F.lit(days * 86400.0)).cast("long")
 
 
 def number_rows(

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tapeflow.config import CROSS_ASSET, MACRO_EVENTS, NEWS, ORDER_BOOK, REFERENCE_NAMES, SOCIAL
 from tapeflow.functions import book as ob
-from tapeflow.functions.numeric import r6, safe_corr
-from tapeflow.functions.text import score_text
+from tapeflow.functions.numeric import safe_corr
+from tapeflow.functions.times import epoch_millis
 from tapeflow.operators import asof, book, cross_asset, events, news, reference, social, technical
 from tapeflow.plans.slices import number_rows, over_slices, time_bucket
 from tapeflow.queries.intake import CAL, POSTS
 from tapeflow.queries.registry import (
-    DAILY, HOURLY, ORD, daily, hourly, query, r, rs, show, win, zscore,
+    DAILY, HOURLY, ORD, daily, hourly, query, r, r6, rs, show, win, zscore,
 )
 from tapeflow.sources import tables
 
@@ -506,5 +506,5 @@ _one_book_feature("spread_regime", f"coalesce({zscore('rel', 20, 3)}, 0)")
 def book_history(spark, sf):
     """Recorded layout: milliseconds and scalars, read back with a naive time."""
     s = book.signals(_books(spark, sf))
-    return s.select("symbol", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+    return s.select("symbol", epoch_millis(F.col("ts")).alias("timestamp"),
                     (F.col("imbalance") + 0.0).alias("imbalance"), "bid_walls", "ask_walls")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeflow.functions.numeric import clip, finite, r6
+from tapeflow.functions.numeric import clip, finite
+from tapeflow.functions.times import epoch_millis, epoch_seconds
 from tapeflow.operators import micro, technical, validate
 from tapeflow.plans.slices import over_slices
-from tapeflow.queries.registry import DAILY, HOURLY, ORD, daily, hourly, query, r, show
+from tapeflow.queries.registry import DAILY, HOURLY, ORD, daily, hourly, query, r, r6, show
 from tapeflow.sources import bars as bar_src
 from tapeflow.sources import calendar, ledger, payloads, store, tables, texts
 
@@ -21,7 +22,7 @@ def _bars(spark, sf):
 def _as_raw(bars, page=0):
     return bars.select(
         "symbol", F.lit(page).alias("page"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), *bar_src.BAR_COLS,
+        epoch_millis(F.col("ts")).alias("ms"), *bar_src.BAR_COLS,
     )
 
 
@@ -120,7 +121,7 @@ def build_many(spark, sf):
 # --- delivered payloads: one JSON document per event, error events carry bad values --
 
 def _epoch():
-    return F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")
+    return epoch_seconds(F.col("ts")).cast("string")
 
 
 def _payload(spark, sf, *parts):
@@ -157,7 +158,7 @@ def stable_supply_payload(spark, sf):
 
 
 def _ms():
-    return F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    return epoch_millis(F.col("ts")).cast("string")
 
 
 @query("open_interest_payload", _last_sql(
@@ -234,7 +235,7 @@ POSTS = """posts AS (SELECT conv_id, turn, TIMESTAMP '2024-01-01' + to_days(CAST
 def _raw_posts(spark, sf):
     p = tables.posts(spark, sf)
     return p.select(
-        "conv_id", "turn", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_utc"),
+        "conv_id", "turn", epoch_seconds(F.col("ts")).alias("created_utc"),
         F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("title"),
         F.col("text").alias("selftext"), "source", "symbol",
         F.when(F.col("turn") > 0, F.col("conv_id")).alias("score"), F.col("turn").alias("num_comments"),

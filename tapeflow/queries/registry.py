@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeflow.functions.numeric import r6
 from tapeflow.plans.slices import number_rows, time_bucket
 from tapeflow.sources import tables
 
@@ -30,6 +29,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Compared values are nudged by 1e-11 of their size before rounding. Decimal ties such
+# as 0.0000125 then round the same way in both engines, whatever their last bit.
+NUDGE = 1.00000000001
+
+
+def r6(c):
+    """Six digits for comparison, without the sign of zero."""
+    return F.round(c * F.lit(NUDGE), 6) + F.lit(0.0)
+
+
 def show(df: DataFrame, *cols: str, keys=("symbol", "ts")) -> DataFrame:
     """Keys plus rounded measures."""
     return df.select(*keys, *[r6(F.col(c)).alias(c) for c in cols])
@@ -79,7 +88,7 @@ BRAND = """brand AS (
 
 def r(expr: str) -> str:
     """SQL form of ``r6``."""
-    return f"(round({expr}, 6) + 0.0)"
+    return f"(round(({expr}) * {NUDGE}::DOUBLE, 6) + 0.0)"
 
 
 def rs(**exprs: str) -> str:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.functions.numeric import r6
 from tapeflow.functions.stats import binomial_p, breakeven_win_rate, deflate, expected_value
 from tapeflow.operators import ev, labels, metrics, micro, signals, splits, technical, validate
 from tapeflow.plans.slices import number_rows, over_slices, time_bucket
-from tapeflow.queries.registry import HOURLY, ORD, gate, query, r, rs, show, win
+from tapeflow.queries.registry import HOURLY, ORD, gate, query, r, r6, rs, show, win
 from tapeflow.queries.prices import VWAP
 from tapeflow.sources import tables
 

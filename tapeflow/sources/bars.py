@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeflow.functions.times import from_millis
+
 BAR_COLS = ("open", "high", "low", "close", "volume")
 
 BAR_SCHEMA = T.StructType(
@@ -27,17 +29,12 @@ RAW_BAR_SCHEMA = T.StructType(
 )
 
 
-def ms_to_ts(ms):
-    """Epoch milliseconds to a naive UTC timestamp (session zone must be UTC)."""
-    return F.timestamp_millis(ms).cast("timestamp_ntz")
-
-
 def land_bars(raw: DataFrame, source: str = "crypto") -> DataFrame:
     """Typed bars from delivered rows, with the symbol and source as columns."""
     return raw.select(
         "symbol",
         F.lit(source).alias("source"),
-        ms_to_ts(F.col("ms")).alias("ts"),
+        from_millis(F.col("ms")).alias("ts"),
         *[F.col(c).cast("double").alias(c) for c in BAR_COLS],
     )
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeflow.functions.times import from_millis, from_seconds
+
 
 def _daily(rows: DataFrame, name: str, symbol: Column | None = None) -> DataFrame:
     symbol = F.lit(None).cast("string") if symbol is None else symbol
@@ -28,7 +30,7 @@ def _records(df: DataFrame, schema: str, path: str | None) -> DataFrame:
 
 
 def _epoch_day(seconds: Column) -> Column:
-    return F.to_date(F.timestamp_seconds(seconds.try_cast("bigint")))
+    return F.to_date(from_seconds(seconds.try_cast("bigint")))
 
 
 def parse_fear_greed(df: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def parse_derivatives(df: DataFrame, kind: str, symbol: str) -> DataFrame:
         value = F.when(stated != 0, stated).otherwise(F.col("r.openInterestAmount"))
     else:
         raise ValueError(f"kind must be 'funding' or 'oi', got {kind!r}")
-    day = F.to_date(F.timestamp_millis("r.timestamp"))
+    day = F.to_date(from_millis(F.col("r.timestamp")))
     return _daily(recs.select("seq", "pos", day.alias("d"), value.alias("value")), name, F.lit(symbol))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeflow.config import BOOK, BookRules
+from tapeflow.functions.times import from_millis
 
 LEVELS = "array<struct<price:double,size:double>>"
 
@@ -52,4 +53,4 @@ def assemble_books(levels: DataFrame, rules: BookRules = BOOK) -> DataFrame:
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Recorded snapshots with a naive UTC time; ordering is left to the windows that need it."""
     raw = spark.read.schema(SNAPSHOT_SCHEMA).parquet(path)
-    return raw.withColumn("ts", F.timestamp_millis("timestamp").cast("timestamp_ntz"))
+    return raw.withColumn("ts", from_millis(F.col("timestamp")))

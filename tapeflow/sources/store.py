@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tapeflow.functions.times import seconds_between
+
 KINDS = ("price", "news", "dataset", "dataset_news")
 MAX_AGE_HOURS = 12.0
 
@@ -72,9 +74,7 @@ def catalog(df: DataFrame) -> DataFrame:
 
 def with_age(cat: DataFrame, as_of: Column, max_age: float = MAX_AGE_HOURS) -> DataFrame:
     """Age in hours at a given moment, and whether it is still fresh."""
-    seconds = F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(
-        F.col("saved_at").cast("timestamp")
-    )
+    seconds = seconds_between(F.col("saved_at"), as_of)
     return cat.withColumn("age_hours", seconds / F.lit(3600.0)).withColumn(
         "is_fresh", F.col("age_hours") <= max_age
     )

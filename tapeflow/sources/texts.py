@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeflow.functions.times import from_seconds
+
 # Search term per base asset.
 SEARCH_TERMS = {
     "BTC": "Bitcoin", "ETH": "Ethereum", "BNB": "Binance Coin", "SOL": "Solana",
@@ -61,7 +63,7 @@ def land_posts(
     body = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("selftext", F.lit("")))
     if max_chars:
         body = F.substring(body, 1, max_chars)
-    at = F.timestamp_seconds("created_utc").cast("timestamp_ntz")
+    at = from_seconds(F.col("created_utc"))
     return raw.where(at.between(since, until)).select(
         at.alias("ts"),
         body.alias("text"),

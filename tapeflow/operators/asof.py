@@ -35,8 +35,7 @@ def asof_join(
     both = a.unionByName(b, allowMissingColumns=True)
     known = running(
         both, keys, [on, "_side"], bucket,
-        {out: ("last", F.when(F.col("_side") == right_side, F.col("_r")))},
-        backward=forward,
+        {out: ("next" if forward else "last", F.when(F.col("_side") == right_side, F.col("_r")))},
     )
     return known.where(F.col("_side") == left_side).select(*keys, on, "_l.*", out)
 

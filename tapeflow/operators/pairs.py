@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tapeflow.functions.numeric import div
 from tapeflow.functions.stats import binomial_p, deflate
 from tapeflow.operators.splits import add_folds
-from tapeflow.plans.slices import RN, over_slices, rn_bucket, running
+from tapeflow.plans.slices import RN, SLICE, over_slices, rn_bucket
+from tapeflow.plans.tables import keep
 
 # Asymptotic critical values with a constant, plain and residual-based.
 ADF_CRITICAL = {0.01: -3.43, 0.05: -2.86, 0.10: -2.57}
@@ -75,69 +76,92 @@ def add_spread(rows: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFram
     )
 
 
-def _events(z: Column, entry: Column, leave: Column) -> tuple[Column, Column]:
-    side = F.when(z > entry, -1.0).when(z < -entry, 1.0)
-    return F.when(F.abs(z) < leave, F.lit("exit")).when(side.isNotNull(), F.lit("entry")), side
-
-
 def add_positions(
     df: DataFrame, keys: Sequence[str], entry=2.0, leave=0.5, bounded: bool = False,
     rows: int = 16384,
 ) -> DataFrame:
-    """Position of -1, 0 or 1 per bar: enter past ``entry``, close inside ``leave``.
-
-    Only an entry that follows an exit (or nothing) counts; the position is the last
-    such entry's side or 0 after an exit. Both are "last seen" values, so a long
-    series carries them over slices. ``bounded`` says a key holds few rows (a test
-    block) and plain windows do. Needs ``leave <= entry`` and ``rn``.
+    """Position of -1, 0 or 1 per bar, and the row of the entry that opened it.
+
+    A position opens past ``entry`` and closes inside ``leave``. Only an entry that
+    follows an exit (or nothing) counts, so within a slice the state is the last
+    counting entry or exit. A slice's end state follows from its own start-flat end
+    state, whether it holds an exit, and the end state before it; the same rule over
+    the short table of slice ends gives every slice its start. ``bounded`` says a key
+    holds few rows (a test block) and is its own slice. Needs ``leave <= entry``.
     """
     entry = entry if isinstance(entry, Column) else F.lit(float(entry))
     leave = leave if isinstance(leave, Column) else F.lit(float(leave))
-    event, side = _events(F.col("z"), entry, leave)
-    df = df.withColumns({"_event": event, "_side": side})
-
-    def last(frame: DataFrame, out: str, value: Column, inclusive: bool) -> DataFrame:
-        if bounded:
-            w = Window.partitionBy(*keys).orderBy(RN)
-            span = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-            return frame.withColumn(out, F.last(value, ignorenulls=True).over(span))
-        return running(frame, keys, [RN], rn_bucket(rows), {out: ("last", value)}, inclusive=inclusive)
-
-    df = last(df, "_before", F.col("_event"), inclusive=False)
-    fresh = (F.col("_event") == "entry") & (F.coalesce("_before", F.lit("exit")) == "exit")
-    effect = F.when(F.col("_event") == "exit", F.lit(0.0)).when(fresh, F.col("_side"))
-    df = last(df, "_pos", effect, inclusive=True)
-    position = F.coalesce("_pos", F.lit(0.0))
-    return df.withColumn("position", position).drop("_event", "_side", "_before", "_pos")
+    z = F.col("z")
+    side = F.when(z > entry, -1.0).when(z < -entry, 1.0)
+    none = F.struct(F.lit(0.0).alias("side"), F.lit(-1).cast("long").alias("at"))
+    opened = F.struct(F.col("_side").alias("side"), F.col(RN).alias("at"))
+    df = df.withColumns({"_exit": F.abs(z) < leave, "_side": side, SLICE: F.lit(0) if bounded else rn_bucket(rows)})
+    part = Window.partitionBy(*keys, SLICE).orderBy(RN)
+    df = _state(df, part, "_exit", opened, none)
+    if not bounded:
+        ends = df.groupBy(*keys, SLICE).agg(
+            F.max_by("_state", RN).alias("_state"), F.max("_exit").alias("_any_exit")
+        )
+        walk = Window.partitionBy(*keys).orderBy(SLICE)
+        flat = F.col("_state.side") == 0
+        ends = ends.withColumns(
+            {"_closes": F.col("_any_exit"), "_opens": F.when(~flat, F.col("_state"))}
+        )
+        # A slice with an exit ends in its own state; one without keeps an open position.
+        kind = F.when(F.col("_closes"), "set").when(F.col("_opens").isNotNull(), "entry")
+        ends = ends.withColumn("_kind", kind)
+        before = walk.rowsBetween(Window.unboundedPreceding, -1)
+        last_kind = F.last(
+            F.when(F.col("_kind") == "set", ~flat).when(F.col("_kind") == "entry", F.lit(True)),
+            ignorenulls=True,
+        ).over(before)
+        counts = (F.col("_kind") == "set") | ~F.coalesce(last_kind, F.lit(False))
+        ends = ends.withColumn(
+            "_eff", F.when(F.col("_kind").isNotNull() & counts, F.col("_state"))
+        )
+        ends = ends.select(
+            *keys, SLICE, F.coalesce(F.last("_eff", ignorenulls=True).over(before), none).alias("_start")
+        )
+        df = df.join(ends, [*keys, SLICE])
+        untouched = ~F.col("_exited") & (F.col("_start.side") != 0)
+        df = df.withColumn("_state", F.when(untouched, F.col("_start")).otherwise(F.col("_state")))
+        df = df.drop("_start")
+    return df.withColumns(
+        {"position": F.col("_state.side"), "trade_rn": F.col("_state.at")}
+    ).drop("_exit", "_side", "_state", "_exited", SLICE)
+
+
+def _state(df: DataFrame, w, exit_flag: str, opened: Column, none: Column) -> DataFrame:
+    """Start-flat state inside a slice, and whether an exit has been seen in it."""
+    event = F.when(F.col(exit_flag), F.lit(False)).when(F.col("_side").isNotNull(), F.lit(True))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_ev", event)
+    df = df.withColumn("_open", F.coalesce(F.last("_ev", ignorenulls=True).over(before), F.lit(False)))
+    effect = F.when(F.col(exit_flag), none).when(F.col("_ev") & ~F.col("_open"), opened)
+    df = df.withColumn("_fx", effect)
+    return df.withColumns(
+        {
+            "_state": F.coalesce(F.last("_fx", ignorenulls=True).over(upto), none),
+            "_exited": F.max(exit_flag).over(upto),
+        }
+    ).drop("_ev", "_open", "_fx")
 
 
 def add_pair_pnl(df: DataFrame, keys: Sequence[str], bounded: bool = False, rows: int = 16384) -> DataFrame:
-    """PnL of each bar to the next, and whether a run of equal positions starts here."""
+    """PnL of each bar's position over the move to the next bar."""
 
     def step(d, w):
         move = F.lead("spread").over(w) - F.col("spread")
-        before = F.coalesce(F.lag("position").over(w), F.lit(0.0))
-        return d.withColumns(
-            {
-                "pnl": F.coalesce(F.col("position") * move, F.lit(0.0)),
-                "run_starts": (F.col("position") != 0) & (F.col("position") != before),
-            }
-        )
+        return d.withColumn("pnl", F.coalesce(F.col("position") * move, F.lit(0.0)))
 
     if bounded:
         return step(df, Window.partitionBy(*keys).orderBy(RN))
-    return over_slices(df, keys, [step], 1, 1, rows)
+    return over_slices(df, keys, [step], 0, 1, rows)
 
 
-def trades(df: DataFrame, keys: Sequence[str], cost: float = 0.0, bounded: bool = False,
-           rows: int = 16384) -> DataFrame:
-    """One row per maximal run of an equal, non-zero position; cost once per run."""
-    mark = F.when(F.col("run_starts"), F.col(RN))
-    if bounded:
-        span = Window.partitionBy(*keys).orderBy(RN).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn("trade_rn", F.last(mark, ignorenulls=True).over(span))
-    else:
-        df = running(df, keys, [RN], rn_bucket(rows), {"trade_rn": ("last", mark)})
+def trades(df: DataFrame, keys: Sequence[str], cost: float = 0.0) -> DataFrame:
+    """One row per round trip, a run of one non-zero position; cost once per trip."""
     held = df.where(F.col("position") != 0)
     return held.groupBy(*keys, "trade_rn").agg(
         (F.sum("pnl") - F.lit(cost)).alias("trade_pnl"),
@@ -188,7 +212,7 @@ def _traded(scored, keys, grid, cost, bounded):
     slim = [k for k in keys if k not in ("entry", "leave")]
     wide = scored.select(*slim, RN, "spread", "z", F.inline(configs))
     pos = add_positions(wide, keys, F.col("entry"), F.col("leave"), bounded)
-    return trades(add_pair_pnl(pos, keys, bounded), keys, cost, bounded)
+    return trades(add_pair_pnl(pos, keys, bounded), keys, cost)
 
 
 def select_config(
@@ -223,7 +247,7 @@ def judge_pairs(
     best = select_config(trade_stats(wf, ["pair", "entry", "leave"]), grid, select_by)
     fit = hedge_fit(before, ["pair"]).where(F.col("beta").isNotNull())
     held = rows.where(F.col(RN) >= F.col("edge"))
-    scored = add_spread(held, fit, ["pair"]).join(best, "pair", "left")
+    scored = add_spread(held, fit, ["pair"]).join(keep(best), "pair", "left")
     first_entry, first_leave = grid[0]
     scored = scored.withColumns(
         {
@@ -232,9 +256,8 @@ def judge_pairs(
         }
     )
     keys = ["pair"]
-    pos = add_positions(
-        scored.select("pair", RN, "spread", "z", "entry", "leave"), keys, F.col("entry"), F.col("leave")
-    )
+    scored = keep(scored.select("pair", RN, "spread", "z", "entry", "leave"))
+    pos = add_positions(scored, keys, F.col("entry"), F.col("leave"))
     closed = trades(add_pair_pnl(pos, keys), keys, cost)
     chosen = scored.groupBy("pair").agg(F.first("entry").alias("entry"), F.first("leave").alias("leave"))
     stats = chosen.join(trade_stats(closed, keys), "pair", "left")

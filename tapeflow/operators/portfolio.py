@@ -33,23 +33,21 @@ def with_running_quantity(trades: DataFrame, days: float = 365.0) -> DataFrame:
     )
 
 
-def oversold(trades: DataFrame, days: float = 365.0) -> DataFrame:
+def oversold(run: DataFrame) -> DataFrame:
     """Symbols that sell more than they hold, with the first such time and the worst gap."""
-    run = with_running_quantity(trades, days)
     gap = F.col("sold") - F.col("bought")
     return run.where(gap > EPS).groupBy("symbol").agg(
         F.min("ts").alias("first_ts"), F.max(gap).alias("worst_gap")
     )
 
 
-def _lots(trades: DataFrame, days: float, per_bucket: float) -> DataFrame:
+def _lots(run: DataFrame, per_bucket: float) -> DataFrame:
     """Quantity pieces with the buy that supplies and the sell (if any) that takes each.
 
     Buys and sells are laid on one quantity axis. Every trade ends at an edge; the
     piece below an edge belongs to the first buy and the first sell ending at or
     beyond it, which is a "next known" value walking the axis from the top.
     """
-    run = with_running_quantity(trades, days)
     info = F.struct(
         "ts", "price", F.coalesce(div(F.col("fee"), F.col("qty")), F.lit(0.0)).alias("unit_fee"), "signal"
     )
@@ -67,18 +65,22 @@ def _lots(trades: DataFrame, days: float, per_bucket: float) -> DataFrame:
     bucket = _quantity_bucket(per_bucket)
     known = running(
         edges, _KEY, ["edge"], bucket,
-        {"buy": ("last", F.col("_buy")), "sell": ("last", F.col("_sell"))}, backward=True,
+        {
+            "buy": ("next", F.col("_buy")),
+            "sell": ("next", F.col("_sell")),
+            "_from": ("before", F.col("edge")),
+        },
     ).drop("_buy", "_sell")
-    known = running(known, _KEY, ["edge"], bucket, {"_from": ("last", F.col("edge"))}, inclusive=False)
     piece = F.col("edge") - F.coalesce("_from", F.lit(0.0))
     return known.withColumn("qty", piece).where((F.col("qty") > EPS) & F.col("buy").isNotNull())
 
 
-def match_fifo(
-    trades: DataFrame, days: float = 365.0, per_bucket: float = 1.0e6
-) -> tuple[DataFrame, DataFrame]:
-    """Closed lots and open lots. Symbols that oversell must be removed first."""
-    lots = _lots(trades, days, per_bucket)
+def match_fifo(run: DataFrame, per_bucket: float = 1.0e6) -> tuple[DataFrame, DataFrame]:
+    """Closed lots and open lots from trades with running quantities.
+
+    Symbols that oversell must be removed first, see ``without_oversold``.
+    """
+    lots = _lots(run, per_bucket)
     buy_cols = [
         F.col("buy.ts").alias("buy_ts"), F.col("buy.price").alias("buy_price"),
         F.col("buy.signal").alias("buy_signal"),
@@ -109,9 +111,9 @@ def with_lot_results(closed: DataFrame) -> DataFrame:
     )
 
 
-def without_oversold(trades: DataFrame, days: float = 365.0) -> DataFrame:
+def without_oversold(run: DataFrame) -> DataFrame:
     """Trades of symbols that never oversell; the reject side is one row per bad symbol."""
-    return trades.join(oversold(trades, days).select("symbol"), "symbol", "left_anti")
+    return run.join(oversold(run).select("symbol"), "symbol", "left_anti")
 
 
 def open_positions(open_lots: DataFrame) -> DataFrame:

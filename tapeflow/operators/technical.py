@@ -158,8 +158,7 @@ def add_rsi_divergence(
         df = over_slices(df, keys, [lambda d, w: mark_swings(d, w, k, rsi)], 2 * k, rows=rows)
     df = running(
         df, keys, [RN], rn_bucket(rows),
-        {"_peak0": ("last", F.col("_peak")), "_dip0": ("last", F.col("_dip"))},
-        inclusive=False,
+        {"_peak0": ("before", F.col("_peak")), "_dip0": ("before", F.col("_dip"))},
     )
     bear = (F.col("_peak.price") > F.col("_peak0.price")) & (F.col("_peak.rsi") < F.col("_peak0.rsi"))
     bull = (F.col("_dip.price") < F.col("_dip0.price")) & (F.col("_dip.rsi") > F.col("_dip0.rsi"))

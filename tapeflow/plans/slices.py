@@ -98,34 +98,30 @@ def running(
     order: Sequence[str],
     bucket: Column,
     measures: dict[str, tuple[str, Column]],
-    backward: bool = False,
-    inclusive: bool = True,
 ) -> DataFrame:
     """Running values over a whole key: ``{out: (kind, column)}``.
 
-    Kinds: ``sum``, ``max``, ``min`` and ``last`` (latest non-null). ``backward``
-    walks the order from the end, so ``last`` becomes "next known".
-    ``inclusive=False`` leaves the current row out.
+    Kinds: ``sum``, ``max`` and ``min`` up to the row; ``last`` non-null value up to
+    the row and ``before`` it; ``next`` non-null value from the row on. All measures
+    share one pass over the bucket ends, so ask for them together. The input is read
+    twice (rows and bucket ends): pass a stored table, see ``plans.tables.keep``.
     """
     df = df.withColumn(_B, bucket)
     df = df.withColumns({f"_v_{n}": c for n, (_, c) in measures.items()})
-    direction = (lambda c: F.col(c).desc()) if backward else (lambda c: F.col(c).asc())
-    local = (
-        Window.partitionBy(*keys, _B)
-        .orderBy(*[direction(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    carry = (
-        Window.partitionBy(*keys)
-        .orderBy(direction(_B))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    whole, part = Window.partitionBy(*keys), Window.partitionBy(*keys, _B)
+    up = [F.col(c).asc() for c in order]
+    down = [F.col(c).desc() for c in order]
+    start = Window.unboundedPreceding
     aggs, prefix, here, merged = [], [], {}, {}
     for n, (kind, _) in measures.items():
         v, t, p, h = F.col(f"_v_{n}"), f"_t_{n}", f"_p_{n}", f"_h_{n}"
-        if kind == "last":
+        local = part.orderBy(*(down if kind == "next" else up)).rowsBetween(
+            start, -1 if kind == "before" else 0
+        )
+        carry = whole.orderBy(F.col(_B).desc() if kind == "next" else F.col(_B)).rowsBetween(start, -1)
+        if kind in ("last", "before", "next"):
             packed = F.when(v.isNotNull(), F.struct(*order, v.alias("v")))
-            pick = F.min(packed) if backward else F.max(packed)
+            pick = F.min(packed) if kind == "next" else F.max(packed)
             aggs.append(pick.getField("v").alias(t))
             prefix.append(F.last(t, ignorenulls=True).over(carry).alias(p))
             here[h] = F.last(v, ignorenulls=True).over(local)

@@ -14,6 +14,7 @@ from tapeflow.queries.intake import CAL, POSTS
 from tapeflow.queries.registry import (
     DAILY, HOURLY, ORD, daily, hourly, query, r, r6, rs, show, win, zscore,
 )
+from tapeflow.plans.tables import keep
 from tapeflow.sources import tables
 
 # --- as-of ----------------------------------------------------------------------------
@@ -371,6 +372,11 @@ def _books(spark, sf):
     return tables.books(spark, sf)
 
 
+def _history(spark, sf):
+    """Recorded signal rows: what a recorder would have stored."""
+    return keep(book.signals(_books(spark, sf)))
+
+
 def r9(expr):
     """Prices have up to eight decimals; nine digits keep them off rounding ties."""
     return f"(round({expr}, 9) + 0.0)"
@@ -458,7 +464,7 @@ def book_hysteresis(spark, sf):
     round(coalesce(ema, 0) * pi(), 9) + 0.0 AS scaled, reliable FROM walk""")
 def book_tracker(spark, sf):
     """Smoothed values are compared times pi, which keeps them off rounding ties."""
-    out = book.track(book.signals(_books(spark, sf)))
+    out = book.track(_history(spark, sf))
     return out.select("symbol", "ts", "state", _r9(F.col("smoothed") * F.pi()).alias("scaled"), "reliable")
 
 
@@ -474,24 +480,24 @@ SPANS = f"""{BOOKS}, nbars AS (SELECT 'N' || s_nationkey AS symbol, time_bucket(
 
 
 def _nation_bars(spark, sf):
-    return number_rows(tables.nation_bars(spark, sf), ["symbol"], ["ts"], time_bucket(F.col("ts"), 36500.0))
+    return number_rows(keep(tables.nation_bars(spark, sf)), ["symbol"], ["ts"], time_bucket(F.col("ts"), 36500.0))
 
 
 @query("snapshot_bars", f"WITH {SPANS} SELECT symbol, ts, bar_ts FROM snap")
 def snapshot_bars(spark, sf):
-    return book.assign_to_bars(book.signals(_books(spark, sf)), _nation_bars(spark, sf)).select("symbol", "ts", "bar_ts")
+    return book.assign_to_bars(_history(spark, sf), _nation_bars(spark, sf)).select("symbol", "ts", "bar_ts")
 
 
 @query("book_features", f"""WITH {SPANS} SELECT symbol, ts, {rs(depth_imbalance='coalesce(imbalance, 0)', wall_persistence='coalesce(walls, 0)',
   microprice_drift=f'coalesce(skew - lag(skew) OVER {ORD}, 0)', spread_regime=f"coalesce({zscore('rel', 20, 3)}, 0)")} FROM pb""")
 def book_features(spark, sf):
-    return show(book.add_book_features(_nation_bars(spark, sf), book.signals(_books(spark, sf))), *ORDER_BOOK)
+    return show(book.add_book_features(_nation_bars(spark, sf), _history(spark, sf)), *ORDER_BOOK)
 
 
 def _one_book_feature(name, expr):
     @query(name, f"WITH {SPANS} SELECT symbol, ts, {r(expr)} AS {name} FROM pb")
     def run(spark, sf):
-        return show(book.add_book_features(_nation_bars(spark, sf), book.signals(_books(spark, sf))), name)
+        return show(book.add_book_features(_nation_bars(spark, sf), _history(spark, sf)), name)
 
     return run
 
@@ -505,6 +511,6 @@ _one_book_feature("spread_regime", f"coalesce({zscore('rel', 20, 3)}, 0)")
 @query("book_history", f"""WITH {BOOKS} SELECT symbol, epoch_ms(ts) AS timestamp, round(imb, 4) + 0.0 AS imbalance, bid_walls, ask_walls FROM book""")
 def book_history(spark, sf):
     """Recorded layout: milliseconds and scalars, read back with a naive time."""
-    s = book.signals(_books(spark, sf))
+    s = _history(spark, sf)
     return s.select("symbol", epoch_millis(F.col("ts")).alias("timestamp"),
                     (F.col("imbalance") + 0.0).alias("imbalance"), "bid_walls", "ask_walls")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeflow.operators import backtest, pairs, paper, portfolio, risk, signals
+from tapeflow.plans.tables import keep
 from tapeflow.plans.slices import RN, number_rows, over_slices, rn_bucket, running, time_bucket
 from tapeflow.queries.registry import BRAND, DAILY, ORD, query, r, r6, rs, show
 from tapeflow.queries.strategy import BASE, TH, base, preds
@@ -19,7 +20,7 @@ ALIGN = f"""{BRAND}, al0 AS (SELECT y.symbol || '~' || x.symbol AS pair, y.ts, y
 
 def _aligned(spark, sf):
     rows = pairs.align_pairs(tables.brand_bars(spark, sf), PAIRS)
-    return number_rows(rows, ["pair"], ["ts"], time_bucket(F.col("ts"), 3650.0), total="n")
+    return keep(number_rows(rows, ["pair"], ["ts"], time_bucket(F.col("ts"), 3650.0), total="n"))
 
 
 @query("pair_alignment", f"WITH {ALIGN} SELECT pair, ts, rn, {rs(y='y', x='x')} FROM al")
@@ -96,7 +97,7 @@ LONG = f"""{ALIGN}, lf0 AS ({_fit_sql('pair', 'al')}), lf AS (SELECT f.*, avg(y
 def _long(spark, sf):
     rows = _aligned(spark, sf)
     scored = pairs.add_spread(rows, pairs.hedge_fit(rows, ["pair"]), ["pair"]).select("pair", RN, "spread", "z")
-    return pairs.add_positions(scored, ["pair"], 1.0, 0.25, rows=256)
+    return pairs.add_positions(keep(scored), ["pair"], 1.0, 0.25, rows=256)
 
 
 @query("pair_positions", f"WITH RECURSIVE {LONG} SELECT pair, k - 1 AS rn, position + 0.0 AS position FROM lw")
@@ -108,7 +109,7 @@ def pair_positions(spark, sf):
 @query("pair_trades", f"WITH RECURSIVE {LONG}, {_trades_sql('ls', 'lw', ['pair'], 'lt')} SELECT pair, trade_rn, bars, {r('trade_pnl')} AS trade_pnl FROM lt")
 def pair_trades(spark, sf):
     pos = pairs.add_pair_pnl(_long(spark, sf), ["pair"])
-    return show(pairs.trades(pos, ["pair"], 0.5, rows=256), "trade_pnl", keys=("pair", "trade_rn", "bars"))
+    return show(pairs.trades(pos, ["pair"], 0.5), "trade_pnl", keys=("pair", "trade_rn", "bars"))
 
 
 GRIDV = [(1.5, 0.5), (2.0, 0.5), (1.0, 0.25)]
@@ -300,8 +301,12 @@ TRADES = f"""tr AS (SELECT 'S' || l_suppkey AS symbol, l_shipdate AS ts, l_order
   opened AS (SELECT b.symbol, b.hi - greatest(b.lo, t.sold) AS qty, b.price, b.fee / b.qty AS bf FROM buys b JOIN tot t USING (symbol) WHERE b.hi > t.sold)"""
 
 
+def _run(spark, sf):
+    return keep(portfolio.with_running_quantity(tables.trades(spark, sf)))
+
+
 def _good(spark, sf):
-    return portfolio.without_oversold(tables.trades(spark, sf))
+    return portfolio.without_oversold(_run(spark, sf))
 
 
 def _closed(spark, sf):
@@ -315,7 +320,7 @@ def fifo_lots(spark, sf):
 
 @query("oversold_symbols", f"WITH {TRADES} SELECT symbol, first_ts, worst_gap FROM bad")
 def oversold_symbols(spark, sf):
-    return portfolio.oversold(tables.trades(spark, sf))
+    return portfolio.oversold(portfolio.with_running_quantity(tables.trades(spark, sf)))
 
 
 @query("lot_results", f"""WITH {TRADES} SELECT symbol, buy_ts, sell_ts, qty, {rs(cost_basis='cost', proceeds='proceeds', pnl='pnl', pnl_pct='pnl / abs(cost) * 100')},

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.plans.slices import number_rows, time_bucket
+from tapeflow.plans.tables import keep
 from tapeflow.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +46,8 @@ def show(df: DataFrame, *cols: str, keys=("symbol", "ts")) -> DataFrame:
 
 
 def numbered(bars: DataFrame, days: float = 365.0) -> DataFrame:
-    """Bars with their position; hourly bars put at most 8760 rows in a bucket."""
-    return number_rows(bars, ["symbol"], ["ts"], time_bucket(F.col("ts"), days))
+    """Stored bars with their position; hourly bars put at most 8760 rows in a bucket."""
+    return number_rows(keep(bars), ["symbol"], ["ts"], time_bucket(F.col("ts"), days))
 
 
 def hourly(spark, sf):

@@ -10,6 +10,7 @@ from tapeflow.operators import ev, labels, metrics, micro, signals, splits, tech
 from tapeflow.plans.slices import number_rows, over_slices, time_bucket
 from tapeflow.queries.registry import HOURLY, ORD, gate, query, r, r6, rs, show, win
 from tapeflow.queries.prices import VWAP
+from tapeflow.plans.tables import keep
 from tapeflow.sources import tables
 
 KEYS = ["symbol"]
@@ -34,7 +35,7 @@ def _add_vol(df, w):
 
 
 def base(spark, sf, ahead=5, *steps) -> DataFrame:
-    bars = number_rows(tables.hourly_bars(spark, sf), KEYS, ["ts"], time_bucket(F.col("ts"), 365.0), total="n")
+    bars = number_rows(keep(tables.hourly_bars(spark, sf)), KEYS, ["ts"], time_bucket(F.col("ts"), 365.0), total="n")
     base_steps = (technical.add_returns, micro.add_vwap_distance, micro.add_range, _add_vol, technical.add_target)
     return over_slices(bars, KEYS, (*base_steps, *steps), 20, ahead)
 
@@ -567,7 +568,7 @@ def _grid_rows(spark, sf):
 
     cell = F.when(F.coalesce("ret_1d", F.lit(0.0)) > 0, 1).otherwise(0) + F.when(F.coalesce("vwap_dist", F.lit(0.0)) > 0, 2).otherwise(0)
     df = over_slices(base(spark, sf), KEYS, [step], 0, max(ev.HORIZONS))
-    return df.select("symbol", "rn", "n", cell.alias("cell"), "labels", *[f"fwd{h}" for h in ev.HORIZONS])
+    return keep(df.select("symbol", "rn", "n", cell.alias("cell"), "labels", *[f"fwd{h}" for h in ev.HORIZONS]))
 
 
 def _variants(rows):
@@ -654,7 +655,7 @@ HOLD_CTE = f"""{GRID_CTE.replace('t0 AS', 'g0 AS').replace('FROM t0', 'FROM g0')
 def ev_holdout(spark, sf):
     """The best grid configuration, refitted on all of trainval and judged once on the rest."""
     v = _variants(_grid_rows(spark, sf))
-    best = _best(spark, sf).drop("mean_ev")
+    best = keep(_best(spark, sf).drop("mean_ev"))
     edge = F.floor(F.col("n") * F.lit(0.8))
     model = _state_model(v.where(F.col("rn") < edge - F.col("h")), _CFG4)
     hold = v.where((F.col("rn") >= edge) & (F.col("rn") < F.col("n") - F.col("h")))

@@ -28,3 +28,12 @@ def from_seconds(s: Column) -> Column:
 
 def from_millis(ms: Column) -> Column:
     return F.timestamp_add("MILLISECOND", ms, _epoch())
+
+
+def to_instant(ts: Column) -> Column:
+    """A naive time as an instant read in UTC; event-time watermarks need one."""
+    return F.timestamp_millis(epoch_millis(ts))
+
+
+def from_instant(at: Column) -> Column:
+    return from_millis(F.unix_millis(at))

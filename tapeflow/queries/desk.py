@@ -19,7 +19,7 @@ ALIGN = f"""{BRAND}, al0 AS (SELECT y.symbol || '~' || x.symbol AS pair, y.ts, y
 
 
 def _aligned(spark, sf):
-    rows = pairs.align_pairs(tables.brand_bars(spark, sf), PAIRS)
+    rows = pairs.align_pairs(keep(tables.brand_bars(spark, sf)), PAIRS)
     return keep(number_rows(rows, ["pair"], ["ts"], time_bucket(F.col("ts"), 3650.0), total="n"))
 
 

@@ -70,7 +70,8 @@ def roll_corr(x: Column, y: Column, w: WindowSpec, n: int) -> Column:
 
 
 def roll_zscore(x: Column, w: WindowSpec, n: int, need: int | None = None) -> Column:
-    return div(x - roll_mean(x, w, n, need), roll_std(x, w, n, need))
+    f = trailing(w, n)
+    return _gated(div(x - F.avg(x).over(f), F.stddev_samp(x).over(f)), x, f, need or n)
 
 
 def span_alpha(span: int) -> float:

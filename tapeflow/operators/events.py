@@ -57,7 +57,7 @@ def add_events(bars: DataFrame, calendar: DataFrame | None, rows: int = 16384) -
     ahead = next_event(days, bars.select("date").distinct())
     exact = days.select(F.col("date").cast("timestamp_ntz").alias("ts"), "n_events", "top", "surprise")
     joined = bars.join(ahead, "date", "left").join(exact, "ts", "left")
-    wait = F.greatest(F.datediff("next_date", "date"), F.lit(0)).cast("double")
+    wait = F.datediff("next_date", "date").cast("double")
     joined = joined.withColumns(
         {
             "bars_to_next_event": F.coalesce(wait, F.lit(-1.0)),

@@ -21,7 +21,16 @@ def score_text(text: Column, lexicon: dict[str, float] | None = None) -> Column:
     """Mean weight of the lexicon words in the whole text, 0.0 when it holds none."""
     words = lexicon or LEXICON
     weights = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
-    tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    hits = F.filter(tokens, lambda t: t.isin(list(words)))
-    total = F.aggregate(hits, F.lit(0.0), lambda a, t: a + F.element_at(weights, t))
-    return F.when(F.size(hits) > 0, total / F.size(hits)).otherwise(F.lit(0.0))
+    # Longer words first, so that a word never hides a longer one it begins.
+    listed = "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    whole_word = F.lit(rf"(?<!\p{{L}})({listed})(?!\p{{L}})")
+    hits = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), whole_word, F.lit(1))
+    # One fold with its own ending, so that the text is searched once.
+    return F.aggregate(
+        hits,
+        F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n")),
+        lambda a, t: F.struct(
+            (a.total + F.element_at(weights, t)).alias("total"), (a.n + 1).alias("n")
+        ),
+        lambda a: F.when(a.n > 0, a.total / a.n).otherwise(F.lit(0.0)),
+    )

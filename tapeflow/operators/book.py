@@ -9,27 +9,50 @@ from pyspark.sql import functions as F
 
 from tapeflow.config import BOOK, BookRules
 from tapeflow.functions import book as ob
-from tapeflow.functions.numeric import zero_fill
+from tapeflow.functions.numeric import div, zero_fill
 from tapeflow.functions.rolling import add_ema, ema_reach, ema_span_limit, roll_zscore
 from tapeflow.operators.asof import asof_join
 from tapeflow.plans.slices import RN, number_rows, over_slices, rn_bucket, running, time_bucket
 
 
 def signals(books: DataFrame, rules: BookRules = BOOK) -> DataFrame:
-    """One signal row per snapshot with the published roundings. A pure projection."""
-    raw = ob.imbalance(rules)
-    return books.select(
+    """One signal row per snapshot with the published roundings. A pure projection.
+
+    Each walk over a side's levels happens once: sums, best level and walls first,
+    everything else from those scalars.
+    """
+    scalars = books.select(
+        "symbol", "ts",
+        ob.side_volume("bids", rules.imbalance_levels).alias("_bv"),
+        ob.side_volume("asks", rules.imbalance_levels).alias("_av"),
+        F.size(F.coalesce("bids", F.array())).alias("_nb"),
+        F.size(F.coalesce("asks", F.array())).alias("_na"),
+        F.try_element_at("bids", F.lit(1)).alias("_b"),
+        F.try_element_at("asks", F.lit(1)).alias("_a"),
+        F.size(ob.walls("bids", rules)).cast("long").alias("bid_walls"),
+        F.size(ob.walls("asks", rules)).cast("long").alias("ask_walls"),
+    )
+    bv, av, b, a = (F.col(c) for c in ("_bv", "_av", "_b", "_a"))
+    derived = scalars.withColumns(
+        {
+            "_raw": ob.imbalance_of(bv, av),
+            "_mid": ob.mid_of(b.price, a.price),
+            "_ok": ob.reliable_of(bv, av, F.col("_nb"), F.col("_na"), rules),
+        }
+    )
+    mid, raw = F.col("_mid"), F.col("_raw")
+    derived = derived.withColumn("_mp", ob.microprice_of(b, a, mid))
+    skew = F.when(mid > 0, div(F.col("_mp") - mid, mid)).otherwise(F.lit(0.0))
+    return derived.select(
         "symbol", "ts",
         ob.pressure(raw, rules).alias("state"),
         F.round(raw, 4).alias("imbalance"),
         F.round(ob.confidence(raw), 1).alias("confidence"),
-        F.round(ob.rel_spread(), 6).alias("rel_spread"),
-        F.round(ob.mid_price(), 2).alias("mid_price"),
-        F.round(ob.microprice(), 2).alias("microprice"),
-        F.round(ob.micro_skew(), 6).alias("micro_skew"),
-        F.size(ob.walls("bids", rules)).cast("long").alias("bid_walls"),
-        F.size(ob.walls("asks", rules)).cast("long").alias("ask_walls"),
-        ob.reliable(rules).alias("reliable"),
+        F.round(ob.rel_spread_of(b.price, a.price, mid), 6).alias("rel_spread"),
+        F.round(mid, 2).alias("mid_price"),
+        F.round("_mp", 2).alias("microprice"),
+        F.round(skew, 6).alias("micro_skew"),
+        "bid_walls", "ask_walls", F.col("_ok").alias("reliable"),
     )
 
 

@@ -52,25 +52,18 @@ def _lots(run: DataFrame, per_bucket: float) -> DataFrame:
         "ts", "price", F.coalesce(div(F.col("fee"), F.col("qty")), F.lit(0.0)).alias("unit_fee"), "signal"
     )
     is_buy = F.col("side") == "BUY"
-    # Sums of the same quantities in another order may differ in the last digits.
+    # Sums of the same quantities in another order may differ in the last digits. A buy
+    # and a sell may end at the same edge; the second of them has an empty piece.
     edge = F.round(F.when(is_buy, F.col("bought")).otherwise(F.col("sold")), 9)
-    edges = (
-        run.withColumn("edge", edge)
-        .groupBy("symbol", "edge")
-        .agg(
-            F.first(F.when(is_buy, info), ignorenulls=True).alias("_buy"),
-            F.first(F.when(~is_buy, info), ignorenulls=True).alias("_sell"),
-        )
-    )
-    bucket = _quantity_bucket(per_bucket)
+    edges = run.select("symbol", edge.alias("edge"), is_buy.alias("_is_buy"), info.alias("_trade"))
     known = running(
-        edges, _KEY, ["edge"], bucket,
+        edges, _KEY, ["edge", "_is_buy"], _quantity_bucket(per_bucket),
         {
-            "buy": ("next", F.col("_buy")),
-            "sell": ("next", F.col("_sell")),
+            "buy": ("next", F.when(F.col("_is_buy"), F.col("_trade"))),
+            "sell": ("next", F.when(~F.col("_is_buy"), F.col("_trade"))),
             "_from": ("before", F.col("edge")),
         },
-    ).drop("_buy", "_sell")
+    )
     piece = F.col("edge") - F.coalesce("_from", F.lit(0.0))
     return known.withColumn("qty", piece).where((F.col("qty") > EPS) & F.col("buy").isNotNull())
 

@@ -417,12 +417,11 @@ def microprice(spark, sf):
 _STATE = "CASE WHEN imb > 0.3 THEN 'BUY PRESSURE' WHEN imb < -0.3 THEN 'SELL PRESSURE' ELSE 'BALANCED' END"
 
 
-@query("book_signals", f"""WITH {BOOKS} SELECT symbol, ts, {_STATE} AS state, {r('least(abs(imb) * 100, 100)')} AS confidence,
+@query("book_signals", f"""WITH {BOOKS} SELECT symbol, ts, {_STATE} AS state, round(least(abs(imb) * 100, 100), 1) + 0.0 AS confidence,
   bid_walls, ask_walls, reliable FROM book""")
 def book_signals(spark, sf):
-    s = book.signals(_books(spark, sf)).select("symbol", "ts", "state", "bid_walls", "ask_walls", "reliable")
-    conf = _books(spark, sf).select("symbol", "ts", r6(ob.confidence(ob.imbalance())).alias("confidence"))
-    return s.join(conf, ["symbol", "ts"])
+    cols = ("symbol", "ts", "state", "confidence", "bid_walls", "ask_walls", "reliable")
+    return book.signals(_books(spark, sf)).select(*cols)
 
 
 @query("book_reliability", f"WITH {BOOKS} SELECT symbol, ts, bv AS bid_vol, av AS ask_vol, reliable FROM book")

@@ -312,7 +312,7 @@ def calendar_range(spark, sf):
   SELECT symbol, count(*) AS n, sum(l_quantity) AS qty FROM t
   WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1""")
 def active_trades(spark, sf):
-    t = tables.trades(spark, sf).withColumn("trade_id", F.col("seq.l_orderkey"))
+    t = tables.trades(spark, sf).withColumn("trade_id", F.col("order_id"))
     gone = tables.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("trade_id"))
     left = ledger.active_trades(t, gone)
     return left.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))

@@ -50,19 +50,19 @@ def merge_pages(pages: DataFrame, source: str = "crypto") -> DataFrame:
 
 
 def ticks_to_bars(ticks: DataFrame, width: str) -> DataFrame:
-    """Bars from ticks(symbol, ts, seq, price, size); seq breaks ties inside a timestamp.
+    """Bars from ticks(symbol, ts, seq, price, size); ``seq`` is a number that orders a bar's ticks.
 
-    All five measures are plain aggregates, so partial aggregation shrinks the data
-    before the shuffle and the shuffle key (symbol, bar) spreads a hot symbol.
+    All five measures are plain aggregates over fixed-width values, so a hash
+    aggregate shrinks the data before the shuffle, without sorting it, and the
+    shuffle key (symbol, bar) spreads a hot symbol.
     """
-    at = F.struct("ts", "seq")
     return (
         ticks.groupBy("symbol", F.window("ts", width).alias("w"))
         .agg(
-            F.min_by("price", at).alias("open"),
+            F.min_by("price", "seq").alias("open"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
-            F.max_by("price", at).alias("close"),
+            F.max_by("price", "seq").alias("close"),
             F.sum("size").cast("double").alias("volume"),
         )
         .select("symbol", F.col("w.start").alias("ts"), *BAR_COLS)

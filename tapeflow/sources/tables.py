@@ -52,7 +52,7 @@ def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = lines.select(
         F.col("p_brand").alias("symbol"),
         F.col("l_shipdate").alias("ts"),
-        _line_id().alias("seq"),
+        _line_number().alias("seq"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("size"),
     )
@@ -63,6 +63,20 @@ def _line_id():
     return F.struct("l_orderkey", "l_linenumber", "l_partkey")
 
 
+def _line_number():
+    """A number that orders lines by ship day, order, line and part.
+
+    Order and line alone repeat in the given table. A wide decimal stays a fixed-width
+    value, so aggregates over it hash instead of sort.
+    """
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("decimal(6,0)")
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(17,0)")
+    wide = F.lit("1" + "0" * 27).cast("decimal(28,0)")
+    return (
+        day * wide + line * F.lit(10**10).cast("decimal(11,0)") + F.col("l_partkey").cast("decimal(10,0)")
+    ).cast("decimal(38,0)")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trade ledger: supplier as symbol, returned lines as sells, whole table."""
     side = F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY")
@@ -73,6 +87,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
         F.col("l_shipdate").alias("ts"),
         _line_id().alias("seq"),
+        F.col("l_orderkey").alias("order_id"),
         side.alias("side"),
         F.col("l_quantity").alias("qty"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
@@ -157,7 +172,7 @@ def nation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = lines.select(
         F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("symbol"),
         F.col("l_shipdate").alias("ts"),
-        _line_id().alias("seq"),
+        _line_number().alias("seq"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("size"),
     )

@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The published booster settings Spark has a twin for.
@@ -192,8 +192,9 @@ def fit_boosted(
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Weight n / (classes * class size), from a three-row table of class sizes."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_k"))
-    totals = sizes.agg(F.sum("_k").alias("_n"), F.count(F.lit(1)).alias("_c"))
-    w = sizes.crossJoin(totals).select(label, (F.col("_n") / (F.col("_c") * F.col("_k"))).alias("weight"))
+    every = Window.partitionBy(F.lit(0))
+    n, classes = F.sum("_k").over(every), F.count(F.lit(1)).over(every)
+    w = sizes.select(label, (n / (classes * F.col("_k"))).alias("weight"))
     return df.join(F.broadcast(w), label)  # at most one row per label code
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeflow.config import SPLIT
@@ -103,44 +103,59 @@ def trade_rejects(trades: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, key: str, col: str, probs: Sequence[float], bins: int = 64
+    df: DataFrame, key: str, cols: Sequence[str], probs: Sequence[float], bins: int = 64
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per key without gathering a key in one task.
+    """Exact linear-interpolated quantiles per (key, column) without gathering a key in one task.
 
-    Values are counted first (equal values collapse before the shuffle), then placed
-    in bins cut at approximate quantiles, so a running count by bin finds the wanted
-    ranks exactly however many rows one key holds.
+    All columns go through one pass in long form. Values are counted first (equal
+    values collapse before the shuffle), then placed in bins cut at approximate
+    quantiles, so a running count by bin finds the wanted ranks exactly however many
+    rows one key holds.
     """
     from tapeflow.plans.slices import running
 
-    values = df.where(F.col(col).isNotNull()).groupBy(key, F.col(col).alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
+    long = df.select(
+        key,
+        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])),
     )
+    keys = [key, "name"]
+    values = long.where(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
     cuts = [i / bins for i in range(1, bins)]
-    marks = values.groupBy(key).agg(
+    marks = values.groupBy(*keys).agg(
         F.percentile_approx("v", cuts, 1000).alias("_cuts"), F.sum("n").alias("_total")
     )
-    binned = values.join(marks, key)
+    binned = values.join(marks, keys)
     bin_no = F.aggregate("_cuts", F.lit(0), lambda a, c: a + F.when(c <= F.col("v"), 1).otherwise(0))
-    ranked = running(binned, [key], ["v"], bin_no, {"upto": ("sum", F.col("n"))})
+    ranked = running(binned, keys, ["v"], bin_no, {"upto": ("sum", F.col("n"))})
+    start = F.col("upto") - F.col("n")
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((start <= rank) & (rank < F.col("upto")), F.col("v")))
+
     aggs = []
     for i, p in enumerate(probs):
         pos = (F.col("_total") - 1) * F.lit(float(p))
-        start = F.col("upto") - F.col("n")
-        at = lambda k: F.max(F.when((start <= k) & (k < F.col("upto")), F.col("v")))
-        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
-        frac = F.max(pos - F.floor(pos))
-        aggs.append((lo + (hi - lo) * frac).alias(f"q{i}"))
-    return ranked.groupBy(key).agg(*aggs)
+        lo, hi = value_at(F.floor(pos)), value_at(F.ceil(pos))
+        aggs.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(f"q{i}"))
+    return ranked.groupBy(*keys).agg(*aggs)
 
 
 def winsorize(
     df: DataFrame, cols: Sequence[str], limits=(0.005, 0.995), key: str = "symbol"
 ) -> DataFrame:
-    """Clip feature columns to their own quantiles where the lower one is smaller."""
-    for c in cols:
-        q = exact_quantiles(df, key, c, limits).withColumnsRenamed({"q0": "_lo", "q1": "_hi"})
-        inside = F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col(c)))
-        keep = F.when(F.col(c).isNotNull() & (F.col("_lo") < F.col("_hi")), inside).otherwise(F.col(c))
-        df = df.join(q, key, "left").withColumn(c, keep).drop("_lo", "_hi")
-    return df
+    """Clip feature columns to their own quantiles where the lower one is smaller.
+
+    The target is never among ``cols``. All limits of a key arrive in one joined row.
+    """
+    q = exact_quantiles(df, key, cols, limits)
+    wide = q.groupBy(key).agg(
+        *[F.max(F.when(F.col("name") == c, F.struct("q0", "q1"))).alias(f"_q_{c}") for c in cols]
+    )
+
+    def capped(c: str) -> Column:
+        lo, hi = F.col(f"_q_{c}.q0"), F.col(f"_q_{c}.q1")
+        inside = F.greatest(lo, F.least(hi, F.col(c)))
+        return F.when(F.col(c).isNotNull() & (lo < hi), inside).otherwise(F.col(c))
+
+    out = df.join(wide, key, "left").withColumns({c: capped(c) for c in cols})
+    return out.drop(*[f"_q_{c}" for c in cols])

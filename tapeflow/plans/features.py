@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from tapeflow import config
 from tapeflow.config import HORIZON, FeatureSpec
 from tapeflow.operators import book, cross_asset, events, micro, news, reference, smoothing, social
 from tapeflow.operators import technical as tech
@@ -57,30 +58,39 @@ def engineer(
 ) -> DataFrame:
     """Numbered bars to the feature table with its target.
 
-    The bar families are stored once, since later families read them several times.
-    Only a family's own columns are zero-filled. ``drop_incomplete=False`` keeps the
-    newest rows, whose target is not known yet.
+    The bar families are stored once. Every other family starts from the stored bars
+    and meets the table on (symbol, ts), so work grows with the number of families
+    and a hot symbol spreads over its times. Only a family's own columns are
+    zero-filled. ``drop_incomplete=False`` keeps the newest rows, whose target is not
+    known yet.
     """
-    df = keep(bar_features(bars, spec, horizon))
-    df = tech.add_rsi_divergence(df, marked=True)
+    stored = keep(bar_features(bars, spec, horizon))
+    slim = stored.select("symbol", "ts", "rn", "close", "volume")
+    families: list[tuple[DataFrame, tuple[str, ...]]] = []
     if spec.cross_asset:
         if not (inputs.pair and inputs.lead):
             raise ValueError("cross-asset features need a pair, a basket and its lead")
-        df = cross_asset.add_cross_asset(df, inputs.pair, inputs.basket, inputs.lead)
+        crossed = cross_asset.add_cross_asset(slim, inputs.pair, inputs.basket, inputs.lead)
+        families.append((crossed, config.CROSS_ASSET))
     if spec.reference:
         if inputs.reference is None:
             raise ValueError("reference features need the series table")
-        df = reference.add_reference(df, inputs.reference)
+        families.append((reference.add_reference(slim, inputs.reference), config.REFERENCE_NAMES))
     if spec.orderbook:
-        df = book.add_book_features(df, inputs.book_history)
+        families.append((book.add_book_features(slim, inputs.book_history), config.ORDER_BOOK))
     if spec.macro_events:
-        df = events.add_events(df, inputs.calendar)
+        families.append((events.add_events(slim, inputs.calendar), config.MACRO_EVENTS))
     if spec.social:
-        df = social.add_social(df, inputs.posts, lexicon=inputs.lexicon)
+        posted = social.add_social(slim, inputs.posts, lexicon=inputs.lexicon)
+        families.append((posted, config.SOCIAL))
     if spec.news:
         if inputs.news is None:
             raise ValueError("news features need the news table")
-        df = news.merge_news(df, news.daily_sentiment(news.score_news(inputs.news, inputs.lexicon)))
+        daily = news.daily_sentiment(news.score_news(inputs.news, inputs.lexicon))
+        families.append((news.merge_news(slim, daily), config.NEWS))
+    df = tech.add_rsi_divergence(stored, marked=True)
+    for family, cols in families:
+        df = df.join(family.select("symbol", "ts", *cols), ["symbol", "ts"])
     if drop_incomplete:
         df = complete_rows(df, [*spec.columns(), "target"])
     return df

@@ -591,9 +591,9 @@ def _state_model(train, keys):
 _CFG4 = ["symbol", "pt", "sl", "h"]
 
 
-def _grid_preds(spark, sf):
+def _grid_preds(rows):
     """Predictions on trainval windows: 80% of the bars, labels complete inside it."""
-    v = _variants(_grid_rows(spark, sf)).withColumn("m", F.floor(F.col("n") * F.lit(0.8)) - F.col("h"))
+    v = _variants(rows).withColumn("m", F.floor(F.col("n") * F.lit(0.8)) - F.col("h"))
     f = splits.add_folds(v.where(F.col("rn") < F.col("m")), 300, 60, None, F.col("h"), total="m")
     keys = [*_CFG4, "fold_id"]
     model = _state_model(f.where("part = 'train'"), keys)
@@ -618,27 +618,27 @@ GRID_CTE = f"""{BASE}, wide AS (SELECT symbol, rn, n, {_CELL} AS cell, {_LABELS_
 _CFG = ["pt", "sl", "h", "min_proba"]
 
 
-def _grid(spark, sf):
-    return ev.ev_grid(_grid_preds(spark, sf), ["symbol", "pt", "sl", "h"], cost=0.001)
+def _grid(rows):
+    return ev.ev_grid(_grid_preds(rows), ["symbol", "pt", "sl", "h"], cost=0.001)
 
 
 @query("ev_grid", f"WITH {GRID_CTE} SELECT symbol, pt, sl, h, min_proba, n_trades, wins, {_EV} FROM evs")
 def ev_grid(spark, sf):
-    return show(_grid(spark, sf), *_EVC, keys=("symbol", *_CFG, "n_trades", "wins"))
+    return show(_grid(_grid_rows(spark, sf)), *_EVC, keys=("symbol", *_CFG, "n_trades", "wins"))
 
 
 _BEST = """best AS (SELECT symbol, pt, sl, h, min_proba, mean_ev FROM evs QUALIFY row_number() OVER (PARTITION BY symbol
     ORDER BY round(mean_ev, 12) DESC, pt, sl, h, min_proba) = 1)"""
 
 
-def _best(spark, sf):
-    g = _grid(spark, sf).withColumn("mean_ev", F.round("mean_ev", 12))
+def _best(rows):
+    g = _grid(rows).withColumn("mean_ev", F.round("mean_ev", 12))
     return ev.best_config(g, _CFG)
 
 
 @query("ev_best_config", f"WITH {GRID_CTE}, {_BEST} SELECT symbol, pt, sl, h, min_proba, {r('mean_ev')} AS mean_ev FROM best")
 def ev_best_config(spark, sf):
-    return show(_best(spark, sf), "mean_ev", keys=("symbol", *_CFG))
+    return show(_best(_grid_rows(spark, sf)), "mean_ev", keys=("symbol", *_CFG))
 
 
 HOLD_CTE = f"""{GRID_CTE.replace('t0 AS', 'g0 AS').replace('FROM t0', 'FROM g0').replace('t1 AS', 'g1 AS').replace('FROM t1', 'FROM g1').replace('evs AS', 'gevs AS')},
@@ -654,8 +654,9 @@ HOLD_CTE = f"""{GRID_CTE.replace('t0 AS', 'g0 AS').replace('FROM t0', 'FROM g0')
 @query("ev_holdout", f"WITH {HOLD_CTE} SELECT symbol, n_trades, wins, {_EV}, {rs(raw_p='p', deflated_p='1 - pow(1 - p, 144)')}, 1 - pow(1 - p, 144) < 0.05 AS significant FROM hpv")
 def ev_holdout(spark, sf):
     """The best grid configuration, refitted on all of trainval and judged once on the rest."""
-    v = _variants(_grid_rows(spark, sf))
-    best = keep(_best(spark, sf).drop("mean_ev"))
+    rows = _grid_rows(spark, sf)
+    v = _variants(rows)
+    best = keep(_best(rows).drop("mean_ev"))
     edge = F.floor(F.col("n") * F.lit(0.8))
     model = _state_model(v.where(F.col("rn") < edge - F.col("h")), _CFG4)
     hold = v.where((F.col("rn") >= edge) & (F.col("rn") < F.col("n") - F.col("h")))
@@ -667,6 +668,6 @@ def ev_holdout(spark, sf):
 @query("trial_log", f"""WITH {GRID_CTE} SELECT symbol, count(*) AS n_trials, first(pt * 1000 + sl * 100 + h ORDER BY round(mean_ev, 12) DESC, pt * 1000 + sl * 100 + h) AS best_trial,
   {r('max(mean_ev)')} AS best_score FROM evs WHERE min_proba = 0.5 GROUP BY 1""")
 def trial_log(spark, sf):
-    g = _grid(spark, sf).where("min_proba = 0.5")
+    g = _grid(_grid_rows(spark, sf)).where("min_proba = 0.5")
     t = g.select("symbol", (F.col("pt") * 1000 + F.col("sl") * 100 + F.col("h")).alias("trial_id"), F.round("mean_ev", 12).alias("score"))
     return show(ev.trial_log(t), "best_score", keys=("symbol", "n_trials", "best_trial"))

@@ -27,9 +27,12 @@ def land_news(raw: DataFrame, max_chars: int | None = None) -> DataFrame:
     ``max_chars`` cuts the stored text where a store asks for a fixed width; texts
     stay whole by default.
     """
+    # The day is the wall-clock day as written, whatever zone the feed or the session has.
     stamp = F.col("published")
+    mail = F.regexp_replace(F.regexp_replace(stamp, r"^[A-Za-z]{3}, *", ""), r" *([+-]\d{4}|[A-Z]{1,4})$", "")
     when = F.coalesce(
-        F.try_to_timestamp(stamp), F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss Z"))
+        stamp.try_cast("timestamp_ntz"),
+        F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz"),
     )
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("summary", F.lit("")))
     if max_chars:

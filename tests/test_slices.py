@@ -144,7 +144,7 @@ def test_exact_quantiles_match_numpy_with_a_hot_key(frame):
     rng = np.random.default_rng(0)
     big = np.concatenate([rng.lognormal(0, 3, 2000), np.full(500, 7.0)])
     rows = [("hot", float(x)) for x in big] + [("one", 3.0)]
-    got = {r["k"]: r for r in exact_quantiles(frame(rows, "k string, x double"), "k", "x", [0.005, 0.5, 0.995]).collect()}
+    got = {r["k"]: r for r in exact_quantiles(frame(rows, "k string, x double"), "k", ["x"], [0.005, 0.5, 0.995]).collect()}
     for i, p in enumerate((0.005, 0.5, 0.995)):
         assert got["hot"][f"q{i}"] == pytest.approx(float(np.quantile(big, p)), rel=1e-12)
         assert got["one"][f"q{i}"] == 3.0

@@ -239,9 +239,10 @@ def judge_pairs(
     """Grid search on the first ``share`` of each pair, one sealed judgement on the rest.
 
     ``rows`` needs (pair, ts, y, x, rn, n). The p-value pays for the configs tried.
+    Pairs too short for one train and test block before the edge cannot be judged.
     """
     edge = F.floor(F.col("n") * F.lit(share)).cast("long")
-    rows = rows.withColumn("edge", edge)
+    rows = rows.withColumn("edge", edge).where(F.col("edge") >= train + test)
     before = rows.where(F.col(RN) < F.col("edge"))
     wf = walk_forward_trades(before, train, test, None, grid, cost, purge, total="edge")
     best = select_config(trade_stats(wf, ["pair", "entry", "leave"]), grid, select_by)

@@ -152,14 +152,15 @@ JUDGE = f"""{ALIGN}, e AS (SELECT *, floor(n * 0.8::DOUBLE)::BIGINT AS edge FROM
   jg AS (SELECT *, row_number() OVER (PARTITION BY pair, fold_id, gi ORDER BY rn) AS k FROM js, {_GV}),
   {_walk_sql('jw', 'jg', ['pair', 'fold_id', 'gi'])}, {_trades_sql('jg', 'jw', ['pair', 'fold_id', 'gi'], 'jtr')},
   jbest AS (SELECT pair, gi FROM (SELECT pair, gi, sum(trade_pnl) AS total_pnl FROM jtr GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY pair ORDER BY total_pnl DESC, gi) = 1),
+  jall AS (SELECT p.pair, coalesce(gi, 0) AS gi FROM (SELECT DISTINCT pair FROM e WHERE edge >= 160) p LEFT JOIN jbest USING (pair)),
   hf0 AS (SELECT pair, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha FROM e WHERE rn < edge GROUP BY 1),
   hf AS (SELECT pair, beta, alpha, avg(y - (alpha + beta * x)) AS mu, stddev_pop(y - (alpha + beta * x)) AS sd FROM e JOIN hf0 USING (pair) WHERE rn < edge GROUP BY ALL),
   hs AS (SELECT e.pair, rn, rn - edge + 1 AS k, y - (alpha + beta * x) AS spread, (y - (alpha + beta * x) - mu) / sd AS z, g.entry, g.leave FROM e JOIN hf USING (pair)
-    JOIN jbest USING (pair) JOIN {_GV} USING (gi) WHERE rn >= edge),
+    JOIN jall USING (pair) JOIN {_GV} USING (gi) WHERE rn >= edge),
   {_walk_sql('hw', 'hs', ['pair'])}, {_trades_sql('hs', 'hw', ['pair'], 'ht')},
   hst AS (SELECT pair, {_PSTAT} FROM ht GROUP BY 1),
   hall AS (SELECT b.pair, g.entry, g.leave, coalesce(n_trades, 0) AS n_trades, coalesce(wins, 0) AS wins, coalesce(win_rate, 0) AS win_rate,
-    coalesce(total_pnl, 0) AS total_pnl, coalesce(sharpe, 0) AS sharpe FROM jbest b JOIN {_GV} USING (gi) LEFT JOIN hst USING (pair))"""
+    coalesce(total_pnl, 0) AS total_pnl, coalesce(sharpe, 0) AS sharpe FROM jall b JOIN {_GV} USING (gi) LEFT JOIN hst USING (pair))"""
 
 
 @query("pair_judgement", f"""WITH RECURSIVE {JUDGE}, hp AS (SELECT *, CASE WHEN n_trades = 0 THEN 1 ELSE {_tail_sql('wins', 'n_trades')} END AS p FROM hall)

@@ -22,7 +22,7 @@ PER_BAND = 4
 LIKE = 80  # per cent
 ROUNDS = 2
 # A word of up to 12 characters is stepped over whole, a longer run one character at a time.
-_STARTS = r"(?=(\S.{0,%d}))(?:\S{1,12}(?:\s+|$)|\S)" % (WIDTH - 1)
+_STARTS = r"(?=(\S.{0,%d}+))\S(?:\S{0,11}+(?:\s++|$))?+" % (WIDTH - 1)
 _ALL = r"(?=(.{%d}))" % WIDTH
 _NO_ID = -(2**63)
 
@@ -36,33 +36,24 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def _bands(line: Column) -> Column:
-    """Up to BANDS hashes of a line: of each class of shingle hashes, its PER_BAND smallest."""
-    hashes = F.transform(F.regexp_extract_all(line, F.lit(_STARTS), F.lit(1)),
-                         lambda s: F.shiftrightunsigned(F.xxhash64(s), 1))
-
-    def kind(h: Column) -> Column:  # grows with h, so that sorting brings a class together
-        return F.shiftrightunsigned(F.shiftrightunsigned(h, 32) * BANDS, 31)
-
-    ordered = F.sort_array(F.array_distinct(hashes))
-    return F.transform(
-        F.array(ordered),
-        lambda o: F.transform(
-            F.array(F.filter(o, lambda h, i: (i < PER_BAND) | (kind(h) != kind(F.get(o, i - PER_BAND))))),
-            lambda least: F.filter(
-                F.transform(F.array(*[F.lit(j).cast("long") for j in range(BANDS)]),
-                            lambda j: _of_class(least, kind, j)),
-                lambda b: b.isNotNull(),
-            ),
-        )[0],
-    )[0]
+def _with_bands(rows: DataFrame) -> DataFrame:
+    """Add ``bands``, up to BANDS hashes of ``line``: of each class of shingle hashes, its
+    PER_BAND smallest.
 
-
-def _of_class(least: Column, kind, j: Column) -> Column:
-    return F.transform(
-        F.array(F.filter(least, lambda h: kind(h) == j)),
-        lambda own: F.when(F.size(own) > 0, F.xxhash64(own)),
-    )[0]
+    Classes are ranges of the hash. Their limits are sorted in among the hashes, so a class
+    lies between two limits. Each step is a column of its own and so is computed once.
+    """
+    hashes = F.transform(F.regexp_extract_all("line", F.lit(_STARTS), F.lit(1)),
+                         lambda s: F.shiftrightunsigned(F.xxhash64(s), 1))
+    limits = [F.lit(2**63 // BANDS * j) for j in range(1, BANDS)]
+    rows = rows.withColumn("_s", F.sort_array(F.array_distinct(F.concat(hashes, F.array(*limits)))))
+    rows = rows.withColumns({f"_p{j}": F.array_position("_s", x).cast("int") for j, x in enumerate(limits, 1)})
+    ends = [F.lit(0), *[F.col(f"_p{j}") for j in range(1, BANDS)], F.size("_s") + 1]
+    bands = []
+    for j in range(BANDS):
+        n = ends[j + 1] - ends[j] - 1
+        bands.append(F.when(n > 0, F.xxhash64(F.lit(j), F.slice("_s", ends[j] + 1, F.least(n, F.lit(PER_BAND))))))
+    return rows.withColumn("bands", F.array_compact(F.array(*bands))).drop("_s", *[f"_p{j}" for j in range(1, BANDS)])
 
 
 def _shingles(line: Column) -> Column:
@@ -85,8 +76,8 @@ def signatures(documents: DataFrame) -> DataFrame:
     rows = documents.where(F.col("text").isNotNull()).select(
         *_doc_key(documents), F.posexplode(_lines(F.col("text"))).alias("pos", "line")
     ).withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
-    return keep(rows.select("dk", "th", "pos", _line_id(F.col("line")).alias("lid"),
-                            F.xxhash64(F.lit(1), "line").alias("chk"), _bands(F.col("line")).alias("bands")))
+    return keep(_with_bands(rows).select("dk", "th", "pos", _line_id(F.col("line")).alias("lid"),
+                                         F.xxhash64(F.lit(1), "line").alias("chk"), "bands"))
 
 
 def fuzzy_links(documents: DataFrame, sigs: DataFrame, like: int = LIKE, rounds: int = ROUNDS) -> DataFrame:
@@ -126,18 +117,19 @@ def fuzzy_links(documents: DataFrame, sigs: DataFrame, like: int = LIKE, rounds:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, like: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the similarity; lengths are compared first."""
-    n = F.char_length("line")
-    a = texts.select("lid", F.col("line").alias("x"), n.alias("nx"))
-    b = texts.select(F.col("lid").alias("hub"), F.col("line").alias("y"), n.alias("ny"))
+    """Pairs whose full shingle sets reach the similarity."""
+    a = texts.select("lid", F.col("line").alias("x"))
+    b = texts.select(F.col("lid").alias("hub"), F.col("line").alias("y"))
     both = pairs.join(a, "lid").join(b, "hub")
-    # Repeated shingles make a set smaller than its line, so lengths alone bound nothing there.
-    sets = both.select("lid", "hub", _shingles(F.col("x")).alias("s"), _shingles(F.col("y")).alias("t"))
-    sizes = sets.select("lid", "hub", (F.size("s") + F.size("t")).alias("n"),
-                        F.size(F.array_intersect("s", "t")).alias("same"))
-    return sizes.where(F.col("same") * 100 >= F.lit(like) * (F.col("n") - F.col("same"))).select(
-        F.col("lid").alias("a"), F.col("hub").alias("b")
+    # Lambda arguments are computed once; plain columns would be copied into the filter.
+    alike = F.exists(
+        F.array(F.struct(_shingles(F.col("x")).alias("s"), _shingles(F.col("y")).alias("t"))),
+        lambda p: F.exists(
+            F.array(F.size(F.array_intersect(p.s, p.t))),
+            lambda same: same * 100 >= F.lit(like) * (F.size(p.s) + F.size(p.t) - same),
+        ),
     )
+    return both.where(alike).select(F.col("lid").alias("a"), F.col("hub").alias("b"))
 
 
 def dedup_lines(documents: DataFrame, like: int = LIKE, rounds: int = ROUNDS) -> DataFrame:
@@ -183,7 +175,7 @@ def _without(documents: DataFrame, gone: DataFrame) -> DataFrame:
     text = F.when(F.col("gone").isNull(), F.col("_t")).otherwise(F.array_join(stay, "\n"))
     at = own.columns.index("text")
     # What the comparison trims off a line counts as blank here too.
-    n_lines = F.size(F.filter(F.coalesce(_lines(F.col("_t")), F.array()), lambda x: _trimmed(x) != "")).cast("long")
+    n_lines = F.size(F.filter(F.coalesce(F.split("_t", "\n", -1), F.array()), lambda x: _trimmed(x) != "")).cast("long")
 
     def out(df: DataFrame, text: Column, dropped: Column) -> DataFrame:
         cols = [(text if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(own.columns)]

@@ -23,7 +23,6 @@ from tapeflow.llm.components import components
 from tapeflow.llm.shared import bit_filter, bloom, filter_words, might_hold, mix64, spaced_words
 from tapeflow.plans.tables import keep
 
-HUB_ROUNDS = 3
 _CACHED_WORDS = 400_000
 
 
@@ -214,57 +213,80 @@ def _features_of(documents: DataFrame, width: int, wanted: DataFrame, swap: froz
     return keep(found.join(wanted, "f1", "left_semi").dropDuplicates(["f1"]))
 
 
-def _similar(pairs: DataFrame, features: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) whose sets reach the similarity, with exact set operations."""
+def _joined(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """(a, b, x, y): the sets of each pair."""
     x = features.select(F.col("f1").alias("a"), F.col("features").alias("x"))
     y = features.select(F.col("f1").alias("b"), F.col("features").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    sizes = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("n"),
-                        F.size(F.array_intersect("x", "y")).cast("long").alias("same"))
-    return sizes.where(F.col("same") * 100 >= F.lit(per_cent) * (F.col("n") - F.col("same"))).select("a", "b")
+    return pairs.join(x, "a").join(y, "b")
+
+
+def _alike(same: Column, n: Column, per_cent: int) -> Column:
+    """``n`` is the sum of both sizes."""
+    return same * 100 >= F.lit(per_cent) * (n - same)
 
 
 def similar_links(documents: DataFrame, sets: DataFrame, width: int, per_cent: int,
-                  rounds: int = HUB_ROUNDS, swap: frozenset[int] = frozenset()) -> DataFrame:
+                  swap: frozenset[int] = frozenset()) -> DataFrame:
     """Verified links (a, b) between set names that join every similar pair.
 
-    Among the sets of a signature the least is the hub; the others are compared with it.
-    When a hub is done it leaves; a signature whose remaining sets all lie in one component
-    is done too, since more links could not change a component. A group of near copies is so
-    settled in one round. Whatever is open after ``rounds`` is compared pair by pair, across
-    components only: no pair that could join two components is left out.
+    Among the sets of a signature the hub is the one with the most company over all its
+    signatures: in a group of near copies that is the text they were made from. All others
+    are compared with the hub. Pairs of sets that are both similar to their hub need no link
+    of their own. Let D be a set's differences from the hub. If a set is not similar to the
+    hub, any set similar to it must share differences with it, at least as many as the sizes
+    imply (disjoint differences would add up to more than the first one's, which are too many
+    already). So the sets around a hub are joined on a prefix of their differences, and what
+    meets is compared in full. No pair is left out, and none is made from sets that only
+    share a hub.
     """
     keys = sets.where("n > 0").select(F.col("f1").alias("f"), F.explode("sigs").alias("key"))
-    shared = keep(keys.groupBy("key").agg(F.min("f").alias("hub"), F.max("f").alias("top"))
-                  .where("hub <> top").select("key", "hub"))
+    shared = keep(keys.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count("*").alias("m"))
+                  .where("lo <> hi").select("key", "m"))
     words = filter_words(shared.count())
     near = might_hold(keys, F.col("key"), bloom(shared, F.col("key"), words), words, "_in").where("_in").drop("_in")
-    members = keep(near.join(shared, "key").select("key", "f", "hub").distinct())
-    features = _features_of(documents, width, keep(members.select(F.col("f").alias("f1")).distinct()), swap)
-    links = None
-    for i in range(rounds + 1):
-        last = i == rounds
-        if last:
-            other = members.select("key", F.col("f").alias("g"), F.col("root").alias("other_root"))
-            pairs = members.join(other, "key").where("f > g and root <> other_root").select(
-                F.col("f").alias("a"), F.col("g").alias("b")).distinct()
-        else:
-            pairs = members.where("f <> hub").select(F.col("f").alias("a"), F.col("hub").alias("b")).distinct()
-        found = keep(_similar(pairs, features, per_cent))
-        links = found if links is None else links.union(found)
-        if last:
-            return links
-        roots = keep(components(links))
-        left = members.where("f <> hub").select("key", "f")
-        left = keep(left.join(roots.withColumnRenamed("node", "f"), "f", "left")
-                    .select("key", "f", F.coalesce("root", "f").alias("root")))
-        # The hub of the next round must be the least of what is left in a signature.
-        open_keys = left.groupBy("key").agg(F.min("f").alias("hub"), F.min("root").alias("r"), F.max("root").alias("s"))
-        open_keys = keep(open_keys.where("r <> s").select("key", "hub"))
-        if not open_keys.limit(1).count():
-            return links
-        members = keep(left.join(open_keys, "key"))
-    return links
+    members = keep(near.join(shared, "key").select("key", "f", "m").distinct())
+    company = members.groupBy("f").agg(F.sum("m").alias("company"))
+    first = F.min(F.struct((-F.col("company")).alias("c"), F.col("f").alias("f")))
+    hubs = members.join(company, "f").groupBy("key").agg(first.alias("first")).select("key", F.col("first.f").alias("hub"))
+    pairs = members.join(hubs, "key").where("f <> hub").select(F.col("f").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = keep(pairs)
+    crowd = pairs.groupBy("b").agg((F.count("*") > 1).alias("crowd"))
+    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct())
+    features = _features_of(documents, width, wanted, swap)
+    sized = _joined(pairs.join(crowd, "b"), features).withColumns({
+        "same": F.size(F.array_intersect("x", "y")), "nx": F.size("x"), "ny": F.size("y")})
+    sized = sized.withColumns({
+        "linked": _alike(F.col("same").cast("long"), F.col("nx") + F.col("ny"), per_cent),
+        "nd": F.col("nx") + F.col("ny") - 2 * F.col("same")})
+    # Differences a set must share with a similar one, if one of them is not similar to the hub.
+    far = F.col("nd") - F.floor(F.col("nx") * (100 - per_cent) / per_cent).cast("int")
+    close = F.ceil(F.col("nd") * per_cent / (100 + per_cent) - 1e-9).cast("int")
+    least = F.greatest(F.lit(1), far, F.when(F.col("linked"), close).otherwise(0))
+    # What the hub lacks is rarer than what the hub has, so it comes first.
+    differences = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    prefix = F.when(F.col("crowd"), F.slice(differences, F.lit(1), F.greatest(F.col("nd") - least + 1, F.lit(0))))
+    compared = keep(sized.select("a", "b", "nx", "nd", "linked", prefix.alias("prefix")))
+    links = compared.where("linked").select("a", "b")
+    open_hubs = compared.where("not linked and prefix is not null").select("b").distinct()
+    rest = (F.col("nd") - F.size("prefix")).alias("rest")
+    spread = compared.join(open_hubs, "b").select("b", F.explode("prefix").alias("d"), "a", "nx", "nd", rest, "linked")
+    left = spread.where("not linked").drop("linked")
+    right = spread.select("b", "d", *[F.col(c).alias(c + "2") for c in ("a", "nx", "nd", "rest", "linked")])
+    fits = (
+        (F.col("a") != F.col("a2")) & (F.col("linked2") | (F.col("a") < F.col("a2")))
+        & (F.least("nx", "nx2") * 100 >= F.greatest("nx", "nx2") * per_cent)
+        & (F.abs(F.col("nd") - F.col("nd2")) * (100 + per_cent) <= (F.col("nx") + F.col("nx2")) * (100 - per_cent))
+    )
+    # All that is shared beyond the prefixes lies in the rest of the one whose prefix ends first.
+    both = (F.col("shared") + F.greatest("rest", "rest2")) * 2
+    apart = F.floor((F.col("nx") + F.col("nx2")) * (100 - per_cent) / (100 + per_cent))
+    met = left.join(right, ["b", "d"]).where(fits).groupBy("b", "a", "a2", "nx", "nx2", "nd", "nd2", "rest", "rest2")
+    more = met.agg(F.count("*").alias("shared")).where(both >= F.col("nd") + F.col("nd2") - apart)
+    more = keep(more.select("a", F.col("a2").alias("b")).distinct())
+    n = (F.size("x") + F.size("y")).cast("long")
+    same = F.size(F.array_intersect("x", "y")).cast("long")
+    found = _joined(more, features).select("a", "b", n.alias("n"), same.alias("same"))
+    return links.union(keep(found.where(_alike(F.col("same"), F.col("n"), per_cent)).select("a", "b")))
 
 
 def _swapped_names(sets: DataFrame) -> frozenset[int]:
@@ -273,20 +295,20 @@ def _swapped_names(sets: DataFrame) -> frozenset[int]:
     return frozenset(r.f1 for r in names.where("lo <> hi").select("f1").toLocalIterator())
 
 
-def _grouped_rows(documents: DataFrame, width: int, per_cent: int, rounds: int = HUB_ROUNDS) -> DataFrame:
+def _grouped_rows(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
     """(doc_id, th, n, g): g names the component of a row's set; null for an empty one."""
     sets = sets_table(documents, width, per_cent)
     swap = _swapped_names(sets)
     if swap:  # these sets go by the other half of their 128 bits
         sets = keep(sets.withColumn("f1", F.when(F.col("f1").isin(*swap), F.col("f2")).otherwise(F.col("f1"))))
-    roots = components(similar_links(documents, sets, width, per_cent, rounds, swap))
+    roots = components(similar_links(documents, sets, width, per_cent, swap))
     return keep(
         sets.select("doc_id", "th", "n", "f1").join(roots.withColumnRenamed("node", "f1"), "f1", "left")
         .select("doc_id", "th", "n", F.coalesce("root", "f1").alias("g"))
     )
 
 
-def jaccard_groups(documents: DataFrame, width: int = 5, per_cent: int = 80, rounds: int = HUB_ROUNDS) -> DataFrame:
+def jaccard_groups(documents: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A document's set holds its distinct shingles of ``width`` words, words being runs without
@@ -297,7 +319,7 @@ def jaccard_groups(documents: DataFrame, width: int = 5, per_cent: int = 80, rou
     Repeated rows each give a row. A null doc_id never is a component's smallest while
     another id is there. Other columns are ignored. An empty table gives no row.
     """
-    rows = _grouped_rows(documents, width, per_cent, rounds)
+    rows = _grouped_rows(documents, width, per_cent)
     least = rows.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("component_id"))
     linked = rows.where("n > 0").join(least, "g").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

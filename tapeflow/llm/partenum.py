@@ -265,23 +265,33 @@ def similar_links(documents: DataFrame, sets: DataFrame, width: int, per_cent: i
     # What the hub lacks is rarer than what the hub has, so it comes first.
     differences = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
     prefix = F.when(F.col("crowd"), F.slice(differences, F.lit(1), F.greatest(F.col("nd") - least + 1, F.lit(0))))
-    compared = keep(sized.select("a", "b", "nx", "nd", "linked", prefix.alias("prefix")))
+    more_than_hub, less_than_hub = F.col("nx") - F.col("same"), F.col("ny") - F.col("same")
+    compared = keep(sized.select("a", "b", "nx", "nd", "linked", more_than_hub.alias("ins"), less_than_hub.alias("del"),
+                                 prefix.alias("prefix")))
     links = compared.where("linked").select("a", "b")
     open_hubs = compared.where("not linked and prefix is not null").select("b").distinct()
-    rest = (F.col("nd") - F.size("prefix")).alias("rest")
-    spread = compared.join(open_hubs, "b").select("b", F.explode("prefix").alias("d"), "a", "nx", "nd", rest, "linked")
-    left = spread.where("not linked").drop("linked")
-    right = spread.select("b", "d", *[F.col(c).alias(c + "2") for c in ("a", "nx", "nd", "rest", "linked")])
+    cols = ("a", "nx", "nd", "ins", "del", "size", "linked")
+    spread = compared.join(open_hubs, "b").select(
+        "b", "a", "nx", "nd", "ins", "del", F.size("prefix").alias("size"), "linked", F.posexplode("prefix").alias("at", "d"))
+    spread = spread.select("b", "d", "at", (F.col("at") >= F.col("ins")).alias("lacks"), *cols)
+    right = spread.select("b", "d", *[F.col(c).alias(c + "2") for c in ("at", *cols)])
+    apart = F.floor((F.col("nx") + F.col("nx2")) * (100 - per_cent) / (100 + per_cent))
+    # Of a similar pair the first common difference has enough behind it on both sides. Where
+    # that is something both lack, the pair is known by it; otherwise by a common addition.
+    behind = F.least(F.col("nd") - F.col("at"), F.col("nd2") - F.col("at2"))
+    enough = behind * 2 >= F.col("nd") + F.col("nd2") - apart
     fits = (
         (F.col("a") != F.col("a2")) & (F.col("linked2") | (F.col("a") < F.col("a2")))
         & (F.least("nx", "nx2") * 100 >= F.greatest("nx", "nx2") * per_cent)
-        & (F.abs(F.col("nd") - F.col("nd2")) * (100 + per_cent) <= (F.col("nx") + F.col("nx2")) * (100 - per_cent))
+        & (F.abs(F.col("nd") - F.col("nd2")) <= apart) & (~F.col("lacks") | enough)
     )
-    # All that is shared beyond the prefixes lies in the rest of the one whose prefix ends first.
-    both = (F.col("shared") + F.greatest("rest", "rest2")) * 2
-    apart = F.floor((F.col("nx") + F.col("nx2")) * (100 - per_cent) / (100 + per_cent))
-    met = left.join(right, ["b", "d"]).where(fits).groupBy("b", "a", "a2", "nx", "nx2", "nd", "nd2", "rest", "rest2")
-    more = met.agg(F.count("*").alias("shared")).where(both >= F.col("nd") + F.col("nd2") - apart)
+    met = spread.where("not linked").join(right, ["b", "d"]).where(fits)
+    met = met.groupBy("b", "a", "a2", *[c + n for c in ("nx", "nd", "ins", "del", "size") for n in ("", "2")])
+    # No more can be common than the additions that met, those behind the prefixes, and what
+    # the one that lacks less lacks.
+    behind_ins = F.greatest(F.col("ins") - F.col("size"), F.col("ins2") - F.col("size2"), F.lit(0))
+    most = F.col("shared") + behind_ins + F.least("del", "del2")
+    more = met.agg(F.count_if(~F.col("lacks")).alias("shared")).where(most * 2 >= F.col("nd") + F.col("nd2") - apart)
     more = keep(more.select("a", F.col("a2").alias("b")).distinct())
     n = (F.size("x") + F.size("y")).cast("long")
     same = F.size(F.array_intersect("x", "y")).cast("long")

@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tapeflow.config import BOOK, BookRules
 from tapeflow.functions.numeric import div
 
 
+@dataclass(frozen=True)
+class BookRules:
+    """How a book is read. The published thresholds."""
+
+    imbalance_levels: int = 20
+    wall_levels: int = 50
+    wall_factor: float = 3.0
+    enter: float = 0.3
+    leave: float = 0.15
+    alpha: float = 0.3
+    min_side_levels: int = 5
+    thin_ratio: float = 0.02
+
+    def __post_init__(self):
+        # The running form of the hysteresis takes the last crossing as the state.
+        if self.leave > self.enter:
+            raise ValueError(f"a state entered past {self.enter} can't be left above it, at {self.leave}")
+
+    @property
+    def depth(self) -> int:
+        """Levels a stored book must keep so that every measure sees all it reads."""
+        return max(self.imbalance_levels, self.wall_levels, self.min_side_levels)
+
+
+BOOK = BookRules()
+
+
 def side_volume(side: str, levels: int) -> Column:
     return F.aggregate(
         F.slice(F.coalesce(side, F.array()), 1, levels), F.lit(0.0), lambda a, x: a + x["size"]

@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeflow.config import HORIZON, RISK, RiskRules
+from tapeflow.config import HORIZON
 from tapeflow.functions.numeric import change, div
 from tapeflow.operators.risk import dynamic_stop, stop_loss_hit
 from tapeflow.plans.slices import RN, over_slices, rn_bucket, running
 
+# Cost of a fill.
+COMMISSION, SLIPPAGE = 0.001, 0.0005
+
 
 def equity_metrics(
     curve: DataFrame, keys: Sequence[str], capital: float = 10000.0, rows: int = 16384
@@ -51,7 +54,8 @@ def trade_log_metrics(log: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def add_signal_outcomes(
-    df: DataFrame, w: WindowSpec, h: int = HORIZON, rules: RiskRules = RISK
+    df: DataFrame, w: WindowSpec, h: int = HORIZON, commission: float = COMMISSION,
+    slippage: float = SLIPPAGE,
 ) -> DataFrame:
     """Exit of a long opened at each bar: the first of stop, time limit or sell signal.
 
@@ -61,11 +65,11 @@ def add_signal_outcomes(
     lead = {}
     for i in range(1, h + 1):
         lead |= {f"_{c}{i}": F.lead(c, i).over(w) for c in ("close", "pred", "sell_th", "atr_pct")}
-    df = df.withColumns(lead).withColumn("entry_fill", F.col("close") * (1.0 + rules.slippage))
+    df = df.withColumns(lead).withColumn("entry_fill", F.col("close") * (1.0 + slippage))
     action, bars, price = (F.lit(None).cast(t) for t in ("string", "int", "double"))
     for i in range(h, 0, -1):
         px = F.col(f"_close{i}")
-        stop = stop_loss_hit(F.col("entry_fill"), px, dynamic_stop(F.col(f"_atr_pct{i}"), rules))
+        stop = stop_loss_hit(F.col("entry_fill"), px, dynamic_stop(F.col(f"_atr_pct{i}")))
         sell = F.col(f"_pred{i}") < F.col(f"_sell_th{i}")
         if i == h:
             here = F.when(px.isNull(), F.lit(None)).when(stop, "STOP").otherwise("TIME_EXIT")
@@ -76,8 +80,8 @@ def add_signal_outcomes(
             F.when(hit, now).otherwise(later)
             for now, later in ((here, action), (F.lit(i), bars), (px, price))
         )
-    exit_fill = F.col("exit_price") * (1.0 - rules.slippage)
-    keep = (1.0 - rules.commission) ** 2
+    exit_fill = F.col("exit_price") * (1.0 - slippage)
+    keep = (1.0 - commission) ** 2
     return (
         df.withColumns({"exit_action": action, "bars_held": bars, "exit_price": price})
         .withColumn("pnl", div(exit_fill, F.col("entry_fill")) * keep - 1.0)

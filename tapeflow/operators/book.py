@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeflow.config import BOOK, BookRules
+from tapeflow.functions.book import BOOK, BookRules
 from tapeflow.functions import book as ob
 from tapeflow.functions.numeric import div, zero_fill
 from tapeflow.functions.rolling import add_ema, ema_reach, ema_span_limit, roll_zscore

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeflow.config import INDICATORS
 from tapeflow.functions.numeric import change, div, zero_fill
 from tapeflow.functions.rolling import (
     roll_cov,
@@ -16,10 +15,16 @@ from tapeflow.functions.rolling import (
     trailing,
 )
 
-_I = INDICATORS
+# Published look-backs in bars.
+AMIHUD_WINDOW = 5
+AMIHUD_Z_WINDOW = 60
+KYLE_WINDOW = 20
+ROLL_SPREAD_WINDOW = 20
+VOLUME_WINDOW = 20
+VWAP_WINDOW = 20
 
 
-def add_volume_delta(df: DataFrame, w: WindowSpec, window: int = _I.volume_window) -> DataFrame:
+def add_volume_delta(df: DataFrame, w: WindowSpec, window: int = VOLUME_WINDOW) -> DataFrame:
     """Volume signed by where the close sits in the bar, as a trailing z-score."""
     h, low, c = F.col("high"), F.col("low"), F.col("close")
     place = F.coalesce(div((c - low) - (h - c), h - low), F.lit(0.0))
@@ -28,7 +33,7 @@ def add_volume_delta(df: DataFrame, w: WindowSpec, window: int = _I.volume_windo
 
 
 def add_amihud(
-    df: DataFrame, w: WindowSpec, window: int = _I.amihud_window, z: int = _I.amihud_z_window
+    df: DataFrame, w: WindowSpec, window: int = AMIHUD_WINDOW, z: int = AMIHUD_Z_WINDOW
 ) -> DataFrame:
     """Price move per traded value, averaged, then as a trailing z-score."""
     ret = F.abs(change(F.col("close"), F.lag("close").over(w)))
@@ -39,7 +44,7 @@ def add_amihud(
 
 
 def add_roll_spread(
-    df: DataFrame, w: WindowSpec, window: int = _I.roll_spread_window
+    df: DataFrame, w: WindowSpec, window: int = ROLL_SPREAD_WINDOW
 ) -> DataFrame:
     """Effective spread from the serial covariance of price changes."""
     df = df.withColumn("_dp", F.col("close") - F.lag("close").over(w))
@@ -52,7 +57,7 @@ def add_roll_spread(
     return df.withColumn("roll_spread", out).drop("_dp", "_dp1")
 
 
-def add_kyle_lambda(df: DataFrame, w: WindowSpec, window: int = _I.kyle_window) -> DataFrame:
+def add_kyle_lambda(df: DataFrame, w: WindowSpec, window: int = KYLE_WINDOW) -> DataFrame:
     """Return per unit of signed volume."""
     df = df.withColumn("_r", change(F.col("close"), F.lag("close").over(w)))
     df = df.withColumn("_sv", F.signum("_r") * F.col("volume"))
@@ -60,7 +65,7 @@ def add_kyle_lambda(df: DataFrame, w: WindowSpec, window: int = _I.kyle_window)
     return df.withColumn("kyle_lambda", lam).drop("_r", "_sv")
 
 
-def add_vwap_distance(df: DataFrame, w: WindowSpec, window: int = _I.vwap_window) -> DataFrame:
+def add_vwap_distance(df: DataFrame, w: WindowSpec, window: int = VWAP_WINDOW) -> DataFrame:
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
     df = df.withColumn("_pv", typical * F.col("volume"))
     vwap = div(roll_sum(F.col("_pv"), w, window), roll_sum(F.col("volume"), w, window))
@@ -74,7 +79,7 @@ def add_range(df: DataFrame, w: WindowSpec | None = None) -> DataFrame:
 STEPS = (
     add_volume_delta, add_amihud, add_roll_spread, add_kyle_lambda, add_vwap_distance, add_range,
 )
-BACK = _I.amihud_z_window + _I.amihud_window + 1
+BACK = AMIHUD_Z_WINDOW + AMIHUD_WINDOW + 1
 
 
 def add_micro(df: DataFrame, w: WindowSpec) -> DataFrame:

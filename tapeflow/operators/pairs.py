@@ -91,6 +91,7 @@ def add_positions(
     """
     entry = entry if isinstance(entry, Column) else F.lit(float(entry))
     leave = leave if isinstance(leave, Column) else F.lit(float(leave))
+    leave = F.when(leave <= entry, leave).otherwise(F.raise_error(F.lit("leave is above entry")).cast("double"))
     z = F.col("z")
     side = F.when(z > entry, -1.0).when(z < -entry, 1.0)
     none = F.struct(F.lit(0.0).alias("side"), F.lit(-1).cast("long").alias("at"))
@@ -340,11 +341,31 @@ def adf_statistic(
     )
 
 
-def engle_granger(rows: DataFrame, max_lag: int, slice_rows: int = 16384) -> DataFrame:
-    """Two-step cointegration test per pair: hedge fit, then ADF on the residual spread."""
+def engle_granger(rows: DataFrame, max_lag: int | None = None, slice_rows: int = 16384) -> DataFrame:
+    """Two-step cointegration test per pair: hedge fit, then ADF on the residual spread.
+
+    Without ``max_lag`` each pair takes the lag its own length asks for. Pairs of one lag
+    share a pass; different lags are few, as the lag grows with the fourth root of the
+    length. A pair of fewer than 8 rows is an error.
+    """
     fit = hedge_fit(rows, ["pair"])
     spread = add_spread(rows, fit, ["pair"]).select("pair", RN, "spread")
-    adf = adf_statistic(spread, ["pair"], "spread", max_lag, slice_rows)
+    if max_lag is not None:
+        adf = adf_statistic(spread, ["pair"], "spread", max_lag, slice_rows)
+    else:
+        spread = keep(spread)
+        n = F.count("*")
+        fourth = F.floor(F.lit(12.0) * F.pow(n / 100.0, F.lit(0.25)) + F.lit(1e-9))
+        lag = F.greatest(F.lit(0), F.least(fourth, F.floor((n - 1) / 2) - 2)).cast("int")
+        short = F.when(n < 8, F.raise_error(F.lit("a pair has fewer than 8 rows")).cast("int")).otherwise(lag)
+        lags = keep(spread.groupBy("pair").agg(short.alias("_lag")))
+        adf = None
+        for r in lags.select("_lag").distinct().orderBy("_lag").collect():
+            own = spread.join(lags.where(F.col("_lag") == r[0]), "pair", "left_semi")
+            part = adf_statistic(own, ["pair"], "spread", r[0], slice_rows)
+            adf = part if adf is None else adf.union(part)
+        if adf is None:
+            adf = adf_statistic(spread, ["pair"], "spread", 0, slice_rows)
     return fit.select("pair", "beta", "alpha").join(adf, "pair").withColumn(
         "cointegrated", F.col("stat") < RESIDUAL_CRITICAL[0.05]
     )

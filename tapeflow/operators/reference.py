@@ -7,14 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeflow.config import REFERENCE, REFERENCE_NAMES, ReferenceRules
+from tapeflow.config import REFERENCE_NAMES
 from tapeflow.functions.numeric import change, clip, zero_fill
 from tapeflow.functions.rolling import roll_zscore
 from tapeflow.operators.asof import align_days, bar_days
 
+# Rows of the z-score and the bound of each feature.
+Z_ROWS = 30
+BOUNDS = {"move": 0.1, "oi_chg": 0.5, "funding_rate": 0.01, "onchain_z": 5.0}
+
 
 def transform(
-    series: DataFrame, keys: Sequence[str] = ("name",), rules: ReferenceRules = REFERENCE
+    series: DataFrame, keys: Sequence[str] = ("name",), z_rows: int = Z_ROWS,
+    bounds: dict[str, float] = BOUNDS,
 ) -> DataFrame:
     """Level series(name, d, value) to scale-free features, each by its own rule.
 
@@ -23,22 +28,22 @@ def transform(
     w = Window.partitionBy(*keys).orderBy("d")
     v, name = F.col("value"), F.col("name")
     move = change(v, F.lag("value").over(w))
-    z = roll_zscore(v, w, rules.z_window)
+    z = roll_zscore(v, w, z_rows)
     feat = (
         F.when(
             name.isin("dxy_chg", "stable_dom_chg", "liquidity_chg"),
-            clip(move, -rules.change_clip, rules.change_clip),
+            clip(move, -bounds["move"], bounds["move"]),
         )
-        .when(name == "oi_chg", clip(move, -rules.oi_clip, rules.oi_clip))
-        .when(name == "funding_rate", clip(v, -rules.funding_clip, rules.funding_clip))
-        .when(name == "onchain_z", clip(z, -rules.z_clip, rules.z_clip))
+        .when(name == "oi_chg", clip(move, -bounds["oi_chg"], bounds["oi_chg"]))
+        .when(name == "funding_rate", clip(v, -bounds["funding_rate"], bounds["funding_rate"]))
+        .when(name == "onchain_z", clip(z, -bounds["onchain_z"], bounds["onchain_z"]))
         .when(name == "fear_greed", clip((v - 50.0) / 50.0, -1.0, 1.0))
     )
     return series.withColumn("value", feat)
 
 
 def add_reference(
-    bars: DataFrame, series: DataFrame, shift: int = REFERENCE.shift_rows,
+    bars: DataFrame, series: DataFrame, shift: int = 1,
     by_symbol: bool = False,
 ) -> DataFrame:
     """Seven reference columns; the value of one row of a series shows on the next.

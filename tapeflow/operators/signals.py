@@ -7,33 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeflow.config import SIGNAL, SignalRules
 from tapeflow.functions.numeric import div
 
+# Thresholds where volatility is unknown, and how confidence is scaled.
+BUY_FROM, SELL_FROM, ATR_SHARE = 0.02, -0.02, 0.1
+SCALE, CAP = 50.0, 99.0
 # Ties in a vote go to the earlier of these.
 VOTE_ORDER = ("BUY", "SELL", "HOLD")
 
 
-def dynamic_thresholds(atr_pct: Column, rules: SignalRules = SIGNAL) -> tuple[Column, Column]:
+def dynamic_thresholds(
+    atr_pct: Column, buy: float = BUY_FROM, sell: float = SELL_FROM, share: float = ATR_SHARE
+) -> tuple[Column, Column]:
     """Buy and sell thresholds that scale with volatility, fixed where it is unknown."""
     ok = atr_pct.isNotNull() & ~F.isnan(atr_pct) & (atr_pct > 0)
-    th = F.lit(rules.atr_mult) * atr_pct
+    th = F.lit(share) * atr_pct
     return (
-        F.when(ok, th).otherwise(F.lit(rules.buy)),
-        F.when(ok, -th).otherwise(F.lit(rules.sell)),
+        F.when(ok, th).otherwise(F.lit(buy)),
+        F.when(ok, -th).otherwise(F.lit(sell)),
     )
 
 
 def add_signal(
     df: DataFrame, pred: str = "pred", buy: str = "buy_th", sell: str = "sell_th",
-    rules: SignalRules = SIGNAL,
+    scale: float = SCALE, cap: float = CAP,
 ) -> DataFrame:
     """BUY, SELL or HOLD with a confidence that grows with distance from the threshold."""
     p, b, s = F.col(pred), F.col(buy), F.col(sell)
     eps = F.lit(1e-9)
-    beyond = lambda gap, th: F.least(gap / F.greatest(F.abs(th), eps) * rules.scale, F.lit(rules.cap))
+    beyond = lambda gap, th: F.least(gap / F.greatest(F.abs(th), eps) * scale, F.lit(cap))
     near = F.when(p < 0, F.abs(s)).otherwise(b)
-    hold = F.greatest(F.lit(0.0), (1.0 - F.abs(p) / F.greatest(F.abs(near), eps)) * rules.scale)
+    hold = F.greatest(F.lit(0.0), (1.0 - F.abs(p) / F.greatest(F.abs(near), eps)) * scale)
     return df.withColumns(
         {
             "signal": F.when(p > b, "BUY").when(p < s, "SELL").otherwise("HOLD"),

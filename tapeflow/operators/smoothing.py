@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeflow.config import INDICATORS
 from tapeflow.functions.numeric import div
 from tapeflow.functions.rolling import add_ema, span_alpha
 
-_I = INDICATORS
+# Published look-backs in bars.
+EMA_SPAN = 10
+SAVGOL_ORDER = 3
+SAVGOL_WINDOW = 11
 
 
 def savgol_taps(window: int, order: int, deriv: int = 0) -> list[float]:
@@ -28,7 +30,7 @@ def savgol_taps(window: int, order: int, deriv: int = 0) -> list[float]:
 
 
 def savgol(
-    x: str, w: WindowSpec, window: int = _I.savgol_window, order: int = _I.savgol_order,
+    x: str, w: WindowSpec, window: int = SAVGOL_WINDOW, order: int = SAVGOL_ORDER,
     deriv: int = 0,
 ) -> Column:
     """A fixed set of lags times literal weights; NULL until the window is full."""
@@ -42,7 +44,7 @@ def add_savgol_slope(df: DataFrame, w: WindowSpec) -> DataFrame:
     return df.withColumn("savgol_slope", div(savgol("close", w, deriv=1), F.col("close")))
 
 
-def add_ema_slope(df: DataFrame, w: WindowSpec, span: int = _I.ema_span) -> DataFrame:
+def add_ema_slope(df: DataFrame, w: WindowSpec, span: int = EMA_SPAN) -> DataFrame:
     df = add_ema(df, w, "close", "_e", span_alpha(span))
     slope = div(F.col("_e") - F.lag("_e").over(w), F.col("close"))
     return df.withColumn("ema_slope", slope).drop("_e")

@@ -8,7 +8,6 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.config import SPLIT
 
 
 def purged_end(train_start, train_end, test_start, horizon: int, embargo: int = 0) -> Column:
@@ -20,7 +19,7 @@ def purged_end(train_start, train_end, test_start, horizon: int, embargo: int =
 
 
 def add_segments(
-    df: DataFrame, train: float = SPLIT.train, val: float = SPLIT.val, horizon: int = 5,
+    df: DataFrame, train: float = 0.60, val: float = 0.15, horizon: int = 5,
     embargo: int = 0, pass_on: bool = False, rn: str = "rn", total: str = "n",
 ) -> DataFrame:
     """Chronological train/val/test per symbol from position and row count.

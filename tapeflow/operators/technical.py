@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from tapeflow.config import HORIZON, INDICATORS
+from tapeflow.config import HORIZON
 from tapeflow.functions.numeric import change, div
 from tapeflow.functions.rolling import (
     add_ema,
@@ -17,7 +17,18 @@ from tapeflow.functions.rolling import (
 )
 from tapeflow.plans.slices import RN, over_slices, rn_bucket, running
 
-_I = INDICATORS
+# Published look-backs in bars.
+ATR_WINDOW = 14
+BB_DEV = 2.0
+BB_WINDOW = 20
+EMA_SPAN = 10
+EMA_WINDOW = 20
+MACD_FAST = 12
+MACD_SIGNAL = 9
+MACD_SLOW = 26
+RSI_WINDOW = 14
+SMA_WINDOW = 50
+VOLUME_WINDOW = 20
 
 
 def _lag(col: str, w: WindowSpec, k: int = 1):
@@ -30,7 +41,7 @@ def add_returns(df: DataFrame, w: WindowSpec) -> DataFrame:
     )
 
 
-def add_rsi(df: DataFrame, w: WindowSpec, window: int = _I.rsi_window) -> DataFrame:
+def add_rsi(df: DataFrame, w: WindowSpec, window: int = RSI_WINDOW) -> DataFrame:
     """Relative strength in 0..1 with Wilder smoothing; the first bar counts as no move."""
     step = F.coalesce(F.col("close") - _lag("close", w), F.lit(0.0))
     df = df.withColumn("_d", step).withColumns(
@@ -44,8 +55,8 @@ def add_rsi(df: DataFrame, w: WindowSpec, window: int = _I.rsi_window) -> DataFr
 
 
 def add_macd(
-    df: DataFrame, w: WindowSpec, fast: int = _I.macd_fast, slow: int = _I.macd_slow,
-    signal: int = _I.macd_signal,
+    df: DataFrame, w: WindowSpec, fast: int = MACD_FAST, slow: int = MACD_SLOW,
+    signal: int = MACD_SIGNAL,
 ) -> DataFrame:
     """MACD histogram over price; the signal line starts once the slow average exists."""
     df = add_ema(df, w, "close", "_ef", span_alpha(fast), min_periods=fast)
@@ -57,7 +68,7 @@ def add_macd(
 
 
 def add_bollinger(
-    df: DataFrame, w: WindowSpec, window: int = _I.bb_window, dev: float = _I.bb_dev
+    df: DataFrame, w: WindowSpec, window: int = BB_WINDOW, dev: float = BB_DEV
 ) -> DataFrame:
     """Position inside the bands: 0 at the lower band, 1 at the upper."""
     mid = roll_mean(F.col("close"), w, window)
@@ -65,7 +76,7 @@ def add_bollinger(
     return df.withColumn("bb_pband", div(F.col("close") - (mid - half), 2.0 * half))
 
 
-def add_atr(df: DataFrame, w: WindowSpec, window: int = _I.atr_window) -> DataFrame:
+def add_atr(df: DataFrame, w: WindowSpec, window: int = ATR_WINDOW) -> DataFrame:
     """Wilder average true range over price; zero until the seed bar, as published."""
     prev = _lag("close", w)
     tr = F.greatest(
@@ -82,7 +93,7 @@ def add_atr(df: DataFrame, w: WindowSpec, window: int = _I.atr_window) -> DataFr
     return df.withColumn("atr_pct", div(atr, F.col("close"))).drop("_tr", "_x", "_atr")
 
 
-def add_volume(df: DataFrame, w: WindowSpec, window: int = _I.volume_window) -> DataFrame:
+def add_volume(df: DataFrame, w: WindowSpec, window: int = VOLUME_WINDOW) -> DataFrame:
     vol = F.col("volume")
     return df.withColumns(
         {
@@ -92,7 +103,7 @@ def add_volume(df: DataFrame, w: WindowSpec, window: int = _I.volume_window) ->
     )
 
 
-def add_sma_distance(df: DataFrame, w: WindowSpec, window: int = _I.sma_window) -> DataFrame:
+def add_sma_distance(df: DataFrame, w: WindowSpec, window: int = SMA_WINDOW) -> DataFrame:
     sma = roll_mean(F.col("close"), w, window)
     return df.withColumn("_sma", sma).withColumn(
         "sma50_dist", div(F.col("close") - F.col("_sma"), F.col("_sma"))
@@ -101,7 +112,7 @@ def add_sma_distance(df: DataFrame, w: WindowSpec, window: int = _I.sma_window)
 
 def add_ma_distances(df: DataFrame, w: WindowSpec) -> DataFrame:
     df = add_sma_distance(df, w)
-    df = add_ema(df, w, "close", "_ema", span_alpha(_I.ema_window), min_periods=_I.ema_window)
+    df = add_ema(df, w, "close", "_ema", span_alpha(EMA_WINDOW), min_periods=EMA_WINDOW)
     return df.withColumns(
         {
             "ema20_dist": div(F.col("close") - F.col("_ema"), F.col("_ema")),
@@ -118,13 +129,13 @@ def add_target(df: DataFrame, w: WindowSpec, h: int = HORIZON) -> DataFrame:
 # Depth of the deepest chain (slow average feeding the signal line) and the slice
 # length that keeps the fastest smoother's weights inside a double.
 SMOOTH_BACK = max(
-    ema_reach(span_alpha(_I.macd_slow)) + ema_reach(span_alpha(_I.macd_signal)),
-    ema_reach(1.0 / _I.rsi_window) + 8,
-    ema_reach(1.0 / _I.atr_window) + _I.atr_window,
-    ema_reach(span_alpha(_I.ema_window)) + 1,
+    ema_reach(span_alpha(MACD_SLOW)) + ema_reach(span_alpha(MACD_SIGNAL)),
+    ema_reach(1.0 / RSI_WINDOW) + 8,
+    ema_reach(1.0 / ATR_WINDOW) + ATR_WINDOW,
+    ema_reach(span_alpha(EMA_WINDOW)) + 1,
 )
 SMOOTH_ROWS = min(
-    ema_span_limit(span_alpha(s)) for s in (_I.macd_signal, _I.macd_fast, _I.ema_span)
+    ema_span_limit(span_alpha(s)) for s in (MACD_SIGNAL, MACD_FAST, EMA_SPAN)
 ) - SMOOTH_BACK - 1
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.config import SPLIT
 from tapeflow.sources.bars import BAR_COLS
 
 MAX_BAD_OHLC = 0.05
@@ -31,7 +30,7 @@ def bad_ohlc():
     return (h < low) | (h < o) | (h < c) | (low > o) | (low > c)
 
 
-def ohlcv_report(bars: DataFrame, min_rows: int = SPLIT.min_rows) -> DataFrame:
+def ohlcv_report(bars: DataFrame, min_rows: int = 252) -> DataFrame:
     """All checks in one grouped pass. Periods are days; partial aggregation does the work."""
     check_columns(bars)
     day = F.to_date("ts")

@@ -173,8 +173,7 @@ def pair_judgement(spark, sf):
 
 @query("cointegration")
 def cointegration(spark, sf):
-    rows = _aligned(spark, sf)
-    return pairs.engle_granger(rows, pairs.schwert_lag(1000))
+    return pairs.engle_granger(_aligned(spark, sf))
 
 
 # --- backtest ------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeflow.config import BOOK, BookRules
+from tapeflow.functions.book import BOOK, BookRules
 from tapeflow.functions.times import from_millis
 
 LEVELS = "array<struct<price:double,size:double>>"

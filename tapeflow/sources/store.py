@@ -81,9 +81,15 @@ def with_age(cat: DataFrame, as_of: Column, max_age: float = MAX_AGE_HOURS) -> D
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder on the cluster's shared checkpoint path; local only where none is set."""
+    """A new folder on the cluster's shared checkpoint path.
+
+    Without that setting a job in one process takes a temporary folder; on a cluster,
+    where executors do not share one, it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="tapeflow-")

@@ -8,14 +8,13 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tapeflow.functions.times import from_instant, to_instant
 from tapeflow.sources.bars import ticks_to_bars
+from tapeflow.streaming.books import landed
 
 TICK_SCHEMA = "symbol string, ts timestamp_ntz, seq bigint, price double, size double"
 
 
-def read_ticks(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    return (
-        spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+def read_ticks(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    return landed(spark, path, TICK_SCHEMA, files_per_batch)
 
 
 def stream_bars(ticks: DataFrame, width: str = "1 hour", delay: str = "2 minutes") -> DataFrame:

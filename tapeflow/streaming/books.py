@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tapeflow.config import BOOK, BookRules
+from tapeflow.functions.book import BOOK, BookRules
 from tapeflow.functions.times import from_instant, to_instant
 from tapeflow.operators.book import signals
 from tapeflow.sources.snapshots import LEVELS
@@ -35,11 +35,28 @@ _STATE = T.StructType(
 )
 
 
-def read_books(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """Books landing as Parquet files; the file count bounds what one batch sorts."""
-    return (
-        spark.readStream.schema(BOOK_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+def landed(spark: SparkSession, path: str, schema: str, files_per_batch: int | None) -> DataFrame:
+    """A stream of landed Parquet files.
+
+    Files of a landed table are in no order of time. Taken a few at a time, rows of a later
+    batch would be older than the state or the watermark and be lost, so a backfill takes all
+    files there are in one batch. ``files_per_batch`` is for live folders, where files arrive
+    in order; what is late there is dropped and counted (``late_rows``).
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the watermark has dropped so far, as far as the query's progress reports go back."""
+    ops = (op for p in query.recentProgress for op in p["stateOperators"])
+    return sum(op.get("numRowsDroppedByWatermark", 0) for op in ops)
+
+
+def read_books(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    return landed(spark, path, BOOK_SCHEMA, files_per_batch)
 
 
 def record(

@@ -9,6 +9,7 @@ from conftest import day
 from pyspark.sql import functions as F
 
 from tapeflow import config
+from tapeflow.functions.book import BookRules
 from tapeflow.functions import book as ob
 from tapeflow.functions.stats import binomial_tail, breakeven_win_rate, deflate
 from tapeflow.functions.text import score_text
@@ -406,15 +407,10 @@ def test_planted_cointegration_is_found(frame):
 # --- configuration ------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("make", [
-    lambda: config.Indicators(savgol_window=10), lambda: config.Indicators(macd_fast=30),
-    lambda: config.BookRules(leave=0.4), lambda: config.BookRules(wall_factor=1.0),
-    lambda: config.ReferenceRules(shift_rows=0), lambda: config.SplitRules(train=0.9),
-    lambda: config.SignalRules(buy=-1), lambda: config.RiskRules(min_position=0.5),
-])
-def test_bad_parameters_are_refused(make):
-    with pytest.raises(config.ConfigError):
-        make()
+def test_a_state_that_can_not_be_left_is_refused():
+    with pytest.raises(ValueError):
+        BookRules(enter=0.3, leave=0.4)
+    assert BookRules(wall_levels=80).depth == 80
 
 
 def test_bad_arguments_are_refused(frame):
@@ -425,3 +421,26 @@ def test_bad_arguments_are_refused(frame):
     with pytest.raises(ValueError):
         splits.purged_end(F.lit(0), F.lit(1), F.lit(1), -1)
     assert len(micro.STEPS) == len(config.MICRO) and technical.SMOOTH_ROWS > 1000
+
+
+def test_each_pair_takes_the_lag_of_its_own_length(frame):
+    import random
+
+    r, rows = random.Random(5), []
+    for pair, n in (("long", 300), ("short", 90)):
+        x = 0.0
+        for i in range(n):
+            x += r.gauss(0, 1)
+            rows.append((pair, i, 0.5 * x + r.gauss(0, 1), x))
+    df = keep(frame(rows, "pair string, rn bigint, y double, x double"))
+    got = {g["pair"]: (g["used_lag"], g["nobs"]) for g in pairs.engle_granger(df).collect()}
+    want = {p: pairs.schwert_lag(n) for p, n in (("long", 300), ("short", 90))}
+    assert got == {p: (lag, n - 1 - lag) for (p, lag), n in zip(want.items(), (300, 90))}
+    with pytest.raises(Exception, match="fewer than 8"):
+        pairs.engle_granger(df.where("rn < 7")).collect()
+
+
+def test_crossed_thresholds_are_refused(frame):
+    df = frame([("p", 0, 1.0)], "pair string, rn bigint, z double")
+    with pytest.raises(Exception, match="leave is above entry"):
+        pairs.add_positions(df, ["pair"], 1.0, 2.0).collect()

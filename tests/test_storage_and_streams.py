@@ -121,3 +121,24 @@ def test_history_reader(spark, frame, tmp_path):
     row = ("s", 1704067200000, 1.0, 1.0, 0.0, 0.1, 0.01, 1, 2, 10.0)
     frame([row], snapshots.SNAPSHOT_SCHEMA, 1).write.parquet(path)
     assert snapshots.read_history(spark, path).first()["ts"] == day(0)
+
+
+def test_streams_keep_every_row_however_many_files(spark, frame, tmp_path):
+    """The same input in 1 and in 70 shuffled files gives the same rows."""
+    books = some_books(70)
+    ticks = [("s", day(i // 8, i % 8), i, float(i), 1.0) for i in range(240)]
+    seen = []
+    for files in (1, 70):
+        p = {x: str(tmp_path / f"{x}{files}") for x in ("b", "t", "o1", "c1", "o2", "c2", "o3", "c3")}
+        frame(books, book_stream.BOOK_SCHEMA, files).write.parquet(p["b"])
+        frame(ticks, bar_stream.TICK_SCHEMA, files).write.parquet(p["t"])
+        stream = book_stream.read_books(spark, p["b"])
+        qs = [book_stream.track(stream, p["o1"], p["c1"], available_now=True),
+              book_stream.record(stream, p["o2"], p["c2"], available_now=True),
+              bar_stream.write_bars(bar_stream.stream_bars(bar_stream.read_ticks(spark, p["t"])), p["o3"], p["c3"], available_now=True)]
+        for q in qs:
+            q.awaitTermination()
+            assert book_stream.late_rows(q) == 0
+        seen.append([sorted(map(str, spark.read.parquet(p[o]).collect())) for o in ("o1", "o2", "o3")])
+    assert seen[0] == seen[1]
+    assert len(seen[0][0]) == 70 and len(seen[0][1]) == 70 and len(seen[0][2]) == 238

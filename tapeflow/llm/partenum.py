@@ -24,6 +24,8 @@ from tapeflow.llm.shared import bit_filter, bloom, filter_words, might_hold, mix
 from tapeflow.plans.tables import keep
 
 _CACHED_WORDS = 400_000
+#: Buckets of the frequency table: 4 MB in each task, whatever the number of features.
+_BUCKETS = 1 << 20
 
 
 # --- the scheme --------------------------------------------------------------------------
@@ -213,6 +215,31 @@ def _features_of(documents: DataFrame, width: int, wanted: DataFrame, swap: froz
     return keep(found.join(wanted, "f1", "left_semi").dropDuplicates(["f1"]))
 
 
+def _rare_first(features: DataFrame) -> DataFrame:
+    """The same sets with their features in one common order, rare ones first.
+
+    Frequencies are counted over all sets by a bucket of the hash, so the driver sees at most
+    _BUCKETS counts. A feature that shares its bucket with others only ranks later: any order
+    that all sets have in common gives right results.
+    """
+    counts = features.select(F.explode("features").alias("d")).groupBy(
+        F.col("d").bitwiseAND(F.lit(_BUCKETS - 1).cast("long")).alias("bucket")).agg(F.count("*").alias("n")).toArrow()
+    table = np.zeros(_BUCKETS, np.uint32)
+    table[counts.column("bucket").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 2**32 - 1)
+    often = features.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            sets = batch.column(1)
+            flat, at = sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy())
+            order = np.lexsort((flat, often.value[flat & (_BUCKETS - 1)], np.repeat(np.arange(len(at)), at)))
+            ends = pa.array(np.concatenate([[0], np.cumsum(at)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat[order]))],
+                                             names=["f1", "features"])
+
+    return features.mapInArrow(run, "f1 long, features array<long>")
+
+
 def _joined(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """(a, b, x, y): the sets of each pair."""
     x = features.select(F.col("f1").alias("a"), F.col("features").alias("x"))
@@ -235,8 +262,8 @@ def similar_links(documents: DataFrame, sets: DataFrame, width: int, per_cent: i
     of their own. Let D be a set's differences from the hub. If a set is not similar to the
     hub, any set similar to it must share differences with it, at least as many as the sizes
     imply (disjoint differences would add up to more than the first one's, which are too many
-    already). So the sets around a hub are joined on a prefix of their differences, and what
-    meets is compared in full. No pair is left out, and none is made from sets that only
+    already). So the sets around a hub are joined on a prefix of their differences, rarest
+    first, and what meets is compared in full. No pair is left out, and none is made from sets that only
     share a hub.
     """
     keys = sets.where("n > 0").select(F.col("f1").alias("f"), F.explode("sigs").alias("key"))
@@ -253,7 +280,7 @@ def similar_links(documents: DataFrame, sets: DataFrame, width: int, per_cent: i
     crowd = pairs.groupBy("b").agg((F.count("*") > 1).alias("crowd"))
     wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct())
     features = _features_of(documents, width, wanted, swap)
-    sized = _joined(pairs.join(crowd, "b"), features).withColumns({
+    sized = _joined(pairs.join(crowd, "b"), _rare_first(features)).withColumns({
         "same": F.size(F.array_intersect("x", "y")), "nx": F.size("x"), "ny": F.size("y")})
     sized = sized.withColumns({
         "linked": _alike(F.col("same").cast("long"), F.col("nx") + F.col("ny"), per_cent),
@@ -262,37 +289,32 @@ def similar_links(documents: DataFrame, sets: DataFrame, width: int, per_cent: i
     far = F.col("nd") - F.floor(F.col("nx") * (100 - per_cent) / per_cent).cast("int")
     close = F.ceil(F.col("nd") * per_cent / (100 + per_cent) - 1e-9).cast("int")
     least = F.greatest(F.lit(1), far, F.when(F.col("linked"), close).otherwise(0))
-    # What the hub lacks is rarer than what the hub has, so it comes first.
-    differences = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    # What the hub lacks is rarer than what the hub has, so it comes first, its rarest first:
+    # a passage that many sets around a hub add comes behind the prefix. Of what the hub has,
+    # the rarest is missing from the most sets, so that comes last.
+    differences = F.concat(F.array_except("x", "y"), F.reverse(F.array_except("y", "x")))
     prefix = F.when(F.col("crowd"), F.slice(differences, F.lit(1), F.greatest(F.col("nd") - least + 1, F.lit(0))))
     more_than_hub, less_than_hub = F.col("nx") - F.col("same"), F.col("ny") - F.col("same")
-    compared = keep(sized.select("a", "b", "nx", "nd", "linked", more_than_hub.alias("ins"), less_than_hub.alias("del"),
+    compared = keep(sized.select("a", "b", "nx", "linked", more_than_hub.alias("ins"), less_than_hub.alias("del"),
                                  prefix.alias("prefix")))
     links = compared.where("linked").select("a", "b")
     open_hubs = compared.where("not linked and prefix is not null").select("b").distinct()
-    cols = ("a", "nx", "nd", "ins", "del", "size", "linked")
-    spread = compared.join(open_hubs, "b").select(
-        "b", "a", "nx", "nd", "ins", "del", F.size("prefix").alias("size"), "linked", F.posexplode("prefix").alias("at", "d"))
-    spread = spread.select("b", "d", "at", (F.col("at") >= F.col("ins")).alias("lacks"), *cols)
-    right = spread.select("b", "d", *[F.col(c).alias(c + "2") for c in ("at", *cols)])
+    cols = ("at", "a", "nx", "ins", "del", "linked")
+    spread = compared.join(open_hubs, "b").select("b", "a", "nx", "ins", "del", "linked", F.posexplode("prefix").alias("at", "d"))
+    right = spread.select("b", "d", *[F.col(c).alias(c + "2") for c in cols])
+    # Of a similar pair the first common difference has enough behind it on both sides:
+    # additions behind it and all that is lacked, or what is lacked behind it.
+    added = F.least(F.col("ins") - F.col("at"), F.col("ins2") - F.col("at2"))
+    behind = F.when(added > 0, added + F.least("del", "del2")).otherwise(
+        F.least(F.col("ins") + F.col("del") - F.col("at"), F.col("ins2") + F.col("del2") - F.col("at2")))
     apart = F.floor((F.col("nx") + F.col("nx2")) * (100 - per_cent) / (100 + per_cent))
-    # Of a similar pair the first common difference has enough behind it on both sides. Where
-    # that is something both lack, the pair is known by it; otherwise by a common addition.
-    behind = F.least(F.col("nd") - F.col("at"), F.col("nd2") - F.col("at2"))
-    enough = behind * 2 >= F.col("nd") + F.col("nd2") - apart
     fits = (
         (F.col("a") != F.col("a2")) & (F.col("linked2") | (F.col("a") < F.col("a2")))
         & (F.least("nx", "nx2") * 100 >= F.greatest("nx", "nx2") * per_cent)
-        & (F.abs(F.col("nd") - F.col("nd2")) <= apart) & (~F.col("lacks") | enough)
+        & (behind * 2 >= F.col("ins") + F.col("del") + F.col("ins2") + F.col("del2") - apart)
     )
     met = spread.where("not linked").join(right, ["b", "d"]).where(fits)
-    met = met.groupBy("b", "a", "a2", *[c + n for c in ("nx", "nd", "ins", "del", "size") for n in ("", "2")])
-    # No more can be common than the additions that met, those behind the prefixes, and what
-    # the one that lacks less lacks.
-    behind_ins = F.greatest(F.col("ins") - F.col("size"), F.col("ins2") - F.col("size2"), F.lit(0))
-    most = F.col("shared") + behind_ins + F.least("del", "del2")
-    more = met.agg(F.count_if(~F.col("lacks")).alias("shared")).where(most * 2 >= F.col("nd") + F.col("nd2") - apart)
-    more = keep(more.select("a", F.col("a2").alias("b")).distinct())
+    more = keep(met.select("a", F.col("a2").alias("b")).distinct())
     n = (F.size("x") + F.size("y")).cast("long")
     same = F.size(F.array_intersect("x", "y")).cast("long")
     found = _joined(more, features).select("a", "b", n.alias("n"), same.alias("same"))

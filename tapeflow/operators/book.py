@@ -93,7 +93,7 @@ def add_hysteresis(
     return df.withColumn(out, state).drop("_fix", "_up", "_down")
 
 
-def track(signal_rows: DataFrame, rules: BookRules = BOOK, days: float = 365.0) -> DataFrame:
+def track(signal_rows: DataFrame, rules: BookRules = BOOK, days: float = 1.0) -> DataFrame:
     """The tracker over a history: smoothed imbalance and sticky state per symbol.
 
     Unreliable snapshots read THIN BOOK, keep the last smoothed value and change
@@ -150,7 +150,7 @@ def assign_to_bars(
 ) -> DataFrame:
     """Snapshots with the bar they belong to; those outside every bar drop out."""
     spans = bar_spans(bars).withColumn("bar_ts", F.col("ts"))
-    bucket = time_bucket(F.col("ts"), 30.0) if bucket is None else bucket
+    bucket = time_bucket(F.col("ts"), 1.0) if bucket is None else bucket
     met = asof_join(
         history, spans, ["symbol"], "ts", ["bar_ts", "span_start"], bucket, forward=True
     )

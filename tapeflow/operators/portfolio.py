@@ -21,8 +21,8 @@ def _quantity_bucket(per_bucket: float) -> Column:
     return F.floor(F.col("edge") / F.lit(per_bucket)).cast("long")
 
 
-def with_running_quantity(trades: DataFrame, days: float = 365.0) -> DataFrame:
-    """Bought and sold so far per symbol, each trade included."""
+def with_running_quantity(trades: DataFrame, days: float = 7.0) -> DataFrame:
+    """Bought and sold so far per symbol, each trade included. One task orders a symbol's trades of ``days``."""
     qty = F.col("qty")
     return running(
         trades, _KEY, ["ts", "seq"], time_bucket(F.col("ts"), days),

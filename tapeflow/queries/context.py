@@ -30,9 +30,10 @@ def _asof_sql(op):
 
 
 def _asof(spark, sf, forward):
+    """A task sorts the ticks of one bar's width; earlier bars come in through the bucket ends."""
     bars = tables.hourly_bars(spark, sf).withColumn("bar_ts", F.col("ts"))
     out = asof.asof_join(_ticks(spark, sf), bars, ["symbol"], "ts", ["bar_ts", "close"],
-                         time_bucket(F.col("ts"), 7.0), forward=forward)
+                         time_bucket(F.col("ts"), 1.0 / 24.0), forward=forward)
     return out.select("event_id", "symbol", F.col("match.bar_ts").alias("bar_ts"),
                       F.col("match.close").alias("bar_close"))
 
@@ -94,15 +95,23 @@ def volume_share(spark, sf):
     return show(_cross(spark, sf), "btc_vol_share")
 
 
-@query("market_corr", f"""WITH {CROSS}, j AS (SELECT b.*, k.v FROM rets b ASOF LEFT JOIN basket k ON b.d >= k.d),
+_MKT = """j AS (SELECT b.*, k.v FROM rets b ASOF LEFT JOIN basket k ON b.d >= k.d),
   p AS (SELECT *, CASE WHEN ret IS NOT NULL AND v IS NOT NULL THEN ret END AS a,
-          CASE WHEN ret IS NOT NULL AND v IS NOT NULL THEN v END AS c FROM j)
-  SELECT symbol, ts, {r(f"coalesce(CASE WHEN count(a) OVER {win(30)} = 30 THEN covar_samp(a, c) OVER {win(30)} / nullif(stddev_samp(a) OVER {win(30)} * stddev_samp(c) OVER {win(30)}, 0) END, 0)")} AS mkt_corr FROM p""")
+          CASE WHEN ret IS NOT NULL AND v IS NOT NULL THEN v END AS c FROM j)"""
+_MKT_CORR = (f"coalesce(CASE WHEN count(a) OVER {win(30)} = 30 THEN covar_samp(a, c) OVER {win(30)}"
+             f" / nullif(stddev_samp(a) OVER {win(30)} * stddev_samp(c) OVER {win(30)}, 0) END, 0)")
+
+
+@query("market_corr", f"WITH {CROSS}, {_MKT} SELECT symbol, ts, {r(_MKT_CORR)} AS mkt_corr FROM p")
 def market_corr(spark, sf):
     return show(_cross(spark, sf), "mkt_corr")
 
 
-@query("cross_asset_features")
+@query("cross_asset_features", f"""WITH {CROSS}, e AS (SELECT b.symbol, b.ts, CASE WHEN p.none THEN NULL ELSE p.v END AS x
+    FROM daily b ASOF LEFT JOIN pair p ON b.ts::DATE >= p.d),
+  h AS (SELECT b.symbol, b.ts, s.v AS x FROM daily b ASOF LEFT JOIN sharez s ON b.ts::DATE >= s.d), {_MKT}
+  SELECT symbol, ts, {r('coalesce(e.x, 0)')} AS eth_btc_chg, {r('coalesce(h.x, 0)')} AS btc_vol_share, {r(_MKT_CORR)} AS mkt_corr
+  FROM p JOIN e USING (symbol, ts) JOIN h USING (symbol, ts)""")
 def cross_asset_features(spark, sf):
     return show(_cross(spark, sf), *CROSS_ASSET)
 
@@ -310,12 +319,17 @@ def sentiment_price_corr(spark, sf):
 NEWS_FWD = f"""{NEWS_BARS}, nf AS (SELECT *, lead(close, 5) OVER {ORD} / nullif(close, 0) - 1 AS fwd_5d FROM nb WHERE news_volume > 0)"""
 
 
-@query("top_sentiment_days", f"""WITH {NEWS_FWD} SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY sentiment_avg DESC, ts) AS rank,
-  {rs(sentiment_avg='sentiment_avg', news_volume='news_volume', close='close', fwd_5d='fwd_5d')} FROM nf
-  QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sentiment_avg DESC, ts) <= 10""")
+@query("top_sentiment_days", f"""WITH {NEWS_FWD}, signs AS (SELECT unnest(['pos', 'neg']) AS kind)
+  SELECT kind, symbol, ts, row_number() OVER w AS rank,
+  {rs(sentiment_avg='sentiment_avg', news_volume='news_volume', close='close', fwd_5d='fwd_5d')} FROM nf, signs
+  WINDOW w AS (PARTITION BY kind, symbol ORDER BY CASE kind WHEN 'pos' THEN -sentiment_avg ELSE sentiment_avg END, ts)
+  QUALIFY row_number() OVER w <= 10""")
 def top_sentiment_days(spark, sf):
-    out = news.top_sentiment_days(_news_bars(spark, sf))
-    return show(out, "sentiment_avg", "news_volume", "close", "fwd_5d", keys=("symbol", "ts", F.col("rank").cast("long").alias("rank")))
+    bars = _news_bars(spark, sf)
+    one = lambda kind: news.top_sentiment_days(bars, kind=kind).withColumn("kind", F.lit(kind))
+    rank = F.col("rank").cast("long").alias("rank")
+    return show(one("pos").unionByName(one("neg")), "sentiment_avg", "news_volume", "close", "fwd_5d",
+                keys=("kind", "symbol", "ts", rank))
 
 
 @query("sentiment_buckets", f"""WITH {NEWS_FWD}, k AS (SELECT *, CASE WHEN sentiment_avg <= -1.01 THEN NULL WHEN sentiment_avg <= -0.3 THEN 'very_neg'
@@ -328,17 +342,17 @@ def sentiment_buckets(spark, sf):
 
 
 # --- social -----------------------------------------------------------------------------------
-SOC = f"""{HOURLY}, {POSTS}, pd0 AS (SELECT ts::DATE AS d, count(text)::DOUBLE AS n, avg({_SCORE}) AS mood FROM posts GROUP BY 1),
-  pd1 AS (SELECT *, coalesce({zscore('n', 30, 5, part='true').replace('ORDER BY ts', 'ORDER BY d')}, 0) AS z FROM pd0),
-  sj AS (SELECT h.symbol, h.ts, coalesce(z, 0) AS z, coalesce(mood, 0) AS mood FROM hourly h LEFT JOIN pd1 ON pd1.d = h.ts::DATE),
+SOC = f"""{HOURLY}, {POSTS}, pd0 AS (SELECT symbol, ts::DATE AS d, count(text)::DOUBLE AS n, avg({_SCORE}) AS mood FROM posts GROUP BY 1, 2),
+  pd1 AS (SELECT *, coalesce({zscore('n', 30, 5).replace('ORDER BY ts', 'ORDER BY d')}, 0) AS z FROM pd0),
+  sj AS (SELECT h.symbol, h.ts, coalesce(z, 0) AS z, coalesce(mood, 0) AS mood FROM hourly h LEFT JOIN pd1 ON pd1.symbol = h.symbol AND pd1.d = h.ts::DATE),
   sl AS (SELECT symbol, ts, coalesce(lag(z) OVER {ORD}, 0) AS vz, coalesce(lag(mood) OVER {ORD}, 0) AS sa FROM sj)"""
 
 
-@query("daily_posts", f"WITH {SOC} SELECT d::TIMESTAMP AS d, {rs(volume_z='z', mood='mood')} FROM pd1")
+@query("daily_posts", f"WITH {SOC} SELECT symbol, d::TIMESTAMP AS d, {rs(volume_z='z', mood='mood')} FROM pd1")
 def daily_posts(spark, sf):
     out = social.daily_posts(tables.posts(spark, sf), lexicon=WORDS)
-    return show(out.select(F.col("d").cast("timestamp_ntz").alias("d"), F.col("z").alias("volume_z"), "mood"),
-                "volume_z", "mood", keys=("d",))
+    return show(out.select("symbol", F.col("d").cast("timestamp_ntz").alias("d"), F.col("z").alias("volume_z"), "mood"),
+                "volume_z", "mood", keys=("symbol", "d"))
 
 
 @query("social_features", f"""WITH {SOC} SELECT symbol, ts, {rs(social_volume_z='vz', social_sentiment_avg='sa',
@@ -438,7 +452,7 @@ def _step_sql(value, prev):
 
 def _book_rows(spark, sf):
     s = _books(spark, sf).select("symbol", "ts", ob.imbalance().alias("imb"))
-    return number_rows(s, ["symbol"], ["ts"], time_bucket(F.col("ts"), 3650.0))
+    return number_rows(s, ["symbol"], ["ts"], time_bucket(F.col("ts"), 1.0))
 
 
 # The recursion replays the state machine snapshot by snapshot.
@@ -479,7 +493,7 @@ SPANS = f"""{BOOKS}, nbars AS (SELECT 'N' || s_nationkey AS symbol, time_bucket(
 
 
 def _nation_bars(spark, sf):
-    return number_rows(keep(tables.nation_bars(spark, sf)), ["symbol"], ["ts"], time_bucket(F.col("ts"), 36500.0))
+    return number_rows(keep(tables.nation_bars(spark, sf)), ["symbol"], ["ts"], time_bucket(F.col("ts"), 365.0))
 
 
 @query("snapshot_bars", f"WITH {SPANS} SELECT symbol, ts, bar_ts FROM snap")

@@ -341,11 +341,11 @@ def open_positions(spark, sf):
     return show(_open(spark, sf), "cost_basis", "avg_price", keys=("symbol", "qty"))
 
 
-@query("unrealized_pnl", f"""WITH {OPEN}, px AS (SELECT symbol, last(price ORDER BY {_TORD}) AS price FROM tr WHERE side = 'SELL' GROUP BY 1)
+@query("unrealized_pnl", f"""WITH {OPEN}, px AS (SELECT symbol, last(price ORDER BY {_TORD}) AS price FROM tr GROUP BY 1)
   SELECT symbol, {rs(unrealized_pnl='(price - cost / qty) * qty', unrealized_pnl_pct='(price / (cost / qty) - 1) * 100')} FROM pos LEFT JOIN px USING (symbol)""")
 def unrealized_pnl(spark, sf):
-    sells = tables.trades(spark, sf).where("side = 'SELL'")
-    px = sells.groupBy("symbol").agg(F.max_by("price", F.struct("ts", "seq")).alias("price"))
+    """Valued at the last price of any trade."""
+    px = tables.trades(spark, sf).groupBy("symbol").agg(F.max_by("price", F.struct("ts", "seq")).alias("price"))
     return show(portfolio.with_last_prices(_open(spark, sf), px), "unrealized_pnl", "unrealized_pnl_pct", keys=("symbol",))
 
 

@@ -60,7 +60,7 @@ def latest_bars(spark, sf):
     return bar_src.latest_bars(_bars(spark, sf), 168).select(*BARS.split(", "))
 
 
-@query("bar_round_trip")
+@query("bar_round_trip", f"WITH {HOURLY} SELECT {BARS} FROM hourly")
 def bar_round_trip(spark, sf):
     """Save bars by kind and symbol, then load one kind back with pruned partitions."""
     folder = store.scratch_folder(spark)
@@ -229,7 +229,8 @@ def united_news(spark, sf):
 
 POSTS = """posts AS (SELECT conv_id, turn, TIMESTAMP '2024-01-01' + to_days(CAST((conv_id * 13) % 31 AS INT))
     + to_hours(CAST(conv_id % 24 AS INT)) + to_minutes(CAST(turn AS INT)) AS ts, text,
-  CASE WHEN role = 'user' THEN 'reddit' ELSE 'x' END AS source FROM conversations)"""
+  CASE WHEN role = 'user' THEN 'reddit' ELSE 'x' END AS source,
+  ['click', 'view', 'BTC'][((conv_id % 3) + 3) % 3 + 1] AS symbol FROM conversations)"""
 
 
 def _raw_posts(spark, sf):
@@ -242,7 +243,7 @@ def _raw_posts(spark, sf):
     )
 
 
-@query("landed_posts", f"""WITH {POSTS} SELECT ts, source, 'BTC' AS symbol,
+@query("landed_posts", f"""WITH {POSTS} SELECT ts, source, symbol,
   md5('turn ' || turn || ' ' || text) AS digest,
   coalesce(CASE WHEN turn > 0 THEN conv_id END, 1) + turn AS engagement FROM posts
   WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'""")

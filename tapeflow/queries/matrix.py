@@ -8,24 +8,13 @@ from tapeflow.config import FeatureSpec, MICRO
 from tapeflow.plans.features import Inputs, bar_features, engineer, select_features
 from tapeflow.queries.context import BASKET, LEAD, PAIR, WORDS
 from tapeflow.queries.registry import (
-    HOURLY, ORD, daily, gate, hourly, query, rs, show, win, zscore,
+    HOURLY, daily, hourly, query, rs, show,
 )
-from tapeflow.queries.prices import AMIHUD_CTE, VWAP
+from tapeflow.queries.prices import MICRO_CTE
 from tapeflow.sources import tables
 
 _PLAIN = ("ret_1d", "ret_5d", "ret_10d", "bb_pband", "vol_chg", "vol_ratio", "sma50_dist")
-_SQL = f"""WITH {AMIHUD_CTE}, m0 AS (SELECT *, {VWAP} AS vwap, coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume AS vd,
-    close - lag(close) OVER {ORD} AS dp, close / nullif(lag(close) OVER {ORD}, 0) - 1 AS r1, {gate('avg', 'close', 20)} AS m20, {gate('stddev_pop', 'close', 20)} AS s20,
-    {gate('avg', 'close', 50)} AS m50 FROM a),
-  m1 AS (SELECT *, lag(dp) OVER {ORD} AS dp1, sign(r1) * volume AS sv FROM m0),
-  m2 AS (SELECT *, CASE WHEN count(dp) OVER {win(20)} = 20 THEN covar_samp(dp1, dp) OVER {win(19)} END AS cov FROM m1),
-  m3 AS (SELECT symbol, ts, r1 AS ret_1d, close / nullif(lag(close, 5) OVER {ORD}, 0) - 1 AS ret_5d, close / nullif(lag(close, 10) OVER {ORD}, 0) - 1 AS ret_10d,
-    (close - (m20 - 2 * s20)) / nullif(4 * s20, 0) AS bb_pband, volume / nullif(lag(volume) OVER {ORD}, 0) - 1 AS vol_chg,
-    volume / nullif({gate('avg', 'volume', 20)}, 0) AS vol_ratio, (close - m50) / m50 AS sma50_dist,
-    coalesce({zscore('vd', 20)}, 0) AS vol_delta, coalesce({zscore('raw', 60)}, 0) AS amihud_illiq,
-    CASE WHEN cov IS NOT NULL THEN 2 * sqrt(abs(least(cov, 0))) / close END AS roll_spread,
-    CASE WHEN count(r1) OVER {win(20)} = 20 THEN covar_samp(r1, sv) OVER {win(20)} END / nullif(var_samp(volume) OVER {win(20)}, 0) AS kyle_lambda,
-    (close - vwap) / vwap AS vwap_dist, (high - low) / nullif(close, 0) AS hl_range, lead(close, 5) OVER {ORD} / nullif(close, 0) - 1 AS target FROM m2)
+_SQL = f"""WITH {MICRO_CTE}
   SELECT symbol, ts, {rs(**{c: c for c in (*_PLAIN, *MICRO, 'target')})} FROM m3
   WHERE {' AND '.join(f'{c} IS NOT NULL' for c in (*_PLAIN, *MICRO, 'target'))}"""
 

@@ -127,6 +127,10 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Two symbols of the hourly bars and one that has no bars there.
+POST_SYMBOLS = ("click", "view", "BTC")
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Social posts: conversation turns, a conversation per minute slot of January 2024."""
     at = F.make_timestamp_ntz(*[F.lit(v) for v in (2024, 1, 1, 0, 0, 0)]) + F.make_dt_interval(
@@ -140,7 +144,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         at.alias("ts"),
         "text",
         F.when(F.col("role") == "user", "reddit").otherwise("x").alias("source"),
-        F.lit("BTC").alias("symbol"),
+        F.element_at(F.array(*[F.lit(s) for s in POST_SYMBOLS]), F.pmod("conv_id", F.lit(3)).cast("int") + 1).alias("symbol"),
         (F.length("text") + F.col("turn")).cast("long").alias("engagement"),
     )
 

@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -174,19 +173,30 @@ def fit_linear(train: DataFrame, features: Sequence[str], target: str, alpha: fl
 
 def fit_boosted(
     train: DataFrame, features: Sequence[str], target: str, val: DataFrame | None = None,
-    max_iter: int = BOOST["max_iter"], max_depth: int = BOOST["max_depth"],
+    max_iter: int = BOOST["max_iter"], max_depth: int = BOOST["max_depth"], tol: float = 0.0,
 ):
-    """Boosted regression trees; with a validation frame boosting stops when it worsens."""
+    """Boosted regression trees; with a validation frame boosting stops when it worsens.
+
+    Spark stops at the first round whose gain stays below ``tol`` and has no rounds of patience.
+    """
     gbt = GBTRegressor(
         featuresCol="features", labelCol=target, predictionCol="pred", maxIter=max_iter,
         maxDepth=max_depth, stepSize=BOOST["step"], subsamplingRate=BOOST["subsample"],
         featureSubsetStrategy="0.8", minInstancesPerNode=BOOST["min_rows"], seed=SEED,
     )
-    data = train.withColumn("_val", F.lit(False))
+    return _watched(gbt, val, tol).fit(assemble(_with_val(train, val), features))
+
+
+def _watched(gbt, val: DataFrame | None, tol: float):
     if val is not None:
-        data = data.unionByName(val.withColumn("_val", F.lit(True)), allowMissingColumns=True)
-        gbt = gbt.setValidationIndicatorCol("_val")
-    return gbt.fit(assemble(data, features))
+        gbt.setValidationIndicatorCol("_val")
+        gbt.set(gbt.validationTol, tol)
+    return gbt
+
+
+def _with_val(train: DataFrame, val: DataFrame | None) -> DataFrame:
+    data = train.withColumn("_val", F.lit(False))
+    return data if val is None else data.unionByName(val.withColumn("_val", F.lit(True)), allowMissingColumns=True)
 
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -209,17 +219,36 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label"
 
 
 def fit_boosted_classes(
-    train: DataFrame, features: Sequence[str], label: str = "label",
-    max_iter: int = BOOST["max_iter"], max_depth: int = BOOST["max_depth"],
+    train: DataFrame, features: Sequence[str], label: str = "label", val: DataFrame | None = None,
+    max_iter: int = BOOST["max_iter"], max_depth: int = BOOST["max_depth"], tol: float = 0.0,
+    classes: int = 3,
 ):
-    """One booster per class against the rest: Spark's booster is binary."""
-    gbt = GBTClassifier(
-        maxIter=max_iter, maxDepth=max_depth, stepSize=BOOST["step"],
-        subsamplingRate=BOOST["subsample"], minInstancesPerNode=BOOST["min_rows"], seed=SEED,
-    )
-    return OneVsRest(classifier=gbt, featuresCol="features", labelCol=label).fit(
-        assemble(train, features)
-    )
+    """One booster per class against the rest, as Spark's booster is binary: a function adding
+    ``pred_class``, the likeliest class, the smallest of equal ones.
+
+    Each class stops by itself when the validation frame worsens, see ``fit_boosted``.
+    """
+    data = assemble(_with_val(train, val), features)
+    fits = []
+    for k in range(classes):
+        gbt = GBTClassifier(
+            featuresCol="features", labelCol="_y", predictionCol=f"_c{k}", maxIter=max_iter,
+            maxDepth=max_depth, stepSize=BOOST["step"], subsamplingRate=BOOST["subsample"],
+            featureSubsetStrategy="0.8", minInstancesPerNode=BOOST["min_rows"], seed=SEED,
+        ).setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}")
+        y = (F.col(label) == k).cast("double")
+        fits.append(_watched(gbt, val, tol).fit(data.withColumn("_y", y)))
+
+    def score(df: DataFrame) -> DataFrame:
+        out = assemble(df, features)
+        for m in fits:
+            out = m.transform(out)
+        p = F.array(*[vector_to_array(f"_p{k}").getItem(1) for k in range(classes)])
+        best = (F.array_position(p, F.array_max(p)) - 1).cast("int")
+        spare = [f"{c}{k}" for c in ("_c", "_p", "_r") for k in range(classes)]
+        return out.withColumn("pred_class", best).drop("features", *spare)
+
+    return score
 
 
 def align_proba(probability: str = "probability") -> Column:

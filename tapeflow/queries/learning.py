@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeflow.config import FeatureSpec
 from tapeflow.operators import metrics, models, signals, splits
+from tapeflow.plans.features import engineer
 from tapeflow.plans.slices import number_rows, time_bucket
 from tapeflow.plans.tables import keep
 from tapeflow.queries.context import BOOKS, _step_sql
-from tapeflow.queries.registry import HOURLY, ORD, query, r, rs, show
+from tapeflow.queries.registry import HOURLY, ORD, hourly, query, r, rs, show
 from tapeflow.queries.strategy import BASE, base
 from tapeflow.sources import tables
 from tapeflow.sources.store import scratch_folder
@@ -16,6 +18,8 @@ from tapeflow.streaming import bars as bar_stream
 from tapeflow.streaming import books as book_stream
 
 FEATURES = ["ret_1d", "ret_5d", "vwap_dist", "hl_range"]
+SPEC = FeatureSpec(micro=True)
+WIDE = SPEC.columns()
 
 
 def rows(spark, sf):
@@ -59,20 +63,26 @@ def ridge_fits(spark, sf):
 
 @query("ridge_walk_forward")
 def ridge_walk_forward(spark, sf):
-    f = splits.add_folds(rows(spark, sf), 300, 60, None, 5).where("part = 'test'")
-    p = models.predict_ridge(f, keep(_ridge(spark, sf)), ["symbol", "fold_id"], FEATURES)
+    d = rows(spark, sf)
+    sums = models.fold_moments(d, ["symbol"], FEATURES, "target", 300, 60, None, 5)
+    fits = models.fit_ridge(sums, ["symbol", "fold_id"], FEATURES, "target", 1.0)
+    f = splits.add_folds(d, 300, 60, None, 5).where("part = 'test'")
+    p = models.predict_ridge(f, keep(fits), ["symbol", "fold_id"], FEATURES)
     return metrics.regression_metrics(p, ["symbol", "fold_id"])
 
 
 def _segmented(spark, sf):
-    return keep(splits.add_segments(rows(spark, sf), horizon=5))
+    """The feature table with all bar families, cut into train, validation and test rows."""
+    full = engineer(hourly(spark, sf), SPEC).select("symbol", "ts", "close", *WIDE, "target")
+    full = number_rows(keep(full), ["symbol"], ["ts"], time_bucket(F.col("ts"), 365.0), total="n")
+    return keep(splits.add_segments(full, horizon=5))
 
 
 @query("ridge_alpha_search")
 def ridge_alpha_search(spark, sf):
     d = _segmented(spark, sf)
-    part = lambda s: models.moments(d.where(F.col("segment") == s), ["symbol"], FEATURES, "target")
-    return models.search_ridge(part("train"), part("val"), ["symbol"], FEATURES, "target")
+    part = lambda s: models.moments(d.where(F.col("segment") == s), ["symbol"], WIDE, "target")
+    return models.search_ridge(part("train"), part("val"), ["symbol"], WIDE, "target")
 
 
 def _by_segment(scored):
@@ -82,30 +92,30 @@ def _by_segment(scored):
 @query("linear_model")
 def linear_model(spark, sf):
     d = _segmented(spark, sf)
-    predict = models.fit_linear(d.where("segment = 'train'"), FEATURES, "target")
+    predict = models.fit_linear(d.where("segment = 'train'"), WIDE, "target")
     return _by_segment(predict(d))
 
 
-def _boosted(d, iters):
-    return models.fit_boosted(d.where("segment = 'train'"), FEATURES, "target", d.where("segment = 'val'"), iters)
+def _boosted(d):
+    return models.fit_boosted(d.where("segment = 'train'"), WIDE, "target", d.where("segment = 'val'"))
 
 
 @query("boosted_model")
 def boosted_model(spark, sf):
     d = _segmented(spark, sf)
-    return _by_segment(_boosted(d, 20).transform(models.assemble(d, FEATURES)))
+    return _by_segment(_boosted(d).transform(models.assemble(d, WIDE)))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    return models.feature_ranking(spark, _boosted(_segmented(spark, sf), 10), FEATURES)
+    return models.feature_ranking(spark, _boosted(_segmented(spark, sf)), WIDE)
 
 
 @query("selected_features")
 def selected_features(spark, sf):
     """Rows cut down to the strongest features."""
     d = _segmented(spark, sf)
-    top = models.select_top(models.feature_ranking(spark, _boosted(d, 10), FEATURES), 2)
+    top = models.select_top(models.feature_ranking(spark, _boosted(d), WIDE))
     return d.select("symbol", "ts", "segment", *top, "target")
 
 
@@ -123,34 +133,33 @@ def _class_scores(scored):
 @query("logistic_model")
 def logistic_model(spark, sf):
     d = _labelled(spark, sf)
-    m = models.fit_logistic(d.where("segment = 'train'"), FEATURES)
-    return _class_scores(m.transform(models.assemble(d, FEATURES)))
+    m = models.fit_logistic(d.where("segment = 'train'"), WIDE)
+    return _class_scores(m.transform(models.assemble(d, WIDE)))
 
 
 @query("class_probabilities")
 def class_probabilities(spark, sf):
     d = _labelled(spark, sf)
-    m = models.fit_logistic(d.where("segment = 'train'"), FEATURES)
-    out = m.transform(models.assemble(d, FEATURES)).withColumn("p", models.align_proba())
+    m = models.fit_logistic(d.where("segment = 'train'"), WIDE)
+    out = m.transform(models.assemble(d, WIDE)).withColumn("p", models.align_proba())
     return out.select("symbol", "ts", F.col("p")[0].alias("p_sell"), F.col("p")[1].alias("p_hold"), F.col("p")[2].alias("p_buy"))
 
 
 @query("boosted_classes")
 def boosted_classes(spark, sf):
     d = _labelled(spark, sf)
-    m = models.fit_boosted_classes(d.where("segment = 'train'"), FEATURES, max_iter=5)
-    out = m.transform(models.assemble(d, FEATURES)).withColumn("pred_class", F.col("prediction").cast("int"))
-    return metrics.class_metrics(out, ["segment"])
+    score = models.fit_boosted_classes(d.where("segment = 'train'"), WIDE, val=d.where("segment = 'val'"))
+    return metrics.class_metrics(score(d), ["segment"])
 
 
 @query("meta_model")
 def meta_model(spark, sf):
     """Trained on the validation part: was the ridge direction right?"""
     d = _segmented(spark, sf)
-    fit = models.fit_ridge(models.moments(d.where("segment = 'train'"), ["symbol"], FEATURES, "target"), ["symbol"], FEATURES, "target")
-    p = keep(models.predict_ridge(d, fit, ["symbol"], FEATURES)).withColumn(
+    fit = models.fit_ridge(models.moments(d.where("segment = 'train'"), ["symbol"], WIDE, "target"), ["symbol"], WIDE, "target")
+    p = keep(models.predict_ridge(d, fit, ["symbol"], WIDE)).withColumn(
         "meta_label", (F.signum("pred") == F.signum("target")).cast("int"))
-    score = models.fit_meta(p.where("segment = 'val'"), FEATURES)
+    score = models.fit_meta(p.where("segment = 'val'"), WIDE)
     return score(p.where("segment = 'test'")).select("symbol", "ts", "pred", "prob_correct")
 
 

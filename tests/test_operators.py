@@ -444,3 +444,25 @@ def test_crossed_thresholds_are_refused(frame):
     df = frame([("p", 0, 1.0)], "pair string, rn bigint, z double")
     with pytest.raises(Exception, match="leave is above entry"):
         pairs.add_positions(df, ["pair"], 1.0, 2.0).collect()
+
+
+def test_posts_count_for_their_own_symbol(frame, spark):
+    bars = bars_only(frame, 30)
+    symbol = bars.first()["symbol"]
+    days = [r["d"] for r in bars.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+    rows = [(s, dt.datetime.combine(d, dt.time(1)), t) for d in days for s, t in ((symbol, "good"), ("other", "bad"))]
+    posts = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, text string")
+    lexicon = {"good": 1.0, "bad": -1.0}
+    moods = {r["symbol"]: r["mood"] for r in social.daily_posts(posts, lexicon=lexicon).collect()}
+    assert moods[symbol] > 0 > moods["other"]
+    seen = social.add_social(bars, posts, lexicon=lexicon).agg(F.min("social_sentiment_avg"), F.max("social_sentiment_avg")).first()
+    assert seen[0] == 0.0 and seen[1] == moods[symbol]
+
+
+def test_boosted_classes_find_plain_bands(spark):
+    d = spark.range(300).select((F.col("id") % 30).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("z"))
+    d = d.withColumn("label", F.when(F.col("x") < 10, 0.0).when(F.col("x") < 20, 1.0).otherwise(2.0))
+    score = models.fit_boosted_classes(d, ["x", "z"], val=d, max_iter=8)
+    out = score(d)
+    assert out.columns == [*d.columns, "pred_class"]
+    assert out.where("pred_class <> label").count() == 0

@@ -3,8 +3,8 @@
 Two lines are alike when the sets of their 10-character shingles have a Jaccard similarity
 of 0.8 or more. Signatures use the shingles that begin a word (and those inside a run of
 more than 12 characters without a blank), a sample that depends on the text alone. Their hashes fall into six
-classes; the four smallest of a class are a band. Lines that share a band are compared on
-their full shingle sets, and links are closed by distributed union-find.
+classes; the four smallest of a class are a band. Alike lines that share a band are joined
+by links verified on their full shingle sets, and links are closed by distributed union-find.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ WIDTH = 10
 BANDS = 6
 PER_BAND = 4
 LIKE = 80  # per cent
-ROUNDS = 2
 # A word of up to 12 characters is stepped over whole, a longer run one character at a time.
 _STARTS = r"(?=(\S.{0,%d}+))\S(?:\S{0,11}+(?:\s++|$))?+" % (WIDTH - 1)
 _ALL = r"(?=(.{%d}))" % WIDTH
@@ -80,19 +79,19 @@ def signatures(documents: DataFrame) -> DataFrame:
                                          F.xxhash64(F.lit(1), "line").alias("chk"), "bands"))
 
 
-def fuzzy_links(documents: DataFrame, sigs: DataFrame, like: int = LIKE, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links (a, b) between ids of different lines.
+def fuzzy_links(documents: DataFrame, sigs: DataFrame, like: int = LIKE) -> DataFrame:
+    """Verified links (a, b) between ids of different lines that join every alike pair of a band.
 
-    In each band the member with the least id is the hub, found by a pre-aggregated minimum;
-    the others are compared with it only, so the work is linear in the size of a band. Those
-    it rejects elect a new hub in the next round.
+    In each band the line with the most company over all its bands is the hub; the others are
+    compared with it. What the hub does not settle is left to ``_links_around``, so the work
+    follows the size of a band and the pairs that may be alike, not the square of the band.
     """
     keys = sigs.select("lid", F.explode("bands").alias("key"))
-    hubs = keep(keys.groupBy("key").agg(F.min("lid").alias("hub"), F.max("lid").alias("top"))
-                .where("hub <> top").select("key", "hub"))
-    words = filter_words(hubs.count())
-    shared = might_hold(keys, F.col("key"), bloom(hubs, F.col("key"), words), words, "_in").where("_in").drop("_in")
-    members = keep(shared.join(hubs, "key").select("key", "lid", "hub").distinct())
+    shared = keep(keys.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"))
+                  .where("lo <> hi").select("key"))
+    words = filter_words(shared.count())
+    near = might_hold(keys, F.col("key"), bloom(shared, F.col("key"), words), words, "_in").where("_in").drop("_in")
+    members = keep(near.join(shared, "key").select("key", "lid").distinct())
     wanted = members.select("lid").distinct()
     words = filter_words(wanted.count())
     texts = (
@@ -102,25 +101,73 @@ def fuzzy_links(documents: DataFrame, sigs: DataFrame, like: int = LIKE, rounds:
     )
     texts = might_hold(texts, F.col("lid"), bloom(wanted, F.col("lid"), words), words, "_in").where("_in")
     texts = keep(texts.select("lid", "line").dropDuplicates(["lid"]).join(wanted, "lid"))
-    found = None
-    for _ in range(rounds):
-        pairs = members.where("lid <> hub").select("lid", "hub").distinct()
-        links = keep(_verified(pairs, texts, like))
-        found = links if found is None else found.union(links)
-        rest = members.where("lid <> hub").join(
-            links.select(F.col("a").alias("lid"), F.col("b").alias("hub")), ["lid", "hub"], "left_anti"
-        ).select("key", "lid")
-        rest = keep(rest)
-        hubs = rest.groupBy("key").agg(F.min("lid").alias("hub"), F.max("lid").alias("top")).where("hub <> top")
-        members = rest.join(hubs.select("key", "hub"), "key")
-    return found
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
+    company = members.join(sizes, "key").groupBy("lid").agg(F.sum("m").alias("company"))
+    first = F.min(F.struct((-F.col("company")).alias("c"), F.col("lid").alias("lid")))
+    hubs = members.join(company, "lid").groupBy("key").agg(first.alias("first")).select("key", F.col("first.lid").alias("hub"))
+    pairs = keep(members.join(hubs, "key").where("lid <> hub").select("lid", "hub").distinct())
+    links = keep(_verified(pairs, texts, like))
+    linked = pairs.join(links.select(F.col("a").alias("lid"), F.col("b").alias("hub"), F.lit(True).alias("linked")),
+                        ["lid", "hub"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    linked = keep(linked)
+    open_hubs = linked.groupBy("hub").agg(F.count("*").alias("m"), F.bool_and("linked").alias("done")).where("m > 1 and not done")
+    return links.union(_links_around(linked.join(open_hubs.select("hub"), "hub"), texts, like))
+
+
+def _links_around(pairs: DataFrame, texts: DataFrame, like: int) -> DataFrame:
+    """Verified links between lines around one hub; ``pairs`` are (lid, hub, linked).
+
+    Two lines that are both linked to the hub need no link of their own. Let D be the shingles
+    in which a line differs from the hub. A line the hub rejects shares some of its D with any
+    line alike to it, at least as many as the sizes imply, or both would be further apart than
+    alike lines can be. So lines are joined on a prefix of D, the rarest around the hub first;
+    what only one line has joins nothing. Names of shingles are hashes and only choose the
+    candidates: equal shingles have equal names, so no pair is left out.
+    """
+    names = lambda s: F.transform(s, lambda x: F.xxhash64(x))
+    sets = F.array(F.struct(_shingles(F.col("x")).alias("s"), _shingles(F.col("y")).alias("t")))
+    parts = F.transform(sets, lambda p: F.struct(
+        F.size(p.s).alias("nx"), names(F.array_except(p.s, p.t)).alias("more"), names(F.array_except(p.t, p.s)).alias("less")))
+    both = _with_texts(pairs, texts).select("lid", "hub", "linked", F.inline(parts))
+    apart = keep(both.select("lid", "hub", "linked", "nx", F.size("more").alias("ins"), F.size("less").alias("del"),
+                             F.concat("more", "less").alias("d")))
+    each = apart.withColumn("d", F.explode("d"))
+    common = each.groupBy("hub", "d").agg(F.count("*").alias("n"), F.bool_and("linked").alias("done")).where("n > 1 and not done")
+    rows = each.join(common.select("hub", "d", "n"), ["hub", "d"])
+    rows = rows.groupBy("lid", "hub", "linked", "nx", "ins", "del").agg(F.sort_array(F.collect_list(F.struct("n", "d"))).alias("ds"))
+    # What joins nothing comes before the rest, so positions count it; its order there is free.
+    nd = F.col("ins") + F.col("del")
+    far = nd - F.floor(F.col("nx") * (100 - like) / like).cast("int")
+    close = F.ceil(nd * like / (100 + like) - 1e-9).cast("int")
+    least = F.greatest(F.lit(1), far, F.when(F.col("linked"), close).otherwise(0))
+    spread = rows.select("lid", "hub", "linked", "nx", "ins", "del", least.alias("least"), (nd - F.size("ds")).alias("alone"),
+                         F.posexplode("ds").alias("at", "one"))
+    spread = spread.withColumn("at", F.col("at") + F.col("alone")).where(F.col("at") <= nd - F.col("least"))
+    spread = keep(spread.select("hub", F.col("one.d").alias("d"), "lid", "linked", "nx", "ins", "del", "at"))
+    right = spread.select("hub", "d", *[F.col(c).alias(c + "2") for c in ("lid", "linked", "nx", "ins", "del", "at")])
+    nd2 = F.col("ins2") + F.col("del2")
+    # Twice the differences that an alike pair shares, at least; the first of them has the others behind it.
+    twice = nd + nd2 - F.floor((F.col("nx") + F.col("nx2")) * (100 - like) / (100 + like))
+    fits = (
+        (F.col("lid") != F.col("lid2")) & (F.col("linked2") | (F.col("lid") < F.col("lid2")))
+        & (F.least("nx", "nx2") * 100 >= F.greatest("nx", "nx2") * like)
+        & (F.least(nd - F.col("at"), nd2 - F.col("at2")) * 2 >= twice)
+        & ((F.least("ins", "ins2") + F.least("del", "del2")) * 2 >= twice)
+    )
+    met = spread.where("not linked").join(right, ["hub", "d"]).where(fits)
+    more = keep(met.select("lid", F.col("lid2").alias("hub")).distinct())
+    return keep(_verified(more, texts, like))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, like: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the similarity."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (lid, hub) with their lines x and y."""
     a = texts.select("lid", F.col("line").alias("x"))
     b = texts.select(F.col("lid").alias("hub"), F.col("line").alias("y"))
-    both = pairs.join(a, "lid").join(b, "hub")
+    return pairs.join(a, "lid").join(b, "hub")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, like: int) -> DataFrame:
+    """Pairs whose full shingle sets reach the similarity."""
     # Lambda arguments are computed once; plain columns would be copied into the filter.
     alike = F.exists(
         F.array(F.struct(_shingles(F.col("x")).alias("s"), _shingles(F.col("y")).alias("t"))),
@@ -129,10 +176,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, like: int) -> DataFrame:
             lambda same: same * 100 >= F.lit(like) * (F.size(p.s) + F.size(p.t) - same),
         ),
     )
-    return both.where(alike).select(F.col("lid").alias("a"), F.col("hub").alias("b"))
+    return _with_texts(pairs, texts).where(alike).select(F.col("lid").alias("a"), F.col("hub").alias("b"))
 
 
-def dedup_lines(documents: DataFrame, like: int = LIKE, rounds: int = ROUNDS) -> DataFrame:
+def dedup_lines(documents: DataFrame, like: int = LIKE) -> DataFrame:
     """All columns of ``documents`` with later copies of lines taken out of ``text``.
 
     Adds n_lines and n_dropped (long). Of each component of equal or alike lines, over the
@@ -144,7 +191,7 @@ def dedup_lines(documents: DataFrame, like: int = LIKE, rounds: int = ROUNDS) ->
     columns stay, except that n_lines and n_dropped are replaced.
     """
     sigs = signatures(documents)
-    roots = components(fuzzy_links(documents, sigs, like, rounds))
+    roots = components(fuzzy_links(documents, sigs, like))
     where = sigs.select("dk", "th", "pos", "lid", "chk")
     # The id of a linked line is its root; any other line stands for itself by two hashes.
     grouped = where.join(roots.withColumnRenamed("node", "lid"), "lid", "left").select(

@@ -216,6 +216,53 @@ def test_fuzzy_lines_keep_one_of_each(frame):
         assert out[3 * i]["text"] == texts[3 * i] and out[3 * i + 2]["text"] == f"more {i}"
 
 
+def line_sets(all_lines):
+    return [{x[i : i + lines.WIDTH] for i in range(max(1, len(x) - lines.WIDTH + 1))} for x in all_lines]
+
+
+@pytest.mark.parametrize("n, edits", [(300, 2), (300, 3), (200, 4)])
+def test_edits_of_one_line_are_grouped_like_brute_force(spark, frame, n, edits):
+    """Alike pairs that share a band are all joined, whatever the size of the band."""
+    r = random.Random(n + edits)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 8)))
+    base, texts = [word() for _ in range(60)], []
+    for _ in range(n):
+        w = list(base)
+        for at in r.sample(range(60), edits):
+            w[at] = word()
+        texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    docs = docs_of(frame, texts)
+    sigs = lines.signatures(docs)
+    rows = sigs.select("dk", "lid", "bands").collect()
+    sets, bands = line_sets(texts), {g["dk"]: set(g["bands"]) for g in rows}
+    at = {g["lid"]: g["dk"] for g in rows}
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if bands[i] & bands[j] and same * 100 >= 80 * (len(sets[i]) + len(sets[j]) - same):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {}
+    links = lines.fuzzy_links(docs, sigs).collect()
+    for a, b in links:
+        same = len(sets[at[a]] & sets[at[b]])
+        assert same * 100 >= 80 * (len(sets[at[a]]) + len(sets[at[b]]) - same)
+    for g in components.components(spark.createDataFrame(links, "a long, b long")).collect():
+        got.setdefault(g["root"], set()).add(at[g["node"]])
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(find(i), set()).add(i)
+    # A link over another hub may join more than one band alone does, never less.
+    assert all(any(c <= d for d in got.values()) for c in want.values() if len(c) > 1)
+
+
 def test_lines_of_odd_rows(frame):
     docs = odd(frame)
     got = lines.dedup_lines(docs)

@@ -20,9 +20,10 @@ WIDTH = 10
 BANDS = 6
 PER_BAND = 4
 LIKE = 80  # per cent
+# Lines end at \n only, so a dot must match \r, NEL and U+2028 as well.
 # A word of up to 12 characters is stepped over whole, a longer run one character at a time.
-_STARTS = r"(?=(\S.{0,%d}+))\S(?:\S{0,11}+(?:\s++|$))?+" % (WIDTH - 1)
-_ALL = r"(?=(.{%d}))" % WIDTH
+_STARTS = r"(?s)(?=(\S.{0,%d}+))\S(?:\S{0,11}+(?:\s++|$))?+" % (WIDTH - 1)
+_ALL = r"(?s)(?=(.{%d}))" % WIDTH
 _NO_ID = -(2**63)
 
 

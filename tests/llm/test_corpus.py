@@ -263,6 +263,18 @@ def test_edits_of_one_line_are_grouped_like_brute_force(spark, frame, n, edits):
     assert all(any(c <= d for d in got.values()) for c in want.values() if len(c) > 1)
 
 
+@pytest.mark.parametrize("sign", ["\r", "\x85", "\u2028", "\u2029"])
+def test_shingles_go_across_signs_that_do_not_end_lines(frame, sign):
+    short, long = [f"a1{sign}b2{sign}c3{sign}d4", f"a1{sign}x7{sign}y8{sign}z9"], sign.join(f"word{i}" for i in range(12))
+    rows = frame([(i, x) for i, x in enumerate([*short, long])], "i int, line string", 1)
+    got = rows.select("i", lines._shingles(F.col("line")).alias("s")).collect()
+    assert {g["i"]: set(g["s"]) for g in got} == dict(enumerate(line_sets([*short, long])))
+    bands = {g["i"]: g["bands"] for g in lines._with_bands(rows).collect()}
+    assert all(bands.values())
+    out = lines.dedup_lines(docs_of(frame, short)).collect()
+    assert sorted(g["text"] for g in out) == sorted(short)
+
+
 def test_lines_of_odd_rows(frame):
     docs = odd(frame)
     got = lines.dedup_lines(docs)

@@ -71,15 +71,16 @@ def covered(spans) -> int:
 def _blocks(benchmark: DataFrame, most_chars: int):
     """The items in parts of bounded size, each part a list on the driver for one pass.
 
-    The parts are disjoint ranges of item ids' hashes; they are read one after the other.
+    The parts are disjoint ranges of item ids' hashes, or of the texts' where an id is null;
+    they are read one after the other.
     """
     size = F.coalesce(F.char_length("text"), F.lit(0)) + 16
-    items = keep(benchmark.where("item_id is not null").select(
+    items = keep(benchmark.select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"), size.alias("size")))
     total = items.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-2 * total // most_chars)) if total > most_chars else 1
     for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        own = items.where(F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(parts)) == part)
         rows = [(r.item_id, letter_words(bytes(r.text) if r.text else None)) for r in own.toLocalIterator()]
         rows = [r for r in rows if r[1]]
         if rows:
@@ -107,8 +108,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. n_hit counts words
     inside any occurrence of an item's window of ``width`` words; an item with fewer words is
-    one window. Null or empty texts have no words; items without words or id never occur.
-    Repeated rows each get a row; items that share an id are one item. Extra columns stay,
+    one window. Null or empty texts have no words; items without words never occur.
+    Repeated rows each get a row; items that share an id are one item. Items without an id count
+    for n_hit and are one item in n_items; ``items`` leaves them out. Extra columns stay,
     except that the four added names are replaced. Empty tables give no row or no hit.
 
     A benchmark over ``most_chars`` is taken in blocks of bounded size, each with its own pass
@@ -118,7 +120,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     blocks = _blocks(benchmark, most_chars)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        return _one_pass(own, first, width).drop("_spans")
+        return _one_pass(own, first, width).drop("_spans").withColumn("items", F.array_compact("items"))
     key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("_dk"), F.xxhash64("text").alias("_th")]
     found = None
     for rows in itertools.chain([first, second], blocks):
@@ -137,7 +139,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
                               F.greatest(a.to, x.e).alias("to")), lambda a: a.n)
     items = F.sort_array(F.coalesce("items", F.array().cast("array<string>")))
     return rows.select(*own.columns, "n_words", reach.cast("long").alias("n_hit"),
-                       F.size(items).cast("long").alias("n_items"), items.alias("items"))
+                       F.size(items).cast("long").alias("n_items"), F.array_compact(items).alias("items"))
 
 
 def _one_pass(documents: DataFrame, items: list[tuple[str, list[bytes]]], width: int) -> DataFrame:
@@ -154,7 +156,7 @@ def _one_pass(documents: DataFrame, items: list[tuple[str, list[bytes]]], width:
             for text in batch.column(at).cast(pa.binary()):
                 words = letter_words(text.as_py())
                 spans, ids = index.value.occurrences(words)
-                row = (len(words), covered(spans), len(ids), sorted(ids), [{"s": s, "e": e} for s, e in spans])
+                row = (len(words), covered(spans), len(ids), sorted(ids, key=lambda i: (i is None, i or "")), [{"s": s, "e": e} for s, e in spans])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             new = [pa.array(c, t.type) for c, t in zip(cols, added, strict=True)]

@@ -191,6 +191,18 @@ def test_contamination_matches_brute_force(frame, most_chars):
 
 
 def test_contamination_of_odd_rows(frame):
+@pytest.mark.parametrize("most_chars", [10**6, 60])
+def test_items_without_id_contaminate(frame, most_chars):
+    items = [(None, "alpha beta gamma delta"), (None, "one two three four"), (7, "red green blue grey"), (8, "no such words here")]
+    texts = ["x alpha beta gamma delta y", "one two three four alpha beta gamma delta", "red green blue grey one two three four", "clean"]
+    bench, docs = frame(items, "item_id bigint, text string"), docs_of(frame, texts)
+    got = {g["doc_id"]: g for g in decontam.contamination(docs, bench, 4, most_chars).collect()}
+    assert [got[i]["n_hit"] for i in range(4)] == [4, 8, 8, 0]
+    assert [got[i]["n_items"] for i in range(4)] == [1, 1, 2, 0]
+    assert [got[i]["items"] for i in range(4)] == [[], [], ["7"], []]
+    assert [r["doc_id"] for r in decontam.clean_documents(docs, bench, 4).collect()] == [3]
+
+
     none = frame([], "item_id bigint, text string", 1)
     assert decontam.contamination(odd(frame), none).where("n_hit = 0").count() == 12
     assert decontam.clean_documents(odd(frame), none).columns == odd(frame).columns

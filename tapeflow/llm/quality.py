@@ -171,9 +171,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Trees:
-    """Trees from labelled documents that are not held out, at most about ``most`` of them.
+    """Trees from labelled documents that are not held out, at most about ``most`` rows of them.
 
-    Beyond that a share of the ids, chosen by a hash, is used. Null labels are ignored; a
+    Beyond that a share of the ids, chosen by a hash, is used. Rows with the same id and text
+    are one row; where ids have several texts, the bound holds for the rows of the chosen ids
+    as well. Null labels are ignored; a
     document with several labels counts as 0 if any is 0. Only documents that may be in the
     sample are read through, found by a bounded filter.
     """
@@ -184,16 +186,21 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Trees:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
     known = keep(known)
     words = filter_words(min(n, most))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("th"))
     key = F.xxhash64("doc_id")
-    docs = might_hold(docs, key, bloom(known, key, words), words, "_in").where("_in").select("doc_id", "text")
+    docs = might_hold(docs, key, bloom(known, key, words), words, "_in").where("_in").select("doc_id", "text", "th")
 
     def run(batches):
         for batch in batches:
             rows = [statistics(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "th", "x"])
 
-    t = docs.mapInArrow(run, "doc_id long, x array<double>").join(known, "doc_id").select("doc_id", "x", "y").toArrow()
+    rows = docs.mapInArrow(run, "doc_id long, th long, x array<double>").dropDuplicates(["doc_id", "th"])
+    rows = keep(rows.join(known, "doc_id"))
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64("th", "doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    t = rows.select("doc_id", "x", "y").toArrow()
     x = np.array(t.column("x").to_pylist(), np.float64).reshape(-1, len(STATISTICS))
     y = t.column("y").to_numpy().astype(np.float64)
     order = np.lexsort((*x.T[::-1], t.column("doc_id").to_numpy()))  # the same trees whatever order rows came in

@@ -472,6 +472,22 @@ def test_stages_hold_on_their_own_input(spark):
         assert set(after) <= set(before)
         if name != "mixing to target weights":
             assert out.columns == docs.columns and after
+def test_repeated_rows_of_an_id_are_learned_once(frame, monkeypatch):
+    texts = [f"some text number {i} " * (i % 7 + 1) for i in range(40)]
+    docs = docs_of(frame, texts)
+    labels = frame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: sizes.append(len(x)))
+    learned = next(i for i in range(40) if docs.where(F.col("doc_id") == i).where(~quality.held_out(F.col("doc_id"))).count())
+    quality.train(docs, labels)
+    one = docs.where(F.col("doc_id") == learned)
+    quality.train(docs.union(one.crossJoin(frame([(i,) for i in range(300)], "i int")).select(docs.columns)), labels)
+    assert sizes[0] == sizes[1] <= 40
+    many = one.crossJoin(frame([(i,) for i in range(300)], "i int")).withColumn("text", F.concat("text", "i")).select(docs.columns)
+    quality.train(docs.union(many), labels, 50)
+    assert 25 <= sizes[2] <= 80
+
+
         if name == "n-gram Jaccard join":
             sets = [shingles(t, 5) for t in after.values()]
             sets = [s for s in sets if s]

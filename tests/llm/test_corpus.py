@@ -1,5 +1,6 @@
 """Corpus operators against plain loops, round trips and odd inputs."""
 
+import base64
 import gzip
 import hashlib
 import pathlib
@@ -190,7 +191,6 @@ def test_contamination_matches_brute_force(frame, most_chars):
         assert (g["n_words"], g["n_hit"], g["items"]) == brute_hits(texts[g["doc_id"]], items, 4)
 
 
-def test_contamination_of_odd_rows(frame):
 @pytest.mark.parametrize("most_chars", [10**6, 60])
 def test_items_without_id_contaminate(frame, most_chars):
     items = [(None, "alpha beta gamma delta"), (None, "one two three four"), (7, "red green blue grey"), (8, "no such words here")]
@@ -203,6 +203,7 @@ def test_items_without_id_contaminate(frame, most_chars):
     assert [r["doc_id"] for r in decontam.clean_documents(docs, bench, 4).collect()] == [3]
 
 
+def test_contamination_of_odd_rows(frame):
     none = frame([], "item_id bigint, text string", 1)
     assert decontam.contamination(odd(frame), none).where("n_hit = 0").count() == 12
     assert decontam.clean_documents(odd(frame), none).columns == odd(frame).columns
@@ -382,6 +383,18 @@ def test_salvage_recovers_what_follows_damage():
         assert gaps == [(offsets[2], offsets[3]), (offsets[4], offsets[4] + 4), (offsets[5] + 4, len(data))]
 
 
+@pytest.mark.parametrize("form", [lambda d: d.hex(), lambda d: d.hex().upper(), lambda d: base64.b32encode(d).decode().lower()])
+def test_salvage_takes_digests_of_other_writers(form):
+    block = b"HTTP/1.1 200 OK\r\n\r\npage"
+
+    def rec(digest):
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Block-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (
+            digest.encode(), len(block), block)
+
+    good, wrong = form(hashlib.sha1(block).digest()), form(hashlib.sha1(b"other").digest())
+    assert [x[0] for x in warc.salvage(rec(good) + rec(wrong) + rec("zz") + rec(good))] == ["record", "gap", "record"]
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_archives_round_trip(spark, frame, tmp_path, compress):
     rows = [(1, "http://a/", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u", "\r\n\r\nWARC/1.1\r\n\r\n" * 5), (None, "u", "n")]
@@ -459,19 +472,6 @@ def test_quality_on_held_out_rows(spark, frame):
     assert quality.train(docs.limit(0), labels.limit(0)).score(__import__("numpy").zeros((1, 29))).tolist() == [0.5]
 
 
-# --- the pipeline ----------------------------------------------------------------------------
-
-def test_stages_hold_on_their_own_input(spark):
-    from tapeflow.plans.tables import keep
-
-    docs = shared.read(spark, SF, "documents")
-    items = [(r["item_id"], r["text"]) for r in shared.read(spark, SF, "benchmark").collect()]
-    for name, stage in corpus_pipeline.STAGES:
-        out = keep(stage(spark, docs, SF))
-        before, after = ({r["doc_id"]: r["text"] for r in d.collect()} for d in (docs, out))
-        assert set(after) <= set(before)
-        if name != "mixing to target weights":
-            assert out.columns == docs.columns and after
 def test_repeated_rows_of_an_id_are_learned_once(frame, monkeypatch):
     texts = [f"some text number {i} " * (i % 7 + 1) for i in range(40)]
     docs = docs_of(frame, texts)
@@ -488,6 +488,19 @@ def test_repeated_rows_of_an_id_are_learned_once(frame, monkeypatch):
     assert 25 <= sizes[2] <= 80
 
 
+# --- the pipeline ----------------------------------------------------------------------------
+
+def test_stages_hold_on_their_own_input(spark):
+    from tapeflow.plans.tables import keep
+
+    docs = shared.read(spark, SF, "documents")
+    items = [(r["item_id"], r["text"]) for r in shared.read(spark, SF, "benchmark").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        out = keep(stage(spark, docs, SF))
+        before, after = ({r["doc_id"]: r["text"] for r in d.collect()} for d in (docs, out))
+        assert set(after) <= set(before)
+        if name != "mixing to target weights":
+            assert out.columns == docs.columns and after
         if name == "n-gram Jaccard join":
             sets = [shingles(t, 5) for t in after.values()]
             sets = [s for s in sets if s]

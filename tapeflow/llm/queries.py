@@ -7,16 +7,19 @@ import sys
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapeflow.llm import chat, decontam, exact, lines, mixing, partenum, quality, urls, warc, wordpiece
+from tapeflow.llm import chat, decontam, exact, lines, mixing, partenum, pieces, quality, repair, runs, urls, warc, wordpiece
 from tapeflow.llm.shared import read
 from tapeflow.sources.store import scratch_folder
 
 #: A public vocabulary with word-final pieces; see the README of that folder.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+#: A public model of merged pieces with byte pieces.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 _ROOT = str(pathlib.Path(__file__).resolve().parents[2])
@@ -180,4 +183,69 @@ def op10_quality(spark, sf_dir):
     return quality.quality_scores(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return pieces.digest(pieces.encode_documents(docs, pieces.load_model(PIECES)))
+
+
+def _plus(v: str, cost: str, edit: str, line: str = "''") -> str:
+    """A state's value is its cost in six digits, its audit, a mark, its rows: least() compares costs, then audits."""
+    return (f"lpad((left({v}, 6)::INT + {cost})::VARCHAR, 6, '0') || split_part(substr({v}, 7), chr(1), 1) || '{edit}' || chr(1) || "
+            f"substr({v}, instr({v}, chr(1)) + 1) || {line}")
+
+
+_BEFORE_USER = "least(s0, s1, s3)"
+_SAYS = "|| ':' || text || chr(10)"
+
+
+def _inserted(rows: str) -> str:
+    """States after a row (s0 s1 k2 k3) with the insertions that may follow."""
+    return f"""SELECT conv_id, i, s0, s1, s2, least(k3, {_plus('s2', '5', 'I', "'assistant:' || chr(10)")}) AS s3 FROM (
+    SELECT *, least(k2, {_plus('least(s0, s1, k3)', '5', 'I', "'user:' || chr(10)")}) AS s2 FROM ({rows}))"""
+
+
+@query("op12_conversation_repair", rf"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT src.*, xor(list_reduce([4294967295] || list_transform(range(1, length(k) + 1), lambda j: ascii(substr(k, j, 1))::BIGINT),
+    lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) % 20 AS way FROM src, tab),
+d AS (SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN
+    regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE way WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE way <> 0),
+o AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS c,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again FROM d)),
+a AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND prev || c NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id),
+r AS ({_inserted("SELECT conv_id, 0::BIGINT AS i, '000000' || chr(1) AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS k2, NULL::VARCHAR AS k3 FROM a")}
+  UNION ALL {_inserted(f'''SELECT r.conv_id, o.i, {_plus("s0", "2", "D")} AS s0,
+    least({_plus("s1", "2", "D")}, CASE WHEN kept AND c = 's' THEN {_plus("s0", "m", "K", "role " + _SAYS)} END) AS s1,
+    least({_plus("s2", "2", "D")}, CASE WHEN kept AND c = 'u' THEN {_plus(_BEFORE_USER, "m", "K", "role " + _SAYS)} END,
+      CASE WHEN kept THEN {_plus(_BEFORE_USER, "(1 + m)", "R", "'user' " + _SAYS)} END) AS k2,
+    least({_plus("s3", "2", "D")}, CASE WHEN kept AND c = 'a' THEN {_plus("s2", "m", "K", "role " + _SAYS)} END,
+      CASE WHEN kept THEN {_plus("s2", "(1 + m)", "R", "'assistant' " + _SAYS)} END) AS k3
+    FROM r JOIN (SELECT *, fault IN ('', 'truncated') AS kept, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS m FROM o) o
+      ON o.conv_id IS NOT DISTINCT FROM r.conv_id AND o.i = r.i + 1''')}),
+g AS (SELECT a.*, least(s0, s3) AS v FROM a JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = a.n),
+z AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(v, 6)::BIGINT, 0) AS cost,
+  coalesce(split_part(substr(v, 7), chr(1), 1), '') AS audit,
+  sha256(coalesce(regexp_replace(substr(v, instr(v, chr(1)) + 1), '\n\z', ''), '')) AS repaired_sha256
+FROM z LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id""")
+def op12_conversation_repair(spark, sf_dir):
+    own = read(spark, sf_dir, "conversations")
+    return repair.summary(repair.repair(repair.damage(own)), own)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    return runs.summary(runs.find_runs(runs.with_loops(read(spark, sf_dir, "documents"))))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -12,6 +12,7 @@ from tapeflow.functions import book as ob
 from tapeflow.functions.numeric import div, zero_fill
 from tapeflow.functions.rolling import add_ema, ema_reach, ema_span_limit, roll_zscore
 from tapeflow.operators.asof import asof_join
+from tapeflow.plans.ranges import RANGE, ranged
 from tapeflow.plans.slices import RN, number_rows, over_slices, rn_bucket, running, time_bucket
 
 
@@ -58,14 +59,14 @@ def signals(books: DataFrame, rules: BookRules = BOOK) -> DataFrame:
 
 def add_hysteresis(
     df: DataFrame, value: str, out: str = "state", keys: Sequence[str] = ("symbol",),
-    rules: BookRules = BOOK, rows: int = 16384,
+    rules: BookRules = BOOK, rows: int = 16384, given: str | None = None,
 ) -> DataFrame:
     """Enter a directional state past ``enter``, keep it until inside ``leave``.
 
     A value beyond +/-enter or within +/-leave fixes the state whatever came before.
     In between, a state survives only if no value on the other side followed the
     fixing one. So the state needs three "last seen" positions, which carry over
-    slices. Needs ``rn``.
+    slices. Needs ``rn``. A row's ``given`` state, if any, holds whatever its value.
     """
     v = F.col(value)
     fixed = (
@@ -73,6 +74,9 @@ def add_hysteresis(
         .when(v < -rules.enter, F.lit(-1))
         .when(F.abs(v) <= rules.leave, F.lit(0))
     )
+    if given is not None:
+        code = F.when(F.col(given) == "BUY PRESSURE", 1).when(F.col(given) == "SELL PRESSURE", -1)
+        fixed = F.when(F.col(given).isNotNull(), F.coalesce(code, F.lit(0))).otherwise(fixed)
     soft_up = (v > rules.leave) & (v <= rules.enter)
     soft_down = (v < -rules.leave) & (v >= -rules.enter)
     at = F.col(RN)
@@ -93,32 +97,35 @@ def add_hysteresis(
     return df.withColumn(out, state).drop("_fix", "_up", "_down")
 
 
-def track(signal_rows: DataFrame, rules: BookRules = BOOK, days: float = 1.0) -> DataFrame:
+def track(signal_rows: DataFrame, rules: BookRules = BOOK, rows: int = 16384, given: str | None = None) -> DataFrame:
     """The tracker over a history: smoothed imbalance and sticky state per symbol.
 
     Unreliable snapshots read THIN BOOK, keep the last smoothed value and change
-    nothing. ``days`` bounds how many snapshots one task orders.
+    nothing. One task orders about ``rows`` snapshots, whatever share of them one symbol or
+    one day holds. ``given`` names a column with the state a row is known to have, see
+    ``add_hysteresis``. Pass a stored table.
     """
     keys = ["symbol"]
-    bucket = time_bucket(F.col("ts"), days)
+    signal_rows = ranged(signal_rows, keys, ["ts"], rows).drop("_at")
+    state = [] if given is None else [given]
     solid = number_rows(
-        signal_rows.where(F.col("reliable")).select("symbol", "ts", "imbalance"),
-        keys, ["ts"], bucket,
-    )
+        signal_rows.where(F.col("reliable")).select("symbol", "ts", "imbalance", RANGE, *state),
+        keys, ["ts"], F.col(RANGE),
+    ).drop(RANGE)
     back = ema_reach(rules.alpha) if rules.alpha < 1 else 1
-    rows = max(ema_span_limit(rules.alpha) - back - 1, 1) if rules.alpha < 1 else 16384
+    span = max(ema_span_limit(rules.alpha) - back - 1, 1) if rules.alpha < 1 else 16384
 
     def smooth(df: DataFrame, w: WindowSpec) -> DataFrame:
         if rules.alpha == 1:
             return df.withColumn("ema", F.col("imbalance"))
         return add_ema(df, w, "imbalance", "ema", rules.alpha)
 
-    solid = over_slices(solid, keys, [smooth], back, rows=rows)
-    solid = add_hysteresis(solid, "ema", "held", keys, rules)
+    solid = over_slices(solid, keys, [smooth], back, rows=span)
+    solid = add_hysteresis(solid, "ema", "held", keys, rules, given=given)
     joined = signal_rows.withColumnRenamed("imbalance", "raw_imbalance").join(
         solid.select("symbol", "ts", "ema", "held"), ["symbol", "ts"], "left"
     )
-    known = running(joined, keys, ["ts"], bucket, {"_ema": ("last", F.col("ema"))})
+    known = running(joined, keys, ["ts"], F.col(RANGE), {"_ema": ("last", F.col("ema"))})
     ok = F.col("reliable")
     return known.withColumns(
         {
@@ -127,7 +134,7 @@ def track(signal_rows: DataFrame, rules: BookRules = BOOK, days: float = 1.0) ->
             "imbalance": F.round(F.coalesce("_ema", F.lit(0.0)), 4),
             "confidence": F.when(ok, F.round(ob.confidence(F.col("ema")), 1)).otherwise(0.0),
         }
-    ).drop("ema", "held", "_ema")
+    ).drop("ema", "held", "_ema", RANGE)
 
 
 def bar_spans(bars: DataFrame, rows: int = 16384) -> DataFrame:

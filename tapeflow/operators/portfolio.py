@@ -6,26 +6,24 @@ order of trades at the same time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.numeric import div
 from tapeflow.functions.times import seconds_between
-from tapeflow.plans.slices import running, time_bucket
+from tapeflow.plans.ranges import RANGE, ROWS, ranged
+from tapeflow.plans.slices import running
+from tapeflow.plans.tables import keep
 
 EPS = 1e-12
 _KEY = ["symbol"]
 
 
-def _quantity_bucket(per_bucket: float) -> Column:
-    return F.floor(F.col("edge") / F.lit(per_bucket)).cast("long")
-
-
-def with_running_quantity(trades: DataFrame, days: float = 7.0) -> DataFrame:
-    """Bought and sold so far per symbol, each trade included. One task orders a symbol's trades of ``days``."""
+def with_running_quantity(trades: DataFrame, rows: int = ROWS) -> DataFrame:
+    """Bought and sold so far per symbol, each trade included. One task orders about ``rows`` trades."""
     qty = F.col("qty")
     return running(
-        trades, _KEY, ["ts", "seq"], time_bucket(F.col("ts"), days),
+        ranged(keep(trades), _KEY, ["ts", "seq"], rows).drop("_at"), _KEY, ["ts", "seq"], F.col(RANGE),
         {
             "bought": ("sum", F.when(F.col("side") == "BUY", qty).otherwise(0.0)),
             "sold": ("sum", F.when(F.col("side") == "SELL", qty).otherwise(0.0)),
@@ -41,12 +39,13 @@ def oversold(run: DataFrame) -> DataFrame:
     )
 
 
-def _lots(run: DataFrame, per_bucket: float) -> DataFrame:
+def _lots(run: DataFrame, rows: int) -> DataFrame:
     """Quantity pieces with the buy that supplies and the sell (if any) that takes each.
 
     Buys and sells are laid on one quantity axis. Every trade ends at an edge; the
     piece below an edge belongs to the first buy and the first sell ending at or
-    beyond it, which is a "next known" value walking the axis from the top.
+    beyond it, which is a "next known" value walking the axis from the top. The axis is cut
+    where the edges are, so a symbol of very many tiny trades gets more ranges, not longer ones.
     """
     info = F.struct(
         "ts", "price", F.coalesce(div(F.col("fee"), F.col("qty")), F.lit(0.0)).alias("unit_fee"), "signal"
@@ -57,7 +56,7 @@ def _lots(run: DataFrame, per_bucket: float) -> DataFrame:
     edge = F.round(F.when(is_buy, F.col("bought")).otherwise(F.col("sold")), 9)
     edges = run.select("symbol", edge.alias("edge"), is_buy.alias("_is_buy"), info.alias("_trade"))
     known = running(
-        edges, _KEY, ["edge", "_is_buy"], _quantity_bucket(per_bucket),
+        ranged(edges, _KEY, ["edge", "_is_buy"], rows).drop("_at"), _KEY, ["edge", "_is_buy"], F.col(RANGE),
         {
             "buy": ("next", F.when(F.col("_is_buy"), F.col("_trade"))),
             "sell": ("next", F.when(~F.col("_is_buy"), F.col("_trade"))),
@@ -65,15 +64,16 @@ def _lots(run: DataFrame, per_bucket: float) -> DataFrame:
         },
     )
     piece = F.col("edge") - F.coalesce("_from", F.lit(0.0))
-    return known.withColumn("qty", piece).where((F.col("qty") > EPS) & F.col("buy").isNotNull())
+    return known.drop(RANGE).withColumn("qty", piece).where((F.col("qty") > EPS) & F.col("buy").isNotNull())
 
 
-def match_fifo(run: DataFrame, per_bucket: float = 1.0e6) -> tuple[DataFrame, DataFrame]:
+def match_fifo(run: DataFrame, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Closed lots and open lots from trades with running quantities.
 
-    Symbols that oversell must be removed first, see ``without_oversold``.
+    Symbols that oversell must be removed first, see ``without_oversold``. ``rows`` trades, about, are
+    ordered by one task. Pass a stored table.
     """
-    lots = _lots(run, per_bucket)
+    lots = _lots(run, rows)
     buy_cols = [
         F.col("buy.ts").alias("buy_ts"), F.col("buy.price").alias("buy_price"),
         F.col("buy.signal").alias("buy_signal"),
@@ -105,8 +105,15 @@ def with_lot_results(closed: DataFrame) -> DataFrame:
 
 
 def without_oversold(run: DataFrame) -> DataFrame:
-    """Trades of symbols that never oversell; the reject side is one row per bad symbol."""
-    return run.join(oversold(run).select("symbol"), "symbol", "left_anti")
+    """Trades of symbols that never oversell.
+
+    A symbol is judged on its ranges' worst gaps, and the verdict goes back by range, so a busy
+    symbol's trades are not brought together.
+    """
+    gaps = run.groupBy("symbol", RANGE).agg(F.max(F.col("sold") - F.col("bought")).alias("_gap"))
+    worst = F.max("_gap").over(Window.partitionBy("symbol"))
+    good = gaps.withColumn("_worst", worst).where(~(F.col("_worst") > EPS)).select("symbol", RANGE)
+    return run.join(good, ["symbol", RANGE], "left_semi")
 
 
 def open_positions(open_lots: DataFrame) -> DataFrame:

@@ -306,11 +306,11 @@ def _run(spark, sf):
 
 
 def _good(spark, sf):
-    return portfolio.without_oversold(_run(spark, sf))
+    return keep(portfolio.without_oversold(_run(spark, sf)))
 
 
 def _closed(spark, sf):
-    return portfolio.match_fifo(_good(spark, sf), per_bucket=2000.0)[0]
+    return portfolio.match_fifo(_good(spark, sf))[0]
 
 
 @query("fifo_lots", f"""WITH {TRADES} SELECT symbol, qty, buy_ts, sell_ts, {rs(buy_price='buy_price', sell_price='sell_price', buy_fee='bf * qty', sell_fee='sf * qty')} FROM lots""")
@@ -333,7 +333,7 @@ OPEN = f"""{TRADES}, pos AS (SELECT symbol, sum(qty) AS qty, sum(qty * price + q
 
 
 def _open(spark, sf):
-    return portfolio.open_positions(portfolio.match_fifo(_good(spark, sf), per_bucket=2000.0)[1])
+    return portfolio.open_positions(portfolio.match_fifo(_good(spark, sf))[1])
 
 
 @query("open_positions", f"WITH {OPEN} SELECT symbol, qty, {rs(cost_basis='cost', avg_price='cost / qty')} FROM pos")

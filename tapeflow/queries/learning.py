@@ -14,6 +14,7 @@ from tapeflow.queries.registry import HOURLY, ORD, hourly, query, r, rs, show
 from tapeflow.queries.strategy import BASE, base
 from tapeflow.sources import tables
 from tapeflow.sources.store import scratch_folder
+from tapeflow.streaming import backfill
 from tapeflow.streaming import bars as bar_stream
 from tapeflow.streaming import books as book_stream
 
@@ -172,22 +173,39 @@ def _drain(q):
         raise RuntimeError(str(q.exception()))
 
 
-@query("streamed_bars", f"""WITH {HOURLY} SELECT symbol, ts, open, high, low, close, volume FROM hourly
-  WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 MINUTE FROM events)""")
+_CLOSED = f"""WITH {HOURLY} SELECT symbol, ts, open, high, low, close, volume FROM hourly
+  WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 MINUTE FROM events)"""
+
+
+def _landed_ticks(spark, sf, files=None):
+    """Ticks as a recorder lands them; with ``files``, in files by day that arrive in any order."""
+    root, ev = scratch_folder(spark), tables.table(spark, sf, "events")
+    ticks = ev.select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"),
+                      F.lit(1.0).alias("size"))
+    (ticks.repartition(files, F.to_date("ts")) if files else ticks).write.parquet(f"{root}/ticks")
+    return root
+
+
+@query("streamed_bars", _CLOSED)
 def streamed_bars(spark, sf):
     """Bars the watermark has closed; the newest hour stays open in the state store."""
-    root = scratch_folder(spark)
-    ev = tables.table(spark, sf, "events")
-    ev.select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"),
-              F.lit(1.0).alias("size")).write.parquet(f"{root}/ticks")
+    root = _landed_ticks(spark, sf)
     out = bar_stream.stream_bars(bar_stream.read_ticks(spark, f"{root}/ticks"))
     _drain(bar_stream.write_bars(out, f"{root}/bars", f"{root}/ckpt", available_now=True))
     return spark.read.parquet(f"{root}/bars").select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
-def _landed_books(spark, sf):
-    root = scratch_folder(spark)
-    tables.books(spark, sf).write.parquet(f"{root}/books")
+@query("backfilled_bars", _CLOSED)
+def backfilled_bars(spark, sf):
+    """The same bars from ten files at once, admitted in order of time."""
+    root = _landed_ticks(spark, sf, 40)
+    _drain(backfill.backfill_bars(spark, f"{root}/ticks", f"{root}/bars", f"{root}/steps", per_step=10))
+    return spark.read.parquet(f"{root}/bars").select("symbol", "ts", "open", "high", "low", "close", "volume")
+
+
+def _landed_books(spark, sf, files=None):
+    root, books = scratch_folder(spark), tables.books(spark, sf)
+    (books.repartition(files, F.date_trunc("month", "ts")) if files else books).write.parquet(f"{root}/books")
     return root, book_stream.read_books(spark, f"{root}/books")
 
 
@@ -199,7 +217,7 @@ def recorded_snapshots(spark, sf):
     return spark.read.parquet(f"{root}/out").select("symbol", "ts", "state", (F.col("imbalance") + 0.0).alias("imbalance"), "bid_walls", "ask_walls")
 
 
-@query("streamed_tracker", f"""WITH RECURSIVE {BOOKS}, n AS (SELECT symbol, ts, reliable, round(imb, 4) AS raw, row_number() OVER {ORD} AS k FROM book),
+_TRACKED = f"""WITH RECURSIVE {BOOKS}, n AS (SELECT symbol, ts, reliable, round(imb, 4) AS raw, row_number() OVER {ORD} AS k FROM book),
   walk AS (
     SELECT symbol, ts, k, reliable, CASE WHEN reliable THEN raw END AS ema,
       CASE WHEN reliable THEN {_step_sql('raw', "'BALANCED'")} ELSE 'BALANCED' END AS held FROM n WHERE k = 1
@@ -208,8 +226,19 @@ def recorded_snapshots(spark, sf):
       SELECT n.symbol, n.ts, n.k, n.reliable, w.held AS prev,
         CASE WHEN NOT n.reliable THEN w.ema WHEN w.ema IS NULL THEN n.raw ELSE 0.3 * n.raw + 0.7 * w.ema END AS ema
       FROM walk w JOIN n ON n.symbol = w.symbol AND n.k = w.k + 1) z)
-  SELECT symbol, ts, CASE WHEN reliable THEN held ELSE 'THIN BOOK' END AS state, {r('coalesce(ema, 0)')} AS smoothed, reliable FROM walk""")
+  SELECT symbol, ts, CASE WHEN reliable THEN held ELSE 'THIN BOOK' END AS state, {r('coalesce(ema, 0)')} AS smoothed, reliable FROM walk"""
+
+
+@query("streamed_tracker", _TRACKED)
 def streamed_tracker(spark, sf):
     root, stream = _landed_books(spark, sf)
     _drain(book_stream.track(stream, f"{root}/out", f"{root}/ckpt", available_now=True))
-    return show(spark.read.parquet(f"{root}/out"), "smoothed", keys=("symbol", "ts", "state", "reliable"))
+    return show(book_stream.read_tracked(spark, f"{root}/out"), "smoothed", keys=("symbol", "ts", "state", "reliable"))
+
+
+@query("backfilled_tracker", _TRACKED)
+def backfilled_tracker(spark, sf):
+    """The same rows from ten files at once, admitted in order of time, the state carried over the steps."""
+    root, _ = _landed_books(spark, sf, 40)
+    _drain(backfill.backfill_tracker(spark, f"{root}/books", f"{root}/out", f"{root}/steps", per_step=10))
+    return show(book_stream.read_tracked(spark, f"{root}/out"), "smoothed", keys=("symbol", "ts", "state", "reliable"))

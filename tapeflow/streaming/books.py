@@ -1,24 +1,21 @@
 """Order-book streams: recording signals and tracking state per symbol.
 
-The stateless part (book to signal row) is the same projection as in batch. The
-tracker keeps (smoothed imbalance, state, last time) per symbol in Spark's state
-store, so the checkpoint is the point of recovery.
+The stateless part (book to signal row) is the same projection as in batch. The tracker
+keeps (smoothed imbalance, state, last time) per symbol as a table per batch, and each batch
+is the batch tracker started from that table: no symbol's rows meet in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeflow.functions.book import BOOK, BookRules
 from tapeflow.functions.times import from_instant, to_instant
 from tapeflow.operators.book import signals
+from tapeflow.operators.book import track as track_history
+from tapeflow.plans.tables import drop_folder, keep, scratch
 from tapeflow.sources.snapshots import LEVELS
 
 BOOK_SCHEMA = f"symbol string, ts timestamp_ntz, bids {LEVELS}, asks {LEVELS}"
@@ -26,22 +23,18 @@ TRACK_SCHEMA = (
     "symbol string, ts timestamp_ntz, raw_imbalance double, smoothed double, state string, "
     "confidence double, reliable boolean"
 )
-_STATE = T.StructType(
-    [
-        T.StructField("ema", T.DoubleType()),
-        T.StructField("held", T.StringType()),
-        T.StructField("last_ts", T.LongType()),
-    ]
-)
+STATE_SCHEMA = "symbol string, ema double, held string, last_ts timestamp_ntz"
+_TRACKED = [f.split()[0] for f in TRACK_SCHEMA.split(", ")]
 
 
 def landed(spark: SparkSession, path: str, schema: str, files_per_batch: int | None) -> DataFrame:
     """A stream of landed Parquet files.
 
     Files of a landed table are in no order of time. Taken a few at a time, rows of a later
-    batch would be older than the state or the watermark and be lost, so a backfill takes all
-    files there are in one batch. ``files_per_batch`` is for live folders, where files arrive
-    in order; what is late there is dropped and counted (``late_rows``).
+    batch would be older than the state or the watermark and be lost. ``streaming.backfill``
+    admits them in order of time instead, a bounded number at once; without it a backfill takes
+    all files there are in one batch. ``files_per_batch`` is for live folders, where files
+    arrive in order; what is late there is dropped and counted (``late_rows``).
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
@@ -78,56 +71,74 @@ def _start(rows, path, checkpoint, available_now, every) -> StreamingQuery:
     return writer.trigger(**trigger).start()
 
 
-def next_state(value: float, held: str, rules: BookRules = BOOK) -> str:
-    """Enter past ``enter``; stay until inside ``leave``."""
-    up, down = "BUY PRESSURE", "SELL PRESSURE"
-    if (held == up and value > rules.leave) or value > rules.enter:
-        return up
-    if (held == down and value < -rules.leave) or value < -rules.enter:
-        return down
-    return "BALANCED"
-
-
-def track_stream(signal_rows: DataFrame, rules: BookRules = BOOK) -> DataFrame:
-    """Tracker rows for a stream of signal rows.
+def advance(
+    signal_rows: DataFrame, state: DataFrame | None, rules: BookRules = BOOK, rows: int = 16384
+) -> tuple[DataFrame, DataFrame]:
+    """Tracker rows of one batch and the state after it, from the state before it.
 
-    Rows of a batch are put in time order per symbol. A snapshot not newer than the
-    last one seen changes nothing and is left out. A thin book reports the last
-    smoothed value and leaves the state alone.
+    The batch tracker does the work, so a symbol's batch is spread over ranges of ``rows`` rows.
+    Smoothing is an affine step and stickiness a step among three states; both carry over a
+    batch's start as one more row per symbol: the smoothed value so far, with the state it holds.
+    A snapshot not newer than the last one seen changes nothing and is left out, as is a second
+    one at the same time.
     """
-
-    def advance(
-        key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        ema, held, last = state.get if state.exists else (None, "BALANCED", None)
-        out = []  # one batch of one symbol: bounded by the files a trigger takes
-        batch = pd.concat(list(chunks)).sort_values("ts", kind="stable")
-        for ts, raw, solid in zip(batch["ts"], batch["imbalance"], batch["reliable"]):
-            at = pd.Timestamp(ts).value // 1000
-            if last is not None and at <= last:
-                continue
-            last = at
-            if solid:
-                ema = float(raw) if ema is None else rules.alpha * float(raw) + (1 - rules.alpha) * ema
-                held = next_state(ema, held, rules)
-            value = ema if ema is not None else 0.0
-            conf = round(min(abs(value) * 100, 100), 1) if solid else 0.0
-            out.append((key[0], ts, float(raw), value, held if solid else "THIN BOOK", conf, bool(solid)))
-        state.update((ema, held, last))
-        names = [f.split()[0] for f in TRACK_SCHEMA.split(", ")]
-        yield pd.DataFrame(out, columns=names)
-
     slim = signal_rows.select("symbol", "ts", "imbalance", "reliable")
-    return slim.groupBy("symbol").applyInPandasWithState(
-        advance, TRACK_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    spare = F.struct("imbalance", "reliable")
+    slim = slim.groupBy("symbol", "ts").agg(F.max(spare).alias("_s")).select("symbol", "ts", "_s.*")
+    slim = slim.withColumns({"given": F.lit(None).cast("string"), "fresh": F.lit(True)})
+    if state is not None:
+        slim = slim.join(state.select("symbol", "last_ts"), "symbol", "left").where(
+            F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))).drop("last_ts")
+        seeds = state.where(F.col("ema").isNotNull()).select(
+            "symbol", F.col("last_ts").alias("ts"), F.col("ema").alias("imbalance"), F.lit(True).alias("reliable"),
+            F.col("held").alias("given"), F.lit(False).alias("fresh"))
+        slim = slim.unionByName(seeds.join(slim.select("symbol").distinct(), "symbol", "left_semi"))
+    out = keep(track_history(keep(slim), rules, rows, "given"))
+    now = out.select("symbol", "ts", "reliable", "smoothed", "state")
+    if state is not None:
+        none = F.lit(None)
+        quiet = state.select("symbol", F.col("last_ts").alias("ts"), F.col("ema").isNotNull().alias("reliable"),
+                             F.col("ema").alias("smoothed"), F.coalesce("held", none.cast("string")).alias("state"))
+        now = now.union(quiet)
+    solid = F.when(F.col("reliable"), F.struct("ts", "smoothed", "state"))
+    after = now.groupBy("symbol").agg(F.max(solid).alias("_s"), F.max("ts").alias("last_ts")).select(
+        "symbol", F.col("_s.smoothed").alias("ema"), F.col("_s.state").alias("held"), "last_ts")
+    fresh = out.where("fresh").select(*_TRACKED)
+    return fresh, after
+
+
+def track_batch(
+    signal_rows: DataFrame, batch: int, path: str, states: str, rules: BookRules = BOOK, rows: int = 16384
+) -> None:
+    """Advance by one batch: rows to ``path/batch=N``, the state after it to ``states/batch=N``.
+
+    Both folders are overwritten, so a batch that is run again after a failure leaves the same.
+    States older than the one before are dropped.
+    """
+    spark = signal_rows.sparkSession
+    before = spark.read.schema(STATE_SCHEMA).parquet(f"{states}/batch={batch - 1}") if batch else None
+    with scratch():
+        fresh, after = advance(keep(signal_rows), before, rules, rows)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        after.write.mode("overwrite").parquet(f"{states}/batch={batch}")
+    if batch > 1:
+        drop_folder(spark, f"{states}/batch={batch - 2}")
 
 
 def track(
     books: DataFrame, path: str, checkpoint: str, rules: BookRules = BOOK,
-    available_now: bool = False, every: str = "60 seconds",
+    available_now: bool = False, every: str = "60 seconds", rows: int = 16384,
 ) -> StreamingQuery:
-    return _start(track_stream(signals(books, rules), rules), path, checkpoint, available_now, every)
+    """Tracker rows of a stream of books; the checkpoint holds the stream's place, its sibling the states."""
+    def step(batch: DataFrame, number: int) -> None:
+        track_batch(signals(batch, rules), number, path, f"{checkpoint}-states", rules, rows)
+
+    trigger = {"availableNow": True} if available_now else {"processingTime": every}
+    return books.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_tracked(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TRACK_SCHEMA).parquet(path).select(*_TRACKED)
 
 
 def per_bar_walls(signal_rows: DataFrame, width: str = "1 hour", delay: str = "2 minutes") -> DataFrame:

@@ -7,6 +7,7 @@ from conftest import day
 from pyspark.sql import functions as F
 
 from tapeflow.operators import book, labels, pairs, portfolio, technical
+from tapeflow.plans.ranges import RANGE, ranged
 from tapeflow.plans.slices import RN, over_slices
 from tapeflow.plans.tables import keep
 
@@ -171,9 +172,9 @@ def test_fifo_matches_a_queue(frame, seed, fractional):
             held = round(held + qty, 6)
     # Several trades share a time: the input order decides.
     rows = [("s", day(i // 3), i, *t) for i, t in enumerate(trades)]
-    run = keep(portfolio.with_running_quantity(frame(rows, TRADE), days=4.0))
+    run = keep(portfolio.with_running_quantity(frame(rows, TRADE), rows=rng.choice([7, 16384])))
     assert portfolio.oversold(run).count() == 0
-    closed, open_lots = portfolio.match_fifo(run, per_bucket=rng.choice([3.0, 1e6]))
+    closed, open_lots = portfolio.match_fifo(run, rows=rng.choice([9, 16384]))
     want_closed, want_open = fifo(trades)
     price = {t[2]: i for i, t in enumerate(trades)}
     got = sorted((price[r["buy_price"]], price[r["sell_price"]], round(r["qty"], 6), round(r["buy_fee"], 6),
@@ -194,6 +195,20 @@ def test_fifo_pinned(frame):
     assert [(r["qty"], r["buy_price"]) for r in open_lots.where("symbol = 'x'").collect()] == [(0.5, 200.0)]
 
 
+def test_tiny_trades_of_a_busy_symbol_get_short_ranges(frame):
+    """Nine tenths of the trades have a tiny quantity: ranges follow the trades' number."""
+    rows = [("hot", day(0), i, "BUY" if i % 2 == 0 else "SELL", 0.001, 10.0, 0.0, None) for i in range(900)]
+    rows += [("s", day(i), i, "BUY", 1000.0, 10.0, 0.0, None) for i in range(100)]
+    run = keep(portfolio.with_running_quantity(frame(rows, TRADE), rows=50))
+    assert run.groupBy(RANGE).count().agg(F.max("count")).first()[0] < 130
+    lots = portfolio._lots(run, 50)
+    closed, open_lots = portfolio.match_fifo(run, rows=50)
+    assert closed.count() == 450 and open_lots.count() == 100
+    edges = ranged(run.select("symbol", F.col("bought").alias("edge"), "seq"), ["symbol"], ["edge", "seq"], 50)
+    assert edges.groupBy(RANGE).count().agg(F.max("count")).first()[0] < 130
+    assert lots.count() == 550
+
+
 def test_oversell_is_found_and_removed(frame):
     rows = [("bad", day(0), 0, "SELL", 1.0, 10.0, 0.0, None), ("bad", day(1), 1, "BUY", 5.0, 10.0, 0.0, None),
             ("ok", day(0), 0, "BUY", 1.0, 10.0, 0.0, None)]

@@ -5,8 +5,10 @@ from conftest import day
 from pyspark.sql import functions as F
 
 from tapeflow.operators import book
-from tapeflow.plans.tables import keep
+from tapeflow.plans.ranges import RANGE, number_ranged, ranged
+from tapeflow.plans.tables import keep, scratch
 from tapeflow.sources import bars, payloads, snapshots, store
+from tapeflow.streaming import backfill
 from tapeflow.streaming import bars as bar_stream
 from tapeflow.streaming import books as book_stream
 
@@ -84,7 +86,7 @@ def test_tracker_state_survives_restarts(spark, frame, tmp_path):
         frame(part, book_stream.BOOK_SCHEMA, 2).write.mode("append").parquet(src)
         q = book_stream.track(book_stream.read_books(spark, src), out, ckpt, available_now=True)
         q.awaitTermination()
-    got = {r["ts"]: (r["state"], round(r["smoothed"], 9)) for r in spark.read.parquet(out).collect()}
+    got = {r["ts"]: (r["state"], round(r["smoothed"], 9)) for r in book_stream.read_tracked(spark, out).collect()}
     batch = book.track(book.signals(frame(rows, book_stream.BOOK_SCHEMA)))
     assert got == {r["ts"]: (r["state"], round(r["smoothed"], 9)) for r in batch.collect()}
     assert {s for s, _ in got.values()} >= {"THIN BOOK", "BUY PRESSURE"}
@@ -139,6 +141,74 @@ def test_streams_keep_every_row_however_many_files(spark, frame, tmp_path):
         for q in qs:
             q.awaitTermination()
             assert book_stream.late_rows(q) == 0
-        seen.append([sorted(map(str, spark.read.parquet(p[o]).collect())) for o in ("o1", "o2", "o3")])
+        read = [book_stream.read_tracked(spark, p["o1"]), spark.read.parquet(p["o2"]), spark.read.parquet(p["o3"])]
+        seen.append([sorted(map(str, df.collect())) for df in read])
     assert seen[0] == seen[1]
     assert len(seen[0][0]) == 70 and len(seen[0][1]) == 70 and len(seen[0][2]) == 238
+
+
+def test_ranges_count_rows_whatever_the_skew(frame):
+    """Nine tenths of the rows belong to one symbol and one hour: positions hold, ranges stay short."""
+    rows = [("hot", day(0), i) for i in range(1800)] + [(f"s{i % 20}", day(i), i) for i in range(200)]
+    df = ranged(keep(frame(rows, "symbol string, ts timestamp_ntz, seq bigint")), ["symbol"], ["ts", "seq"], rows=100)
+    assert df.groupBy(RANGE).count().agg(F.max("count")).first()[0] < 250
+    got = number_ranged(df, ["symbol"], total="n").collect()
+    want = {}
+    for s, t, i in sorted(rows):
+        want.setdefault(s, []).append((t, i))
+    assert {(r["symbol"], r["ts"], r["seq"]): (r["rn"], r["n"]) for r in got} == {
+        (s, t, i): (k, len(v)) for s, v in want.items() for k, (t, i) in enumerate(v)}
+
+
+def test_scratch_tables_go_and_results_stay(spark, some_bars):
+    with scratch() as last:
+        inner = keep(some_bars)
+        kept = last(keep(inner.where("ts is not null")))
+        folder = inner.inputFiles()[0]
+    assert kept.count() == 10
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(folder).count()
+
+
+@pytest.mark.parametrize("files", [1, 300])
+def test_backfill_admits_shuffled_files_in_order_of_time(spark, frame, tmp_path, files):
+    """Whatever the files hold, ten at once leave the rows of the batch operators; none is late."""
+    books = [(f"s{k}", *b[1:]) for k in (1, 2) for b in some_books(60)] + [("late", *b[1:]) for b in some_books(60)[50:]]
+    ticks = [(f"s{i % 2}", day(i // 40, i // 2 % 20), i, float(i), 1.0) for i in range(400)]
+    p = {x: str(tmp_path / x) for x in ("b", "t", "o1", "r1", "o2", "r2", "o3", "r3")}
+    frame(books + books[:9], book_stream.BOOK_SCHEMA, files).write.parquet(p["b"])
+    frame(ticks, bar_stream.TICK_SCHEMA, files).write.parquet(p["t"])
+    runs = [(backfill.backfill_tracker(spark, p["b"], p["o1"], p["r1"], per_step=10, rows=16), "b", book_stream.BOOK_SCHEMA, "r1"),
+            (backfill.backfill_records(spark, p["b"], p["o2"], p["r2"], per_step=50), "b", book_stream.BOOK_SCHEMA, "r2"),
+            (backfill.backfill_bars(spark, p["t"], p["o3"], p["r3"], per_step=50), "t", bar_stream.TICK_SCHEMA, "r3")]
+    for q, source, schema, root in runs:
+        q.awaitTermination()
+        assert q.exception() is None
+        assert backfill.lost_rows(spark, p[source], schema, p[root]) == 0
+    row = lambda r: (r["symbol"], r["ts"], r["state"], round(r["smoothed"], 9), r["confidence"], r["reliable"])
+    whole = book.track(keep(book.signals(frame(books, book_stream.BOOK_SCHEMA))))
+    assert sorted(map(row, book_stream.read_tracked(spark, p["o1"]).collect())) == sorted(map(row, whole.collect()))
+    assert spark.read.parquet(p["o2"]).count() == len(books)
+    closed = bars.ticks_to_bars(frame(ticks, bar_stream.TICK_SCHEMA), "1 hour").where(F.col("ts") < F.lit(day(9, 18)))
+    assert sorted(map(str, spark.read.parquet(p["o3"]).drop("batch").collect())) == sorted(map(str, closed.collect()))
+
+
+def test_backfill_goes_on_where_it_stopped(spark, frame, tmp_path):
+    """A step that fails leaves the earlier ones done; a second start runs the rest once."""
+    src, root = str(tmp_path / "src"), str(tmp_path / "root")
+    for i in (5, 1, 6, 3, 0, 7, 2, 4):
+        frame([("s", day(i), [], [])], book_stream.BOOK_SCHEMA, 1).write.mode("append").parquet(src)
+    done, broken = [], [3]
+
+    def process(rows, step):
+        if step in broken:
+            raise ValueError("stop")
+        done.append((step, rows.count()))
+
+    q = backfill.backfill(spark, src, book_stream.BOOK_SCHEMA, root, process, per_step=2)
+    with pytest.raises(Exception, match="stop"):
+        q.awaitTermination()
+    broken.clear()
+    backfill.backfill(spark, src, book_stream.BOOK_SCHEMA, root, process, per_step=2).awaitTermination()
+    assert done == [(0, 2), (1, 2), (2, 2), (3, 2)]
+    assert backfill.lost_rows(spark, src, book_stream.BOOK_SCHEMA, root) == 0

@@ -14,6 +14,7 @@ from __future__ import annotations
 import codecs
 import functools
 import itertools
+import math
 import re
 from collections.abc import Iterable
 
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 UNKNOWN = " ⁇ "
+NONE = -math.inf
 #: Words and pairs remembered per process before the memory is emptied, and the longest such word.
-_CACHED, _CACHED_LENGTH = 500_000, 48
+_CACHED, _CACHED_LENGTH = 400_000, 48
+#: Rows whose ids a task holds at once.
+_ROWS = 256
 
 
 class Vocabulary:
@@ -48,16 +52,18 @@ class Vocabulary:
 
     def merge(self, text: str) -> list[str]:
         """The encoder by its definition: join the best adjacent pair until none is left."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = self.scores.get(parts[i] + parts[i + 1])
-                if found and (best is None or found[0] > best):
-                    best, at = found[0], i
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, get = list(text), self.scores.get
+        # Scores of each part joined with the next one; only those beside a merge change.
+        joined = [found[0] if (found := get(a + b)) else NONE for a, b in itertools.pairwise(parts)]
+        while joined and (best := max(joined)) > NONE:
+            i = joined.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joined[i]
+            for j in (i - 1, i):
+                if 0 <= j < len(joined):
+                    found = get(parts[j] + parts[j + 1])
+                    joined[j] = found[0] if found else NONE
+        return parts
 
     def __getstate__(self):
         return self.__dict__ | {"_tables": None, "_encoder": None}
@@ -70,108 +76,119 @@ class Vocabulary:
 
     @property
     def tables(self):
-        """Automaton, next shorter piece, ids and decoded strings; built where they are used."""
+        """Automaton, sizes, next shorter pieces and strings by id, decoded strings, bytes; built where they are used."""
         if self._tables is None:
             automaton = ahocorasick.Automaton()
+            top = 1 + max([*self.byte_ids, *self.silent, self.unknown, *(i for _, i in self.scores.values())])
+            size, shorter, text = [0] * top, [None] * top, [""] * top
             for p in self.results:
-                automaton.add_word(p, len(p))
-            automaton.make_automaton()
-            shorter = {}
-            for p in self.results:
+                i = self.scores[p][1]
+                automaton.add_word(p, i)
+                size[i], text[i] = len(p), p
                 ends = (p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.results or k == 1)
-                shorter[p] = next(ends, None)
+                less = next(ends, None)
+                if less is not None:
+                    shorter[i] = self.scores[less][1] if less in self.results else top + ord(less)
+            automaton.make_automaton()
             surface = {i: p.replace(BLANK, " ") for p, (_, i) in self.scores.items()}
             surface |= dict.fromkeys(self.silent, "") | {self.unknown: UNKNOWN}
-            self._tables = automaton, shorter, surface, {b: n for n, b in enumerate(self.byte_ids)}
+            # An ASCII byte is a character whatever stands beside it.
+            surface |= {self.byte_ids[b]: chr(b) for b in range(128)}
+            self._tables = automaton, size, shorter, text, surface, {b: n for n, b in enumerate(self.byte_ids)}
         return self._tables
 
 
-class Encoder:
-    """Encodes and decodes with a Vocabulary, remembering short words and checked pairs."""
+class Encoder(dict):
+    """Encodes and decodes with a Vocabulary. As a dict it remembers the ids of short words."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.pairs, self.known = vocabulary, {}, {}
+        super().__init__()
+        self.v, self.pairs = vocabulary, {}
+
+    def text(self, piece: int) -> str:
+        """A piece's string; numbers above the ids stand for characters without a piece."""
+        strings = self.v.tables[3]
+        return strings[piece] if piece < len(strings) else chr(piece - len(strings))
 
-    def fits(self, pair: tuple[str, str]) -> bool:
+    def fits(self, left: int, right: int) -> bool:
         """Whether the two, merged anew from their characters, are the same two again."""
         if len(self.pairs) >= _CACHED:
             self.pairs.clear()
-        out = self.pairs[pair] = self.v.merge(pair[0] + pair[1]) == [*pair]
+        a, b = self.text(left), self.text(right)
+        out = self.pairs[left << 24 | right] = self.v.merge(a + b) == [a, b]
         return out
 
-    def split(self, word: str) -> list[str]:
-        """Pieces of a word; characters without a piece stand alone."""
-        if word in self.v.results:
-            return [word]
-        automaton, shorter, _, _ = self.v.tables
-        n, known = len(word), self.pairs.get
-        longest = bytearray(n)
+    def split(self, word: str) -> list[int]:
+        """Ids of a word's pieces; a character without a piece is its code point above the ids."""
+        automaton, size, shorter, _, _, _ = self.v.tables
+        n, top, known = len(word), len(size), self.pairs.get
+        longest = [None] * n
         if self.v.results:
-            for end, size in automaton.iter(word):
-                longest[end - size + 1] = size  # ends come in order, so the longest is written last
-        failed = bytearray(n // 8 + 1)  # one bit a position
-        out, at, last = [], 0, None
-        piece = word[: longest[0] or 1] if n else None
+            for end, piece in automaton.iter(word):
+                longest[end - size[piece] + 1] = piece  # ends come in order, so the longest is written last
+        failed, bad = bytearray(n // 8 + 1), False  # one bit a position; whether any is set
+        out, at, last, piece = [], 0, None, None
         while at < n:
+            if piece is None:
+                piece = longest[at]
+                if piece is None:
+                    piece = top + ord(word[at])
             while piece is not None:
-                end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1:
+                end = at + (size[piece] if piece < top else 1)
+                if not (bad and failed[end >> 3] >> (end & 7) & 1):
                     if last is None:
                         break
-                    fits = known((last, piece))
-                    if fits or fits is None and self.fits((last, piece)):
+                    fits = known(last << 24 | piece)
+                    if fits or fits is None and self.fits(last, piece):
                         break
-                piece = shorter.get(piece)
+                piece = shorter[piece] if piece < top else None
             if piece is not None:
                 out.append(piece)
-                at, last = end, piece
-                piece = word[at : at + (longest[at] or 1)] if at < n else None
-            elif out:
+                at, last, piece = end, piece, None
+                continue
+            while piece is None:  # nothing fits here: back to a piece that has a shorter one
+                if not out:
+                    raise AssertionError("merging gives every text a result")
+                bad = True
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(out.pop())
-                piece, last = shorter.get(last), out[-1] if out else None
-            else:
-                raise AssertionError("merging gives every text a result")
+                at -= size[last] if last < top else 1
+                out.pop()
+                piece = shorter[last] if last < top else None
+                last = out[-1] if out else None
         return out
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            ids = []
-            for piece in self.split(word):
-                own = self.v.scores.get(piece)
-                ids += [own[1]] if own else [self.v.byte_ids[b] for b in piece.encode()]
-            found = tuple(ids)
-            if len(word) <= _CACHED_LENGTH:
-                if len(self.known) >= _CACHED:
-                    self.known.clear()
-                self.known[word] = found
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        own = self.v.scores.get(word) if word in self.v.results else None
+        ids = [own[1]] if own else self.split(word)
+        top = len(self.v.tables[1])
+        if max(ids, default=0) >= top:
+            ids = [j for i in ids for j in ([i] if i < top else [self.v.byte_ids[b] for b in chr(i - top).encode()])]
+        found = tuple(ids)
+        if len(word) <= _CACHED_LENGTH:
+            if len(self) >= _CACHED:
+                self.clear()
+            self[word] = found
         return found
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         text = (BLANK if self.v.prefix else "") + text.replace(" ", BLANK)
-        return list(itertools.chain.from_iterable(map(self.word_ids, self.v.words.findall(text))))
+        return list(itertools.chain.from_iterable(map(self.__getitem__, self.v.words.findall(text))))
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: list[int]) -> str:
         """Text of any ids: bytes that are no UTF-8 become U+FFFD one by one; the blank in front goes."""
-        _, _, surface, byte_of = self.v.tables
-        out, run, front = [], bytearray(), self.v.prefix
-        for i in ids:
-            piece = surface.get(i)
-            if piece is None:
-                run.append(byte_of[i])
-                continue
-            if run:
-                out.append(_utf8(run))
-                run, front = bytearray(), False
-            if front and i not in self.v.silent:
-                front, piece = False, piece[1:] if piece.startswith(" ") and i != self.v.unknown else piece
-            out.append(piece)
-        if run:
-            out.append(_utf8(run))
-        return "".join(out)
+        *_, surface, byte_of = self.v.tables
+        silent, front = self.v.silent, self.v.prefix
+        first = next((i for i in ids if i not in silent), None) if front else None
+        strip = first is not None and first not in byte_of and first != self.v.unknown and surface[first].startswith(" ")
+        try:
+            out = "".join(map(surface.__getitem__, ids))
+        except KeyError:  # parts of longer characters
+            runs = itertools.groupby(ids, byte_of.__contains__)
+            out = "".join(_utf8(bytes(map(byte_of.__getitem__, own))) if is_byte else "".join(map(surface.__getitem__, own))
+                          for is_byte, own in runs)
+        return out[1:] if strip else out
 
 
 def _utf8(run: bytes) -> str:
@@ -219,11 +236,13 @@ def encode_documents(documents: DataFrame, vocabulary: Vocabulary, id_column: st
 
     def run(batches):
         own = shared.value.encoder
-        for batch in batches:
-            ids = [own.encode(t.as_py().decode(errors="replace") if t.is_valid else "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.string())],
-                names=[id_column, "ids", "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                ids = [own.encode(t.as_py().decode(errors="replace") if t.is_valid else "") for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.string())],
+                    names=[id_column, "ids", "decoded"])
 
     kind = documents.schema[id_column].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, decoded string")

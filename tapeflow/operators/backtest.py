@@ -89,7 +89,7 @@ def add_signal_outcomes(
     )
 
 
-def best_candidates(df: DataFrame, on: str = "ts") -> DataFrame:
+def best_candidates(df: DataFrame, on: Sequence[str] = ("ts",)) -> DataFrame:
     """The strongest symbol above its own threshold per time; ties go to the first by name.
 
     A max over a struct, so a crowded date combines before the shuffle.
@@ -98,5 +98,5 @@ def best_candidates(df: DataFrame, on: str = "ts") -> DataFrame:
         F.struct("symbol", "pred", "close"), F.struct((-F.col("pred")).alias("p"), "symbol")
     )
     return (
-        df.where(F.col("pred") > F.col("buy_th")).groupBy(on).agg(best.alias("b")).select(on, "b.*")
+        df.where(F.col("pred") > F.col("buy_th")).groupBy(*on).agg(best.alias("b")).select(*on, "b.*")
     )

@@ -210,11 +210,13 @@ def full_detail(results: DataFrame, combo: str, models: Sequence[str]) -> DataFr
     return wide.withColumn("best_model", best)
 
 
-def ablation_table(folds: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def ablation_table(
+    folds: DataFrame, keys: Sequence[str] = ("symbol",), spread_over: Sequence[str] | None = None
+) -> DataFrame:
     """Classification summary per feature variant, with the spread across variants."""
     from pyspark.sql import Window
 
     table = classification_summary(folds, [*keys, "variant"])
-    w = Window.partitionBy(*keys)
+    w = Window.partitionBy(*(spread_over or keys))
     spread = F.max("mean_hit_rate").over(w) - F.min("mean_hit_rate").over(w)
     return table.withColumn("spread", spread)

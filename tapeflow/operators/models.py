@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 BOOST = {"max_iter": 200, "max_depth": 3, "step": 0.05, "subsample": 0.8, "min_rows": 5}
 SEED = 42
 TOP_K = 10
+PATIENCE = 20
 
 
 # --- ridge from moments -------------------------------------------------------------------
@@ -171,32 +172,84 @@ def fit_linear(train: DataFrame, features: Sequence[str], target: str, alpha: fl
     )
 
 
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """Rounds to keep: the best one before ``patience`` rounds in a row brought no lower loss; the first of equal ones."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def _patient(booster, train: DataFrame, val: DataFrame | None, rounds: int, patience: int, losses_of):
+    """A booster's model with as many trees as the validation losses of all its prefixes ask for.
+
+    Trees come one after another, so a shorter fit is the beginning of a longer one (same data, same seed).
+    The fit is therefore grown in doubling lengths until patience runs out, and once more to the round that was best.
+    """
+    if val is None:
+        return booster.setMaxIter(rounds).fit(train), None
+    n = min(rounds, patience + 5)
+    while True:
+        model = booster.setMaxIter(n).fit(train)
+        losses = losses_of(model, val)
+        keep_rounds = best_round(losses, patience)
+        if n >= rounds or keep_rounds + patience <= n:
+            break
+        n = min(rounds, 2 * n)
+    return (model if keep_rounds == n else booster.setMaxIter(keep_rounds).fit(train)), losses
+
+
 def fit_boosted(
     train: DataFrame, features: Sequence[str], target: str, val: DataFrame | None = None,
-    max_iter: int = BOOST["max_iter"], max_depth: int = BOOST["max_depth"], tol: float = 0.0,
+    max_iter: int = BOOST["max_iter"], max_depth: int = BOOST["max_depth"], step: float = BOOST["step"],
+    subsample: float = BOOST["subsample"], patience: int = PATIENCE, curve: list | None = None,
 ):
-    """Boosted regression trees; with a validation frame boosting stops when it worsens.
+    """Boosted regression trees; with a validation frame, cut at the round of least squared error.
 
-    Spark stops at the first round whose gain stays below ``tol`` and has no rounds of patience.
+    The losses of all rounds tried go to ``curve`` if one is given.
     """
     gbt = GBTRegressor(
-        featuresCol="features", labelCol=target, predictionCol="pred", maxIter=max_iter,
-        maxDepth=max_depth, stepSize=BOOST["step"], subsamplingRate=BOOST["subsample"],
-        featureSubsetStrategy="0.8", minInstancesPerNode=BOOST["min_rows"], seed=SEED,
+        featuresCol="features", labelCol=target, predictionCol="pred", maxDepth=max_depth, stepSize=step,
+        subsamplingRate=subsample, featureSubsetStrategy="0.8", minInstancesPerNode=BOOST["min_rows"], seed=SEED,
     )
-    return _watched(gbt, val, tol).fit(assemble(_with_val(train, val), features))
+    own = None if val is None else assemble(val, features)
+    model, losses = _patient(gbt, assemble(train, features), own, max_iter, patience, lambda m, v: m.evaluateEachIteration(v, "squared"))
+    if curve is not None and losses is not None:
+        curve.extend(losses)
+    return model
 
 
-def _watched(gbt, val: DataFrame | None, tol: float):
-    if val is not None:
-        gbt.setValidationIndicatorCol("_val")
-        gbt.set(gbt.validationTol, tol)
-    return gbt
+def search_boosted(
+    train: DataFrame, val: DataFrame, features: Sequence[str], target: str, trials: int = 8, first: int = 10,
+    seed: int = SEED,
+) -> list[tuple]:
+    """Successive halving over tree settings: (trial, rung, rounds, max_depth, step, subsample, val_rmse, best).
 
-
-def _with_val(train: DataFrame, val: DataFrame | None) -> DataFrame:
-    data = train.withColumn("_val", F.lit(False))
-    return data if val is None else data.unionByName(val.withColumn("_val", F.lit(True)), allowMissingColumns=True)
+    Settings are drawn from the published ranges. Every rung fits what is left with twice the rounds and keeps
+    the better half by validation RMSE; only train and validation rows are read. The last rung has one winner.
+    """
+    rng = np.random.default_rng(seed)
+    draw = [(int(rng.integers(2, 9)), float(np.exp(rng.uniform(np.log(0.01), np.log(0.3)))), float(rng.uniform(0.5, 1.0)))
+            for _ in range(trials)]
+    left, rounds, rung, log = list(range(trials)), first, 0, []
+    while True:
+        scores = {}
+        for t in left:
+            depth, step, part = draw[t]
+            model = fit_boosted(train, features, target, None, rounds, depth, step, part)
+            scored = model.transform(assemble(val, features))
+            scores[t] = scored.agg(F.sqrt(F.avg((F.col("pred") - F.col(target)) ** 2))).first()[0]
+            log.append((t, rung, rounds, depth, step, part, scores[t]))
+        left = sorted(left, key=lambda t: (scores[t], t))[: max(1, len(left) // 2)]
+        if len(scores) == 1:
+            return [(*row, row[0] == left[0] and row[1] == rung) for row in log]
+        rounds, rung = rounds * 2, rung + 1
+
+
+TRIALS_SCHEMA = ("trial int, rung int, rounds int, max_depth int, step double, subsample double, val_rmse double, best boolean")
 
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -220,24 +273,23 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label"
 
 def fit_boosted_classes(
     train: DataFrame, features: Sequence[str], label: str = "label", val: DataFrame | None = None,
-    max_iter: int = BOOST["max_iter"], max_depth: int = BOOST["max_depth"], tol: float = 0.0,
+    max_iter: int = BOOST["max_iter"], max_depth: int = BOOST["max_depth"], patience: int = PATIENCE,
     classes: int = 3,
 ):
     """One booster per class against the rest, as Spark's booster is binary: a function adding
     ``pred_class``, the likeliest class, the smallest of equal ones.
 
-    Each class stops by itself when the validation frame worsens, see ``fit_boosted``.
+    Each class is cut at its own best validation round, see ``fit_boosted``.
     """
-    data = assemble(_with_val(train, val), features)
     fits = []
     for k in range(classes):
         gbt = GBTClassifier(
-            featuresCol="features", labelCol="_y", predictionCol=f"_c{k}", maxIter=max_iter,
-            maxDepth=max_depth, stepSize=BOOST["step"], subsamplingRate=BOOST["subsample"],
-            featureSubsetStrategy="0.8", minInstancesPerNode=BOOST["min_rows"], seed=SEED,
+            featuresCol="features", labelCol="_y", predictionCol=f"_c{k}", maxDepth=max_depth, stepSize=BOOST["step"],
+            subsamplingRate=BOOST["subsample"], featureSubsetStrategy="0.8", minInstancesPerNode=BOOST["min_rows"], seed=SEED,
         ).setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}")
-        y = (F.col(label) == k).cast("double")
-        fits.append(_watched(gbt, val, tol).fit(data.withColumn("_y", y)))
+        of = lambda df, k=k: assemble(df, features).withColumn("_y", (F.col(label) == k).cast("double"))
+        model, _ = _patient(gbt, of(train), None if val is None else of(val), max_iter, patience, lambda m, v: m.evaluateEachIteration(v))
+        fits.append(model)
 
     def score(df: DataFrame) -> DataFrame:
         out = assemble(df, features)

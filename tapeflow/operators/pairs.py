@@ -47,30 +47,52 @@ def align_pairs(bars: DataFrame, pairs: Sequence[tuple[str, str]], price: str =
     return leg("y").join(leg("x"), ["pair", "ts"])
 
 
-def hedge_fit(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Slope, intercept and the train spread's mean and deviation, from one pass of moments."""
+def pivot_on(rows: DataFrame, by: Sequence[str] = ("pair",)) -> DataFrame:
+    """Add what a fit needs to keep its digits: x and the residual of one rough fit per ``by``, both around their means.
+
+    Second moments of prices lose what is small beside the level when they are subtracted. Moments of the
+    residual (``_e``) and of ``_dx`` have nothing large in them, add up over blocks like any others, and give the
+    fit of any part of the rows, see ``hedge_fit``. One pass before rows are copied to folds.
+    """
+    rough = rows.groupBy(*by).agg(
+        F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("_b0"), F.avg("x").alias("_x0"), F.avg("y").alias("_y0"))
+    dx = F.col("x") - F.col("_x0")
+    return rows.join(rough, list(by)).withColumns({"_dx": dx, "_e": F.col("y") - F.col("_y0") - F.col("_b0") * dx})
+
+
+def hedge_fit(rows: DataFrame, keys: Sequence[str], by: Sequence[str] = ("pair",)) -> DataFrame:
+    """Slope, intercept and the train spread's mean and deviation, from one pass of centred moments.
+
+    ``rows`` come from ``pivot_on``, or are pivoted here.
+    """
+    if "_e" not in rows.columns:
+        rows = pivot_on(rows, by)
     g = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_train"),
-        F.regr_slope("y", "x").alias("beta"),
-        F.avg("y").alias("_my"), F.avg("x").alias("_mx"),
-        F.var_pop("y").alias("_vy"), F.var_pop("x").alias("_vx"), F.covar_pop("y", "x").alias("_c"),
+        *[F.first(c).alias(c) for c in ("_b0", "_x0", "_y0")],
+        F.avg("_e").alias("_me"), F.avg("_dx").alias("_mx"),
+        F.var_pop("_e").alias("_ve"), F.var_pop("_dx").alias("_vx"), F.covar_pop("_e", "_dx").alias("_c"),
     )
-    beta = F.col("beta")
-    alpha = F.col("_my") - beta * F.col("_mx")
-    var = F.col("_vy") + beta * beta * F.col("_vx") - 2.0 * beta * F.col("_c")
-    sd = F.sqrt(F.greatest(var, F.lit(0.0)))
-    return g.withColumns(
-        {
+    more = F.when(F.col("n_train") > 1, div(F.col("_c"), F.col("_vx")))
+    beta = F.col("_b0") + F.col("_more")
+    alpha = F.col("_y0") + F.col("_me") - F.col("_more") * F.col("_mx") - F.col("beta") * F.col("_x0")
+    sd = F.sqrt(F.greatest(F.col("_ve") - F.col("_more") * F.col("_c"), F.lit(0.0)))
+    return (
+        g.withColumn("_more", more).withColumn("beta", beta)
+        .withColumns({
             "alpha": alpha,
-            "spread_mean": F.col("_my") - (alpha + beta * F.col("_mx")),
+            # The residuals of a fit with an intercept add up to nothing.
+            "spread_mean": F.when(F.col("beta").isNotNull(), 0.0),
             "spread_std": F.when(sd == 0, 1.0).otherwise(sd),
-        }
-    ).drop("_my", "_mx", "_vy", "_vx", "_c")
+        })
+        .select(*keys, "n_train", "beta", "alpha", "spread_mean", "spread_std")
+    )
 
 
 def add_spread(rows: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Spread and its z-score under a frozen fit."""
     spread = F.col("y") - (F.col("alpha") + F.col("beta") * F.col("x"))
+    rows = rows.drop("_b0", "_x0", "_y0", "_dx", "_e")
     return rows.join(fit, list(keys)).withColumn("spread", spread).withColumn(
         "z", (F.col("spread") - F.col("spread_mean")) / F.col("spread_std")
     )
@@ -197,7 +219,7 @@ def walk_forward_trades(
     The fit is shared by all configs; a test block has ``test`` rows, so its windows
     are short whatever the series length.
     """
-    f = add_folds(rows, train, test, step, purge, embargo, total=total)
+    f = add_folds(pivot_on(rows), train, test, step, purge, embargo, total=total)
     key = ["pair", "fold_id"]
     fit = hedge_fit(f.where(F.col("part") == "train"), key).where(
         (F.col("n_train") >= 4) & F.col("beta").isNotNull()
@@ -280,92 +302,123 @@ def schwert_lag(n: int) -> int:
     return max(0, min(int(math.floor(12.0 * (n / 100.0) ** 0.25)), (n - 1) // 2 - 2))
 
 
+def adf_moments(df: DataFrame, keys: Sequence[str], value: str, most: int, rows: int = 16384) -> DataFrame:
+    """Everything a Dickey-Fuller regression with up to ``most`` lags needs, in one pass of plain sums.
+
+    Per key: n, the sums of differences, of levels and of squared levels, ``c[k]``, the sum of products of
+    differences k apart, ``x[k]``, the sum of products of a level with the difference k before it, and the first
+    and last ``most`` differences (with their levels). The regression's matrix holds the sums of c and x along
+    its diagonals but for a few products at either end, so 2 sums a lag replace one for each pair of lags.
+    ``value`` must not be null. Needs ``rn``.
+    """
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg((F.max(RN) + 1).alias("n"))
+
+    def step(d, w):
+        d = d.withColumn("_l", F.lag(value).over(w))
+        d = d.withColumn("_d", F.col(value) - F.col("_l"))
+        return d.withColumns({f"_d{k}": F.lag("_d", k).over(w) for k in range(1, most + 1)})
+
+    lagged = over_slices(df.select(*keys, RN, value), keys, [step], most + 1, rows=rows).join(sizes, keys)
+    at = lambda k: F.col("_d" if k == 0 else f"_d{k}")
+    edge = F.struct(F.col(RN).alias("t"), F.col("_d").alias("d"), F.col("_l").alias("l"))
+    some = F.col("_d").isNotNull()
+    zero = F.lit(0.0)
+    total = lambda c: F.coalesce(F.sum(c), zero)
+    return lagged.groupBy(*keys, "n").agg(
+        total(F.col("_d")).alias("sum_d"), total(F.when(some, F.col("_l"))).alias("sum_l"),
+        total(F.when(some, F.col("_l") * F.col("_l"))).alias("sum_ll"),
+        F.array(*[total(F.col("_d") * at(k)) for k in range(most + 1)]).alias("c"),
+        F.array(*[total(F.col("_l") * at(k)) for k in range(most + 1)]).alias("x"),
+        F.array_sort(F.collect_list(F.when(some & (F.col(RN) <= most), edge))).alias("head"),
+        F.array_sort(F.collect_list(F.when(some & (F.col(RN) >= F.col("n") - most), edge))).alias("tail"))
+
+
+def adf_matrix(n: int, lag: int, sum_d, sum_l, sum_ll, c, x, head, tail) -> np.ndarray:
+    """Products of (1, level, differences 1 to ``lag`` before, difference), over the rows that have them all."""
+    d = {t: v for t, v, _ in head} | {t: v for t, v, _ in tail}
+    level = {t: v for t, _, v in head}
+    first = range(1, lag + 1)  # rows without all their lags
+    m = np.zeros((lag + 3, lag + 3))
+    place = {0: lag + 2} | {k: k + 1 for k in range(1, lag + 1)}
+    m[0, 0] = n - 1 - lag
+    m[0, 1] = sum_l - sum(level[t] for t in first)
+    m[1, 1] = sum_ll - sum(level[t] ** 2 for t in first)
+    for i in range(lag + 1):
+        # Row t has the difference of t - i, which runs from lag + 1 - i to n - 1 - i.
+        m[0, place[i]] = sum_d - sum(d[t] for t in range(1, lag + 1 - i)) - sum(d[t] for t in range(n - i, n))
+        m[1, place[i]] = x[i] - sum(level[t] * d[t - i] for t in range(i + 1, lag + 1))
+        for j in range(i, lag + 1):
+            k = j - i
+            ends = sum(d[t] * d[t - k] for t in range(k + 1, lag + 1 - i)) + sum(d[t] * d[t - k] for t in range(n - i, n))
+            a, b = sorted((place[i], place[j]))
+            m[a, b] = c[k] - ends
+    return m + np.triu(m, 1).T
+
+
+def adf_solution(m: np.ndarray) -> float | None:
+    """t-statistic of the level."""
+    xtx, xty, yty, n = m[:-1, :-1], m[:-1, -1], m[-1, -1], m[0, 0]
+    dof = n - len(xtx)
+    # Scale columns so that levels and differences weigh alike.
+    scale = np.sqrt(np.diag(xtx))
+    if dof <= 0 or not np.all(scale > 0):
+        return None
+    inv = np.linalg.pinv(xtx / np.outer(scale, scale))
+    coef = inv @ (xty / scale)
+    rss = max(yty - coef @ (xty / scale), 0.0)
+    se = math.sqrt(rss / dof * inv[1, 1])
+    return float(coef[1] / se) if se > 0 else None
+
+
 def adf_statistic(
-    df: DataFrame, keys: Sequence[str], value: str, max_lag: int, rows: int = 16384
+    df: DataFrame, keys: Sequence[str], value: str, max_lag: int | Column, rows: int = 16384, most: int | None = None
 ) -> DataFrame:
     """t-statistic of the lagged level in the augmented Dickey-Fuller regression, per key.
 
-    Each slice of a series contributes its small cross-product matrix; the matrices
-    add up, and only their sum reaches the solver. Needs ``rn``.
+    ``max_lag`` is a number, or a column of the moments (such as one of ``n``) with at most ``most``: keys of
+    different lags share the one pass over the rows. Only a key's few sums reach the solver. Needs ``rn``.
     """
-
-    def step(d, w):
-        d = d.withColumn("_lvl", F.lag(value).over(w))
-        d = d.withColumn("_dy", F.col(value) - F.col("_lvl"))
-        return d.withColumns({f"_d{i}": F.lag("_dy", i).over(w) for i in range(1, max_lag + 1)})
-
-    lagged = over_slices(df, keys, [step], max_lag + 1, rows=rows)
-    names = ["_one", "_lvl", *[f"_d{i}" for i in range(1, max_lag + 1)], "_dy"]
-    used = (
-        lagged.withColumn("_one", F.lit(1.0))
-        .withColumn("_slice", F.floor(F.col(RN) / rows))
-        .na.drop(subset=names)
-    )
-    schema = ", ".join([*(f"{k} {dict(used.dtypes)[k]}" for k in keys), "gram array<double>"])
-
-    def gram(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf[names].to_numpy(float)
-        return pd.DataFrame([[*key[:-1], (z.T @ z).ravel().tolist()]])
-
-    parts = used.select(*keys, "_slice", *names).groupBy(*keys, "_slice").applyInPandas(gram, schema)
-    summed = (
-        parts.select(*keys, F.posexplode("gram").alias("pos", "v"))
-        .groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
-        .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("g"))
-        .select(*keys, F.transform("g", lambda e: e.v).alias("g"))
-    )
-    size = len(names)
+    sums = adf_moments(df, keys, value, max_lag if most is None else most, rows)
+    sums = sums.withColumn("used_lag", max_lag if isinstance(max_lag, Column) else F.lit(max_lag))
+    plain = lambda edge: [(e["t"], e["d"], e["l"]) for e in edge]
 
     @F.pandas_udf("stat double, nobs long")
-    def solve(g: pd.Series) -> pd.DataFrame:
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for flat in g:
-            m = np.asarray(flat, float).reshape(size, size)
-            xtx, xty, yty, n = m[:-1, :-1], m[:-1, -1], m[-1, -1], m[0, 0]
-            dof = n - (size - 1)
-            # Scale columns so that levels and differences weigh alike.
-            scale = np.sqrt(np.diag(xtx))
-            if dof <= 0 or not np.all(scale > 0):
-                out.append((None, int(n)))
+        for r in rows.itertuples(index=False):
+            if r.n - 1 - r.used_lag < 1:
+                out.append((None, max(r.n - 1 - r.used_lag, 0)))
                 continue
-            unit = xtx / np.outer(scale, scale)
-            inv = np.linalg.pinv(unit)
-            coef = inv @ (xty / scale)
-            rss = max(yty - coef @ (xty / scale), 0.0)
-            se = math.sqrt(rss / dof * inv[1, 1])
-            out.append((float(coef[1] / se) if se > 0 else None, int(n)))
+            m = adf_matrix(r.n, r.used_lag, r.sum_d, r.sum_l, r.sum_ll, r.c, r.x, plain(r.head), plain(r.tail))
+            out.append((adf_solution(m), int(m[0, 0])))
         return pd.DataFrame(out, columns=["stat", "nobs"])
 
-    return summed.withColumn("_s", solve("g")).select(
-        *keys, "_s.stat", F.lit(max_lag).alias("used_lag"), "_s.nobs"
-    )
+    packed = F.struct("n", "used_lag", "sum_d", "sum_l", "sum_ll", "c", "x", "head", "tail")
+    return sums.withColumn("_s", solve(packed)).select(*keys, "_s.stat", "used_lag", "_s.nobs")
+
+
+def lag_of(n: Column) -> Column:
+    """``schwert_lag`` as a column; fewer than 8 rows are an error."""
+    fourth = F.floor(F.lit(12.0) * F.pow(n / 100.0, F.lit(0.25)) + F.lit(1e-9))
+    lag = F.greatest(F.lit(0), F.least(fourth, F.floor((n - 1) / 2) - 2)).cast("int")
+    return F.when(n < 8, F.raise_error(F.lit("a pair has fewer than 8 rows")).cast("int")).otherwise(lag)
 
 
 def engle_granger(rows: DataFrame, max_lag: int | None = None, slice_rows: int = 16384) -> DataFrame:
     """Two-step cointegration test per pair: hedge fit, then ADF on the residual spread.
 
-    Without ``max_lag`` each pair takes the lag its own length asks for. Pairs of one lag
-    share a pass; different lags are few, as the lag grows with the fourth root of the
-    length. A pair of fewer than 8 rows is an error.
+    Without ``max_lag`` each pair takes the lag its own length asks for; the sums go up to the longest
+    pair's lag, which grows with the fourth root of the length. A pair of fewer than 8 rows is an error.
     """
-    fit = hedge_fit(rows, ["pair"])
-    spread = add_spread(rows, fit, ["pair"]).select("pair", RN, "spread")
+    fit = keep(hedge_fit(rows, ["pair"]))
+    spread = keep(add_spread(rows, fit, ["pair"]).select("pair", RN, "spread"))
     if max_lag is not None:
         adf = adf_statistic(spread, ["pair"], "spread", max_lag, slice_rows)
     else:
-        spread = keep(spread)
-        n = F.count("*")
-        fourth = F.floor(F.lit(12.0) * F.pow(n / 100.0, F.lit(0.25)) + F.lit(1e-9))
-        lag = F.greatest(F.lit(0), F.least(fourth, F.floor((n - 1) / 2) - 2)).cast("int")
-        short = F.when(n < 8, F.raise_error(F.lit("a pair has fewer than 8 rows")).cast("int")).otherwise(lag)
-        lags = keep(spread.groupBy("pair").agg(short.alias("_lag")))
-        adf = None
-        for r in lags.select("_lag").distinct().orderBy("_lag").collect():
-            own = spread.join(lags.where(F.col("_lag") == r[0]), "pair", "left_semi")
-            part = adf_statistic(own, ["pair"], "spread", r[0], slice_rows)
-            adf = part if adf is None else adf.union(part)
-        if adf is None:
-            adf = adf_statistic(spread, ["pair"], "spread", 0, slice_rows)
+        sizes = spread.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.agg(F.max(lag_of(F.col("n")))).first()[0] or 0
+        adf = adf_statistic(spread, ["pair"], "spread", lag_of(F.col("n")), slice_rows, most)
     return fit.select("pair", "beta", "alpha").join(adf, "pair").withColumn(
         "cointegrated", F.col("stat") < RESIDUAL_CRITICAL[0.05]
     )

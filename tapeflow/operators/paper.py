@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.functions.numeric import change
+from tapeflow.sources.upsert import upsert
+
+#: Key of a logged prediction; ``month`` is the log's partition.
+LOG_KEY = ("month", "symbol", "ts")
+#: What resolving adds to a logged prediction.
+OUTCOME = {"exit_price": "double", "actual_return": "double", "actual_label": "string", "success": "boolean"}
+
+
+def log_predictions(spark: SparkSession, path: str, rows: DataFrame, version: str) -> bool:
+    """Store pending predictions by month; a version is stored once, a prediction logged again replaces itself."""
+    month = F.date_format("ts", "yyyy-MM")
+    empty = {c: F.lit(None).cast(t) for c, t in OUTCOME.items()}
+    return upsert(spark, path, rows.withColumn("month", month).withColumns(empty), LOG_KEY, "month", version)
+
+
+def resolve_log(spark: SparkSession, path: str, schema: str, bars: DataFrame, as_of: Column, version: str) -> bool:
+    """Write back what has come due: only months with a newly judged prediction are rewritten."""
+    log = spark.read.schema(schema).parquet(path)
+    pending = log.where(F.col("status") == "pending").drop(*OUTCOME)
+    judged = resolve(pending, bars, as_of).where(F.col("status") != "pending")
+    return upsert(spark, path, judged.select(*log.columns), LOG_KEY, "month", version)
 
 
 def resolve(predictions: DataFrame, bars: DataFrame, as_of: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from tapeflow.plans.slices import RN, number_rows, over_slices, rn_bucket, runni
 from tapeflow.queries.registry import BRAND, DAILY, ORD, query, r, r6, rs, show
 from tapeflow.queries.strategy import BASE, TH, base, preds
 from tapeflow.sources import ledger, tables
+from tapeflow.sources.store import scratch_folder
 
 # --- pairs: every brand against the first ------------------------------------------------
 PAIRS = [(f"Brand#{i}", "Brand#1") for i in range(2, 26)]
@@ -171,6 +172,21 @@ def pair_judgement(spark, sf):
     return show(out, "win_rate", "total_pnl", "sharpe", "p_value", "deflated_p", keys=("pair", "entry", "leave", "n_trades", "wins"))
 
 
+@query("adf_moments", f"""WITH {ALIGN}, mf AS ({_fit_sql('pair', 'al')}), ms AS (SELECT pair, rn, y - (alpha + beta * x) AS v FROM al JOIN mf USING (pair)),
+  md AS (SELECT *, lag(v) OVER (PARTITION BY pair ORDER BY rn) AS l, v - lag(v) OVER (PARTITION BY pair ORDER BY rn) AS d FROM ms),
+  mk AS (SELECT a.pair, k.k, sum(a.d * b.d) AS c, sum(a.l * b.d) AS x FROM md a JOIN (SELECT unnest(range(7)) AS k) k ON true
+    JOIN md b ON b.pair = a.pair AND b.rn = a.rn - k.k GROUP BY ALL)
+  SELECT pair, k::INT AS k, {rs(c='c / c0', x='x / c0')} FROM (SELECT *, first_value(c) OVER (PARTITION BY pair ORDER BY k) AS c0 FROM mk)""")
+def adf_moments(spark, sf):
+    """Sums of products of spread differences k apart, and of levels with the difference k before, as shares of the first."""
+    rows = _aligned(spark, sf)
+    spread = pairs.add_spread(rows, pairs.hedge_fit(rows, ["pair"]), ["pair"]).select("pair", RN, "spread")
+    sums = pairs.adf_moments(keep(spread), ["pair"], "spread", 6, 256)
+    c0 = F.col("first")
+    long = sums.select("pair", F.col("c")[0].alias("first"), F.posexplode(F.arrays_zip("c", "x")).alias("k", "s"))
+    return show(long.select("pair", "k", (F.col("s.c") / c0).alias("c"), (F.col("s.x") / c0).alias("x")), "c", "x", keys=("pair", "k"))
+
+
 @query("cointegration")
 def cointegration(spark, sf):
     return pairs.engle_granger(_aligned(spark, sf))
@@ -213,44 +229,43 @@ def trade_log_metrics(spark, sf):
     return show(out, "win_rate", "avg_pnl", "max_win", "max_loss", "total_costs", keys=("model", "n_trades", "n_closed", "n_stop_losses"))
 
 
-OUTCOME = f"""{TH}, t1 AS (SELECT * FROM th WHERE model = 'trend'),
-  path AS (SELECT a.symbol, a.ts, a.rn, a.close * 1.0005 AS fill, f.rn - a.rn AS i, f.close AS px,
+OUTCOME = f"""{TH}, path AS (SELECT a.symbol, a.model, a.ts, a.rn, a.close * 1.0005 AS fill, f.rn - a.rn AS i, f.close AS px,
       CASE WHEN f.close <= a.close * 1.0005 * (1 - CASE WHEN f.atr_pct > 0 THEN greatest(0.01, least(0.15, f.atr_pct * 3)) ELSE 0.05 END) THEN 'STOP'
         WHEN f.rn - a.rn >= 5 THEN 'TIME_EXIT' WHEN f.pred < f.s THEN 'SELL' END AS act
-    FROM t1 a JOIN t1 f ON f.symbol = a.symbol AND f.rn BETWEEN a.rn + 1 AND a.rn + 5 WHERE a.pred > a.b),
-  outcome AS (SELECT symbol, ts, arg_min(act, i) AS exit_action, min(i) AS bars_held, arg_min(px, i) * 0.9995 / any_value(fill) * 0.999 * 0.999 - 1 AS pnl
-    FROM path WHERE act IS NOT NULL GROUP BY 1, 2)"""
+    FROM th a JOIN th f ON f.symbol = a.symbol AND f.model = a.model AND f.rn BETWEEN a.rn + 1 AND a.rn + 5 WHERE a.pred > a.b),
+  outcome AS (SELECT symbol, model, ts, arg_min(act, i) AS exit_action, min(i) AS bars_held, arg_min(px, i) * 0.9995 / any_value(fill) * 0.999 * 0.999 - 1 AS pnl
+    FROM path WHERE act IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
 def _outcomes(spark, sf):
     b, s = signals.dynamic_thresholds(F.col("atr_pct"))
-    p = preds(spark, sf).where("model = 'trend'").withColumns({"buy_th": b, "sell_th": s})
-    out = over_slices(p, ["symbol"], [backtest.add_signal_outcomes], 0, 5)
+    p = preds(spark, sf).withColumns({"buy_th": b, "sell_th": s})
+    out = over_slices(p, ["symbol", "model"], [backtest.add_signal_outcomes], 0, 5)
     return out.where((F.col("pred") > F.col("buy_th")) & F.col("exit_action").isNotNull())
 
 
-@query("signal_outcomes", f"WITH {OUTCOME} SELECT symbol, ts, exit_action, bars_held::INT AS bars_held, {r('pnl')} AS pnl FROM outcome")
+@query("signal_outcomes", f"WITH {OUTCOME} SELECT symbol, model, ts, exit_action, bars_held::INT AS bars_held, {r('pnl')} AS pnl FROM outcome")
 def signal_outcomes(spark, sf):
-    return show(_outcomes(spark, sf), "pnl", keys=("symbol", "ts", "exit_action", "bars_held"))
+    return show(_outcomes(spark, sf), "pnl", keys=("symbol", "model", "ts", "exit_action", "bars_held"))
 
 
-@query("best_candidates", f"""WITH {TH} SELECT ts, symbol, {rs(pred='pred', close='close')} FROM th WHERE model = 'trend' AND pred > b
-  QUALIFY row_number() OVER (PARTITION BY ts ORDER BY pred DESC, symbol) = 1""")
+@query("best_candidates", f"""WITH {TH} SELECT ts, model, symbol, {rs(pred='pred', close='close')} FROM th WHERE pred > b
+  QUALIFY row_number() OVER (PARTITION BY ts, model ORDER BY pred DESC, symbol) = 1""")
 def best_candidates(spark, sf):
     b, s = signals.dynamic_thresholds(F.col("atr_pct"))
-    p = preds(spark, sf).where("model = 'trend'").withColumns({"buy_th": b, "sell_th": s})
-    return show(backtest.best_candidates(p), "pred", "close", keys=("ts", "symbol"))
+    p = preds(spark, sf).withColumns({"buy_th": b, "sell_th": s})
+    return show(backtest.best_candidates(p, ["ts", "model"]), "pred", "close", keys=("ts", "model", "symbol"))
 
 
 # --- risk -------------------------------------------------------------------------------------
 
 
-@query("kelly_sizes", f"""WITH {OUTCOME}, k AS (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS w, count(*) FILTER (WHERE pnl < 0) AS l,
-    avg(pnl) FILTER (WHERE pnl > 0) / abs(avg(pnl) FILTER (WHERE pnl < 0)) AS b FROM outcome GROUP BY 1)
-  SELECT symbol, n, {r('''CASE WHEN w + l < 5 OR w = 0 OR l = 0 THEN 0.2 ELSE greatest(0.1, least(0.2,
+@query("kelly_sizes", f"""WITH {OUTCOME}, k AS (SELECT symbol, model, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS w, count(*) FILTER (WHERE pnl < 0) AS l,
+    avg(pnl) FILTER (WHERE pnl > 0) / abs(avg(pnl) FILTER (WHERE pnl < 0)) AS b FROM outcome GROUP BY 1, 2)
+  SELECT symbol, model, n, {r('''CASE WHEN w + l < 5 OR w = 0 OR l = 0 THEN 0.2 ELSE greatest(0.1, least(0.2,
     greatest(0, least(1, (w / (w + l) * b - (1 - w / (w + l))) / b)) * 0.25)) END''')} AS position_size FROM k""")
 def kelly_sizes(spark, sf):
-    return show(risk.kelly_sizes(_outcomes(spark, sf), ["symbol"]), "position_size", keys=("symbol", "n"))
+    return show(risk.kelly_sizes(_outcomes(spark, sf), ["symbol", "model"]), "position_size", keys=("symbol", "model", "n"))
 
 
 @query("stop_loss", f"WITH {BASE} SELECT symbol, ts, close <= open * (1 - 0.05) AS stopped FROM base")
@@ -401,6 +416,20 @@ def prediction_resolution(spark, sf):
                                        F.coalesce("success", F.lit(False)).alias("success"))
 
 
+@query("stored_resolution", f"WITH {PLOG} SELECT symbol, ts, status, actual AS actual_label, {r('ret')} AS actual_return, coalesce(actual = consensus, false) AS success FROM rs3")
+def stored_resolution(spark, sf):
+    """The log is stored, judged early, judged at the day, and judged again: results are written back once."""
+    folder, bars = scratch_folder(spark), keep(tables.daily_bars(spark, sf))
+    rows = _log(spark, sf)
+    paper.log_predictions(spark, folder, rows, "logged")
+    schema = spark.read.parquet(folder).schema
+    for day in ("1998-01-01", "2001-07-20", "2001-07-20"):
+        paper.resolve_log(spark, folder, schema, bars, F.lit(f"{day} 00:00:00").cast("timestamp_ntz"), f"judged {day}")
+    out = spark.read.schema(schema).parquet(folder)
+    return out.select("symbol", "ts", "status", "actual_label", r6(F.col("actual_return")).alias("actual_return"),
+                      F.coalesce("success", F.lit(False)).alias("success"))
+
+
 @query("live_accuracy", f"""WITH {PLOG} SELECT symbol, count(*) AS total_predictions, count(*) FILTER (WHERE status = 'resolved') AS total_resolved,
   count(*) FILTER (WHERE actual = consensus) AS correct_resolved, {r("count(*) FILTER (WHERE actual = consensus) * 100.0 / nullif(count(*) FILTER (WHERE status = 'resolved'), 0)")} AS accuracy_pct,
   count(*) FILTER (WHERE status = 'pending') AS still_pending FROM rs3 GROUP BY 1""")

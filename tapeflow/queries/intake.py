@@ -10,7 +10,7 @@ from tapeflow.operators import micro, technical, validate
 from tapeflow.plans.slices import over_slices
 from tapeflow.queries.registry import DAILY, HOURLY, ORD, daily, hourly, query, r, r6, show
 from tapeflow.sources import bars as bar_src
-from tapeflow.sources import calendar, ledger, payloads, store, tables, texts
+from tapeflow.sources import calendar, ledger, payloads, store, tables, texts, upsert
 
 BARS = "symbol, ts, open, high, low, close, volume"
 
@@ -69,6 +69,39 @@ def bar_round_trip(spark, sf):
     return store.load(spark, folder, "price").select(*BARS.split(", "))
 
 
+@query("trades_after_upsert", """WITH t AS (SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity, o_orderstatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  u AS (SELECT strftime(l_shipdate, '%Y') AS year, CASE WHEN o_orderstatus = 'O' THEN l_quantity * 2 ELSE l_quantity END AS qty FROM t
+    WHERE NOT (o_orderstatus = 'P' AND l_linenumber = 1)) SELECT year, count(*) AS n, sum(qty) AS qty FROM u GROUP BY 1""")
+def trades_after_upsert(spark, sf):
+    """A stored ledger by year in which trades are corrected and taken back; applied twice, it changes once."""
+    folder = store.scratch_folder(spark)
+    own = tables.trades(spark, sf).select("order_id", "line", "seq", "symbol", "ts", "qty", F.date_format("ts", "yyyy").alias("year"))
+    key = ["year", "order_id", "line", "seq"]
+    upsert.upsert(spark, folder, own, key, "year", "first")
+    status = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), "o_orderstatus")
+    met = own.join(status, "order_id")
+    gone = (F.col("o_orderstatus") == "P") & (F.col("line") == 1)
+    changes = met.where((F.col("o_orderstatus") == "O") | gone).withColumns({"qty": F.col("qty") * 2, "gone": gone}).drop("o_orderstatus")
+    for _ in range(2):
+        upsert.upsert(spark, folder, changes, key, "year", "second")
+    stored = spark.read.schema(own.schema).parquet(folder)
+    return stored.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
+
+
+@query("dataset_delete", f"""WITH {HOURLY}, {DAILY}, a AS (
+    SELECT symbol, 'price' AS kind, ts FROM hourly WHERE symbol <> 'click' UNION ALL SELECT symbol, 'dataset', ts FROM daily WHERE symbol <> '1-URGENT')
+  SELECT symbol, kind, count(*) AS rows, min(ts) AS start_ts, max(ts) AS end_ts FROM a GROUP BY 1, 2""")
+def dataset_delete(spark, sf):
+    """Store two kinds, drop one symbol of one kind and one symbol of all kinds, list what is left."""
+    folder = store.scratch_folder(spark)
+    stamp = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    for kind, bars in (("price", _bars(spark, sf)), ("dataset", tables.daily_bars(spark, sf))):
+        store.save(bars, folder, kind, stamp)
+    store.delete(spark, folder, "click", "price")
+    store.delete(spark, folder, "1-URGENT")
+    return store.catalog(spark.read.parquet(folder)).drop("saved_at")
+
+
 @query("dataset_catalog", f"""WITH {HOURLY}, {DAILY}, a AS (
     SELECT symbol, 'price' AS kind, ts FROM hourly UNION ALL SELECT symbol, 'dataset', ts FROM daily)
   SELECT symbol, kind, count(*) AS rows, min(ts) AS start_ts, max(ts) AS end_ts FROM a GROUP BY 1, 2""")
@@ -309,13 +342,14 @@ def calendar_range(spark, sf):
 
 # --- ledgers --------------------------------------------------------------------------
 
-@query("active_trades", """WITH t AS (SELECT 'S' || l_suppkey AS symbol, l_quantity, l_shipdate, l_orderkey FROM lineitem)
+@query("active_trades", """WITH t AS (SELECT 'S' || l_suppkey AS symbol, l_quantity, l_shipdate, l_orderkey, l_linenumber FROM lineitem)
   SELECT symbol, count(*) AS n, sum(l_quantity) AS qty FROM t
-  WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1""")
+  WHERE NOT (l_linenumber = 1 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')) GROUP BY 1""")
 def active_trades(spark, sf):
-    t = tables.trades(spark, sf).withColumn("trade_id", F.col("order_id"))
-    gone = tables.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("trade_id"))
-    left = ledger.active_trades(t, gone)
+    """The first trade of each order in process is taken back; the order's other trades stay."""
+    gone = tables.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(
+        F.col("o_orderkey").alias("order_id"), F.lit(1).alias("line"))
+    left = ledger.active_trades(tables.trades(spark, sf), gone, ["order_id", "line"])
     return left.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
 
 

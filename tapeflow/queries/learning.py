@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeflow.config import FeatureSpec
-from tapeflow.operators import metrics, models, signals, splits
+from tapeflow.operators import fold_models, metrics, models, signals, splits
 from tapeflow.plans.features import engineer
 from tapeflow.plans.slices import number_rows, time_bucket
 from tapeflow.plans.tables import keep
@@ -21,6 +21,9 @@ from tapeflow.streaming import books as book_stream
 FEATURES = ["ret_1d", "ret_5d", "vwap_dist", "hl_range"]
 SPEC = FeatureSpec(micro=True)
 WIDE = SPEC.columns()
+#: Every family that a symbol's own bars give.
+FULL = FeatureSpec(micro=True, smooth=True)
+EVERY = FULL.columns()
 
 
 def rows(spark, sf):
@@ -51,27 +54,149 @@ def fold_moments(spark, sf):
     return show(s, "mean_y", "mean_x", "xy", "xx", keys=("symbol", "fold_id", "n_train"))
 
 
-def _ridge(spark, sf):
-    return models.fit_ridge(_fold_sums(spark, sf), ["symbol", "fold_id"], FEATURES, "target", 1.0)
+def matrix_of(bars):
+    """The feature table of numbered bars with all bar families, numbered, with the fixed label."""
+    full = engineer(bars, FULL).select("symbol", "ts", "close", *EVERY, "target")
+    full = number_rows(keep(full), ["symbol"], ["ts"], time_bucket(F.col("ts"), 365.0), total="n")
+    band, y = 0.5 * F.col("atr_pct"), F.col("target")
+    return keep(full.withColumn("label", F.when(y > band, 2).when(y < -band, 0).otherwise(1)))
+
+
+def _matrix(spark, sf):
+    return matrix_of(hourly(spark, sf))
+
+
+def _folds(d):
+    return splits.add_folds(d, 300, 60, None, 5)
+
+
+def _wide_sums(d):
+    return models.fold_moments(d, ["symbol"], EVERY, "target", 300, 60, None, 5)
 
 
 @query("ridge_fits")
 def ridge_fits(spark, sf):
-    fit = _ridge(spark, sf)
-    coefs = [F.col("coef")[i].alias(f) for i, f in enumerate(FEATURES)]
+    fit = models.fit_ridge(_wide_sums(_matrix(spark, sf)), ["symbol", "fold_id"], EVERY, "target", 1.0)
+    coefs = [F.col("coef")[i].alias(f) for i, f in enumerate(EVERY)]
     return fit.select("symbol", "fold_id", "n_train", "intercept", *coefs)
 
 
 @query("ridge_walk_forward")
 def ridge_walk_forward(spark, sf):
-    d = rows(spark, sf)
-    sums = models.fold_moments(d, ["symbol"], FEATURES, "target", 300, 60, None, 5)
-    fits = models.fit_ridge(sums, ["symbol", "fold_id"], FEATURES, "target", 1.0)
-    f = splits.add_folds(d, 300, 60, None, 5).where("part = 'test'")
-    p = models.predict_ridge(f, keep(fits), ["symbol", "fold_id"], FEATURES)
+    return ridge_scores(_matrix(spark, sf))
+
+
+def ridge_scores(d):
+    fits = models.fit_ridge(_wide_sums(d), ["symbol", "fold_id"], EVERY, "target", 1.0)
+    p = models.predict_ridge(_folds(d).where("part = 'test'"), keep(fits), ["symbol", "fold_id"], EVERY)
     return metrics.regression_metrics(p, ["symbol", "fold_id"])
 
 
+# --- fitted classifiers and feature families, all folds at once ----------------------------------
+
+
+def softmax_calls(d):
+    """Test rows of every fold with the classes of that fold's own fit."""
+    f = _folds(d)
+    key = ["symbol", "fold_id"]
+    fits = fold_models.fit_softmax(f.where("part = 'train'"), key, EVERY)
+    return fold_models.predict_softmax(f.where("part = 'test'"), keep(fits), key, EVERY).withColumn("fwd", F.col("target"))
+
+
+def softmax_scores(d):
+    calls, key = keep(softmax_calls(d)), ["symbol", "fold_id"]
+    return metrics.class_metrics(calls, key).join(metrics.hit_rate(calls, key), key)
+
+
+@query("softmax_folds")
+def softmax_folds(spark, sf):
+    """Accuracy, F1 and hit rate of a fitted classifier in each walk-forward window."""
+    return softmax_scores(_matrix(spark, sf)).select("symbol", "fold_id", "n", "accuracy", "f1_macro", "n_signals", "hit_rate")
+
+
+@query("softmax_summary")
+def softmax_summary(spark, sf):
+    return metrics.classification_summary(softmax_scores(_matrix(spark, sf)))
+
+
+@query("softmax_probabilities")
+def softmax_probabilities(spark, sf):
+    p = softmax_calls(_matrix(spark, sf))
+    return p.select("symbol", "fold_id", "ts", "pred_class", *[F.col("proba")[i].alias(c) for i, c in enumerate(("p_sell", "p_hold", "p_buy"))])
+
+
+#: Feature families switched on and off, by name.
+VARIANTS = {
+    "technical": FeatureSpec().columns(), "technical+micro": FeatureSpec(micro=True).columns(),
+    "technical+smooth": FeatureSpec(smooth=True).columns(), "technical+micro+smooth": FULL.columns(),
+}
+
+
+PENALTIES = (1.0, 100.0)
+
+
+def _swept(d, variants, alphas=(1.0,)):
+    return keep(fold_models.sweep_ridge(_wide_sums(d), ["symbol", "fold_id"], EVERY, "target", variants, alphas))
+
+
+def variant_folds(d):
+    """Class metrics per fold and feature variant: calls of the swept ridge fits under dynamic thresholds."""
+    p = fold_models.predict_swept(_folds(d).where("part = 'test'"), _swept(d, VARIANTS), ["symbol", "fold_id"], EVERY)
+    buy, sell = signals.dynamic_thresholds(F.col("atr_pct"))
+    p = keep(p.withColumns({"fwd": F.col("target"), "pred_class": F.when(F.col("pred") > buy, 2).when(F.col("pred") < sell, 0).otherwise(1)}))
+    key = ["symbol", "variant", "n_features", "fold_id"]
+    return metrics.class_metrics(p, key).join(metrics.hit_rate(p, key), key)
+
+
+@query("feature_ablation")
+def feature_ablation(spark, sf):
+    """Which feature families earn their place: real fits of every FeatureSpec variant, from one set of moments."""
+    return metrics.ablation_table(variant_folds(_matrix(spark, sf)), ["symbol", "n_features"], spread_over=["symbol"])
+
+
+def combo_results(spark, sf):
+    """Train and test R2 per symbol, feature combination and penalty, fitted on the train segment."""
+    d = splits.add_segments(_matrix(spark, sf), horizon=5)
+    train = models.moments(d.where("segment = 'train'"), ["symbol"], EVERY, "target")
+    fits = keep(fold_models.sweep_ridge(train, ["symbol"], EVERY, "target", VARIANTS, PENALTIES))
+    model = F.concat(F.lit("ridge_"), F.col("alpha").cast("int"))
+    p = fold_models.predict_swept(d.where("segment = 'test'"), fits, ["symbol"], EVERY)
+    test = metrics.regression_metrics(p, ["symbol", "variant", "alpha"]).select("symbol", "variant", "alpha", F.col("r2").alias("test_r2"))
+    both = fits.join(test, ["symbol", "variant", "alpha"])
+    return keep(both.select("symbol", F.col("variant").alias("combo"), model.alias("model"), "n_features", "train_r2", "test_r2"))
+
+
+@query("family_summary")
+def family_summary(spark, sf):
+    return metrics.combo_summary(combo_results(spark, sf))
+
+
+@query("family_increments")
+def family_increments(spark, sf):
+    return metrics.incremental_value(combo_results(spark, sf), ["technical", "technical+micro", "technical+micro+smooth"])
+
+
+@query("family_best")
+def family_best(spark, sf):
+    return metrics.best_per_symbol(combo_results(spark, sf))
+
+
+@query("family_detail")
+def family_detail(spark, sf):
+    return metrics.full_detail(combo_results(spark, sf), "technical+micro+smooth", ["ridge_1", "ridge_100"])
+
+
+@query("one_feature_variant", f"""WITH {CLEAN}, f AS (SELECT c.symbol, fold_id, count(*) AS n, avg(vwap_dist) AS mx, avg(target) AS my,
+    covar_pop(vwap_dist, target) AS c, var_pop(vwap_dist) AS v FROM clean c JOIN wf ON wf.symbol = c.symbol AND rn >= fold_id * 60 AND rn < fold_id * 60 + 295 GROUP BY 1, 2),
+  b AS (SELECT *, c / v * n / (n + 1) AS beta FROM f)
+  SELECT symbol, fold_id, 1 AS n_features, n AS n_train, {rs(coef='beta', intercept='my - beta * mx')} FROM b""")
+def one_feature_variant(spark, sf):
+    """The variant of one feature, solved from the products of all: ridge has a closed form there."""
+    fits = fold_models.sweep_ridge(_fold_sums(spark, sf), ["symbol", "fold_id"], FEATURES, "target", {"vwap": ["vwap_dist"]})
+    fits = fits.withColumn("coef", F.col("coef")[FEATURES.index("vwap_dist")])
+    return show(fits, "coef", "intercept", keys=("symbol", "fold_id", "n_features", "n_train"))
+
+
 def _segmented(spark, sf):
     """The feature table with all bar families, cut into train, validation and test rows."""
     full = engineer(hourly(spark, sf), SPEC).select("symbol", "ts", "close", *WIDE, "target")
@@ -107,6 +232,23 @@ def boosted_model(spark, sf):
     return _by_segment(_boosted(d).transform(models.assemble(d, WIDE)))
 
 
+@query("boosting_curve")
+def boosting_curve(spark, sf):
+    """Validation loss after each boosting round, and the round where the ensemble is cut."""
+    d, losses = _segmented(spark, sf), []
+    model = models.fit_boosted(d.where("segment = 'train'"), WIDE, "target", d.where("segment = 'val'"), curve=losses)
+    rows = [(i + 1, float(v), i + 1 == len(model.trees)) for i, v in enumerate(losses)]
+    return spark.createDataFrame(rows, "round int, val_loss double, chosen boolean")
+
+
+@query("tree_search")
+def tree_search(spark, sf):
+    """Every trial of a successive halving over tree settings; the winner of the last rung is marked."""
+    d = _segmented(spark, sf)
+    log = models.search_boosted(d.where("segment = 'train'"), d.where("segment = 'val'"), WIDE, "target", trials=6, first=5)
+    return spark.createDataFrame(log, models.TRIALS_SCHEMA)
+
+
 @query("feature_importance")
 def feature_importance(spark, sf):
     return models.feature_ranking(spark, _boosted(_segmented(spark, sf)), WIDE)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeflow.functions.stats import binomial_p, breakeven_win_rate, deflate, expected_value
-from tapeflow.operators import ev, labels, metrics, micro, signals, splits, technical, validate
+from tapeflow.operators import ev, holdout, labels, metrics, micro, signals, splits, technical, validate
 from tapeflow.plans.slices import number_rows, over_slices, time_bucket
 from tapeflow.queries.registry import HOURLY, ORD, gate, query, r, r6, rs, show, win
 from tapeflow.queries.prices import VWAP
 from tapeflow.plans.tables import keep
 from tapeflow.sources import tables
+from tapeflow.sources.store import scratch_folder
 
 KEYS = ["symbol"]
 
@@ -123,10 +124,10 @@ TH = f"""{BASE}, th AS (SELECT *, CASE WHEN atr_pct > 0 THEN 0.1 * atr_pct ELSE
       ELSE greatest(0, (1 - abs(pred) / greatest(abs(CASE WHEN pred < 0 THEN abs(s) ELSE b END), 1e-9)) * 50) END AS confidence FROM th)"""
 
 
-@query("dynamic_thresholds", f"WITH {TH} SELECT symbol, ts, {rs(buy_th='b', sell_th='s')} FROM th WHERE model = 'trend'")
+@query("dynamic_thresholds", f"WITH {TH} SELECT symbol, ts, model, {rs(buy_th='b', sell_th='s')} FROM th")
 def dynamic_thresholds(spark, sf):
     b, s = signals.dynamic_thresholds(F.col("atr_pct"))
-    return show(base(spark, sf).withColumns({"buy_th": b, "sell_th": s}), "buy_th", "sell_th")
+    return show(preds(spark, sf).withColumns({"buy_th": b, "sell_th": s}), "buy_th", "sell_th", keys=("symbol", "ts", "model"))
 
 
 def _signals(spark, sf):
@@ -139,16 +140,16 @@ def model_signals(spark, sf):
     return show(_signals(spark, sf), "confidence", "pred", keys=("symbol", "ts", "model", "signal"))
 
 
-@query("class_signals", f"""WITH {BASE}, p AS (SELECT symbol, ts, exp(-pred) AS a, 1.0 AS b, exp(pred) AS c FROM (
-      SELECT symbol, ts, greatest(-20, least(20, pred)) AS pred FROM preds WHERE model = 'trend')),
-    q AS (SELECT symbol, ts, a / (a + b + c) AS p0, b / (a + b + c) AS p1, c / (a + b + c) AS p2 FROM p)
-  SELECT symbol, ts, CASE WHEN p0 >= p1 AND p0 >= p2 THEN CASE WHEN p0 < 0.5 THEN 'HOLD' ELSE 'SELL' END WHEN p1 >= p2 THEN 'HOLD'
+@query("class_signals", f"""WITH {BASE}, p AS (SELECT symbol, ts, model, exp(-pred) AS a, 1.0 AS b, exp(pred) AS c FROM (
+      SELECT symbol, ts, model, greatest(-20, least(20, pred)) AS pred FROM preds)),
+    q AS (SELECT symbol, ts, model, a / (a + b + c) AS p0, b / (a + b + c) AS p1, c / (a + b + c) AS p2 FROM p)
+  SELECT symbol, ts, model, CASE WHEN p0 >= p1 AND p0 >= p2 THEN CASE WHEN p0 < 0.5 THEN 'HOLD' ELSE 'SELL' END WHEN p1 >= p2 THEN 'HOLD'
     ELSE CASE WHEN p2 < 0.5 THEN 'HOLD' ELSE 'BUY' END END AS class_signal, {r('greatest(p0, p1, p2) * 100')} AS class_confidence FROM q""")
 def class_signals(spark, sf):
     x = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("pred")))
     a, b, c = F.exp(-x), F.lit(1.0), F.exp(x)
-    df = preds(spark, sf).where("model = 'trend'").withColumn("proba", F.array(a / (a + b + c), b / (a + b + c), c / (a + b + c)))
-    return show(signals.add_class_signal(df), "class_confidence", keys=("symbol", "ts", "class_signal"))
+    df = preds(spark, sf).withColumn("proba", F.array(a / (a + b + c), b / (a + b + c), c / (a + b + c)))
+    return show(signals.add_class_signal(df), "class_confidence", keys=("symbol", "ts", "model", "class_signal"))
 
 
 LAST = f"""{TH}, last AS (SELECT * FROM sig QUALIFY row_number() OVER (PARTITION BY symbol, model ORDER BY ts DESC) = 1)"""
@@ -240,13 +241,12 @@ def meta_labels(spark, sf):
 
 
 @query("meta_filter", f"""WITH {META}, {TH[len(BASE) + 2:]}, pc AS (SELECT symbol, avg(meta_label) AS q FROM ml GROUP BY 1)
-  SELECT symbol, ts, CASE WHEN q < 0.5 AND signal IN ('BUY', 'SELL') THEN 'HOLD' ELSE signal END AS consensus FROM sig JOIN pc USING (symbol)
-  WHERE model = 'trend'""")
+  SELECT symbol, ts, model, CASE WHEN q < 0.5 AND signal IN ('BUY', 'SELL') THEN 'HOLD' ELSE signal END AS consensus FROM sig JOIN pc USING (symbol)""")
 def meta_filter(spark, sf):
     """The share of right calls per symbol stands in for a fitted meta-model."""
     q = signals.meta_labels(preds(spark, sf)).groupBy("symbol").agg(F.avg("meta_label").alias("prob_correct"))
-    calls = _signals(spark, sf).where("model = 'trend'").withColumnRenamed("signal", "consensus")
-    return signals.meta_filter(calls.join(q, "symbol")).select("symbol", "ts", "consensus")
+    calls = _signals(spark, sf).withColumnRenamed("signal", "consensus")
+    return signals.meta_filter(calls.join(q, "symbol")).select("symbol", "ts", "model", "consensus")
 
 
 # --- splits --------------------------------------------------------------------------------------
@@ -505,26 +505,26 @@ def full_detail(spark, sf):
 
 
 # --- significance and expected value ------------------------------------------------------------------
-WINS = f"""{BASE}, wins AS (SELECT symbol, count(*) FILTER (WHERE pred_class <> 1) AS n, count(*) FILTER (WHERE {_HIT}) AS w
-    FROM classes WHERE fwd IS NOT NULL AND model = 'trend' GROUP BY 1),
-  tails AS (SELECT symbol, n, w, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5))) FROM (SELECT unnest(range(w, n + 1)) AS i)) AS p FROM wins)"""
+WINS = f"""{BASE}, wins AS (SELECT symbol, model, count(*) FILTER (WHERE pred_class <> 1) AS n, count(*) FILTER (WHERE {_HIT}) AS w
+    FROM classes WHERE fwd IS NOT NULL GROUP BY 1, 2),
+  tails AS (SELECT symbol, model, n, w, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5))) FROM (SELECT unnest(range(w, n + 1)) AS i)) AS p FROM wins)"""
 
 
 def _wins(spark, sf):
-    c = classes(spark, sf).where("fwd IS NOT NULL AND model = 'trend'")
+    c = classes(spark, sf).where("fwd IS NOT NULL")
     hit = ((F.col("pred_class") == 2) & (F.col("fwd") > 0)) | ((F.col("pred_class") == 0) & (F.col("fwd") < 0))
-    return c.groupBy("symbol").agg(F.count_if(F.col("pred_class") != 1).alias("n"), F.count_if(hit).alias("w"))
+    return c.groupBy("symbol", "model").agg(F.count_if(F.col("pred_class") != 1).alias("n"), F.count_if(hit).alias("w"))
 
 
-@query("binomial_p_value", f"WITH {WINS} SELECT symbol, n, w, {r('p')} AS p_value FROM tails")
+@query("binomial_p_value", f"WITH {WINS} SELECT symbol, model, n, w, {r('p')} AS p_value FROM tails")
 def binomial_p_value(spark, sf):
-    return _wins(spark, sf).select("symbol", "n", "w", r6(binomial_p(F.col("w"), F.col("n"))).alias("p_value"))
+    return _wins(spark, sf).select("symbol", "model", "n", "w", r6(binomial_p(F.col("w"), F.col("n"))).alias("p_value"))
 
 
-@query("deflated_p_value", f"WITH {WINS} SELECT symbol, {r('1 - pow(1 - p, 30)')} AS deflated_p FROM tails")
+@query("deflated_p_value", f"WITH {WINS} SELECT symbol, model, {r('1 - pow(1 - p, 30)')} AS deflated_p FROM tails")
 def deflated_p_value(spark, sf):
     p = _wins(spark, sf).withColumn("p", binomial_p(F.col("w"), F.col("n")))
-    return p.select("symbol", r6(deflate(F.col("p"), F.lit(30))).alias("deflated_p"))
+    return p.select("symbol", "model", r6(deflate(F.col("p"), F.lit(30))).alias("deflated_p"))
 
 
 @query("breakeven_and_ev", f"""WITH {BASE} SELECT symbol, ts, {rs(breakeven='CASE WHEN coalesce(atr_pct, 0) <= 0 THEN 1 ELSE 1 / (1 + atr_pct) END',
@@ -568,36 +568,14 @@ def _grid_rows(spark, sf):
 
     cell = F.when(F.coalesce("ret_1d", F.lit(0.0)) > 0, 1).otherwise(0) + F.when(F.coalesce("vwap_dist", F.lit(0.0)) > 0, 2).otherwise(0)
     df = over_slices(base(spark, sf), KEYS, [step], 0, max(ev.HORIZONS))
-    return keep(df.select("symbol", "rn", "n", cell.alias("cell"), "labels", *[f"fwd{h}" for h in ev.HORIZONS]))
+    return keep(df.select("symbol", "ts", "rn", "n", cell.alias("cell"), "labels", *[f"fwd{h}" for h in ev.HORIZONS]))
 
 
-def _variants(rows):
-    """One row per label variant: parameters, label and the return over its horizon."""
-    picks = F.array(*[
-        F.struct(F.lit(pt).alias("pt"), F.lit(sl).alias("sl"), F.lit(h).alias("h"), F.col("labels")[i].alias("label"),
-                 F.col(f"fwd{h}").alias("fwd"))
-        for i, (pt, sl, h) in enumerate(_GRID)])
-    return rows.select("symbol", "rn", "n", "cell", F.inline(picks))
+_BLOCK, _TRAIN, _TEST = 60, 300, 60
 
 
-def _state_model(train, keys):
-    """Label shares per state; equal shares go to the lower code."""
-    counts = train.groupBy(*keys, "cell", "label").agg(F.count(F.lit(1)).alias("k"))
-    g = counts.groupBy(*keys, "cell").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("pred_class"),
-                                          (F.max("k") / F.sum("k")).alias("max_proba"))
-    return g.withColumn("pred_class", F.col("pred_class").cast("int"))
-
-
-_CFG4 = ["symbol", "pt", "sl", "h"]
-
-
-def _grid_preds(rows):
-    """Predictions on trainval windows: 80% of the bars, labels complete inside it."""
-    v = _variants(rows).withColumn("m", F.floor(F.col("n") * F.lit(0.8)) - F.col("h"))
-    f = splits.add_folds(v.where(F.col("rn") < F.col("m")), 300, 60, None, F.col("h"), total="m")
-    keys = [*_CFG4, "fold_id"]
-    model = _state_model(f.where("part = 'train'"), keys)
-    return f.where("part = 'test'").join(model, [*keys, "cell"]).select(*keys, "fwd", "pred_class", "max_proba")
+def _counts(rows):
+    return keep(ev.label_counts(rows, _GRID, _BLOCK))
 
 
 _LABELS_SQL = ", ".join(
@@ -618,27 +596,29 @@ GRID_CTE = f"""{BASE}, wide AS (SELECT symbol, rn, n, {_CELL} AS cell, {_LABELS_
 _CFG = ["pt", "sl", "h", "min_proba"]
 
 
-def _grid(rows):
-    return ev.ev_grid(_grid_preds(rows), ["symbol", "pt", "sl", "h"], cost=0.001)
+def _grid(rows, counts):
+    return ev.grid_ev(counts, ev.fold_outcomes(rows, _TRAIN, _TEST), _BLOCK, _TRAIN, _TEST, cost=0.001)
 
 
 @query("ev_grid", f"WITH {GRID_CTE} SELECT symbol, pt, sl, h, min_proba, n_trades, wins, {_EV} FROM evs")
 def ev_grid(spark, sf):
-    return show(_grid(_grid_rows(spark, sf)), *_EVC, keys=("symbol", *_CFG, "n_trades", "wins"))
+    rows = _grid_rows(spark, sf)
+    return show(_grid(rows, _counts(rows)), *_EVC, keys=("symbol", *_CFG, "n_trades", "wins"))
 
 
 _BEST = """best AS (SELECT symbol, pt, sl, h, min_proba, mean_ev FROM evs QUALIFY row_number() OVER (PARTITION BY symbol
     ORDER BY round(mean_ev, 12) DESC, pt, sl, h, min_proba) = 1)"""
 
 
-def _best(rows):
-    g = _grid(rows).withColumn("mean_ev", F.round("mean_ev", 12))
+def _best(rows, counts):
+    g = _grid(rows, counts).withColumn("mean_ev", F.round("mean_ev", 12))
     return ev.best_config(g, _CFG)
 
 
 @query("ev_best_config", f"WITH {GRID_CTE}, {_BEST} SELECT symbol, pt, sl, h, min_proba, {r('mean_ev')} AS mean_ev FROM best")
 def ev_best_config(spark, sf):
-    return show(_best(_grid_rows(spark, sf)), "mean_ev", keys=("symbol", *_CFG))
+    rows = _grid_rows(spark, sf)
+    return show(_best(rows, _counts(rows)), "mean_ev", keys=("symbol", *_CFG))
 
 
 HOLD_CTE = f"""{GRID_CTE.replace('t0 AS', 'g0 AS').replace('FROM t0', 'FROM g0').replace('t1 AS', 'g1 AS').replace('FROM t1', 'FROM g1').replace('evs AS', 'gevs AS')},
@@ -651,23 +631,39 @@ HOLD_CTE = f"""{GRID_CTE.replace('t0 AS', 'g0 AS').replace('FROM t0', 'FROM g0')
   hpv AS (SELECT *, (SELECT sum(exp(lgamma(n_trades + 1) - lgamma(i + 1) - lgamma(n_trades - i + 1) + n_trades * ln(0.5))) FROM (SELECT unnest(range(wins, n_trades + 1)) AS i)) AS p FROM evs)"""
 
 
+def _judged(rows, log):
+    """One judgment: the sealed rows are read through the audit, whose trace goes to ``log``."""
+    counts = _counts(rows)
+    best = _best(rows, counts).drop("mean_ev")
+    held = holdout.open_holdout(rows, F.col("rn") >= F.floor(F.col("n") * F.lit(0.8)), log, "judge the best configuration")
+    return ev.judge_holdout(ev.holdout_ev(held, counts, best, 0.001), F.lit(144))
+
+
+@query("holdout_access", f"""WITH {BASE} SELECT 'judge the best configuration' AS reason, 2::BIGINT AS accesses, 2 * count(*) AS rows,
+  min(ts) AS first_ts, max(ts) AS last_ts FROM base WHERE rn >= floor(n * 0.8::DOUBLE)""")
+def holdout_access(spark, sf):
+    """Two judgments leave two traces, with the rows each of them read."""
+    rows, log = _grid_rows(spark, sf), scratch_folder(spark)
+    for _ in range(2):
+        _judged(rows, log)
+    return holdout.accesses(spark, log)
+
+
 @query("ev_holdout", f"WITH {HOLD_CTE} SELECT symbol, n_trades, wins, {_EV}, {rs(raw_p='p', deflated_p='1 - pow(1 - p, 144)')}, 1 - pow(1 - p, 144) < 0.05 AS significant FROM hpv")
 def ev_holdout(spark, sf):
     """The best grid configuration, refitted on all of trainval and judged once on the rest."""
-    rows = _grid_rows(spark, sf)
-    v = _variants(rows)
-    best = keep(_best(rows).drop("mean_ev"))
-    edge = F.floor(F.col("n") * F.lit(0.8))
-    model = _state_model(v.where(F.col("rn") < edge - F.col("h")), _CFG4)
-    hold = v.where((F.col("rn") >= edge) & (F.col("rn") < F.col("n") - F.col("h")))
-    p = hold.join(best, _CFG4).join(model, [*_CFG4, "cell"]).where(F.col("max_proba") >= F.col("min_proba"))
-    out = ev.judge_holdout(ev.signal_ev(p, ["symbol"], 0.0, 0.001), F.lit(144))
+    out = _judged(_grid_rows(spark, sf), scratch_folder(spark))
     return show(out, *_EVC, "raw_p", "deflated_p", keys=("symbol", "n_trades", "wins", "significant"))
 
 
-@query("trial_log", f"""WITH {GRID_CTE} SELECT symbol, count(*) AS n_trials, first(pt * 1000 + sl * 100 + h ORDER BY round(mean_ev, 12) DESC, pt * 1000 + sl * 100 + h) AS best_trial,
-  {r('max(mean_ev)')} AS best_score FROM evs WHERE min_proba = 0.5 GROUP BY 1""")
+_TRIAL = "pt * 100000 + sl * 10000 + h * 100 + min_proba * 100"
+
+
+@query("trial_log", f"""WITH {GRID_CTE} SELECT symbol, 144::BIGINT AS n_trials,
+  first({_TRIAL} ORDER BY round(mean_ev, 12) DESC, {_TRIAL}) AS best_trial, {r('max(mean_ev)')} AS best_score FROM evs GROUP BY 1""")
 def trial_log(spark, sf):
-    g = _grid(_grid_rows(spark, sf)).where("min_proba = 0.5")
-    t = g.select("symbol", (F.col("pt") * 1000 + F.col("sl") * 100 + F.col("h")).alias("trial_id"), F.round("mean_ev", 12).alias("score"))
+    """All 144 configurations are logged, those without a trade with no score."""
+    rows = _grid_rows(spark, sf)
+    trials = ev.all_trials(_grid(rows, _counts(rows)), rows.select("symbol").distinct(), _GRID)
+    t = trials.select("symbol", F.expr(_TRIAL).alias("trial_id"), F.round("mean_ev", 12).alias("score"))
     return show(ev.trial_log(t), "best_score", keys=("symbol", "n_trials", "best_trial"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def active_trades(trades: DataFrame, removed: DataFrame) -> DataFrame:
-    """Trades without a tombstone; ``removed`` holds the trade_id values taken back."""
-    return trades.join(removed.select("trade_id"), "trade_id", "left_anti")
+def active_trades(trades: DataFrame, removed: DataFrame, keys: Sequence[str] = ("trade_id",)) -> DataFrame:
+    """Trades without a tombstone; ``removed`` holds the keys of the trades taken back, one by one."""
+    return trades.join(removed.select(*keys), list(keys), "left_anti")
 
 
 def trades_of(trades: DataFrame, symbol: str | None = None) -> DataFrame:

@@ -88,6 +88,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("ts"),
         _line_id().alias("seq"),
         F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").alias("line"),
         side.alias("side"),
         F.col("l_quantity").alias("qty"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),

@@ -13,10 +13,10 @@ from tapeflow.functions.book import BookRules
 from tapeflow.functions import book as ob
 from tapeflow.functions.stats import binomial_tail, breakeven_win_rate, deflate
 from tapeflow.functions.text import score_text
-from tapeflow.operators import book, events, micro, models, news, pairs, paper, portfolio, reference
+from tapeflow.operators import book, ev, events, fold_models, holdout, metrics, micro, models, news, pairs, paper, portfolio, reference
 from tapeflow.operators import risk, signals, smoothing, social, splits, technical, validate
 from tapeflow.plans.features import bar_features, select_features
-from tapeflow.plans.slices import RN, over_slices
+from tapeflow.plans.slices import RN, number_rows, over_slices, time_bucket
 from tapeflow.plans.tables import keep
 from tapeflow.sources import calendar, ledger, texts
 
@@ -404,6 +404,185 @@ def test_planted_cointegration_is_found(frame):
     assert got["true"]["beta"] == pytest.approx(0.65, abs=0.1)
 
 
+def test_a_tiny_residual_keeps_its_digits(frame):
+    """The residual is a ten-millionth of the price level; folds fit it as numpy does."""
+    rng = np.random.default_rng(3)
+    x = 1000 + np.cumsum(rng.normal(size=400))
+    y = 1.7 * x + 40 + rng.normal(size=400) * 1e-4
+    df = frame([("p", i, float(y[i]), float(x[i])) for i in range(400)], "pair string, rn bigint, y double, x double")
+    parts = df.withColumn("fold_id", F.floor(F.col("rn") / 100))
+    whole = pairs.hedge_fit(df, ["pair"]).first()
+    got = {r["fold_id"]: r for r in pairs.hedge_fit(pairs.pivot_on(parts), ["pair", "fold_id"]).collect()}
+    for fit, at in [(whole, slice(0, 400)), *((got[k], slice(100 * k, 100 * k + 100)) for k in range(4))]:
+        a, b = x[at] - x[at].mean(), y[at] - y[at].mean()
+        beta = a @ b / (a @ a)
+        assert fit["beta"] == pytest.approx(beta, rel=1e-9)
+        assert fit["spread_std"] == pytest.approx((b - beta * a).std(), rel=1e-6)
+
+
+def test_lags_of_different_pairs_share_a_pass(frame):
+    rng = np.random.default_rng(5)
+    series = {"short": np.cumsum(rng.normal(size=9)), "mid": np.cumsum(rng.normal(size=120)), "long": np.cumsum(rng.normal(size=700))}
+    df = keep(frame([(k, i, float(v)) for k, s in series.items() for i, v in enumerate(s)], "k string, rn bigint, v double"))
+    got = {r["k"]: r for r in pairs.adf_statistic(df, ["k"], "v", pairs.lag_of(F.col("n")), 64, most=19).collect()}
+    for k, s in series.items():
+        lag = pairs.schwert_lag(len(s))
+        stat, nobs = adf_by_hand(s, lag)
+        assert (got[k]["used_lag"], got[k]["nobs"]) == (lag, nobs) and got[k]["stat"] == pytest.approx(stat, rel=1e-8)
+
+
+# --- fits of many folds ------------------------------------------------------------------------------
+
+
+def softmax_by_hand(x, y, c=1.0):
+    """Newton on one fold, with dense matrices; returns raw coefficients by class."""
+    mean, sd = x.mean(0), x.std(0)
+    sd[sd == 0] = 1
+    z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
+    present = np.unique(y)
+    w = np.array([len(y) / (len(present) * (y == k).sum()) for k in y])
+    d, t = z.shape[1], np.zeros((3, z.shape[1]))
+    for _ in range(100):
+        logits = np.where(np.isin(np.arange(3), present), z @ t.T, -np.inf)
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        pen = np.tile(np.r_[0, np.ones(d - 1)], 3) / c
+        g = ((p - np.eye(3)[y]) * w[:, None]).T @ z
+        h = np.diag(pen)
+        for a in range(3):
+            for b in range(3):
+                h[a * d:(a + 1) * d, b * d:(b + 1) * d] += (z * (w * p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ z
+        used = np.repeat(np.isin(np.arange(3), present), d)
+        move = np.zeros(3 * d)
+        move[used] = np.linalg.lstsq(h[np.ix_(used, used)], (g.ravel() + pen * t.ravel())[used], rcond=None)[0]
+        t -= move.reshape(3, d)
+        if np.abs(move).max() < 1e-12:
+            break
+    return p
+
+
+def test_softmax_fits_equal_a_loop_over_folds(frame):
+    rng = np.random.default_rng(11)
+    folds, rows = {}, []
+    for k, n in (("a", 90), ("b", 260), ("two", 80)):
+        x = rng.normal(size=(n, 3)) * [1, 20, 0.01] + [0, 500, 3]
+        score = x[:, 0] + (x[:, 1] - 500) / 20 + rng.normal(size=n)
+        y = np.where(score > 0.7, 2, np.where(score < -0.7, 0, 1)) if k != "two" else np.where(score > 0, 2, 0)
+        folds[k] = (x, y)
+        rows += [(k, i, *map(float, x[i]), int(y[i])) for i in range(n)]
+    cols = ["u", "v", "w"]
+    df = keep(frame(rows, "k string, rn bigint, u double, v double, w double, label int"))
+    fits = keep(fold_models.fit_softmax(df, ["k"], cols, block_rows=50))
+    out = {}
+    for r in fold_models.predict_softmax(df, fits, ["k"], cols).collect():
+        out.setdefault(r["k"], {})[r["rn"]] = (r["proba"], r["pred_class"])
+    for k, (x, y) in folds.items():
+        want = softmax_by_hand(x, y)
+        got = np.array([out[k][i][0] for i in range(len(y))])
+        assert np.allclose(got, want, atol=1e-7), k
+        assert [out[k][i][1] for i in range(len(y))] == want.argmax(1).tolist()
+        assert (got[:, 1] == 0).all() == (k == "two")
+
+
+def test_swept_variants_equal_their_own_fits(frame):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 4)) + [0, 5, -3, 0]
+    y = x @ [1, 0.5, 0, -1] + rng.normal(size=200)
+    cols = ["a", "b", "c", "d"]
+    df = keep(frame([("s", *map(float, r), float(t)) for r, t in zip(x, y)], "k string, a double, b double, c double, d double, y double"))
+    variants = {"one": ["c"], "two": ["d", "a"], "all": cols}
+    got = {(r["variant"], r["alpha"]): r for r in fold_models.sweep_ridge(
+        models.moments(df, ["k"], cols, "y"), ["k"], cols, "y", variants, (1.0, 50.0)).collect()}
+    for (name, alpha), r in got.items():
+        own = [cols.index(c) for c in variants[name]]
+        z = (x[:, own] - x[:, own].mean(0)) / x[:, own].std(0)
+        w = np.linalg.solve(z.T @ z + alpha * np.eye(len(own)), z.T @ (y - y.mean())) / x[:, own].std(0)
+        full = np.zeros(4)
+        full[own] = w
+        assert np.allclose(r["coef"], full, atol=1e-9) and r["n_features"] == len(own)
+        res = y - y.mean() - (x[:, own] - x[:, own].mean(0)) @ w
+        assert r["train_r2"] == pytest.approx(1 - res @ res / ((y - y.mean()) @ (y - y.mean())), abs=1e-9)
+    assert len(got) == 6
+
+
+def test_published_bands_of_fitted_walk_forward_models(frame):
+    """On random walks hit rates lie near a half, and R2 and directional accuracy within the published bands."""
+    from tapeflow.queries import learning
+
+    rng, rows = np.random.default_rng(8), []
+    for s in ("a", "b"):
+        close = 30000 * np.exp(np.cumsum(rng.standard_t(5, 700) * 0.01))
+        first = np.r_[close[0], close[:-1]]
+        for i in range(700):
+            hi, lo = max(first[i], close[i]) * (1 + rng.random() * 0.005), min(first[i], close[i]) * (1 - rng.random() * 0.005)
+            rows.append((s, day(i // 24, i % 24), first[i], hi, lo, close[i], float(np.exp(rng.normal(10, 1)))))
+    bars = frame([tuple(map(lambda v: float(v) if isinstance(v, np.floating) else v, r)) for r in rows],
+                 "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    d = learning.matrix_of(number_rows(keep(bars), ["symbol"], ["ts"], time_bucket(F.col("ts"), 365.0)))
+    hits = learning.softmax_scores(d).agg(F.avg("hit_rate").alias("h"), F.count("*").alias("n")).first()
+    assert hits["n"] == 10 and 0.40 < hits["h"] < 0.60
+    folds = learning.ridge_scores(d).agg(F.avg("dir_acc").alias("d"), F.max("r2").alias("r")).first()
+    assert 0.30 < folds["d"] < 0.70 and folds["r"] < 0.30
+    table = metrics.ablation_table(learning.variant_folds(d), ["symbol", "n_features"], ["symbol"]).collect()
+    assert {(r["variant"], r["n_features"]) for r in table} == {
+        ("technical", 14), ("technical+micro", 20), ("technical+smooth", 16), ("technical+micro+smooth", 22)}
+    assert all(r["n_windows"] == 5 for r in table)
+
+
+@pytest.mark.parametrize("losses, patience, want", [
+    ([5, 4, 3, 3, 3, 2], 2, 3), ([5, 4, 3, 3, 3, 2], 3, 6), ([1, 2, 3], 20, 1), ([3, 2, 1], 1, 3), ([2, 2, 2, 2], 2, 1)])
+def test_patience_rule(losses, patience, want):
+    assert models.best_round(losses, patience) == want
+
+
+def test_boosting_is_cut_at_the_round_of_its_curve(frame):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3))
+    rows = [(i, *map(float, x[i]), float(x[i, 0] + rng.normal() * 2)) for i in range(400)]
+    d = keep(frame(rows, "i int, a double, b double, c double, y double"))
+    losses, cols = [], ["a", "b", "c"]
+    model = models.fit_boosted(d.where("i < 250"), cols, "y", d.where("i >= 250"), max_iter=60, patience=6, step=0.3, curve=losses)
+    assert len(model.trees) == models.best_round(losses, 6) < len(losses)
+    # The cut model's own loss is the curve's at that round: a shorter fit begins a longer one.
+    own = model.evaluateEachIteration(models.assemble(d.where("i >= 250"), cols), "squared")
+    assert own == pytest.approx(losses[: len(own)])
+    log = models.search_boosted(d.where("i < 250"), d.where("i >= 250"), cols, "y", trials=4, first=2)
+    assert [(r[1], r[2]) for r in log] == [(0, 2)] * 4 + [(1, 4)] * 2 + [(2, 8)]
+    assert [r[-1] for r in log] == [False] * 6 + [True]
+    assert {r[0] for r in log if r[1] == 1} == {r[0] for r in sorted(log[:4], key=lambda r: r[6])[:2]}
+
+
+def test_holdout_reads_leave_a_trace(spark, frame, tmp_path):
+    df = frame([("s", day(i), i) for i in range(10)], "symbol string, ts timestamp_ntz, rn int")
+    log = str(tmp_path / "log")
+    for k in (1, 2):
+        assert holdout.open_holdout(df, F.col("rn") >= 8, log, "why").count() == 2
+        line = holdout.accesses(spark, log).first()
+        assert (line["accesses"], line["rows"], line["first_ts"], line["last_ts"]) == (k, 2 * k, day(8), day(9))
+
+
+# --- expected value from added tables ------------------------------------------------------------------
+
+
+def test_outcome_sums_give_the_statistics_of_trades(frame):
+    rng = np.random.default_rng(9)
+    fwd = [*np.round(rng.normal(size=60), 3), 0.0, 0.0]
+    df = frame([("s", i % 3, float(f)) for i, f in enumerate(fwd)], "symbol string, cell int, fwd double")
+    calls = {0: 2, 1: 0, 2: 1}
+    sums = ev.outcome_sums(df, ["symbol", "cell"])
+    called = sums.withColumn("pred_class", F.when(F.col("cell") == 0, 2).when(F.col("cell") == 1, 0).otherwise(1))
+    got = ev.stats_of_sums(called, ["symbol"], 0.01).first()
+    trades = [(f, calls[i % 3]) for i, f in enumerate(fwd) if calls[i % 3] != 1]
+    won = [abs(f) for f, c in trades if (c == 2 and f > 0) or (c == 0 and f < 0)]
+    lost = [abs(f) for f, c in trades if not ((c == 2 and f > 0) or (c == 0 and f < 0))]
+    ret = np.array([*won, *(-v for v in lost)]) - 0.01
+    assert (got["n_trades"], got["wins"]) == (len(trades), len(won))
+    assert got["avg_gain"] == pytest.approx(np.mean(won)) and got["avg_loss"] == pytest.approx(np.mean(lost))
+    assert got["mean_ev"] == pytest.approx(ret.mean()) and got["sharpe"] == pytest.approx(ret.mean() / ret.std(ddof=1))
+    same = ev.outcome_sums(frame([("s", 0, 0.5)] * 3, "symbol string, cell int, fwd double"), ["symbol"])
+    assert ev.stats_of_sums(same.withColumn("pred_class", F.lit(2)), ["symbol"], 0.0).first()["sharpe"] == 0.0
+
+
 # --- configuration ------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeflow.operators import book
 from tapeflow.plans.ranges import RANGE, number_ranged, ranged
 from tapeflow.plans.tables import keep, scratch
-from tapeflow.sources import bars, payloads, snapshots, store
+from tapeflow.sources import bars, payloads, snapshots, store, upsert
 from tapeflow.streaming import backfill
 from tapeflow.streaming import bars as bar_stream
 from tapeflow.streaming import books as book_stream
@@ -212,3 +212,22 @@ def test_backfill_goes_on_where_it_stopped(spark, frame, tmp_path):
     backfill.backfill(spark, src, book_stream.BOOK_SCHEMA, root, process, per_step=2).awaitTermination()
     assert done == [(0, 2), (1, 2), (2, 2), (3, 2)]
     assert backfill.lost_rows(spark, src, book_stream.BOOK_SCHEMA, root) == 0
+
+
+def test_upsert_rewrites_touched_partitions_only(spark, frame, tmp_path):
+    path, schema = str(tmp_path / "t"), "part string, id bigint, v double"
+    rows = [(p, i, float(i)) for p in ("a", "b=c", "d") for i in range(4)] + [(None, 9, 9.0)]
+    key = ["part", "id"]
+    assert upsert.upsert(spark, path, frame(rows, schema), key, "part", "1")
+    before = {f for f in spark.read.parquet(path).inputFiles() if "part=d" in f}
+    changes = frame([("a", 1, 10.0, False), ("a", 7, 7.0, False), ("a", 2, None, True), *(("b=c", i, None, True) for i in range(4))],
+                    schema + ", gone boolean")
+    for first in (True, False):  # a version counts once
+        assert upsert.upsert(spark, path, changes, key, "part", "2") == first
+    stored = spark.read.schema(schema).parquet(path)
+    got = {tuple(r) for r in stored.select("part", "id", "v").collect()}
+    assert got == {("a", 0, 0.0), ("a", 1, 10.0), ("a", 3, 3.0), ("a", 7, 7.0), *(("d", i, float(i)) for i in range(4)), (None, 9, 9.0)}
+    assert {f for f in spark.read.parquet(path).inputFiles() if "part=d" in f} == before
+    assert {(r["version"], r["rows"], r["partitions"]) for r in upsert.versions(spark, path).collect()} == {("1", 13, 4), ("2", 7, 2)}
+    with pytest.raises(ValueError):
+        upsert.upsert(spark, path, changes, ["id"], "part", "3")

@@ -25,24 +25,19 @@ ADF_CRITICAL = {0.01: -3.43, 0.05: -2.86, 0.10: -2.57}
 RESIDUAL_CRITICAL = {0.01: -3.90, 0.05: -3.34, 0.10: -3.04}
 
 
-def align_pairs(bars: DataFrame, pairs: Sequence[tuple[str, str]], price: str = "close") -> DataFrame:
-    """(pair, ts, y, x) on the times both legs trade; ``pairs`` lists (y, x) symbols.
+def align_pairs(bars: DataFrame, pairs: DataFrame | Sequence[tuple[str, str]], price: str = "close") -> DataFrame:
+    """(pair, ts, y, x) on the times both legs trade; ``pairs`` lists (y, x) symbols, as a table or a short list.
 
     A bar is copied once per listed pair it takes part in, and the legs meet on
-    (pair, ts), which spreads a busy symbol over all its times.
+    (pair, ts), which spreads a busy symbol over all its times. A repeated pair counts once.
     """
-    listed = F.array(
-        *[
-            F.struct(F.lit(f"{y}~{x}").alias("pair"), F.lit(y).alias("y"), F.lit(x).alias("x"))
-            for y, x in pairs
-        ]
-    )
+    if not isinstance(pairs, DataFrame):
+        pairs = bars.sparkSession.createDataFrame(list(pairs), "y string, x string")
+    listed = pairs.select(F.concat("y", F.lit("~"), "x").alias("pair"), F.col("y").alias("_y"), F.col("x").alias("_x")).distinct()
 
     def leg(side: str) -> DataFrame:
-        mine = F.filter(listed, lambda p: p[side] == F.col("symbol"))
-        return bars.select(F.explode(mine).alias("p"), "ts", F.col(price).alias(side)).select(
-            F.col("p.pair").alias("pair"), "ts", side
-        )
+        mine = bars.select(F.col("symbol"), "ts", F.col(price).alias(side))
+        return mine.join(listed, F.col("symbol") == F.col(f"_{side}")).select("pair", "ts", side)
 
     return leg("y").join(leg("x"), ["pair", "ts"])
 

@@ -157,6 +157,17 @@ def combo_literal(groups: int, k: int) -> Column:
     )
 
 
+def add_cpcv_tests(df: DataFrame, groups: int, k: int, rn: str = "rn", total: str = "n") -> DataFrame:
+    """One row per (row, combination that tests it), with its path: C(groups - 1, k - 1) rows a row, none made to be dropped."""
+    own: dict[int, list[tuple[int, int]]] = {g: [] for g in range(groups)}
+    for combo_id, g, path in path_table(groups, k):
+        own[g].append((combo_id, path))
+    tests = F.array(*[
+        F.array(*[F.struct(F.lit(c).alias("combo_id"), F.lit(p).alias("path_id")) for c, p in own[g]]) for g in range(groups)])
+    df = add_group(df, groups, rn, total)
+    return df.select("*", F.inline(F.get(tests, F.col("group_id").cast("int"))))
+
+
 def add_cpcv_roles(
     df: DataFrame, groups: int, k: int, horizon: int, embargo: int = 0, rn: str = "rn",
     total: str = "n",

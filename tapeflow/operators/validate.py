@@ -25,6 +25,15 @@ def check_columns(df: DataFrame, required: Sequence[str] = BAR_COLS) -> DataFram
     return df
 
 
+def column_report(df: DataFrame, required: Sequence[str] = BAR_COLS) -> DataFrame:
+    """(name, present, n_null) of every required column, from one pass over those there are."""
+    missing = F.lit(None).cast("long")
+    found = {c: F.count_if(F.col(c).isNull()) if c in df.columns else F.max(missing) for c in required}
+    one = df.agg(*[v.alias(c) for c, v in found.items()])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.lit(c in df.columns).alias("present"), F.col(c).alias("n_null")) for c in required])))
+
+
 def bad_ohlc():
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
     return (h < low) | (h < o) | (h < c) | (low > o) | (low > c)

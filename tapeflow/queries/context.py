@@ -15,7 +15,8 @@ from tapeflow.queries.registry import (
     DAILY, HOURLY, ORD, daily, hourly, query, r, r6, rs, show, win, zscore,
 )
 from tapeflow.plans.tables import keep
-from tapeflow.sources import tables
+from tapeflow.sources import snapshots, tables
+from tapeflow.sources.store import scratch_folder
 
 # --- as-of ----------------------------------------------------------------------------
 
@@ -204,9 +205,9 @@ def reference_by_symbol(spark, sf):
 
 # --- macro calendar ----------------------------------------------------------------------
 EVENT = f"""{DAILY}, {CAL},
-  urgent AS (SELECT o_orderdate::DATE AS date, min(o_totalprice) / 1e4 AS forecast, max(o_totalprice) / 1e4 AS actual
-    FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
-  cal AS (SELECT p.*, u.forecast, u.actual FROM plan p LEFT JOIN urgent u USING (date)),
+  outcomes AS (SELECT o_orderdate::DATE AS date, min(o_totalprice) / 1e4 AS forecast, max(o_totalprice) / 1e4 AS actual
+    FROM orders GROUP BY 1),
+  cal AS (SELECT p.*, u.forecast, u.actual FROM plan p LEFT JOIN outcomes u USING (date)),
   edays AS (SELECT date::TIMESTAMP AS date, count(*) AS n, max(importance) AS top, arg_min(importance, name) AS lead1,
     avg(actual - forecast) AS surprise FROM cal GROUP BY 1),
   ev AS (SELECT b.symbol, b.ts, coalesce(date_diff('day', b.ts, nx.date), -1)::DOUBLE AS wait,
@@ -492,6 +493,17 @@ SPANS = f"""{BOOKS}, nbars AS (SELECT 'N' || s_nationkey AS symbol, time_bucket(
   pb AS (SELECT n.symbol, n.ts, p.imbalance, p.skew, p.rel, p.walls FROM nbars n LEFT JOIN per p ON p.symbol = n.symbol AND p.bar_ts = n.ts)"""
 
 
+@query("stored_history", f"WITH {BOOKS} SELECT symbol, ts, round(imb, 4) + 0.0 AS imbalance, bid_walls, ask_walls FROM book")
+def stored_history(spark, sf):
+    """Snapshots as the recorder stores them, with times in milliseconds, read back as a history."""
+    folder = scratch_folder(spark)
+    rows = book.signals(_books(spark, sf)).withColumn("timestamp", epoch_millis(F.col("ts")))
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in snapshots.SNAPSHOT_SCHEMA]).write.parquet(folder)
+    out = snapshots.read_history(spark, folder)
+    return out.select("symbol", "ts", (F.col("imbalance") + 0.0).alias("imbalance"), F.col("bid_walls").cast("long").alias("bid_walls"),
+                      F.col("ask_walls").cast("long").alias("ask_walls"))
+
+
 def _nation_bars(spark, sf):
     return number_rows(keep(tables.nation_bars(spark, sf)), ["symbol"], ["ts"], time_bucket(F.col("ts"), 365.0))
 

@@ -361,7 +361,7 @@ def traded_symbols(spark, sf):
 @query("trades_of_symbol", """SELECT l_shipdate AS ts, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
   l_quantity AS qty FROM lineitem WHERE l_suppkey = 0""")
 def trades_of_symbol(spark, sf):
-    return ledger.trades_of(tables.trades(spark, sf), "S0").select("ts", "side", "qty")
+    return ledger.trades_of(tables.trades(spark, sf, "S0"), "S0").select("ts", "side", "qty")
 
 
 # --- validation -----------------------------------------------------------------------
@@ -372,6 +372,14 @@ REPORT = """g AS (SELECT symbol, count(*) AS rows, min(ts) AS start_ts, max(ts)
     count(*) FILTER (WHERE volume = 0) AS zero_volume_rows FROM daily GROUP BY 1)"""
 
 
+@query("column_report", f"WITH {HOURLY} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS name, true AS present, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM hourly" for c in ("open", "high", "low", "close")) +
+    " UNION ALL SELECT 'volume', false, NULL::BIGINT FROM (SELECT 1)")
+def column_report(spark, sf):
+    """Which required columns a delivery has, and how many of their values are missing."""
+    return validate.column_report(_bars(spark, sf).drop("volume"))
+
+
 @query("ohlcv_report", f"""WITH {DAILY}, {REPORT} SELECT symbol, rows, start_ts, end_ts, ohlc_violations,
   span - days AS missing_periods, zero_volume_rows, rows < 252 AS too_short,
   ohlc_violations / rows > 0.05 AS bad_ohlc, (span - days) / span > 0.05 AS gap_warning,

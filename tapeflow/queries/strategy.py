@@ -316,6 +316,10 @@ def _roles(spark, sf, *cols):
     return splits.add_cpcv_roles(base(spark, sf).select("symbol", "ts", "rn", "n", *cols), 6, 2, 5, 3)
 
 
+def _tested(spark, sf, *cols):
+    return splits.add_cpcv_tests(base(spark, sf).select("symbol", "ts", "rn", "n", *cols), 6, 2)
+
+
 @query("cpcv_groups", f"WITH {BASE}, {GROUPS} SELECT symbol, g AS group_id, lo AS first_row, hi - 1 AS last_row, hi - lo AS rows FROM gs")
 def cpcv_groups(spark, sf):
     g = splits.add_group(base(spark, sf), 6)
@@ -344,7 +348,7 @@ PATHS = f"""{ROLES}, pr AS (SELECT r.symbol, p.path_id, coalesce(0.1 * ret_5d, 0
 
 
 def _paths(spark, sf):
-    p = _roles(spark, sf, "ret_5d", "target").where("role = 'test'")
+    p = _tested(spark, sf, "ret_5d", "target")
     pred = F.coalesce(F.col("ret_5d") * 0.1, F.lit(0.0)) + 0.01 * (F.col("combo_id") - 7)
     return metrics.path_metrics(p.withColumns({"pred": pred, "path_id": F.col("path_id").cast("long")}), ["symbol", "path_id"])
 
@@ -352,7 +356,7 @@ def _paths(spark, sf):
 @query("cpcv_paths", f"WITH {ROLES} SELECT r.symbol, p.path_id, count(*) AS rows, count(DISTINCT r.rn) AS bars FROM roles r JOIN cpaths p ON p.combo_id = r.combo_id AND p.g = r.g WHERE role = 'test' GROUP BY 1, 2")
 def cpcv_paths(spark, sf):
     """Every path covers each bar exactly once."""
-    p = _roles(spark, sf).where("role = 'test'")
+    p = _tested(spark, sf)
     return p.groupBy("symbol", F.col("path_id").cast("long").alias("path_id")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("rn").alias("bars"))
 
 

@@ -6,7 +6,7 @@ books, so these functions derive the engine inputs from whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeflow.config import REFERENCE_NAMES
@@ -77,13 +77,16 @@ def _line_number():
     ).cast("decimal(38,0)")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trade ledger: supplier as symbol, returned lines as sells, whole table."""
+def trades(spark: SparkSession, sf_dir: str, symbol: str | None = None) -> DataFrame:
+    """A trade ledger: supplier as symbol, returned lines as sells, whole table or one symbol's rows."""
     side = F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY")
     signal = F.when(F.col("l_returnflag") == "A", "BUY").when(
         F.col("l_linestatus") == "O", "HOLD"
     )
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    if symbol is not None:
+        lines = lines.where(F.col("l_suppkey") == int(symbol.removeprefix("S")))
+    return lines.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
         F.col("l_shipdate").alias("ts"),
         _line_id().alias("seq"),
@@ -185,18 +188,53 @@ def nation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macro_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The planned events, with outcomes on days that have urgent orders."""
+    """The planned events, with outcomes on days that have orders: their smallest and largest total."""
     orders = table(spark, sf_dir, "orders")
     span = orders.agg(
         F.to_date(F.min("o_orderdate")).alias("first_day"),
         F.to_date(F.max("o_orderdate")).alias("last_day"),
     )
-    urgent = (
-        orders.where(F.col("o_orderpriority") == "1-URGENT")
-        .groupBy(F.to_date("o_orderdate").alias("date"))
+    outcomes = (
+        orders.groupBy(F.to_date("o_orderdate").alias("date"))
         .agg(
             (F.min("o_totalprice") / 1e4).alias("forecast"),
             (F.max("o_totalprice") / 1e4).alias("actual"),
         )
     )
-    return static_calendar(span).join(urgent, "date", "left")
+    return static_calendar(span).join(outcomes, "date", "left")
+
+
+# --- side tables of the hourly bars: the same symbols, the same month ----------------------
+
+def _in_january(day):
+    """A day of any year to one of the bars' first 28 days."""
+    return F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.datediff(day, F.lit("1970-01-01").cast("date")), F.lit(28)))
+
+
+def january_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven external series on the days of the hourly bars."""
+    levels = reference_levels(spark, sf_dir)
+    return levels.groupBy("name", _in_january(F.col("d")).alias("d")).agg(F.avg("value").alias("value"))
+
+
+def january_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned events of the bars' month, with outcomes from the orders dealt to each day."""
+    orders = table(spark, sf_dir, "orders")
+    span = table(spark, sf_dir, "events").agg(F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day"))
+    outcomes = orders.groupBy(_in_january(F.to_date("o_orderdate")).alias("date")).agg(
+        (F.avg("o_totalprice") / 1e4).alias("forecast"), (F.max("o_totalprice") / 1e4).alias("actual"))
+    return static_calendar(span).join(outcomes, "date", "left")
+
+
+def january_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of the hourly symbols: order lines dealt to an hour of the month, open lines bid, closed lines ask."""
+    symbols = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct()
+    turn = F.row_number().over(Window.orderBy("symbol")) - 1  # a handful of symbols
+    own = symbols.withColumn("_s", turn)
+    at = _in_january(F.to_date("l_shipdate")).cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.pmod("l_orderkey", F.lit(24)).cast("int"), F.lit(30))
+    lines = table(spark, sf_dir, "lineitem").withColumn("_s", F.pmod("l_suppkey", F.lit(5)).cast("int"))
+    levels = lines.join(own, "_s").select(
+        "symbol", at.alias("ts"), F.when(F.col("l_linestatus") == "O", "bid").otherwise("ask").alias("side"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"), _line_id().alias("seq"))
+    return assemble_books(levels)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.functions.times import from_seconds
+from tapeflow.functions.times import epoch_millis, from_seconds
 
 # Search term per base asset.
 SEARCH_TERMS = {
@@ -59,6 +59,10 @@ def union_news(rss: DataFrame, api: DataFrame) -> DataFrame:
     )
 
 
+def _seconds(at: Column) -> Column:
+    return epoch_millis(at.cast("timestamp_ntz")) / 1000
+
+
 def land_posts(
     raw: DataFrame, since: Column, until: Column, max_chars: int | None = None
 ) -> DataFrame:
@@ -66,9 +70,10 @@ def land_posts(
     body = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("selftext", F.lit("")))
     if max_chars:
         body = F.substring(body, 1, max_chars)
-    at = from_seconds(F.col("created_utc"))
-    return raw.where(at.between(since, until)).select(
-        at.alias("ts"),
+    # Whole seconds are compared as they are stored, so that the bounds reach the scan.
+    stored = F.col("created_utc").between(F.ceil(_seconds(since)).cast("long"), F.floor(_seconds(until)).cast("long"))
+    return raw.where(stored).select(
+        from_seconds(F.col("created_utc")).alias("ts"),
         body.alias("text"),
         "source",
         "symbol",

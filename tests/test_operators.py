@@ -561,6 +561,25 @@ def test_holdout_reads_leave_a_trace(spark, frame, tmp_path):
         assert (line["accesses"], line["rows"], line["first_ts"], line["last_ts"]) == (k, 2 * k, day(8), day(9))
 
 
+def test_only_testing_combinations_are_made(frame):
+    df = frame([("s", i, 103) for i in range(103)], "symbol string, rn bigint, n bigint")
+    roles = splits.add_cpcv_roles(df, 6, 2, 5, 3).where("role = 'test'").select("rn", "combo_id", "path_id")
+    tests = splits.add_cpcv_tests(df, 6, 2)
+    assert tests.count() == 103 * 5
+    assert sorted(map(tuple, tests.select("rn", "combo_id", "path_id").collect())) == sorted(map(tuple, roles.collect()))
+
+
+def test_every_family_of_the_full_table_has_values(spark):
+    """Side tables are of the bars' own month and symbols: no family is a column of one number."""
+    from tapeflow.queries import matrix
+
+    cols = matrix.EVERYTHING.columns()
+    df = keep(matrix.all_families(spark, "/root/testdata/sf0.01"))
+    kinds = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first().asDict()
+    # Two scores look back 60 days, further than the month of bars: they are still neutral.
+    assert len(cols) == len(kinds) and {c for c, n in kinds.items() if n < 2} == {"btc_vol_share", "onchain_z"}
+
+
 # --- expected value from added tables ------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.plans.tables import keep
+from tapeflow.plans.tables import keep, scratch
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,19 +19,20 @@ def components(links: DataFrame) -> DataFrame:
     Null ends, loops and repeated links are ignored; no link gives no row.
     """
     a, b = F.col("a"), F.col("b")
-    edges = keep(
-        links.where(a.isNotNull() & b.isNotNull() & (a != b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    )
-    before = None
-    while True:
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not seen[0] or tuple(seen) == before:
-            break
-        before = tuple(seen)
-        edges = keep(_small_star(_large_star(edges)))
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots).distinct()
+    with scratch() as last:
+        edges = keep(
+            links.where(a.isNotNull() & b.isNotNull() & (a != b))
+            .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+        )
+        before = None
+        while True:
+            seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if not seen[0] or tuple(seen) == before:
+                break
+            before = tuple(seen)
+            edges = keep(_small_star(_large_star(edges)))
+        roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root"))
+        return last(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots).distinct())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ by links verified on their full shingle sets, and links are closed by distribute
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.llm.components import components
 from tapeflow.llm.shared import bloom, filter_words, might_hold
-from tapeflow.plans.tables import keep
+from tapeflow.plans.tables import keep, scratch
 
 WIDTH = 10
 BANDS = 6
@@ -25,6 +25,8 @@ LIKE = 80  # per cent
 _STARTS = r"(?s)(?=(\S.{0,%d}+))\S(?:\S{0,11}+(?:\s++|$))?+" % (WIDTH - 1)
 _ALL = r"(?s)(?=(.{%d}))" % WIDTH
 _NO_ID = -(2**63)
+#: Buckets of the table that orders differences.
+_COUNTS = 1 << 17
 
 
 def _lines(text: Column) -> Column:
@@ -87,77 +89,92 @@ def fuzzy_links(documents: DataFrame, sigs: DataFrame, like: int = LIKE) -> Data
     compared with it. What the hub does not settle is left to ``_links_around``, so the work
     follows the size of a band and the pairs that may be alike, not the square of the band.
     """
-    keys = sigs.select("lid", F.explode("bands").alias("key"))
-    shared = keep(keys.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"))
-                  .where("lo <> hi").select("key"))
-    words = filter_words(shared.count())
-    near = might_hold(keys, F.col("key"), bloom(shared, F.col("key"), words), words, "_in").where("_in").drop("_in")
-    members = keep(near.join(shared, "key").select("key", "lid").distinct())
-    wanted = members.select("lid").distinct()
-    words = filter_words(wanted.count())
-    texts = (
-        documents.where(F.col("text").isNotNull())
-        .select(F.explode(_lines(F.col("text"))).alias("line")).withColumn("line", _trimmed(F.col("line")))
-        .withColumn("lid", _line_id(F.col("line")))
-    )
-    texts = might_hold(texts, F.col("lid"), bloom(wanted, F.col("lid"), words), words, "_in").where("_in")
-    texts = keep(texts.select("lid", "line").dropDuplicates(["lid"]).join(wanted, "lid"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
-    company = members.join(sizes, "key").groupBy("lid").agg(F.sum("m").alias("company"))
-    first = F.min(F.struct((-F.col("company")).alias("c"), F.col("lid").alias("lid")))
-    hubs = members.join(company, "lid").groupBy("key").agg(first.alias("first")).select("key", F.col("first.lid").alias("hub"))
-    pairs = keep(members.join(hubs, "key").where("lid <> hub").select("lid", "hub").distinct())
-    links = keep(_verified(pairs, texts, like))
-    linked = pairs.join(links.select(F.col("a").alias("lid"), F.col("b").alias("hub"), F.lit(True).alias("linked")),
-                        ["lid", "hub"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    linked = keep(linked)
-    open_hubs = linked.groupBy("hub").agg(F.count("*").alias("m"), F.bool_and("linked").alias("done")).where("m > 1 and not done")
-    return links.union(_links_around(linked.join(open_hubs.select("hub"), "hub"), texts, like))
-
-
-def _links_around(pairs: DataFrame, texts: DataFrame, like: int) -> DataFrame:
-    """Verified links between lines around one hub; ``pairs`` are (lid, hub, linked).
-
-    Two lines that are both linked to the hub need no link of their own. Let D be the shingles
-    in which a line differs from the hub. A line the hub rejects shares some of its D with any
-    line alike to it, at least as many as the sizes imply, or both would be further apart than
-    alike lines can be. So lines are joined on a prefix of D, the rarest around the hub first;
-    what only one line has joins nothing. Names of shingles are hashes and only choose the
-    candidates: equal shingles have equal names, so no pair is left out.
+    with scratch() as last:
+        keys = sigs.select("lid", F.explode("bands").alias("key"))
+        shared = keep(keys.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"))
+                      .where("lo <> hi").select("key"))
+        words = filter_words(shared.count())
+        near = might_hold(keys, F.col("key"), bloom(shared, F.col("key"), words), words, "_in").where("_in").drop("_in")
+        members = keep(near.join(shared, "key").select("key", "lid").distinct())
+        wanted = members.select("lid").distinct()
+        words = filter_words(wanted.count())
+        texts = (
+            documents.where(F.col("text").isNotNull())
+            .select(F.explode(_lines(F.col("text"))).alias("line")).withColumn("line", _trimmed(F.col("line")))
+            .withColumn("lid", _line_id(F.col("line")))
+        )
+        texts = might_hold(texts, F.col("lid"), bloom(wanted, F.col("lid"), words), words, "_in").where("_in")
+        texts = keep(texts.select("lid", "line").dropDuplicates(["lid"]).join(wanted, "lid"))
+        sizes = members.groupBy("key").agg(F.count("*").alias("m"))
+        company = members.join(sizes, "key").groupBy("lid").agg(F.sum("m").alias("company"))
+        first = F.min(F.struct((-F.col("company")).alias("c"), F.col("lid").alias("lid")))
+        hubs = members.join(company, "lid").groupBy("key").agg(first.alias("first")).select("key", F.col("first.lid").alias("hub"))
+        pairs = keep(members.join(hubs, "key").where("lid <> hub").select("lid", "hub").distinct())
+        links = keep(_verified(pairs, texts, like))
+        return last(links.union(_links_around(pairs, links, texts, like)))
+
+
+def _links_around(pairs: DataFrame, links: DataFrame, texts: DataFrame, like: int) -> DataFrame:
+    """Verified links between lines around one hub; ``pairs`` are (lid, hub), ``links`` those that are alike.
+
+    Lines that the links to hubs join already, over any hubs, need no link of their own. Let D be
+    the shingles in which a line differs from the hub. A line the hub rejects shares some of its D
+    with any line alike to it, at least as many as the sizes imply, or both would be further apart
+    than alike lines can be. So lines of different components are joined on a prefix of D, the
+    rarest first; what lines of one component have alone joins nothing. The order is by a table of
+    2^17 counts, bounded whatever the input; any common order gives right results. Names of shingles
+    are hashes and only choose the candidates: equal shingles have equal names, so no pair is left out.
     """
+    roots = components(links).withColumnRenamed("node", "lid")
+    hit = links.select(F.col("a").alias("lid"), F.col("b").alias("hub"), F.lit(True).alias("linked"))
+    around = pairs.join(hit, ["lid", "hub"], "left").join(roots, "lid", "left").select(
+        "lid", "hub", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("root", "lid").alias("root"))
+    around = keep(around)
+    open_hubs = around.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub")
     names = lambda s: F.transform(s, lambda x: F.xxhash64(x))
     sets = F.array(F.struct(_shingles(F.col("x")).alias("s"), _shingles(F.col("y")).alias("t")))
     parts = F.transform(sets, lambda p: F.struct(
         F.size(p.s).alias("nx"), names(F.array_except(p.s, p.t)).alias("more"), names(F.array_except(p.t, p.s)).alias("less")))
-    both = _with_texts(pairs, texts).select("lid", "hub", "linked", F.inline(parts))
-    apart = keep(both.select("lid", "hub", "linked", "nx", F.size("more").alias("ins"), F.size("less").alias("del"),
-                             F.concat("more", "less").alias("d")))
-    each = apart.withColumn("d", F.explode("d"))
-    common = each.groupBy("hub", "d").agg(F.count("*").alias("n"), F.bool_and("linked").alias("done")).where("n > 1 and not done")
-    rows = each.join(common.select("hub", "d", "n"), ["hub", "d"])
-    rows = rows.groupBy("lid", "hub", "linked", "nx", "ins", "del").agg(F.sort_array(F.collect_list(F.struct("n", "d"))).alias("ds"))
-    # What joins nothing comes before the rest, so positions count it; its order there is free.
+    both = _with_texts(around.join(open_hubs, "hub"), texts).select("lid", "hub", "linked", "root", F.inline(parts))
+    apart = keep(both.select(F.monotonically_increasing_id().alias("p"), "lid", "hub", "linked", "root", "nx",
+                             F.size("more").alias("ins"), F.size("less").alias("del"), F.concat("more", "less").alias("d")))
     nd = F.col("ins") + F.col("del")
     far = nd - F.floor(F.col("nx") * (100 - like) / like).cast("int")
     close = F.ceil(nd * like / (100 + like) - 1e-9).cast("int")
     least = F.greatest(F.lit(1), far, F.when(F.col("linked"), close).otherwise(0))
-    spread = rows.select("lid", "hub", "linked", "nx", "ins", "del", least.alias("least"), (nd - F.size("ds")).alias("alone"),
-                         F.posexplode("ds").alias("at", "one"))
-    spread = spread.withColumn("at", F.col("at") + F.col("alone")).where(F.col("at") <= nd - F.col("least"))
-    spread = keep(spread.select("hub", F.col("one.d").alias("d"), "lid", "linked", "nx", "ins", "del", "at"))
-    right = spread.select("hub", "d", *[F.col(c).alias(c + "2") for c in ("lid", "linked", "nx", "ins", "del", "at")])
+    # Names of (hub, difference) pairs: equal ones meet, and a clash costs a comparison.
+    around_hub = F.transform("d", lambda x: F.xxhash64("hub", x))
+    bucket = lambda x: x.bitwiseAND(F.lit(_COUNTS - 1).cast("long")).cast("int")
+    named = apart.select("p", "root", nd.alias("nd"), least.alias("least"), around_hub.alias("d"))
+    often = _bucket_counts(named.select(F.explode("d").alias("d")).select(bucket(F.col("d")).alias("bucket")))
+    ranked = F.array_sort(F.transform("d", lambda x: F.struct(F.col("often")[bucket(x)].alias("n"), x.alias("d"))))
+    prefix = F.slice(ranked, F.lit(1), F.greatest(F.col("nd") - F.col("least") + 1, F.lit(0)))
+    spread = named.withColumn("often", often).select("p", "root", F.posexplode(prefix).alias("at", "one")).select("p", "root", "at", F.col("one.d").alias("d"))
+    same = Window.partitionBy("d")
+    spread = keep(spread.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same)})
+                  .where("lo <> hi").select("p", "root", "at", "d"))
+    slim = apart.select("p", "lid", "nx", "ins", "del")
+    sized = spread.join(slim, "p").drop("p")
+    right = sized.select("d", *[F.col(c).alias(c + "2") for c in ("lid", "root", "at", "nx", "ins", "del")])
     nd2 = F.col("ins2") + F.col("del2")
     # Twice the differences that an alike pair shares, at least; the first of them has the others behind it.
     twice = nd + nd2 - F.floor((F.col("nx") + F.col("nx2")) * (100 - like) / (100 + like))
     fits = (
-        (F.col("lid") != F.col("lid2")) & (F.col("linked2") | (F.col("lid") < F.col("lid2")))
+        (F.col("root") != F.col("root2")) & (F.col("lid") < F.col("lid2"))
         & (F.least("nx", "nx2") * 100 >= F.greatest("nx", "nx2") * like)
         & (F.least(nd - F.col("at"), nd2 - F.col("at2")) * 2 >= twice)
         & ((F.least("ins", "ins2") + F.least("del", "del2")) * 2 >= twice)
     )
-    met = spread.where("not linked").join(right, ["hub", "d"]).where(fits)
-    more = keep(met.select("lid", F.col("lid2").alias("hub")).distinct())
-    return keep(_verified(more, texts, like))
+    more = keep(sized.join(right, "d").where(fits).select("lid", F.col("lid2").alias("hub")).distinct())
+    return _verified(more, texts, like)
+
+
+def _bucket_counts(buckets: DataFrame) -> Column:
+    """How often each of the _COUNTS buckets occurs, as one array: a scalar subquery of bounded size."""
+    every = buckets.sparkSession.range(0, _COUNTS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
+    counts = every.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "left")
+    item = F.struct("bucket", F.coalesce("n", F.lit(0)).cast("int").alias("n"))
+    return counts.agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["n"]).alias("often")).scalar()
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -191,22 +208,23 @@ def dedup_lines(documents: DataFrame, like: int = LIKE) -> DataFrame:
     document and are treated alike. n_chars is left as it is: see the pipeline. Extra
     columns stay, except that n_lines and n_dropped are replaced.
     """
-    sigs = signatures(documents)
-    roots = components(fuzzy_links(documents, sigs, like))
-    where = sigs.select("dk", "th", "pos", "lid", "chk")
-    # The id of a linked line is its root; any other line stands for itself by two hashes.
-    grouped = where.join(roots.withColumnRenamed("node", "lid"), "lid", "left").select(
-        "dk", "th", "pos", F.coalesce("root", "lid").alias("g"),
-        F.when(F.col("root").isNull(), F.col("chk")).otherwise(F.lit(0).cast("long")).alias("gc"),
-    )
-    grouped = keep(grouped)
-    spot = F.struct("dk", "th", "pos")
-    firsts = keep(grouped.groupBy("g", "gc").agg(F.count("*").alias("n"), F.min(spot).alias("first"))
-                  .where("n > 1").select("g", "gc", "first"))
-    words = filter_words(firsts.count())
-    again = might_hold(grouped, F.col("g"), bloom(firsts, F.col("g"), words), words, "_in").where("_in")
-    gone = again.join(firsts, ["g", "gc"]).where(spot != F.col("first"))
-    gone = keep(gone.groupBy("dk", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
+    with scratch() as last:
+        sigs = signatures(documents)
+        roots = components(fuzzy_links(documents, sigs, like))
+        where = sigs.select("dk", "th", "pos", "lid", "chk")
+        # The id of a linked line is its root; any other line stands for itself by two hashes.
+        grouped = where.join(roots.withColumnRenamed("node", "lid"), "lid", "left").select(
+            "dk", "th", "pos", F.coalesce("root", "lid").alias("g"),
+            F.when(F.col("root").isNull(), F.col("chk")).otherwise(F.lit(0).cast("long")).alias("gc"),
+        )
+        grouped = keep(grouped)
+        spot = F.struct("dk", "th", "pos")
+        firsts = keep(grouped.groupBy("g", "gc").agg(F.count("*").alias("n"), F.min(spot).alias("first"))
+                      .where("n > 1").select("g", "gc", "first"))
+        words = filter_words(firsts.count())
+        again = might_hold(grouped, F.col("g"), bloom(firsts, F.col("g"), words), words, "_in").where("_in")
+        gone = again.join(firsts, ["g", "gc"]).where(spot != F.col("first"))
+        gone = last(gone.groupBy("dk", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
     return _without(documents, gone)
 
 

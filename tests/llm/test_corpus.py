@@ -509,3 +509,95 @@ def test_stages_hold_on_their_own_input(spark):
         if name == "benchmark decontamination":
             assert all((brute_hits(t, items, 10)[1] == 0) == (i in after) for i, t in before.items())
         docs = out
+
+
+# --- names that operators use themselves, roles with control strings, archives by size ------------
+
+INNER = ("_spans", "_dk", "_th", "_src", "_parts", "_cdf", "_n", "_at", "_word", "_bits", "_word0", "_bits0", "_canon", "_hash", "_in",
+         "_listed", "n_words", "n_hit", "n_items", "items", "n_lines", "n_dropped", "dk", "th", "line", "lid", "gone", "g", "f1")
+
+
+def test_columns_named_like_inner_ones_stay(frame):
+    texts = ["one two three four five six seven eight nine ten eleven", "clean text of its own\nand a line", None, "same\nsame", "same"]
+    docs = docs_of(frame, texts).withColumns({c: F.lit(f"mine {c}") for c in INNER})
+    bench = frame([("q", texts[0])], "item_id string, text string")
+
+    def held(out, ids):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert sorted(r["doc_id"] for r in got) == ids
+        assert all(r[c] == f"mine {c}" for r in got for c in INNER)
+
+    held(decontam.clean_documents(docs, bench), [1, 2, 3, 4])
+    held(corpus_pipeline.fresh_lines(None, docs, ""), [0, 1, 2, 3])
+    held(partenum.one_per_group(docs), [0, 1, 2, 3, 4])
+    marked = decontam.contamination(docs.drop("n_words", "n_hit", "n_items", "items"), bench, most_chars=20)
+    assert {r["doc_id"]: r["n_hit"] for r in marked.collect()}[0] == 11 and marked.first()["_spans"] == "mine _spans"
+    mixed = mixing.replicate(docs)
+    assert mixed.columns == [*docs.columns, "copy"] and {r["_parts"] for r in mixed.collect()} <= {"mine _parts"}
+    pages = frame([(1, "http://a.b/c"), (2, "http://a.b/d")], "page_id bigint, url string").withColumns({c: F.lit(f"mine {c}") for c in INNER})
+    judged = urls.judge(pages, frame([("http://a.b/c",)], "url string"))
+    assert {r["page_id"]: (r["verdict"], r["_word"], r["_listed"]) for r in judged.collect()} == {
+        1: ("block", "mine _word", "mine _listed"), 2: ("allow", "mine _word", "mine _listed")}
+
+
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["<|role ", "|>", "<|end|>", "|", ">", "\\", "[INST]", "</s>", "a", " "]), max_size=5).map("".join),
+                          st.lists(st.sampled_from(["|>", "<|end|>", "<|role x|>", "\\", "hi"]), max_size=4).map("".join)), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_roles_that_hold_control_strings_read_back(turns):
+    t, reader, got = chat.INSTRUCT, chat.Reader(chat.INSTRUCT), []
+    for role, text in turns:
+        before, after, _ = t.marks(role)
+        for piece in (before, t.escape(text), after):
+            got += reader.feed(piece)
+    assert got == turns and not reader.buffer
+
+
+def test_long_pages_get_files_of_their_own(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", ((1000, 5000), (20_000, 3), (None, 1)))
+    r = random.Random(1)
+    pages = [(i, "http://x/", "".join(r.choices("abcdefgh", k=size))) for i, size in enumerate([10] * 40 + [5000] * 8 + [50_000] * 3)]
+    warc.write_archives(frame(pages, "page_id bigint, url string, html string", 1), str(tmp_path / "w"))
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "w").glob("part-*"))
+    assert len(sizes) == 1 + 3 + 3 and sizes[-1] < 40_000
+    found = warc.read_archives(spark, str(tmp_path / "w"))
+    got = {x["record_id"]: x["payload"].decode() for x in found.where("kind = 'record'").collect()}
+    assert got == {f"<urn:page:{i}>": html for i, _, html in pages} and found.where("kind = 'gap'").count() == 0
+
+
+# --- recall of the line bands ------------------------------------------------------------------
+
+def alike_lines(every, like=80):
+    """All pairs of different lines whose shingle sets are alike, by a prefix of rare shingles: no pair is lost."""
+    sets = {x: s for x, s in zip(every, line_sets(every), strict=True)}
+    often = {}
+    for s in sets.values():
+        for g in s:
+            often[g] = often.get(g, 0) + 1
+    index, out = {}, set()
+    for x in sorted(sets, key=lambda x: (len(sets[x]), x)):
+        own = sets[x]
+        for g in sorted(own, key=lambda g: (often[g], g))[: len(own) - -(-len(own) * like // 100) + 1]:
+            for y in index.get(g, ()):
+                if (x, y) not in out and len(sets[y]) * 100 >= len(own) * like:
+                    same = len(own & sets[y])
+                    if same * 100 >= like * (len(own) + len(sets[y]) - same):
+                        out.add((x, y))
+            index.setdefault(g, []).append(x)
+    return out
+
+
+def test_recall_of_line_bands_on_the_given_documents(spark):
+    """At sf0.01 the bands find 0.95 or more of the alike pairs, and lines of such pairs end in one component."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lines_of = [x.strip(" \t\r") for r in docs.collect() for x in (r["text"] or "").lower().split("\n")]
+    every = sorted({x for x in lines_of if x})
+    pairs = alike_lines(every)
+    sigs = lines.signatures(docs)
+    ids = {r["x"]: r["lid"] for r in spark.createDataFrame([(x,) for x in every], "x string").select("x", lines._line_id(F.col("x")).alias("lid")).collect()}
+    bands = {r["lid"]: set(r["bands"]) for r in sigs.select("lid", "bands").dropDuplicates(["lid"]).collect()}
+    met = sum(bool(bands[ids[x]] & bands[ids[y]]) for x, y in pairs)
+    roots = {r["node"]: r["root"] for r in components.components(lines.fuzzy_links(docs, sigs)).collect()}
+    joined = sum(roots.get(ids[x], x) == roots.get(ids[y], y) for x, y in pairs)
+    print(f"{len(every)} lines, {len(pairs)} alike pairs, {met} share a band, {joined} joined")
+    assert len(pairs) > 100 and met >= 0.95 * len(pairs) and joined >= met

@@ -174,8 +174,8 @@ def pair_judgement(spark, sf):
 
 @query("adf_moments", f"""WITH {ALIGN}, mf AS ({_fit_sql('pair', 'al')}), ms AS (SELECT pair, rn, y - (alpha + beta * x) AS v FROM al JOIN mf USING (pair)),
   md AS (SELECT *, lag(v) OVER (PARTITION BY pair ORDER BY rn) AS l, v - lag(v) OVER (PARTITION BY pair ORDER BY rn) AS d FROM ms),
-  mk AS (SELECT a.pair, k.k, sum(a.d * b.d) AS c, sum(a.l * b.d) AS x FROM md a JOIN (SELECT unnest(range(7)) AS k) k ON true
-    JOIN md b ON b.pair = a.pair AND b.rn = a.rn - k.k GROUP BY ALL)
+  mk AS (SELECT a.pair, k.k, coalesce(sum(a.d * b.d), 0) AS c, coalesce(sum(a.l * b.d), 0) AS x FROM md a JOIN (SELECT unnest(range(7)) AS k) k ON true
+    LEFT JOIN md b ON b.pair = a.pair AND b.rn = a.rn - k.k GROUP BY ALL)
   SELECT pair, k::INT AS k, {rs(c='c / c0', x='x / c0')} FROM (SELECT *, first_value(c) OVER (PARTITION BY pair ORDER BY k) AS c0 FROM mk)""")
 def adf_moments(spark, sf):
     """Sums of products of spread differences k apart, and of levels with the difference k before, as shares of the first."""

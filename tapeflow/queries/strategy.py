@@ -663,8 +663,9 @@ def ev_holdout(spark, sf):
 _TRIAL = "pt * 100000 + sl * 10000 + h * 100 + min_proba * 100"
 
 
-@query("trial_log", f"""WITH {GRID_CTE} SELECT symbol, 144::BIGINT AS n_trials,
-  first({_TRIAL} ORDER BY round(mean_ev, 12) DESC, {_TRIAL}) AS best_trial, {r('max(mean_ev)')} AS best_score FROM evs GROUP BY 1""")
+@query("trial_log", f"""WITH {GRID_CTE} SELECT s.symbol, 144::BIGINT AS n_trials,
+  first({_TRIAL} ORDER BY round(mean_ev, 12) DESC, {_TRIAL}) AS best_trial, {r('max(mean_ev)')} AS best_score
+  FROM (SELECT DISTINCT symbol FROM base) s LEFT JOIN evs ON evs.symbol = s.symbol GROUP BY 1""")
 def trial_log(spark, sf):
     """All 144 configurations are logged, those without a trade with no score."""
     rows = _grid_rows(spark, sf)

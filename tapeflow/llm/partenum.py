@@ -16,12 +16,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.llm.components import components
 from tapeflow.llm.shared import bit_filter, bloom, filter_words, might_hold, mix64, spaced_words
-from tapeflow.plans.tables import keep
+from tapeflow.plans.tables import keep, scratch
 
 _CACHED_WORDS = 400_000
 #: Buckets of the frequency table: 4 MB in each task, whatever the number of features.
@@ -167,12 +167,14 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def sets_table(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """(doc_id, th, n, f1, f2, sigs): a row per document, written once. Empty sets have no name."""
+    """(doc_id, th, n, f1, f2, sigs): a row per document, to be stored. Empty sets have no name.
+
+    Copies that one task sees carry their signatures once."""
     types = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
                        ("sigs", pa.list_(pa.int64()))])
 
     def run(batches):
-        cache = _Words()
+        cache, signed = _Words(), set()
         for batch in batches:
             n, f1, f2, sigs = [], [], [], []
             for text in batch.column(1):
@@ -181,12 +183,17 @@ def sets_table(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
                 a, b = set_name(u) if len(u) else (None, None)
                 f1.append(a)
                 f2.append(b)
-                sigs.append(_signed(signatures_of(u, per_cent)) if len(u) else [])
+                if not len(u) or (a, b) in signed:
+                    sigs.append([])
+                    continue
+                sigs.append(_signed(signatures_of(u, per_cent)))
+                if len(signed) < _CACHED_WORDS:
+                    signed.add((a, b))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), pa.array(f1, pa.int64()),
                  pa.array(f2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], schema=types)
 
-    return keep(_texts(documents).mapInArrow(run, "doc_id long, th long, n long, f1 long, f2 long, sigs array<long>"))
+    return _texts(documents).mapInArrow(run, "doc_id long, th long, n long, f1 long, f2 long, sigs array<long>")
 
 
 def _features_of(documents: DataFrame, width: int, wanted: DataFrame, swap: frozenset[int]) -> DataFrame:
@@ -252,26 +259,39 @@ def _alike(same: Column, n: Column, per_cent: int) -> Column:
     return same * 100 >= F.lit(per_cent) * (n - same)
 
 
-def similar_links(documents: DataFrame, sets: DataFrame, width: int, per_cent: int,
+def shared_keys(sets: DataFrame) -> DataFrame:
+    """(key, f, m): the sets f that share a signature, and how many they are.
+
+    Of signatures with the same sets one stays: two near copies share hundreds of them. A signature's sets are
+    named by their number, the sum and the exclusive or of their mixed names.
+    """
+    keys = sets.where("n > 0").select(F.col("f1").alias("f"), F.explode("sigs").alias("key"))
+    # Counts alone travel; keys that only copies of one set share go below.
+    shared = keep(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    words = filter_words(shared.count())
+    near = might_hold(keys, F.col("key"), bloom(shared, F.col("key"), words), words, "_in").where("_in").drop("_in")
+    same = Window.partitionBy("key")
+    met = near.join(shared, "key").select("key", "f").distinct().withColumns({
+        "m": F.count("*").over(same), "x": F.bit_xor(F.xxhash64("f")).over(same),
+        "s": F.sum(F.shiftright(F.xxhash64(F.lit(1), "f"), 24)).over(same)})
+    met = keep(met.where("m > 1"))
+    first = met.groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key")
+    return keep(met.join(first, "key", "left_semi").select("key", "f", "m"))
+
+
+def similar_links(documents: DataFrame, members: DataFrame, width: int, per_cent: int,
                   swap: frozenset[int] = frozenset()) -> DataFrame:
-    """Verified links (a, b) between set names that join every similar pair.
+    """Verified links (a, b) between set names that join every similar pair; ``members`` from ``shared_keys``.
 
     Among the sets of a signature the hub is the one with the most company over all its
     signatures: in a group of near copies that is the text they were made from. All others
-    are compared with the hub. Pairs of sets that are both similar to their hub need no link
-    of their own. Let D be a set's differences from the hub. If a set is not similar to the
+    are compared with the hub. Sets that similar hubs join already need no link of their own. Let D be a set's differences from the hub. If a set is not similar to the
     hub, any set similar to it must share differences with it, at least as many as the sizes
     imply (disjoint differences would add up to more than the first one's, which are too many
     already). So the sets around a hub are joined on a prefix of their differences, rarest
     first, and what meets is compared in full. No pair is left out, and none is made from sets that only
     share a hub.
     """
-    keys = sets.where("n > 0").select(F.col("f1").alias("f"), F.explode("sigs").alias("key"))
-    shared = keep(keys.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count("*").alias("m"))
-                  .where("lo <> hi").select("key", "m"))
-    words = filter_words(shared.count())
-    near = might_hold(keys, F.col("key"), bloom(shared, F.col("key"), words), words, "_in").where("_in").drop("_in")
-    members = keep(near.join(shared, "key").select("key", "f", "m").distinct())
     company = members.groupBy("f").agg(F.sum("m").alias("company"))
     first = F.min(F.struct((-F.col("company")).alias("c"), F.col("f").alias("f")))
     hubs = members.join(company, "f").groupBy("key").agg(first.alias("first")).select("key", F.col("first.f").alias("hub"))
@@ -298,9 +318,16 @@ def similar_links(documents: DataFrame, sets: DataFrame, width: int, per_cent: i
     compared = keep(sized.select("a", "b", "nx", "linked", more_than_hub.alias("ins"), less_than_hub.alias("del"),
                                  prefix.alias("prefix")))
     links = compared.where("linked").select("a", "b")
-    open_hubs = compared.where("not linked and prefix is not null").select("b").distinct()
-    cols = ("at", "a", "nx", "ins", "del", "linked")
-    spread = compared.join(open_hubs, "b").select("b", "a", "nx", "ins", "del", "linked", F.posexplode("prefix").alias("at", "d"))
+    # What links to hubs join already, over any hubs, needs no link of its own.
+    roots = components(links).withColumnRenamed("node", "a")
+    around = compared.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    open_hubs = around.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
+    cols = ("at", "a", "nx", "ins", "del", "root")
+    spread = around.where("prefix is not null").join(open_hubs, "b").select("b", "a", "nx", "ins", "del", "root", F.posexplode("prefix").alias("at", "d"))
+    # A difference that one component has alone joins nothing.
+    same_place = Window.partitionBy("b", "d")
+    spread = keep(spread.withColumns({"lo": F.min("root").over(same_place), "hi": F.max("root").over(same_place)})
+                  .where("lo <> hi").drop("lo", "hi"))
     right = spread.select("b", "d", *[F.col(c).alias(c + "2") for c in cols])
     # Of a similar pair the first common difference has enough behind it on both sides:
     # additions behind it and all that is lacked, or what is lacked behind it.
@@ -309,11 +336,11 @@ def similar_links(documents: DataFrame, sets: DataFrame, width: int, per_cent: i
         F.least(F.col("ins") + F.col("del") - F.col("at"), F.col("ins2") + F.col("del2") - F.col("at2")))
     apart = F.floor((F.col("nx") + F.col("nx2")) * (100 - per_cent) / (100 + per_cent))
     fits = (
-        (F.col("a") != F.col("a2")) & (F.col("linked2") | (F.col("a") < F.col("a2")))
+        (F.col("root") != F.col("root2")) & (F.col("a") < F.col("a2"))
         & (F.least("nx", "nx2") * 100 >= F.greatest("nx", "nx2") * per_cent)
         & (behind * 2 >= F.col("ins") + F.col("del") + F.col("ins2") + F.col("del2") - apart)
     )
-    met = spread.where("not linked").join(right, ["b", "d"]).where(fits)
+    met = spread.join(right, ["b", "d"]).where(fits)
     more = keep(met.select("a", F.col("a2").alias("b")).distinct())
     n = (F.size("x") + F.size("y")).cast("long")
     same = F.size(F.array_intersect("x", "y")).cast("long")
@@ -329,15 +356,19 @@ def _swapped_names(sets: DataFrame) -> frozenset[int]:
 
 def _grouped_rows(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
     """(doc_id, th, n, g): g names the component of a row's set; null for an empty one."""
-    sets = sets_table(documents, width, per_cent)
-    swap = _swapped_names(sets)
-    if swap:  # these sets go by the other half of their 128 bits
-        sets = keep(sets.withColumn("f1", F.when(F.col("f1").isin(*swap), F.col("f2")).otherwise(F.col("f1"))))
-    roots = components(similar_links(documents, sets, width, per_cent, swap))
-    return keep(
-        sets.select("doc_id", "th", "n", "f1").join(roots.withColumnRenamed("node", "f1"), "f1", "left")
-        .select("doc_id", "th", "n", F.coalesce("root", "f1").alias("g"))
-    )
+    with scratch() as last:
+        with scratch() as beyond:  # signatures are by far the widest table and go first
+            signed = keep(sets_table(documents, width, per_cent))
+            swap = _swapped_names(signed)
+            if swap:  # these sets go by the other half of their 128 bits
+                signed = signed.withColumn("f1", F.when(F.col("f1").isin(*swap), F.col("f2")).otherwise(F.col("f1")))
+            members = beyond(shared_keys(signed))
+            sets = beyond(signed.select("doc_id", "th", "n", "f1"))
+        roots = components(similar_links(documents, members, width, per_cent, swap))
+        return last(
+            sets.join(roots.withColumnRenamed("node", "f1"), "f1", "left")
+            .select("doc_id", "th", "n", F.coalesce("root", "f1").alias("g"))
+        )
 
 
 def jaccard_groups(documents: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
@@ -365,12 +396,13 @@ def one_per_group(documents: DataFrame, width: int = 5, per_cent: int = 80) -> D
     Columns are those of ``documents``. Only documents that share a component with another
     row are shuffled, found by a bounded filter.
     """
-    rows = _grouped_rows(documents, width, per_cent).where("n > 0")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    crowds = keep(rows.groupBy("g").agg(F.count("*").alias("rows"), F.min(first).alias("first")).where("rows > 1"))
-    words = filter_words(crowds.count())
-    near = might_hold(rows, F.col("g"), bloom(crowds, F.col("g"), words), words, "_in").where("_in")
-    verdicts = keep(near.join(crowds, "g").groupBy(_id().alias("dk"), "th").agg(F.max(first == F.col("first")).alias("stays")))
+    with scratch() as last:
+        rows = _grouped_rows(documents, width, per_cent).where("n > 0")
+        first = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+        crowds = keep(rows.groupBy("g").agg(F.count("*").alias("rows"), F.min(first).alias("first")).where("rows > 1"))
+        words = filter_words(crowds.count())
+        near = might_hold(rows, F.col("g"), bloom(crowds, F.col("g"), words), words, "_in").where("_in")
+        verdicts = last(near.join(crowds, "g").groupBy(_id().alias("dk"), "th").agg(F.max(first == F.col("first")).alias("stays")))
     cols = documents.columns
     docs = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)], _id().alias("dk"), _hash().alias("th"))
     words = filter_words(verdicts.count())

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of `[\x20\x09-\x0D]`, on which bytes.split() splits.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Largest Bloom filter: 2^18 words of 64 bits are 2 MB. Beyond about two million keys more
+#: Largest Bloom filter: 2^20 words of 64 bits are 8 MB. Beyond some eight million keys more
 #: rows pass it, which costs time only: an exact join always follows.
-MAX_WORDS = 1 << 18
+MAX_WORDS = 1 << 20
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def aside(df: DataFrame, inner: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Rename the columns whose names an operator uses itself; the function gives them their names back."""
+    inner = set(inner)
+    names = {c: f"_own{i}_{c}" for i, c in enumerate(df.columns) if c in inner}
+    back = {v: k for k, v in names.items()}
+    return df.withColumnsRenamed(names), lambda out: out.withColumnsRenamed(back)
+
+
 def _fold_table() -> bytes:
     """A-Z to a-z; ASCII that is no letter or digit to a space; other bytes stay."""
     out = bytearray(range(256))
@@ -91,11 +101,12 @@ def might_hold(df: DataFrame, h: Column, filter_rows: DataFrame, words: int, nam
     """
     if words > MAX_WORDS:
         raise ValueError(f"a filter of {words} words is over the broadcast bound {MAX_WORDS}")
-    bits = F.broadcast(filter_rows.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
-    out = df.join(bits, word_of(h, words) == F.col("_word"), "left")
+    word, held = (next(n for k in range(len(df.columns) + 1) if (n := f"{w}{k}") not in df.columns) for w in ("_word", "_bits"))
+    bits = F.broadcast(filter_rows.select(F.col("word").alias(word), F.col("bits").alias(held)))
+    out = df.join(bits, word_of(h, words) == F.col(word), "left")
     own = bits_of(h)
-    hit = F.coalesce(F.col("_bits").bitwiseAND(own) == own, F.lit(False))
-    return out.withColumn(name, hit).drop("_word", "_bits")
+    hit = F.coalesce(F.col(held).bitwiseAND(own) == own, F.lit(False))
+    return out.withColumn(name, hit).drop(word, held)
 
 
 class BitFilter:

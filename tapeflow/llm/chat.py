@@ -56,11 +56,16 @@ class Template:
             self._pattern.append(re.compile("|".join(map(re.escape, [ESCAPE, *self.controls()]))))
         return self._pattern[0].sub(lambda m: m[0][0] + ESCAPE + m[0][1:], text)
 
+    def escape_role(self, role: str) -> str:
+        """A role within its mark: nothing in it may look like the mark's end, a control's own end included."""
+        tail = self.other_before.split("{}")[1]
+        return self.escape(role).replace(tail, tail[0] + ESCAPE + tail[1:])
+
     def marks(self, role: str) -> tuple[str, str, bool]:
         turn = self.turns.get(role)
         if turn:
             return turn.before, turn.after, turn.loss
-        return self.other_before.format(self.escape(role)), self.other_after, False
+        return self.other_before.format(self.escape_role(role)), self.other_after, False
 
 
 def unescape(text: str) -> str:

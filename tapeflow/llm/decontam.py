@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tapeflow.llm.shared import letter_words
+from tapeflow.llm.shared import aside, letter_words
 from tapeflow.plans.tables import keep
 
 WIDTH = 10
@@ -116,11 +116,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     A benchmark over ``most_chars`` is taken in blocks of bounded size, each with its own pass
     over the documents; spans and items of the passes are then merged.
     """
-    own = documents.drop("n_words", "n_hit", "n_items", "items", "_spans")
+    own, back = aside(documents.drop("n_words", "n_hit", "n_items", "items"), ("_spans", "_dk", "_th"))
     blocks = _blocks(benchmark, most_chars)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        return _one_pass(own, first, width).drop("_spans").withColumn("items", F.array_compact("items"))
+        return back(_one_pass(own, first, width).drop("_spans").withColumn("items", F.array_compact("items")))
     key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("_dk"), F.xxhash64("text").alias("_th")]
     found = None
     for rows in itertools.chain([first, second], blocks):
@@ -138,8 +138,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
         lambda a, x: F.struct((a.n + F.greatest(x.e - F.greatest(x.s, a.to), F.lit(0))).alias("n"),
                               F.greatest(a.to, x.e).alias("to")), lambda a: a.n)
     items = F.sort_array(F.coalesce("items", F.array().cast("array<string>")))
-    return rows.select(*own.columns, "n_words", reach.cast("long").alias("n_hit"),
-                       F.size(items).cast("long").alias("n_items"), F.array_compact(items).alias("items"))
+    return back(rows.select(*own.columns, "n_words", reach.cast("long").alias("n_hit"),
+                            F.size(items).cast("long").alias("n_items"), F.array_compact(items).alias("items")))
 
 
 def _one_pass(documents: DataFrame, items: list[tuple[str, list[bytes]]], width: int) -> DataFrame:
@@ -168,5 +168,6 @@ def _one_pass(documents: DataFrame, items: list[tuple[str, list[bytes]]], width:
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Documents without any occurrence of a window; columns as they came."""
-    marked = contamination(documents, benchmark, width)
-    return marked.where("n_hit = 0").select(*documents.columns)
+    own, back = aside(documents, ("n_words", "n_hit", "n_items", "items"))
+    marked = contamination(own, benchmark, width)
+    return back(marked.where("n_hit = 0").select(*own.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeflow.llm.shared import aside
 from tapeflow.plans.tables import keep
 
 #: Means above this are drawn as a sum of independent parts, so that exp(-mean) stays normal.
@@ -71,7 +72,7 @@ def replicate(documents: DataFrame, weights: dict[str, float] | None = None, pow
     parts = F.greatest(F.ceil(F.col("rate") / F.lit(PART)).cast("int"), F.lit(1))
     rates = rates.withColumn("_parts", parts).withColumn("_mean", F.col("rate") / F.col("_parts"))
     rates = rates.select(F.col("source").alias("_src"), "_parts", _steps(F.col("_mean")).alias("_cdf"))
-    docs = documents.drop("copy")
+    docs, back = aside(documents.drop("copy"), ("_src", "_parts", "_cdf", "_n", "_at"))
     rates = keep(rates)
     # A source's steps take some 40 numbers: BROADCAST_SOURCES of them stay below 40 MB. More
     # sources than that meet their documents by a shuffled join, whose hot keys AQE splits.
@@ -84,4 +85,4 @@ def replicate(documents: DataFrame, weights: dict[str, float] | None = None, pow
         *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy")
     )
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), "copy"))
-    return out.withColumn("_at", order).orderBy("_at", "doc_id", "copy").drop("_at")
+    return back(out.withColumn("_at", order).orderBy("_at", "doc_id", "copy").drop("_at"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.llm.shared import bloom, filter_words, might_hold
+from tapeflow.llm.shared import aside, bloom, filter_words, might_hold
 from tapeflow.plans.tables import keep
 
 #: Rules become one expression; longer lists belong into the URL list.
@@ -85,7 +85,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     ``://`` have empty host and path and are allowed; nulls in the list are ignored. Repeated
     rows each get a row; extra columns stay, but those with the added names are replaced.
     """
-    own = pages.drop("host", "path", "rule", "verdict", "_canon", "_hash", "_in")
+    own, back = aside(pages.drop("host", "path", "rule", "verdict"), ("_canon", "_hash", "_in", "_listed"))
     names = keep(listed.select(canonical(F.col("url")).alias("_canon")).where("_canon is not null").distinct())
     words = filter_words(names.count())
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
@@ -97,4 +97,4 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     cols = [*own.columns, "host", "path", "rule"]
     sure = rows.where("not _in").select(*cols, F.coalesce("verdict", F.lit("allow")).alias("verdict"))
     hits = rows.where("_in").join(names.withColumn("_listed", F.lit(True)), "_canon", "left")
-    return sure.union(hits.select(*cols, F.when(F.col("_listed"), "block").otherwise("allow").alias("verdict")))
+    return back(sure.union(hits.select(*cols, F.when(F.col("_listed"), "block").otherwise("allow").alias("verdict"))))

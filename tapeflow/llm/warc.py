@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from tapeflow.llm.shared import bloom, filter_words, might_hold
 from tapeflow.plans.tables import keep
 
-#: Records in a file: some 10 to 20 MB, which a reading task holds whole.
-PER_FILE = 5000
+#: Payloads up to so many bytes and the records of a file: no file outgrows 256 MB, unless one page alone does.
+CLASSES = ((50 << 10, 5000), (5 << 20, 50), (None, 1))
 #: Larger files are refused with a clear error; split them at member boundaries first.
 MAX_FILE = 1 << 30
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -92,9 +93,12 @@ def _id(value) -> str:
     return "" if value is None else str(value)
 
 
-def write_archives(pages: DataFrame, folder: str, compress: bool = True, per_file: int = PER_FILE, least_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, folder: str, compress: bool = True, per_file: int | None = None, least_bytes: int = 0) -> None:
     """Archives in ``folder``, a gzip member a record, or plain records.
 
+    Files are rolled by bytes: pages are written by size class, each with its own number of records a file
+    (``per_file`` lowers it).
+
     Spark's own text writer commits the files, so lost or repeated tasks leave no halves. It
     ends every row with a separator: the closing blank lines of a plain record, or an empty
     gzip member, which readers of concatenated members pass over.
@@ -107,10 +111,17 @@ def write_archives(pages: DataFrame, folder: str, compress: bool = True, per_fil
                 rows.append(gzip.compress(raw, 6, mtime=0) if compress else raw[:-4])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
-    plan = plan_records(pages, least_bytes).withColumn("html", F.col("html").cast("binary"))
     end = _EMPTY_MEMBER.decode("latin-1") if compress else "\r\n\r\n"
-    (plan.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-     .write.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", per_file).text(folder))
+    size, least = F.coalesce(F.octet_length("html"), F.lit(0)), -1
+    longest = pages.agg(F.max(size)).first()[0] or 0
+    plan = plan_records(pages, least_bytes)
+    for most, records in CLASSES:
+        if least < longest or least < 0:
+            own = plan.where((size > least) & (size <= most) if most else size > least).withColumn("html", F.col("html").cast("binary"))
+            (own.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+             .write.mode("append").option("lineSep", end).option("encoding", "ISO-8859-1")
+             .option("maxRecordsPerFile", min(records, per_file or records)).text(folder))
+        least = most
 
 
 # --- reading -----------------------------------------------------------------------------
@@ -215,9 +226,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [row(path.as_py(), *x) for x in salvage(content.as_py())]
-                for i in range(0, len(rows), 500):
-                    cols = zip(*rows[i : i + 500], strict=True)
+                rows = (row(path.as_py(), *x) for x in salvage(content.as_py()))
+                while some := list(itertools.islice(rows, 100)):
+                    cols = zip(*some, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, types, strict=True)], schema=types)
 
     files = spark.read.format("binaryFile").load(folder)

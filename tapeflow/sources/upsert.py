@@ -11,6 +11,8 @@ from pyspark.sql.utils import AnalysisException
 from tapeflow.plans.tables import drop_folder, keep, scratch
 
 GONE = "gone"
+#: Rows, about, that one task orders and writes; a large partition becomes several files.
+FILE_ROWS = 1 << 18
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame | None:
@@ -26,13 +28,17 @@ def applied(spark: SparkSession, path: str, version: str) -> bool:
     return done is not None and bool(done.where(F.col("version") == version).head(1))
 
 
-def upsert(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], partition: str, version: str) -> bool:
+def upsert(
+    spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], partition: str, version: str,
+    file_rows: int = FILE_ROWS,
+) -> bool:
     """Apply changes to the Parquet table under ``path``, partitioned by ``partition``; False if ``version`` is known.
 
     ``changes`` has the table's columns; rows with a true ``gone`` (optional) delete their key, others insert or
     replace it. ``keys`` include the partition column, and a key may occur once. Only partitions that hold a changed
     key are read and rewritten; those left without a row are dropped. The marker is written last: a run that
-    fails before it is repeated and leaves the same. A missing table is created.
+    fails before it is repeated and leaves the same. A missing table is created. Files are cut by key inside a
+    partition, so that a large partition is not one task.
     """
     keys = list(keys)
     if partition not in keys:
@@ -54,7 +60,9 @@ def upsert(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[st
             merged = _matched(there, changes, keys, "left_anti").select(*columns).unionByName(live)
         # The table is read and replaced: the new rows are stored before the old ones go.
         merged = keep(merged)
-        merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        tasks = max(1, -(-merged.count() // file_rows))
+        cut = merged.repartitionByRange(tasks, partition, *[k for k in keys if k != partition])
+        cut.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
         for row in _matched(touched, merged.select(partition).distinct(), [partition], "left_anti").toLocalIterator():
             drop_folder(spark, f"{path}/{_folder(spark, partition, row[0])}")
         one = changes.agg(F.count(F.lit(1)).alias("rows")).crossJoin(touched.agg(F.count(F.lit(1)).alias("partitions")))

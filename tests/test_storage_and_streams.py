@@ -231,3 +231,14 @@ def test_upsert_rewrites_touched_partitions_only(spark, frame, tmp_path):
     assert {(r["version"], r["rows"], r["partitions"]) for r in upsert.versions(spark, path).collect()} == {("1", 13, 4), ("2", 7, 2)}
     with pytest.raises(ValueError):
         upsert.upsert(spark, path, changes, ["id"], "part", "3")
+
+
+def test_upsert_cuts_a_large_partition_into_files(spark, frame, tmp_path):
+    path, schema = str(tmp_path / "t"), "part string, id bigint, v double"
+    rows = [("a", i, 0.0) for i in range(900)] + [("b", i, 0.0) for i in range(100)]
+    for version, v in (("1", 0.0), ("2", 1.0)):
+        changes = frame([(p, i, v) for p, i, _ in rows], schema)
+        assert upsert.upsert(spark, path, changes, ["part", "id"], "part", version, file_rows=100)
+        stored = spark.read.schema(schema).parquet(path)
+        assert stored.groupBy("_metadata.file_path").count().agg({"count": "max"}).first()[0] < 260
+        assert sorted(tuple(r) for r in stored.select("part", "id", "v").collect()) == [(p, i, v) for p, i, _ in rows]

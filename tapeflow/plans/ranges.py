@@ -18,6 +18,8 @@ from tapeflow.plans.tables import keep
 
 RANGE = "_range"
 ROWS = 16384
+#: The range of a key that is short enough for one task.
+WHOLE = -1
 
 
 def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = ROWS) -> DataFrame:
@@ -31,6 +33,22 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int =
     return keep(cut.withColumns({RANGE: F.spark_partition_id().cast("long"), "_at": F.monotonically_increasing_id()}))
 
 
+def ranged_if_long(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = ROWS) -> DataFrame:
+    """Rows with ``_range``: ``WHOLE`` for keys of at most ``rows`` rows, else as in ``ranged``.
+
+    A short key needs no cutting, so its rows are neither shuffled nor written here. Long keys are at most
+    one per ``rows`` rows, so their table is broadcast. Pass a stored table or a projection of one: it is
+    read several times. Rows without a key are dropped.
+    """
+    df = df.na.drop(subset=list(keys))
+    long = keep(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).select(*keys))
+    if not long.head(1):
+        return df.withColumn(RANGE, F.lit(WHOLE).cast("long"))
+    short = df.join(F.broadcast(long), list(keys), "left_anti").withColumn(RANGE, F.lit(WHOLE).cast("long"))
+    cut = ranged(df.join(F.broadcast(long), list(keys), "left_semi"), keys, order, rows).drop("_at")
+    return short.unionByName(cut)
+
+
 def number_ranged(df: DataFrame, keys: Sequence[str], name: str = RN, total: str | None = None) -> DataFrame:
     """Position of each row of a ``ranged`` table within its key, from 0, and optionally the key's row count.
 

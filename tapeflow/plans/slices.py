@@ -96,7 +96,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | str,
     measures: dict[str, tuple[str, Column]],
 ) -> DataFrame:
     """Running values over a whole key: ``{out: (kind, column)}``.
@@ -104,11 +104,14 @@ def running(
     Kinds: ``sum``, ``max`` and ``min`` up to the row; ``last`` non-null value up to
     the row and ``before`` it; ``next`` non-null value from the row on. All measures
     share one pass over the bucket ends, so ask for them together. The input is read
-    twice (rows and bucket ends): pass a stored table, see ``plans.tables.keep``.
+    twice (rows and bucket ends): pass a stored table, see ``plans.tables.keep``. A bucket
+    given by a column's name stays, and the result lies by (keys, bucket) for the next step.
     """
-    df = df.withColumn(_B, bucket)
+    b = bucket if isinstance(bucket, str) else _B
+    if b == _B:
+        df = df.withColumn(_B, bucket)
     df = df.withColumns({f"_v_{n}": c for n, (_, c) in measures.items()})
-    whole, part = Window.partitionBy(*keys), Window.partitionBy(*keys, _B)
+    whole, part = Window.partitionBy(*keys), Window.partitionBy(*keys, b)
     up = [F.col(c).asc() for c in order]
     down = [F.col(c).desc() for c in order]
     start = Window.unboundedPreceding
@@ -118,7 +121,7 @@ def running(
         local = part.orderBy(*(down if kind == "next" else up)).rowsBetween(
             start, -1 if kind == "before" else 0
         )
-        carry = whole.orderBy(F.col(_B).desc() if kind == "next" else F.col(_B)).rowsBetween(start, -1)
+        carry = whole.orderBy(F.col(b).desc() if kind == "next" else F.col(b)).rowsBetween(start, -1)
         if kind in ("last", "before", "next"):
             packed = F.when(v.isNotNull(), F.struct(*order, v.alias("v")))
             pick = F.min(packed) if kind == "next" else F.max(packed)
@@ -140,8 +143,8 @@ def running(
             merged[n] = both(F.col(h), F.col(p))
         else:
             raise ValueError(f"unknown running kind {kind!r}")
-    ends = df.groupBy(*keys, _B).agg(*aggs).select(*keys, _B, *prefix)
-    out = df.withColumns(here).join(ends, [*keys, _B]).withColumns(merged)
+    ends = df.groupBy(*keys, b).agg(*aggs).select(*keys, b, *prefix)
+    out = df.withColumns(here).join(ends, [*keys, b]).withColumns(merged)
     spare = [_B, *(f"{x}{n}" for n in measures for x in ("_v_", "_p_", "_h_"))]
     return out.drop(*spare)
 

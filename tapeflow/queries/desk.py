@@ -317,11 +317,11 @@ TRADES = f"""tr AS (SELECT 'S' || l_suppkey AS symbol, l_shipdate AS ts, l_order
 
 
 def _run(spark, sf):
-    return keep(portfolio.with_running_quantity(tables.trades(spark, sf)))
+    return portfolio.with_running_quantity(tables.trades(spark, sf).drop("order_id", "line"))
 
 
 def _good(spark, sf):
-    return keep(portfolio.without_oversold(_run(spark, sf)))
+    return keep(portfolio.without_oversold(_run(spark, sf)).drop("seq"))
 
 
 def _closed(spark, sf):
@@ -335,7 +335,7 @@ def fifo_lots(spark, sf):
 
 @query("oversold_symbols", f"WITH {TRADES} SELECT symbol, first_ts, worst_gap FROM bad")
 def oversold_symbols(spark, sf):
-    return portfolio.oversold(portfolio.with_running_quantity(tables.trades(spark, sf)))
+    return portfolio.oversold(_run(spark, sf))
 
 
 @query("lot_results", f"""WITH {TRADES} SELECT symbol, buy_ts, sell_ts, qty, {rs(cost_basis='cost', proceeds='proceeds', pnl='pnl', pnl_pct='pnl / abs(cost) * 100')},

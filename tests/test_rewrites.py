@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeflow.functions.numeric import safe_corr
 from tapeflow.operators import book, labels, pairs, portfolio, technical
+from tapeflow.plans import ranges
 from tapeflow.plans.ranges import RANGE, ranged
 from tapeflow.plans.slices import RN, over_slices
 from tapeflow.plans.tables import keep
@@ -234,3 +235,35 @@ def test_correlation_with_equal_values_is_missing_however_they_are_dealt(spark):
     x = F.col("id").cast("double")
     got = df.agg(safe_corr(x, F.lit(1.0)).alias("c"), safe_corr(F.lit(1.0), x).alias("d"), safe_corr(x, -x).alias("e")).first()
     assert (got["c"], got["d"]) == (None, None) and got["e"] == pytest.approx(-1.0)
+
+
+def test_short_symbols_are_ordered_without_being_stored(frame, monkeypatch):
+    stored = []
+
+    def counted(df):
+        stored.append(df.count())
+        return keep(df)
+
+    monkeypatch.setattr(ranges, "keep", counted)
+    monkeypatch.setattr(portfolio, "keep", counted, raising=False)
+    rows = [(f"s{i % 7}", day(i), i, "BUY" if i < 35 else "SELL", 1.0, 10.0, 0.0, None) for i in range(70)]
+    closed, open_lots = portfolio.match_fifo(portfolio.without_oversold(portfolio.with_running_quantity(frame(rows, TRADE), rows=10)), rows=10)
+    assert (closed.count(), open_lots.count()) == (35, 0)
+    assert sum(stored) == 0
+
+
+def test_short_and_long_symbols_are_judged_alike(frame):
+    """Two symbols oversell, one in one piece, one in a late range; two do not."""
+    rows = []
+    for s, n in (("long", 90), ("long_bad", 90), ("short", 20), ("short_bad", 20)):
+        sides = ["BUY" if i % 2 == 0 else "SELL" for i in range(n)]
+        if s.endswith("bad"):
+            sides[-2] = "SELL"
+        rows += [(s, day(i), i, side, 1.0, 10.0 + i, 0.0, None) for i, side in enumerate(sides)]
+    run = keep(portfolio.with_running_quantity(frame(rows, TRADE), rows=25))
+    assert {r[0] for r in run.where(F.col(RANGE) == ranges.WHOLE).select("symbol").distinct().collect()} == {"short", "short_bad"}
+    good = keep(portfolio.without_oversold(run))
+    assert {r["symbol"]: r["count"] for r in good.groupBy("symbol").count().collect()} == {"long": 90, "short": 20}
+    closed, open_lots = portfolio.match_fifo(good, rows=25)
+    got = {(r["symbol"], r["n"], r["gain"]) for r in closed.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("pnl").alias("gain")).collect()}
+    assert got == {("long", 45, 45.0), ("short", 10, 10.0)} and open_lots.count() == 0

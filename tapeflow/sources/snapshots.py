@@ -10,6 +10,8 @@ from tapeflow.functions.book import BOOK, BookRules
 from tapeflow.functions.times import from_millis
 
 LEVELS = "array<struct<price:double,size:double>>"
+#: Levels, about, that one task orders.
+TASK_ROWS = 1 << 20
 
 # Fixed layout of a recorded snapshot.
 SNAPSHOT_SCHEMA = T.StructType(
@@ -28,12 +30,21 @@ SNAPSHOT_SCHEMA = T.StructType(
 )
 
 
-def assemble_books(levels: DataFrame, rules: BookRules = BOOK) -> DataFrame:
+def deal_levels(levels: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Levels dealt out by ``seq``, about ``rows`` to a task; as they are where all would fit one."""
+    tasks = -(-levels.count() // rows)
+    return levels.repartition(tasks, "seq") if tasks > 1 else levels
+
+
+def assemble_books(levels: DataFrame, rules: BookRules = BOOK, rows: int = TASK_ROWS) -> DataFrame:
     """Books from single levels(symbol, ts, side, price, size, seq), best price first.
 
     A book is ``rules.depth`` levels deep by definition. The rank filter becomes a
-    per-task group limit, so a crowded snapshot never gathers more than that.
+    per-task group limit, so a crowded snapshot never gathers more than that. The limit
+    orders all levels of its task, which a split of the input would make as large as
+    files happen to be cut, so levels are dealt out first.
     """
+    levels = deal_levels(levels, rows)
     best_first = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
     rank = F.row_number().over(
         Window.partitionBy("symbol", "ts", "side").orderBy("_p", "seq")

@@ -12,6 +12,7 @@ from tapeflow.plans import ranges
 from tapeflow.plans.ranges import RANGE, ranged
 from tapeflow.plans.slices import RN, over_slices
 from tapeflow.plans.tables import keep
+from tapeflow.sources import snapshots
 
 
 def ordered(df, *cols, key=RN):
@@ -267,3 +268,13 @@ def test_short_and_long_symbols_are_judged_alike(frame):
     closed, open_lots = portfolio.match_fifo(good, rows=25)
     got = {(r["symbol"], r["n"], r["gain"]) for r in closed.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("pnl").alias("gain")).collect()}
     assert got == {("long", 45, 45.0), ("short", 10, 10.0)} and open_lots.count() == 0
+
+
+def test_levels_of_one_large_split_are_dealt_over_tasks(frame):
+    rng = random.Random(3)
+    rows = [("s", day(i % 3), rng.choice(["bid", "ask"]), float(rng.randint(1, 40)), 1.0 + i, i) for i in range(2000)]
+    levels = frame(rows, "symbol string, ts timestamp_ntz, side string, price double, size double, seq bigint", 1)
+    dealt = snapshots.deal_levels(levels, 100).groupBy(F.spark_partition_id()).count()
+    assert dealt.agg(F.max("count")).first()[0] < 200
+    got, want = ({(r["ts"], str(r["bids"]), str(r["asks"])) for r in snapshots.assemble_books(levels, rows=n).collect()} for n in (100, 10**6))
+    assert got == want and len(want) == 3

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
@@ -15,7 +18,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The published booster settings Spark has a twin for.
@@ -271,6 +274,14 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label"
     ).fit(data)
 
 
+def _first_trees(model: GBTClassificationModel, k: int) -> GBTClassificationModel:
+    """The model as it was after ``k`` rounds; trees come one after another and keep their weights."""
+    j, jvm, array = model._java_obj, SparkSession.active()._jvm, GBTClassificationModel._new_java_array
+    trees = array(list(j.trees())[:k], jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel)
+    made = jvm.org.apache.spark.ml.classification.GBTClassificationModel(j.uid(), trees, array(model.treeWeights[:k], jvm.double))
+    return model._copyValues(GBTClassificationModel(made))
+
+
 def fit_boosted_classes(
     train: DataFrame, features: Sequence[str], label: str = "label", val: DataFrame | None = None,
     max_iter: int = BOOST["max_iter"], max_depth: int = BOOST["max_depth"], patience: int = PATIENCE,
@@ -279,17 +290,21 @@ def fit_boosted_classes(
     """One booster per class against the rest, as Spark's booster is binary: a function adding
     ``pred_class``, the likeliest class, the smallest of equal ones.
 
-    Each class is cut at its own best validation round, see ``fit_boosted``.
+    Each class is cut at its own best validation round, see ``fit_boosted``. All rounds are fitted once and
+    the trees after the best one left out, so no class grows a tree twice.
     """
-    fits = []
-    for k in range(classes):
+    def fit(k):
         gbt = GBTClassifier(
-            featuresCol="features", labelCol="_y", predictionCol=f"_c{k}", maxDepth=max_depth, stepSize=BOOST["step"],
+            featuresCol="features", labelCol="_y", predictionCol=f"_c{k}", maxIter=max_iter, maxDepth=max_depth, stepSize=BOOST["step"],
             subsamplingRate=BOOST["subsample"], featureSubsetStrategy="0.8", minInstancesPerNode=BOOST["min_rows"], seed=SEED,
         ).setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}")
-        of = lambda df, k=k: assemble(df, features).withColumn("_y", (F.col(label) == k).cast("double"))
-        model, _ = _patient(gbt, of(train), None if val is None else of(val), max_iter, patience, lambda m, v: m.evaluateEachIteration(v))
-        fits.append(model)
+        of = lambda df: assemble(df, features).withColumn("_y", (F.col(label) == k).cast("double"))
+        model = gbt.fit(of(train))
+        return model if val is None else _first_trees(model, best_round(model.evaluateEachIteration(of(val)), patience))
+
+    # A round is a row of short jobs that leave most cores idle, so the classes are fitted side by side.
+    with ThreadPool(classes) as pool:
+        fits = pool.map(inheritable_thread_target(train.sparkSession)(fit), range(classes))
 
     def score(df: DataFrame) -> DataFrame:
         out = assemble(df, features)

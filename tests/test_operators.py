@@ -664,3 +664,24 @@ def test_boosted_classes_find_plain_bands(spark):
     out = score(d)
     assert out.columns == [*d.columns, "pred_class"]
     assert out.where("pred_class <> label").count() == 0
+
+
+def test_boosted_classes_grow_no_tree_twice(spark, monkeypatch):
+    d = keep(spark.range(300).select(F.rand(1).alias("x"), F.rand(2).alias("z"), F.col("id")).withColumn(
+        "label", F.when(F.rand(3) < 0.7, F.floor(F.col("x") * 3)).otherwise(F.floor(F.rand(4) * 3)).cast("double")))
+    fitted, fit = [], models.GBTClassifier.fit
+    monkeypatch.setattr(models.GBTClassifier, "fit", lambda self, df: fitted.append(fit(self, df)) or fitted[-1])
+    train, val = d.where("id < 200"), d.where("id >= 200")
+    scored = models.fit_boosted_classes(train, ["x", "z"], val=val, max_iter=30, patience=3)(val)
+    got = {r["id"]: r["pred_class"] for r in scored.collect()}
+    assert [len(m.trees) for m in fitted] == [30] * 3
+    want, cut = {}, []
+    for k in range(3):
+        y = models.assemble(val, ["x", "z"]).withColumn("_y", (F.col("label") == k).cast("double"))
+        t = models.assemble(train, ["x", "z"]).withColumn("_y", (F.col("label") == k).cast("double"))
+        gbt = models.GBTClassifier(featuresCol="features", labelCol="_y", maxDepth=3, stepSize=0.05, subsamplingRate=0.8,
+                                   featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=models.SEED)
+        cut.append(models.best_round(gbt.setMaxIter(30).fit(t).evaluateEachIteration(y), 3))
+        for r in gbt.setMaxIter(cut[-1]).fit(t).transform(y).collect():
+            want.setdefault(r["id"], []).append(r["probability"][1])
+    assert min(cut) < 30 and got == {i: max(range(3), key=lambda k: (p[k], -k)) for i, p in want.items()}

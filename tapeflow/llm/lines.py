@@ -9,6 +9,9 @@ by links verified on their full shingle sets, and links are closed by distribute
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,10 @@ _ALL = r"(?s)(?=(.{%d}))" % WIDTH
 _NO_ID = -(2**63)
 #: Buckets of the table that orders differences.
 _COUNTS = 1 << 17
+#: Columns of the sketch of a line's shingles; a power of two of them.
+_BITS = ("b0", "b1", "b2", "b3")
+#: Members of bands up to this size meet each other on their sketches.
+_CROWD = 256
 
 
 def _lines(text: Column) -> Column:
@@ -86,8 +93,10 @@ def fuzzy_links(documents: DataFrame, sigs: DataFrame, like: int = LIKE) -> Data
     """Verified links (a, b) between ids of different lines that join every alike pair of a band.
 
     In each band the line with the most company over all its bands is the hub; the others are
-    compared with it. What the hub does not settle is left to ``_links_around``, so the work
-    follows the size of a band and the pairs that may be alike, not the square of the band.
+    compared with it. Lines that the links to hubs join, over any hubs, need no link of their own.
+    What is left meets on sketches in bands of up to _CROWD lines (``_met``) and on its differences
+    from the hub in larger ones (``_met_around``), so the work follows the size of a band and the
+    pairs that may be alike, not the square of the band. What meets is compared in full.
     """
     with scratch() as last:
         keys = sigs.select("lid", F.explode("bands").alias("key"))
@@ -108,34 +117,51 @@ def fuzzy_links(documents: DataFrame, sigs: DataFrame, like: int = LIKE) -> Data
         sizes = members.groupBy("key").agg(F.count("*").alias("m"))
         company = members.join(sizes, "key").groupBy("lid").agg(F.sum("m").alias("company"))
         first = F.min(F.struct((-F.col("company")).alias("c"), F.col("lid").alias("lid")))
-        hubs = members.join(company, "lid").groupBy("key").agg(first.alias("first")).select("key", F.col("first.lid").alias("hub"))
-        pairs = keep(members.join(hubs, "key").where("lid <> hub").select("lid", "hub").distinct())
-        links = keep(_verified(pairs, texts, like))
-        return last(links.union(_links_around(pairs, links, texts, like)))
-
-
-def _links_around(pairs: DataFrame, links: DataFrame, texts: DataFrame, like: int) -> DataFrame:
-    """Verified links between lines around one hub; ``pairs`` are (lid, hub), ``links`` those that are alike.
-
-    Lines that the links to hubs join already, over any hubs, need no link of their own. Let D be
+        hubs = members.join(company, "lid").groupBy("key").agg(first.alias("first"), F.count("*").alias("m"))
+        spots = keep(members.join(hubs.select("key", "m", F.col("first.lid").alias("hub")), "key").where("lid <> hub"))
+        links = keep(_verified(spots.select("lid", "hub").distinct(), texts, like))
+        # A band of two is settled by its one comparison.
+        spots = spots.where("m > 2").join(components(links).withColumnRenamed("node", "lid"), "lid", "left")
+        spots = keep(spots.withColumn("root", F.coalesce("root", "lid")))
+        # So is a band whose members, the hub aside, the links to hubs join already.
+        split = spots.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        spots = keep(spots.join(split, "key"))
+        marks = keep(texts.join(spots.select("lid").distinct(), "lid").select("lid", F.inline(_marks(F.col("line")))))
+        more = _met(spots.where(F.col("m") <= _CROWD), marks, like).union(
+            _met_around(spots.where(F.col("m") > _CROWD), links, texts, marks, like))
+        return last(links.union(_verified(keep(more.distinct()), texts, like)))
+
+
+def _met(spots: DataFrame, marks: DataFrame, like: int) -> DataFrame:
+    """Pairs (lid, hub) of members of one band, of different components, whose sketches let them be alike."""
+    cols = ("lid", "root", "n", *_BITS)
+    left = spots.select("key", "lid", "root").join(marks, "lid")
+    right = left.select("key", *[F.col(c).alias(c + "2") for c in cols])
+    fits = (F.col("root") != F.col("root2")) & (F.col("lid") < F.col("lid2")) & _may_be_alike(like)
+    return left.join(right, "key").where(fits).select("lid", F.col("lid2").alias("hub"))
+
+
+def _met_around(spots: DataFrame, links: DataFrame, texts: DataFrame, marks: DataFrame, like: int) -> DataFrame:
+    """Pairs (lid, hub) of members of one large band, of different components, that may be alike.
+
+    ``spots`` are (key, lid, hub, root), ``links`` those of lines and hubs that are alike.
+    Let D be
     the shingles in which a line differs from the hub. A line the hub rejects shares some of its D
     with any line alike to it, at least as many as the sizes imply, or both would be further apart
     than alike lines can be. So lines of different components are joined on a prefix of D, the
-    rarest first; what lines of one component have alone joins nothing. The order is by a table of
+    rarest first; what lines of one component have alone joins nothing, and what sketches rule out
+    is not made. The order is by a table of
     2^17 counts, bounded whatever the input; any common order gives right results. Names of shingles
     are hashes and only choose the candidates: equal shingles have equal names, so no pair is left out.
     """
-    roots = components(links).withColumnRenamed("node", "lid")
     hit = links.select(F.col("a").alias("lid"), F.col("b").alias("hub"), F.lit(True).alias("linked"))
-    around = pairs.join(hit, ["lid", "hub"], "left").join(roots, "lid", "left").select(
-        "lid", "hub", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("root", "lid").alias("root"))
-    around = keep(around)
-    open_hubs = around.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub")
+    around = spots.select("lid", "hub", "root").distinct().join(hit, ["lid", "hub"], "left")
+    around = keep(around.withColumn("linked", F.coalesce("linked", F.lit(False))))
     names = lambda s: F.transform(s, lambda x: F.xxhash64(x))
     sets = F.array(F.struct(_shingles(F.col("x")).alias("s"), _shingles(F.col("y")).alias("t")))
     parts = F.transform(sets, lambda p: F.struct(
         F.size(p.s).alias("nx"), names(F.array_except(p.s, p.t)).alias("more"), names(F.array_except(p.t, p.s)).alias("less")))
-    both = _with_texts(around.join(open_hubs, "hub"), texts).select("lid", "hub", "linked", "root", F.inline(parts))
+    both = _with_texts(around, texts).select("lid", "hub", "linked", "root", F.inline(parts))
     apart = keep(both.select(F.monotonically_increasing_id().alias("p"), "lid", "hub", "linked", "root", "nx",
                              F.size("more").alias("ins"), F.size("less").alias("del"), F.concat("more", "less").alias("d")))
     nd = F.col("ins") + F.col("del")
@@ -153,9 +179,9 @@ def _links_around(pairs: DataFrame, links: DataFrame, texts: DataFrame, like: in
     same = Window.partitionBy("d")
     spread = keep(spread.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same)})
                   .where("lo <> hi").select("p", "root", "at", "d"))
-    slim = apart.select("p", "lid", "nx", "ins", "del")
+    slim = apart.select("p", "lid", "nx", "ins", "del").join(marks, "lid")
     sized = spread.join(slim, "p").drop("p")
-    right = sized.select("d", *[F.col(c).alias(c + "2") for c in ("lid", "root", "at", "nx", "ins", "del")])
+    right = sized.select("d", *[F.col(c).alias(c + "2") for c in ("lid", "root", "at", "nx", "ins", "del", "n", *_BITS)])
     nd2 = F.col("ins2") + F.col("del2")
     # Twice the differences that an alike pair shares, at least; the first of them has the others behind it.
     twice = nd + nd2 - F.floor((F.col("nx") + F.col("nx2")) * (100 - like) / (100 + like))
@@ -164,9 +190,43 @@ def _links_around(pairs: DataFrame, links: DataFrame, texts: DataFrame, like: in
         & (F.least("nx", "nx2") * 100 >= F.greatest("nx", "nx2") * like)
         & (F.least(nd - F.col("at"), nd2 - F.col("at2")) * 2 >= twice)
         & ((F.least("ins", "ins2") + F.least("del", "del2")) * 2 >= twice)
+        & _may_be_alike(like)
     )
-    more = keep(sized.join(right, "d").where(fits).select("lid", F.col("lid2").alias("hub")).distinct())
-    return _verified(more, texts, like)
+    return sized.join(right, "d").where(fits).select("lid", F.col("lid2").alias("hub"))
+
+
+def _marks(line: Column) -> Column:
+    """An array of one struct: ``n``, the number of shingles, and the sketch _BITS, where each sets a bit.
+
+    Shingles are hashed in a code of four bytes a character, which is cut without reading it from its start.
+    """
+    def hashes(code: Column) -> Column:
+        last = F.greatest((F.octet_length(code) / 4).cast("int") - WIDTH, F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(code.substr(i * 4 + 1, F.lit(4 * WIDTH)))))
+
+    # Lambda arguments are computed once.
+    return F.transform(F.transform(F.array(F.encode(line, "UTF-32")), hashes),
+                       lambda h: F.struct(F.size(h).alias("n"), *[_bits(h, j).alias(c) for j, c in enumerate(_BITS)]))
+
+
+def _bits(h: Column, part: int) -> Column:
+    """64 bits, one set for every hash of this part."""
+    place = lambda x: x.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    own = F.filter(h, lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(len(_BITS) - 1).cast("long")) == part)
+    one = F.lit(1).cast("long")
+    return F.aggregate(own, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", one, place(x))))
+
+
+def _may_be_alike(like: int) -> Column:
+    """False only where the sketches show that two lines are not alike.
+
+    A bit that one sketch has alone is a shingle that the other line has not, and no two bits are the same shingle.
+    """
+    def most(own: str, other: str) -> Column:
+        alone = [F.bit_count(F.col(c + own).bitwiseAND(F.bitwise_not(F.col(c + other)))) for c in _BITS]
+        return F.col("n" + own) - functools.reduce(operator.add, alone)
+
+    return F.least(most("", "2"), most("2", "")) * (100 + like) >= (F.col("n") + F.col("n2")) * like
 
 
 def _bucket_counts(buckets: DataFrame) -> Column:

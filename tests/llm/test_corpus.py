@@ -276,6 +276,24 @@ def test_edits_of_one_line_are_grouped_like_brute_force(spark, frame, n, edits):
     assert all(any(c <= d for d in got.values()) for c in want.values() if len(c) > 1)
 
 
+def test_members_of_a_band_meet_only_if_they_may_be_alike(frame):
+    """Of one band of strangers and edits every alike pair meets, and few others: the count follows the alike pairs."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij\u00e9\U0001f600") for _ in range(r.randrange(3, 8)))
+    base = [word() for _ in range(30)]
+    texts = [" ".join(word() for _ in range(30)) for _ in range(100)] + ["short", "shorter"]
+    texts += [" ".join(w if i != at else word() for i, w in enumerate(base)) for at in range(20)]
+    rows = frame(list(enumerate(texts)), "lid bigint, line string")
+    marks = rows.select("lid", F.inline(lines._marks(F.col("line"))))
+    sets = line_sets(texts)
+    assert {g["lid"]: g["n"] for g in marks.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    spots = rows.select(F.lit(1).cast("bigint").alias("key"), "lid", F.col("lid").alias("root"))
+    met = {(g["lid"], g["hub"]) for g in lines._met(spots, marks, 80).collect()}
+    alike = {(i, j) for j in range(len(texts)) for i in range(j)
+             if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j])}
+    assert alike <= met and all(min(p) >= 102 for p in met) and len(alike) > 20
+
+
 @pytest.mark.parametrize("sign", ["\r", "\x85", "\u2028", "\u2029"])
 def test_shingles_go_across_signs_that_do_not_end_lines(frame, sign):
     short, long = [f"a1{sign}b2{sign}c3{sign}d4", f"a1{sign}x7{sign}y8{sign}z9"], sign.join(f"word{i}" for i in range(12))

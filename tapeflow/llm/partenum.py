@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ from tapeflow.plans.tables import keep, scratch
 _CACHED_WORDS = 400_000
 #: Buckets of the frequency table: 4 MB in each task, whatever the number of features.
 _BUCKETS = 1 << 20
+#: Bits of a set's sketch, a power of two; the sets of signatures of up to _CROWD sets meet on them.
+_BITS = 1 << 10
+_CROWD = 256
 
 
 # --- the scheme --------------------------------------------------------------------------
@@ -148,6 +152,13 @@ def set_name(features: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
+def sketch_of(features: np.ndarray) -> np.ndarray:
+    """_BITS bits (as uint64), one set for every feature."""
+    bits = np.zeros(_BITS, np.uint8)
+    bits[(features >> np.uint64(65 - _BITS.bit_length())).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 # --- Spark side --------------------------------------------------------------------------
 
 def _id() -> Column:
@@ -167,16 +178,16 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def sets_table(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """(doc_id, th, n, f1, f2, sigs): a row per document, to be stored. Empty sets have no name.
+    """(doc_id, th, n, f1, f2, sigs, bits): a row per document, to be stored. Empty sets have no name.
 
-    Copies that one task sees carry their signatures once."""
+    Copies that one task sees carry their signatures and sketch once."""
     types = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
-                       ("sigs", pa.list_(pa.int64()))])
+                       ("sigs", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches):
         cache, signed = _Words(), set()
         for batch in batches:
-            n, f1, f2, sigs = [], [], [], []
+            n, f1, f2, sigs, bits = [], [], [], [], []
             for text in batch.column(1):
                 u = shingle_set(spaced_words(text.as_py()), width, cache)
                 n.append(len(u))
@@ -185,15 +196,18 @@ def sets_table(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
                 f2.append(b)
                 if not len(u) or (a, b) in signed:
                     sigs.append([])
+                    bits.append([])
                     continue
+                bits.append(_signed(sketch_of(u)))
                 sigs.append(_signed(signatures_of(u, per_cent)))
                 if len(signed) < _CACHED_WORDS:
                     signed.add((a, b))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), pa.array(f1, pa.int64()),
-                 pa.array(f2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], schema=types)
+                 pa.array(f2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                schema=types)
 
-    return _texts(documents).mapInArrow(run, "doc_id long, th long, n long, f1 long, f2 long, sigs array<long>")
+    return _texts(documents).mapInArrow(run, "doc_id long, th long, n long, f1 long, f2 long, sigs array<long>, bits array<long>")
 
 
 def _features_of(documents: DataFrame, width: int, wanted: DataFrame, swap: frozenset[int]) -> DataFrame:
@@ -279,13 +293,36 @@ def shared_keys(sets: DataFrame) -> DataFrame:
     return keep(met.join(first, "key", "left_semi").select("key", "f", "m"))
 
 
-def similar_links(documents: DataFrame, members: DataFrame, width: int, per_cent: int,
+def _may_be_alike(per_cent: int) -> Column:
+    """False only where the sketches show that two sets (n, bits) and (n2, bits2) are not similar.
+
+    A bit that one sketch has alone is a feature that the other set has not, and no two bits are the same feature.
+    """
+    def most(own: str, other: str) -> Column:
+        alone = [F.bit_count(F.col("bits" + own)[i].bitwiseAND(F.bitwise_not(F.col("bits" + other)[i]))) for i in range(_BITS // 64)]
+        return F.col("n" + own) - functools.reduce(operator.add, alone)
+
+    return _alike(F.least(most("", "2"), most("2", "")), F.col("n") + F.col("n2"), per_cent)
+
+
+def _met(spots: DataFrame, marks: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) of sets of one signature, of different components, whose sketches let them be similar."""
+    left = spots.select("key", "f", "root").join(marks, "f")
+    right = left.select("key", *[F.col(c).alias(c + "2") for c in ("f", "root", "n", "bits")])
+    fits = (F.col("root") != F.col("root2")) & (F.col("f") < F.col("f2")) & _may_be_alike(per_cent)
+    return left.join(right, "key").where(fits).select(F.col("f").alias("a"), F.col("f2").alias("b"))
+
+
+def similar_links(documents: DataFrame, members: DataFrame, marks: DataFrame, width: int, per_cent: int,
                   swap: frozenset[int] = frozenset()) -> DataFrame:
-    """Verified links (a, b) between set names that join every similar pair; ``members`` from ``shared_keys``.
+    """Verified links (a, b) between set names that join every similar pair; ``members`` from ``shared_keys``,
+    ``marks`` are (f, n, bits), a sketch of each of their sets.
 
     Among the sets of a signature the hub is the one with the most company over all its
     signatures: in a group of near copies that is the text they were made from. All others
-    are compared with the hub. Sets that similar hubs join already need no link of their own. Let D be a set's differences from the hub. If a set is not similar to the
+    are compared with the hub, if their sketches let them be similar. Sets that similar hubs join already need no
+    link of their own, so a signature whose sets, the hub aside, they join goes no further. In another of up to _CROWD
+    sets all that their sketches let be similar meet (``_met``). Beyond, let D be a set's differences from the hub. If a set is not similar to the
     hub, any set similar to it must share differences with it, at least as many as the sizes
     imply (disjoint differences would add up to more than the first one's, which are too many
     already). So the sets around a hub are joined on a prefix of their differences, rarest
@@ -295,12 +332,14 @@ def similar_links(documents: DataFrame, members: DataFrame, width: int, per_cent
     company = members.groupBy("f").agg(F.sum("m").alias("company"))
     first = F.min(F.struct((-F.col("company")).alias("c"), F.col("f").alias("f")))
     hubs = members.join(company, "f").groupBy("key").agg(first.alias("first")).select("key", F.col("first.f").alias("hub"))
-    pairs = members.join(hubs, "key").where("f <> hub").select(F.col("f").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = keep(pairs)
-    crowd = pairs.groupBy("b").agg((F.count("*") > 1).alias("crowd"))
-    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("f1")).distinct())
+    spots = keep(members.join(hubs, "key").where("f <> hub"))
+    pairs = spots.groupBy(F.col("f").alias("a"), F.col("hub").alias("b")).agg((F.max("m") > _CROWD).alias("crowd"))
+    own, hub = marks.withColumnRenamed("f", "a"), marks.toDF("b", "n2", "bits2")
+    pairs = keep(pairs.join(own, "a").join(hub, "b").where(F.col("crowd") | _may_be_alike(per_cent)).select("a", "b", "crowd"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("f1")).union(spots.where("m > 2").select("f"))
+    wanted = keep(ends.distinct())
     features = _features_of(documents, width, wanted, swap)
-    sized = _joined(pairs.join(crowd, "b"), _rare_first(features)).withColumns({
+    sized = _joined(pairs, _rare_first(features)).withColumns({
         "same": F.size(F.array_intersect("x", "y")), "nx": F.size("x"), "ny": F.size("y")})
     sized = sized.withColumns({
         "linked": _alike(F.col("same").cast("long"), F.col("nx") + F.col("ny"), per_cent),
@@ -320,10 +359,15 @@ def similar_links(documents: DataFrame, members: DataFrame, width: int, per_cent
     links = compared.where("linked").select("a", "b")
     # What links to hubs join already, over any hubs, needs no link of its own.
     roots = components(links).withColumnRenamed("node", "a")
-    around = compared.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
-    open_hubs = around.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("b")
+    placed = spots.where("m > 2").join(roots.withColumnRenamed("a", "f"), "f", "left")
+    placed = keep(placed.withColumn("root", F.coalesce("root", "f")))
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    placed = keep(placed.join(split, "key"))
+    met = _met(placed.where(F.col("m") <= _CROWD), marks, per_cent)
+    around = placed.where(F.col("m") > _CROWD).select(F.col("f").alias("a"), F.col("hub").alias("b"), "root").distinct()
     cols = ("at", "a", "nx", "ins", "del", "root")
-    spread = around.where("prefix is not null").join(open_hubs, "b").select("b", "a", "nx", "ins", "del", "root", F.posexplode("prefix").alias("at", "d"))
+    spread = compared.where("prefix is not null").join(around, ["a", "b"]).select(
+        "b", "a", "nx", "ins", "del", "root", F.posexplode("prefix").alias("at", "d"))
     # A difference that one component has alone joins nothing.
     same_place = Window.partitionBy("b", "d")
     spread = keep(spread.withColumns({"lo": F.min("root").over(same_place), "hi": F.max("root").over(same_place)})
@@ -340,8 +384,8 @@ def similar_links(documents: DataFrame, members: DataFrame, width: int, per_cent
         & (F.least("nx", "nx2") * 100 >= F.greatest("nx", "nx2") * per_cent)
         & (behind * 2 >= F.col("ins") + F.col("del") + F.col("ins2") + F.col("del2") - apart)
     )
-    met = spread.join(right, ["b", "d"]).where(fits)
-    more = keep(met.select("a", F.col("a2").alias("b")).distinct())
+    beyond = spread.join(right, ["b", "d"]).where(fits).select("a", F.col("a2").alias("b"))
+    more = keep(met.union(beyond).distinct())
     n = (F.size("x") + F.size("y")).cast("long")
     same = F.size(F.array_intersect("x", "y")).cast("long")
     found = _joined(more, features).select("a", "b", n.alias("n"), same.alias("same"))
@@ -363,8 +407,10 @@ def _grouped_rows(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
             if swap:  # these sets go by the other half of their 128 bits
                 signed = signed.withColumn("f1", F.when(F.col("f1").isin(*swap), F.col("f2")).otherwise(F.col("f1")))
             members = beyond(shared_keys(signed))
+            marks = signed.where("size(bits) > 0").select(F.col("f1").alias("f"), "n", "bits").dropDuplicates(["f"])
+            marks = beyond(marks.join(members.select("f").distinct(), "f"))
             sets = beyond(signed.select("doc_id", "th", "n", "f1"))
-        roots = components(similar_links(documents, members, width, per_cent, swap))
+        roots = components(similar_links(documents, members, marks, width, per_cent, swap))
         return last(
             sets.join(roots.withColumnRenamed("node", "f1"), "f1", "left")
             .select("doc_id", "th", "n", F.coalesce("root", "f1").alias("g"))

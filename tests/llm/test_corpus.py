@@ -155,6 +155,24 @@ def test_jaccard_groups_lose_no_link(frame, seed, width, per_cent):
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+def test_large_signatures_lose_no_link(frame, monkeypatch):
+    monkeypatch.setattr(partenum, "_CROWD", 2)
+    test_jaccard_groups_lose_no_link(frame, 1, 5, 80)
+
+
+def test_sets_of_a_signature_meet_only_if_they_may_be_alike(frame):
+    r = random.Random(3)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    words = [[f"w{r.randrange(900)}" for _ in range(120)] for _ in range(60)]
+    words += [[w if i != at else "new" for i, w in enumerate(base)] for at in range(10, 110, 10)]
+    docs = docs_of(frame, [" ".join(w) for w in words])
+    sets = partenum.sets_table(docs, 5, 80).select(F.col("f1").alias("f"), "doc_id", "n", "bits").collect()
+    ids, marks = {g["f"]: g["doc_id"] for g in sets}, frame([(g["f"], g["n"], g["bits"]) for g in sets], "f long, n long, bits array<long>")
+    spots = marks.select(F.lit(1).cast("long").alias("key"), "f", F.col("f").alias("root"))
+    met = {frozenset((ids[a], ids[b])) for a, b in partenum._met(spots, marks, 80).collect()}
+    assert met == {frozenset((a, b)) for a in range(60, 70) for b in range(60, a)}
+
+
 def test_one_of_alike_stays(frame):
     docs = odd(frame)
     out = partenum.one_per_group(docs, 3, 90)

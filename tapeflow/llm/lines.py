@@ -30,10 +30,16 @@ _ALL = r"(?s)(?=(.{%d}))" % WIDTH
 _NO_ID = -(2**63)
 #: Buckets of the table that orders differences.
 _COUNTS = 1 << 17
-#: Columns of the sketch of a line's shingles; a power of two of them.
-_BITS = ("b0", "b1", "b2", "b3")
-#: Members of bands up to this size meet each other on their sketches.
+#: Columns of the sketch of a line's shingles, 64 bits each; a power of two of them.
+_BITS = tuple(f"b{i:x}" for i in range(16))
+#: Sketches of a line on a second look; a power of two.
+_PAGES = 4
+#: What is stored of a line: its number of shingles, of bits set, and the sketch.
+_MARKS = ("n", "w", *_BITS)
+#: Members of bands up to this size meet each other on their sketches. In larger bands those around one hub do, whatever
+#: their band, if they are up to _AROUND.
 _CROWD = 256
+_AROUND = 4096
 
 
 def _lines(text: Column) -> Column:
@@ -82,9 +88,10 @@ def _line_id(line: Column) -> Column:
 
 def signatures(documents: DataFrame) -> DataFrame:
     """(dk, th, pos, lid, chk, bands) of every line that is not blank, written once."""
-    rows = documents.where(F.col("text").isNotNull()).select(
-        *_doc_key(documents), F.posexplode(_lines(F.col("text"))).alias("pos", "line")
-    ).withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
+    # A document's hash is taken before its lines go their own ways, not for each of them.
+    own = documents.where(F.col("text").isNotNull()).select(*_doc_key(documents), "text")
+    rows = own.select("dk", "th", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    rows = rows.withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
     return keep(_with_bands(rows).select("dk", "th", "pos", _line_id(F.col("line")).alias("lid"),
                                          F.xxhash64(F.lit(1), "line").alias("chk"), "bands"))
 
@@ -94,9 +101,10 @@ def fuzzy_links(documents: DataFrame, sigs: DataFrame, like: int = LIKE) -> Data
 
     In each band the line with the most company over all its bands is the hub; the others are
     compared with it. Lines that the links to hubs join, over any hubs, need no link of their own.
-    What is left meets on sketches in bands of up to _CROWD lines (``_met``) and on its differences
-    from the hub in larger ones (``_met_around``), so the work follows the size of a band and the
-    pairs that may be alike, not the square of the band. What meets is compared in full.
+    What is left meets on sketches in bands of up to _CROWD lines and around hubs of up to _AROUND
+    (``_met``), and on its differences from the hub around larger ones (``_met_around``), so the work follows the size of a band and the
+    pairs that may be alike, not the square of the band. What meets is compared in full, hubs
+    included, unless the sketches of the two lines rule out that they are alike.
     """
     with scratch() as last:
         keys = sigs.select("lid", F.explode("bands").alias("key"))
@@ -119,22 +127,44 @@ def fuzzy_links(documents: DataFrame, sigs: DataFrame, like: int = LIKE) -> Data
         first = F.min(F.struct((-F.col("company")).alias("c"), F.col("lid").alias("lid")))
         hubs = members.join(company, "lid").groupBy("key").agg(first.alias("first"), F.count("*").alias("m"))
         spots = keep(members.join(hubs.select("key", "m", F.col("first.lid").alias("hub")), "key").where("lid <> hub"))
-        links = keep(_verified(spots.select("lid", "hub").distinct(), texts, like))
+        marks = keep(_sketches(texts).drop("page"))
+        links = keep(_verified(_sifted(spots.select("lid", "hub").distinct(), marks, like), texts, like))
         # A band of two is settled by its one comparison.
         spots = spots.where("m > 2").join(components(links).withColumnRenamed("node", "lid"), "lid", "left")
         spots = keep(spots.withColumn("root", F.coalesce("root", "lid")))
         # So is a band whose members, the hub aside, the links to hubs join already.
         split = spots.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         spots = keep(spots.join(split, "key"))
-        marks = keep(texts.join(spots.select("lid").distinct(), "lid").select("lid", F.inline(_marks(F.col("line")))))
-        more = _met(spots.where(F.col("m") <= _CROWD), marks, like).union(
-            _met_around(spots.where(F.col("m") > _CROWD), links, texts, marks, like))
-        return last(links.union(_verified(keep(more.distinct()), texts, like)))
+        crowds = keep(spots.where(F.col("m") > _CROWD).select("hub", "lid", "root").distinct())
+        vast = keep(crowds.groupBy("hub").agg(F.count("*").alias("c")).where(F.col("c") > _AROUND).select("hub"))
+        small = spots.where(F.col("m") <= _CROWD).select("key", "lid", "root")
+        mid = crowds.join(vast, "hub", "left_anti").select(F.col("hub").alias("key"), "lid", "root")
+        more = _met(small, marks, like).union(_met(mid, marks, like)).union(
+            _met_around(crowds.join(vast, "hub"), links, texts, marks, like))
+        return last(links.union(_verified(_sifted_again(keep(more.distinct()), texts, like), texts, like)))
+
+
+def _sifted(pairs: DataFrame, marks: DataFrame, like: int) -> DataFrame:
+    """Pairs (lid, hub) whose sketches let them be alike."""
+    hubs = marks.select(F.col("lid").alias("hub"), *[F.col(c).alias(c + "2") for c in _MARKS])
+    return keep(pairs.join(marks, "lid").join(hubs, "hub").where(_may_be_alike(like)).select("lid", "hub"))
+
+
+def _sifted_again(pairs: DataFrame, texts: DataFrame, like: int) -> DataFrame:
+    """Pairs (lid, hub) whose sketches of _PAGES pages let them be alike; alike lines have a page in common."""
+    wanted = pairs.select(F.explode(F.array("lid", "hub")).alias("lid")).distinct()
+    whole = Window.partitionBy("lid")
+    pages = _sketches(texts.join(wanted, "lid"), _PAGES).withColumns({c: F.sum(c).over(whole) for c in ("n", "w")})
+    pages = keep(pages)
+    hubs = pages.select(F.col("lid").alias("hub"), "page", *[F.col(c).alias(c + "2") for c in _MARKS])
+    both = pairs.join(pages, "lid").join(hubs, ["hub", "page"]).select("lid", "hub", "n", "w", "n2", "w2", _shared().alias("shared"))
+    both = both.groupBy("lid", "hub", "n", "w", "n2", "w2").agg(F.sum("shared").alias("shared"))
+    return keep(both.where(_enough(F.col("shared"), like)).select("lid", "hub"))
 
 
 def _met(spots: DataFrame, marks: DataFrame, like: int) -> DataFrame:
     """Pairs (lid, hub) of members of one band, of different components, whose sketches let them be alike."""
-    cols = ("lid", "root", "n", *_BITS)
+    cols = ("lid", "root", *_MARKS)
     left = spots.select("key", "lid", "root").join(marks, "lid")
     right = left.select("key", *[F.col(c).alias(c + "2") for c in cols])
     fits = (F.col("root") != F.col("root2")) & (F.col("lid") < F.col("lid2")) & _may_be_alike(like)
@@ -142,9 +172,9 @@ def _met(spots: DataFrame, marks: DataFrame, like: int) -> DataFrame:
 
 
 def _met_around(spots: DataFrame, links: DataFrame, texts: DataFrame, marks: DataFrame, like: int) -> DataFrame:
-    """Pairs (lid, hub) of members of one large band, of different components, that may be alike.
+    """Pairs (lid, hub) of members of large bands of one hub, of different components, that may be alike.
 
-    ``spots`` are (key, lid, hub, root), ``links`` those of lines and hubs that are alike.
+    ``spots`` are (lid, hub, root), ``links`` those of lines and hubs that are alike.
     Let D be
     the shingles in which a line differs from the hub. A line the hub rejects shares some of its D
     with any line alike to it, at least as many as the sizes imply, or both would be further apart
@@ -155,7 +185,7 @@ def _met_around(spots: DataFrame, links: DataFrame, texts: DataFrame, marks: Dat
     are hashes and only choose the candidates: equal shingles have equal names, so no pair is left out.
     """
     hit = links.select(F.col("a").alias("lid"), F.col("b").alias("hub"), F.lit(True).alias("linked"))
-    around = spots.select("lid", "hub", "root").distinct().join(hit, ["lid", "hub"], "left")
+    around = spots.select("lid", "hub", "root").join(hit, ["lid", "hub"], "left")
     around = keep(around.withColumn("linked", F.coalesce("linked", F.lit(False))))
     names = lambda s: F.transform(s, lambda x: F.xxhash64(x))
     sets = F.array(F.struct(_shingles(F.col("x")).alias("s"), _shingles(F.col("y")).alias("t")))
@@ -181,7 +211,7 @@ def _met_around(spots: DataFrame, links: DataFrame, texts: DataFrame, marks: Dat
                   .where("lo <> hi").select("p", "root", "at", "d"))
     slim = apart.select("p", "lid", "nx", "ins", "del").join(marks, "lid")
     sized = spread.join(slim, "p").drop("p")
-    right = sized.select("d", *[F.col(c).alias(c + "2") for c in ("lid", "root", "at", "nx", "ins", "del", "n", *_BITS)])
+    right = sized.select("d", *[F.col(c).alias(c + "2") for c in ("lid", "root", "at", "nx", "ins", "del", *_MARKS)])
     nd2 = F.col("ins2") + F.col("del2")
     # Twice the differences that an alike pair shares, at least; the first of them has the others behind it.
     twice = nd + nd2 - F.floor((F.col("nx") + F.col("nx2")) * (100 - like) / (100 + like))
@@ -195,38 +225,80 @@ def _met_around(spots: DataFrame, links: DataFrame, texts: DataFrame, marks: Dat
     return sized.join(right, "d").where(fits).select("lid", F.col("lid2").alias("hub"))
 
 
-def _marks(line: Column) -> Column:
-    """An array of one struct: ``n``, the number of shingles, and the sketch _BITS, where each sets a bit.
+def _places(code: Column) -> Column:
+    """Where the shingles of a line begin, in its code of four bytes a character; a shorter line has one."""
+    return F.sequence(F.lit(0), F.greatest((F.octet_length(code) / 4).cast("int") - WIDTH, F.lit(0)))
+
 
-    Shingles are hashed in a code of four bytes a character, which is cut without reading it from its start.
+def _shingle_hash(code: Column, at: Column) -> Column:
+    """Hash of the shingle that begins there. Such a code is cut without reading it from its start."""
+    return F.xxhash64(code.substr(at * 4 + 1, F.lit(4 * WIDTH)))
+
+
+def _sketches(texts: DataFrame, pages: int = 1) -> DataFrame:
+    """(lid, page, _MARKS) of lines (lid, line): ``_marks`` as an aggregate, which calls no lambda function for each shingle.
+
+    Shingles are dealt over the pages by their hash. ``n`` counts the places of shingles, so one that comes again counts again.
     """
+    codes = texts.select("lid", F.encode("line", "UTF-32").alias("code"))
+    hashes = codes.select("lid", "code", F.explode(_places(F.col("code"))).alias("at")).select(
+        "lid", _shingle_hash(F.col("code"), F.col("at")).alias("h"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    page = F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(pages - 1).cast("long")).cast("int")
+    bits = hashes.select("lid", page.alias("page"), _part("h").alias("part"), F.call_function("shiftleft", one, _place("h")).alias("bit"))
+    sketches = bits.groupBy("lid", "page").agg(F.count("*").alias("n"), *[
+        F.bit_or(F.when(F.col("part") == j, F.col("bit")).otherwise(none)).alias(c) for j, c in enumerate(_BITS)])
+    return sketches.select("lid", "page", "n", _weight([F.col(c) for c in _BITS]).alias("w"), *_BITS)
+
+
+def _weight(bits: list[Column]) -> Column:
+    return functools.reduce(operator.add, map(F.bit_count, bits))
+
+
+def _marks(line: Column) -> Column:
+    """An array of one struct of _MARKS: each of the ``n`` shingles sets a bit of the sketch _BITS, which has ``w`` in all."""
     def hashes(code: Column) -> Column:
-        last = F.greatest((F.octet_length(code) / 4).cast("int") - WIDTH, F.lit(0))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(code.substr(i * 4 + 1, F.lit(4 * WIDTH)))))
+        return F.array_distinct(F.transform(_places(code), lambda i: _shingle_hash(code, i)))
 
     # Lambda arguments are computed once.
-    return F.transform(F.transform(F.array(F.encode(line, "UTF-32")), hashes),
-                       lambda h: F.struct(F.size(h).alias("n"), *[_bits(h, j).alias(c) for j, c in enumerate(_BITS)]))
+    sketch = F.transform(F.transform(F.array(F.encode(line, "UTF-32")), hashes),
+                         lambda h: F.struct(F.size(h).alias("n"), *[_bits(h, j).alias(c) for j, c in enumerate(_BITS)]))
+    return F.transform(sketch, lambda s: F.struct(s["n"].alias("n"), _weight([s[c] for c in _BITS]).alias("w"), *[s[c].alias(c) for c in _BITS]))
+
+
+def _part(h: Column | str) -> Column:
+    """The column of the sketch in which a hash sets its bit."""
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(len(_BITS) - 1).cast("long")).cast("int")
+
+
+def _place(h: Column | str) -> Column:
+    h = F.col(h) if isinstance(h, str) else h
+    return h.bitwiseAND(F.lit(63).cast("long")).cast("int")
 
 
 def _bits(h: Column, part: int) -> Column:
     """64 bits, one set for every hash of this part."""
-    place = lambda x: x.bitwiseAND(F.lit(63).cast("long")).cast("int")
-    own = F.filter(h, lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(len(_BITS) - 1).cast("long")) == part)
     one = F.lit(1).cast("long")
-    return F.aggregate(own, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", one, place(x))))
+    return F.aggregate(F.filter(h, lambda x: _part(x) == part), F.lit(0).cast("long"),
+                       lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", one, _place(x))))
 
 
 def _may_be_alike(like: int) -> Column:
-    """False only where the sketches show that two lines are not alike.
+    """False only where the sketches show that two lines (n, w, _BITS; the other's names with a 2) are not alike.
 
     A bit that one sketch has alone is a shingle that the other line has not, and no two bits are the same shingle.
+    So a line has no more in common with the other than the bits they share and the n - w shingles beyond its own bits.
     """
-    def most(own: str, other: str) -> Column:
-        alone = [F.bit_count(F.col(c + own).bitwiseAND(F.bitwise_not(F.col(c + other)))) for c in _BITS]
-        return F.col("n" + own) - functools.reduce(operator.add, alone)
+    # The shared bits stand here once: a longer expression would be a method too large to be compiled.
+    return _enough(_shared(), like)
+
+
+def _shared() -> Column:
+    return _weight([F.col(c).bitwiseAND(F.col(c + "2")) for c in _BITS])
+
 
-    return F.least(most("", "2"), most("2", "")) * (100 + like) >= (F.col("n") + F.col("n2")) * like
+def _enough(shared: Column, like: int) -> Column:
+    return shared * (100 + like) >= (F.col("w") + F.col("w2")) * like - F.least(F.col("n") - F.col("w"), F.col("n2") - F.col("w2")) * (100 - like)
 
 
 def _bucket_counts(buckets: DataFrame) -> Column:

@@ -312,6 +312,40 @@ def test_members_of_a_band_meet_only_if_they_may_be_alike(frame):
     assert alike <= met and all(min(p) >= 102 for p in met) and len(alike) > 20
 
 
+def test_only_lines_that_sketches_leave_open_are_compared(frame, monkeypatch):
+    """Strangers and far edits in shared bands are ruled out by their sketches, in either round; every alike pair is compared."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij\u00e9\U0001f600") for _ in range(r.randrange(3, 8)))
+    base = [word() for _ in range(90)]
+
+    def edited(n):
+        at = set(r.sample(range(90), n))
+        return " ".join(word() if i in at else w for i, w in enumerate(base))
+
+    texts = sorted({edited(18) for _ in range(60)} | {edited(1) for _ in range(4)} | {"a" * 90, "a" * 91 + " b", "short"})
+    sets = line_sets(texts)
+    rows = frame(list(enumerate(texts)), "lid bigint, line string")
+    marks = {g["lid"]: g for g in rows.select("lid", F.inline(lines._marks(F.col("line")))).collect()}
+    for g in lines._sketches(rows).collect():
+        assert all(g[c] == marks[g["lid"]][c] for c in ("w", *lines._BITS)) and g["n"] >= marks[g["lid"]]["n"]
+    alike = {(i, j) for j in range(len(texts)) for i in range(j)
+             if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j])}
+    pairs = frame([(i, j) for j in range(len(texts)) for i in range(j)], "lid bigint, hub bigint")
+    for left in (lines._sifted(pairs, lines._sketches(rows).drop("page"), 80), lines._sifted_again(pairs, rows, 80)):
+        left = {(g["lid"], g["hub"]) for g in left.collect()}
+        assert alike <= left and len(left) <= len(alike) + 3
+    compared, verified = [], lines._verified
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    docs = docs_of(frame, texts)
+    assert lines.fuzzy_links(docs, lines.signatures(docs)).count() and len(alike) >= 6
+    assert sum(compared) <= len(alike) + 3
+
+
 @pytest.mark.parametrize("sign", ["\r", "\x85", "\u2028", "\u2029"])
 def test_shingles_go_across_signs_that_do_not_end_lines(frame, sign):
     short, long = [f"a1{sign}b2{sign}c3{sign}d4", f"a1{sign}x7{sign}y8{sign}z9"], sign.join(f"word{i}" for i in range(12))

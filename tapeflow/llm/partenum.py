@@ -210,8 +210,12 @@ def sets_table(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
     return _texts(documents).mapInArrow(run, "doc_id long, th long, n long, f1 long, f2 long, sigs array<long>, bits array<long>")
 
 
-def _features_of(documents: DataFrame, width: int, wanted: DataFrame, swap: frozenset[int]) -> DataFrame:
-    """(f1, features) of the wanted sets: other sets stop at a bounded filter inside the task."""
+def _features_of(documents: DataFrame, sets: DataFrame, width: int, wanted: DataFrame, swap: frozenset[int]) -> DataFrame:
+    """(f1, features) of the wanted sets: of each, only texts with one hash are read again (``sets`` are (th, f1)).
+
+    Other texts stop at a bounded filter before any Python, and what slips by at another inside the task."""
+    texts = keep(sets.join(wanted, "f1").groupBy("f1").agg(F.min("th").alias("th")))
+    words = filter_words(wanted.count())
     sieve = documents.sparkSession.sparkContext.broadcast(bit_filter(wanted, F.col("f1"), wanted.count()))
     types = pa.schema([("f1", pa.int64()), ("features", pa.list_(pa.int64()))])
 
@@ -232,7 +236,8 @@ def _features_of(documents: DataFrame, width: int, wanted: DataFrame, swap: froz
             yield pa.RecordBatch.from_arrays(
                 [pa.array(f1, pa.int64()), pa.array(features, pa.list_(pa.int64()))], schema=types)
 
-    found = _texts(documents).mapInArrow(run, "f1 long, features array<long>")
+    read = might_hold(_texts(documents), F.col("th"), bloom(texts, F.col("th"), words), words, "_in").where("_in").drop("_in")
+    found = read.mapInArrow(run, "f1 long, features array<long>")
     return keep(found.join(wanted, "f1", "left_semi").dropDuplicates(["f1"]))
 
 
@@ -294,29 +299,36 @@ def shared_keys(sets: DataFrame) -> DataFrame:
 
 
 def _may_be_alike(per_cent: int) -> Column:
-    """False only where the sketches show that two sets (n, bits) and (n2, bits2) are not similar.
+    """False only where the sketches show that two sets (n, w, bits) and (n2, w2, bits2) are not similar (``_weighed``).
 
     A bit that one sketch has alone is a feature that the other set has not, and no two bits are the same feature.
+    So a set has no more in common with the other than the bits they share and the n - w features beyond its own bits.
     """
-    def most(own: str, other: str) -> Column:
-        alone = [F.bit_count(F.col("bits" + own)[i].bitwiseAND(F.bitwise_not(F.col("bits" + other)[i]))) for i in range(_BITS // 64)]
-        return F.col("n" + own) - functools.reduce(operator.add, alone)
+    # The shared bits stand here once: a longer expression would be a method too large to be compiled.
+    shared = functools.reduce(operator.add, [
+        F.bit_count(F.get("bits", F.lit(i)).bitwiseAND(F.get("bits2", F.lit(i)))) for i in range(_BITS // 64)])
+    beyond = F.least(F.col("n") - F.col("w"), F.col("n2") - F.col("w2"))
+    return shared * (100 + per_cent) >= (F.col("n") + F.col("n2")) * per_cent - beyond * (100 + per_cent)
+
 
-    return _alike(F.least(most("", "2"), most("2", "")), F.col("n") + F.col("n2"), per_cent)
+def _weighed(marks: DataFrame) -> DataFrame:
+    """(f, n, w, bits): ``w`` bits are set."""
+    w = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x))
+    return marks.select("f", "n", w.alias("w"), "bits")
 
 
 def _met(spots: DataFrame, marks: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (a, b) of sets of one signature, of different components, whose sketches let them be similar."""
-    left = spots.select("key", "f", "root").join(marks, "f")
-    right = left.select("key", *[F.col(c).alias(c + "2") for c in ("f", "root", "n", "bits")])
+    left = spots.select("key", "f", "root").join(_weighed(marks), "f")
+    right = left.select("key", *[F.col(c).alias(c + "2") for c in ("f", "root", "n", "w", "bits")])
     fits = (F.col("root") != F.col("root2")) & (F.col("f") < F.col("f2")) & _may_be_alike(per_cent)
     return left.join(right, "key").where(fits).select(F.col("f").alias("a"), F.col("f2").alias("b"))
 
 
-def similar_links(documents: DataFrame, members: DataFrame, marks: DataFrame, width: int, per_cent: int,
+def similar_links(documents: DataFrame, sets: DataFrame, members: DataFrame, marks: DataFrame, width: int, per_cent: int,
                   swap: frozenset[int] = frozenset()) -> DataFrame:
-    """Verified links (a, b) between set names that join every similar pair; ``members`` from ``shared_keys``,
-    ``marks`` are (f, n, bits), a sketch of each of their sets.
+    """Verified links (a, b) between set names that join every similar pair; ``sets`` are (th, f1) of the documents,
+    ``members`` from ``shared_keys``, ``marks`` are (f, n, bits), a sketch of each of their sets.
 
     Among the sets of a signature the hub is the one with the most company over all its
     signatures: in a group of near copies that is the text they were made from. All others
@@ -334,11 +346,11 @@ def similar_links(documents: DataFrame, members: DataFrame, marks: DataFrame, wi
     hubs = members.join(company, "f").groupBy("key").agg(first.alias("first")).select("key", F.col("first.f").alias("hub"))
     spots = keep(members.join(hubs, "key").where("f <> hub"))
     pairs = spots.groupBy(F.col("f").alias("a"), F.col("hub").alias("b")).agg((F.max("m") > _CROWD).alias("crowd"))
-    own, hub = marks.withColumnRenamed("f", "a"), marks.toDF("b", "n2", "bits2")
+    own, hub = _weighed(marks).withColumnRenamed("f", "a"), _weighed(marks).toDF("b", "n2", "w2", "bits2")
     pairs = keep(pairs.join(own, "a").join(hub, "b").where(F.col("crowd") | _may_be_alike(per_cent)).select("a", "b", "crowd"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("f1")).union(spots.where("m > 2").select("f"))
     wanted = keep(ends.distinct())
-    features = _features_of(documents, width, wanted, swap)
+    features = _features_of(documents, sets, width, wanted, swap)
     sized = _joined(pairs, _rare_first(features)).withColumns({
         "same": F.size(F.array_intersect("x", "y")), "nx": F.size("x"), "ny": F.size("y")})
     sized = sized.withColumns({
@@ -410,7 +422,7 @@ def _grouped_rows(documents: DataFrame, width: int, per_cent: int) -> DataFrame:
             marks = signed.where("size(bits) > 0").select(F.col("f1").alias("f"), "n", "bits").dropDuplicates(["f"])
             marks = beyond(marks.join(members.select("f").distinct(), "f"))
             sets = beyond(signed.select("doc_id", "th", "n", "f1"))
-        roots = components(similar_links(documents, members, marks, width, per_cent, swap))
+        roots = components(similar_links(documents, sets.select("th", "f1"), members, marks, width, per_cent, swap))
         return last(
             sets.join(roots.withColumnRenamed("node", "f1"), "f1", "left")
             .select("doc_id", "th", "n", F.coalesce("root", "f1").alias("g"))

@@ -173,6 +173,47 @@ def test_sets_of_a_signature_meet_only_if_they_may_be_alike(frame):
     assert met == {frozenset((a, b)) for a in range(60, 70) for b in range(60, a)}
 
 
+def largest_method(df):
+    """Bytes of the largest method that Spark makes for a plan; Java compiles none of more than 8,000."""
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        made = debug.codegenStringSeq(df.select("*")._jdf.queryExecution().executedPlan())
+        return max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_comparisons_of_sketches_are_compiled(frame):
+    """A signature's or band's pairs are compared by the million, so their condition must fit a method that Java compiles."""
+    spots = frame([(1, 1, 1)], "key long, f long, root long")
+    marks = frame([(1, 5, [1] * 16)], "f long, n long, bits array<long>")
+    assert 0 < largest_method(partenum._met(spots, marks, 80)) < 8000
+    marks = frame([(1, "a line")], "lid long, line string").select("lid", F.inline(lines._marks(F.col("line"))))
+    marks = frame(marks.collect(), marks.schema)
+    assert 0 < largest_method(lines._met(spots.withColumnRenamed("f", "lid"), marks, 80)) < 8000
+
+
+def test_only_texts_of_wanted_sets_are_read_again(frame, monkeypatch):
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(300)]
+    docs = docs_of(frame, texts + texts[:50])
+    sets = partenum.sets_table(docs, 5, 80).select("doc_id", "th", "f1")
+    wanted = sets.where("doc_id < 20").select("f1").distinct()
+    seen, sieve = [], partenum.might_hold
+
+    def counted(*given):
+        out = sieve(*given)
+        seen.append(out.where("_in").count())
+        return out
+
+    monkeypatch.setattr(partenum, "might_hold", counted)
+    found = {g["f1"]: len(g["features"]) for g in partenum._features_of(docs, sets, 5, wanted, frozenset()).collect()}
+    assert found == {g["f1"]: 26 for g in wanted.collect()} and len(found) == 20
+    assert len(seen) == 1 and 20 <= seen[0] <= 50
+
+
 def test_one_of_alike_stays(frame):
     docs = odd(frame)
     out = partenum.one_per_group(docs, 3, 90)
